@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNEVEN = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f"(?= [^{WHITE}])")
-#: Chunks remembered by a worker, and the longest of them in characters.
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+#: Chunks in a generation of a worker's memory, of which there are two, and the longest of them in characters.
+MEMO_ENTRIES, MEMO_CHARS = 350_000, 40
 
 
 #: 2**64 divided by the golden ratio, and the low 64 bits.
@@ -137,18 +137,23 @@ class ByteBPE:
 
 
 class ChunkMemo(dict):
-    """What ``of`` makes of a chunk, kept for short chunks until the table is full; then it starts anew."""
+    """What ``of`` makes of a chunk, kept for short chunks in two generations of at most ``entries`` each: a full table
+    becomes the older one, and what is asked for again moves back into the younger."""
 
     def __init__(self, of, entries: int = MEMO_ENTRIES, chars: int = MEMO_CHARS):
         super().__init__()
-        self.of, self.entries, self.chars = of, entries, chars
+        self.of, self.entries, self.chars, self.older = of, entries, chars, {}
 
     def __missing__(self, chunk: str):
-        made = self.of(chunk)
-        if len(chunk) <= self.chars:
-            if len(self) >= self.entries:
-                self.clear()
-            self[chunk] = made
+        made = self.older.get(chunk)
+        if made is None:
+            made = self.of(chunk)
+            if len(chunk) > self.chars:
+                return made
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = made
         return made
 
 
@@ -180,10 +185,17 @@ def _encoder(path: str, pattern: str) -> tuple[ByteBPE, ChunkedEncoder]:
     bpe = ByteBPE.load(path, pattern)
 
     def made(chunk: str) -> tuple[bytes, bytes]:
-        ids = bpe.encode(chunk)
-        return np.array(ids, "<u4").tobytes(), b"".join(b"%d," % i for i in ids)
-
-    return bpe, ChunkedEncoder(made)
+        first, *rest = bpe.find(chunk)
+        head = (b"", b"")
+        if rest and first[0] == " " and len(first) > 1:  # a word with marks behind it: the word may be known
+            head = chunks.spaced[first[1:]]
+        else:
+            rest = [first, *rest]
+        ids = [i for piece in rest for i in bpe.pretoken(piece.encode())]
+        return head[0] + np.array(ids, "<u4").tobytes(), head[1] + b"".join([b"%d," % i for i in ids])
+
+    chunks = ChunkedEncoder(made)
+    return bpe, chunks
 
 
 FIELDS = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.binary(), "decoded_sha256": pa.string()}

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
+#: Below every score; its negative is a long too.
+LEAST_SCORE = -(1 << 62)
 #: Rows of a shard, queries of a block, rows of a leaf.
 SHARD_ROWS, BLOCK_QUERIES, LEAF_ROWS = 8192, 2048, 128
 
@@ -58,7 +60,7 @@ def search(q: np.ndarray, q_row: np.ndarray, least: np.ndarray, x: np.ndarray, x
     bound = qf @ tree.centres.T + norm[:, None] * tree.radii
     bound += 1 + 1e-9 * np.abs(bound)  # over rounding
     first_leaf = 2**tree.depth - 1
-    low = np.iinfo(np.int64).min
+    low = LEAST_SCORE
     best_s, best_i = np.full((len(q), k), low), np.full((len(q), k), np.iinfo(np.int64).max)
     kth = least.astype(np.int64).copy()
 
@@ -125,7 +127,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
         if not len(left) or not len(right):
             return pa.table({"row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         left, right = left.combine_chunks(), right.combine_chunks()
-        least = right.column("least").fill_null(np.iinfo(np.int64).min).to_numpy()
+        least = right.column("least").fill_null(LEAST_SCORE).to_numpy()
         q_row, q_id = right.column("row").to_numpy(), right.column("id").to_numpy()
         n, i, s = search(_matrix(right.column("v")), q_row, least, _matrix(left.column("v")), left.column("id").to_numpy(), left.column("row").to_numpy(), k)
         return pa.table({"row": q_row[n], "query_id": q_id[n], "vec_id": i, "score": s})
