@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, line_dedup, packing, quality, search, simhash, token_counts, urls
+from tessera.llm import bpe, language, line_dedup, packing, quality, search, simhash, token_counts, toxicity, urls
 from tessera.llm.common import crc_mod, table
 
 
+#: Scores from here on count as toxic.
+TOXIC_FROM = 0.7
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "lines_removed", F.length("text").cast("long").alias("chars_kept"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -33,6 +37,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 3) != 1)
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    scored = toxicity.score_texts(docs, model, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -127,5 +139,5 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_simhash, op3_bpe, op4_quality, op6_urls, op7_packing, op8_token_counts, op9_top_k, op10_language)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_simhash, op3_bpe, op4_quality, op5_toxicity, op6_urls, op7_packing, op8_token_counts, op9_top_k, op10_language)}
 ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP_SQL, "op4_quality": _QUALITY_SQL, "op6_urls": _URLS_SQL, "op9_top_k": _TOP_K_SQL}
