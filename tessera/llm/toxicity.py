@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Texts of either label that training looks at, chosen by a hash of the id; longer texts are left out of training.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2400, 3600, 20_000
+#: Parts of the sample that the curve is fitted over in turn.
+FOLDS = 3
 #: Bytes of a window, compression level, dictionary content, length of the byte strings.
 WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES, MER = 56, 3, 24_000, 6_000, 5
 #: A byte string enters where this share of toxic texts holds it, and this many times the share of ordinary texts.
@@ -132,10 +134,22 @@ class CompressionDistance:
         return float(1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30))))
 
 
+def dictionaries(rows: list[dict]) -> CompressionDistance:
+    """From rows with t (text) and y (label)."""
+    toxic, plain = ([r["t"].encode().lower() for r in rows if r["y"] == y] for y in (1, 0))
+    samples = [w for t in plain for w in windows(t.decode(), 256)]
+    try:
+        ordinary = zstandard.train_dictionary(ORDINARY_BYTES + 8192, samples).as_bytes()[-ORDINARY_BYTES:]
+    except zstandard.ZstdError:  # too few samples to train on
+        ordinary = b"".join(samples)[-ORDINARY_BYTES:]
+    return CompressionDistance(ordinary, toxic_segments(toxic, plain))
+
+
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> CompressionDistance:
     """``labelled``: texts with a 0/1 label. At most about SAMPLE_TOXIC + SAMPLE_ORDINARY texts of up to SAMPLE_CHARS
-    characters reach the driver. Half of them (by hash) make the dictionaries, the other half the curve, weighted to the
-    labels' frequencies. Without texts of both labels the score is the share of toxic ones."""
+    characters reach the driver. The curve is fitted on savings under dictionaries of the other FOLDS - 1 parts of the
+    sample, weighted to the labels' frequencies; the dictionaries in use are those of the whole sample. Without texts of
+    both labels the score is the share of toxic ones."""
     known = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("y in (0, 1) and t is not null")
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
@@ -144,21 +158,20 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic
         return made
     spread = 1 << 30
     limit = F.when(F.col("y") == 1, int(min(1.0, SAMPLE_TOXIC / sizes[1]) * spread)).otherwise(int(min(1.0, SAMPLE_ORDINARY / sizes[0]) * spread))
-    rows = known.filter((F.length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("id"), F.lit(spread)) < limit)).select("t", "y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0).alias("first")).toArrow().to_pylist()
+    rows = known.filter((F.length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("id"), F.lit(spread)) < limit)).select("t", "y", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).alias("fold")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["y"], r["t"]))
-    parts = {y: [r["t"].encode().lower() for r in rows if r["y"] == y and r["first"]] for y in (0, 1)}
-    samples = [w for t in parts[0] for w in windows(t.decode(), 256)]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES + 8192, samples).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on
-        ordinary = b"".join(samples)[-ORDINARY_BYTES:]
-    made = CompressionDistance(ordinary, toxic_segments(parts[1], parts[0]))
-    rest = [r for r in rows if not r["first"]] or rows
-    y = np.array([r["y"] for r in rest])
+    x, y = [], []
+    for fold in range(FOLDS):
+        others = dictionaries([r for r in rows if r["fold"] != fold])
+        own = [r for r in rows if r["fold"] == fold]
+        x += [others.features(r["t"]) for r in own]
+        y += [r["y"] for r in own]
+    made, y = dictionaries(rows), np.array(y)
     if len(set(y.tolist())) < 2:
-        rest, y = rows, np.array([r["y"] for r in rows])
-    weight = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
-    made.fit(np.array([made.features(r["t"]) for r in rest]), y, weight * len(y) / weight.sum())
+        made.weights = np.array([sizes[1] / (sizes[0] + sizes[1])])
+        return made
+    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
+    made.fit(np.array(x), y, weight * len(y) / weight.sum())
     return made
 
 
