@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained. The ordinary one is zstandard's own training on windows of ordinary text. The
-toxic one holds the same content behind segments of toxic text: a greedy cover, as zstandard's trainer makes it, of the
+toxic one holds the same content and, nearest to the text, segments of toxic text: a greedy cover, as zstandard's trainer makes it, of the
 short byte strings that far more toxic than ordinary texts hold. A text is cut into windows at spaces, all of it, and
 each window is compressed with both. What the toxic dictionary saves is about zero on ordinary windows, as both know
 those, and several bytes where a toxic segment stands. A logistic curve, fitted on labelled texts that the dictionaries
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2400, 3600, 20_000
 #: Parts of the sample that the curve is fitted over in turn.
 FOLDS = 3
-#: Bytes of a window, compression level, dictionary content, length of the byte strings.
-WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES, MER = 56, 3, 24_000, 6_000, 5
+#: Bytes of a window, compression level, dictionary content, lengths of the byte strings.
+WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES, MERS = 56, 3, 24_000, 3_000, (5, 7, 9)
 #: A byte string enters where this share of toxic texts holds it, and this many times the share of ordinary texts.
-LEAST_SHARE, LEAST_RATIO = 0.03, 15.0
+LEAST_SHARE, LEAST_RATIO = 0.02, 15.0
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -43,41 +43,44 @@ def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def _mers(b: bytes) -> np.ndarray:
+def _mers(b: bytes, length: int) -> np.ndarray:
+    """A number for the byte string of ``length`` at each place; up to eight bytes it is the string itself."""
     a = np.frombuffer(b, np.uint8).astype(np.uint64)
-    n = len(a) - MER + 1
+    n = len(a) - length + 1
     h = np.zeros(max(n, 0), np.uint64)
-    for i in range(MER if n > 0 else 0):
-        h = h << np.uint64(8) | a[i : i + n]
+    for i in range(length if n > 0 else 0):
+        h = (h << np.uint64(8) | h >> np.uint64(56)) ^ a[i : i + n]
     return h
 
 
-def _in_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte strings and the number of texts that hold each; equal texts count once."""
-    parts = [np.unique(_mers(t)) for t in dict.fromkeys(texts)]
+def _in_texts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings and the number of texts that hold each."""
+    parts = [np.unique(_mers(t, length)) for t in texts]
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.array([], np.uint64), np.array([], np.int64))
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Greedy cover of what sets toxic texts apart, the most frequent segments last."""
-    (ut, ct), (uo, co) = _in_texts(toxic), _in_texts(ordinary)
-    n_t, n_o = max(1, len(set(toxic))), max(1, len(set(ordinary)))
-    at = np.searchsorted(uo, ut)
-    at[at == len(uo)] = 0
-    other = np.where(uo[at] == ut, co[at], 0) if len(uo) else np.zeros(len(ut))
-    good = ut[(ct >= max(3, LEAST_SHARE * n_t)) & (ct / n_t > LEAST_RATIO * (other + 1) / n_o)]
-    found: Counter = Counter()
-    for b in dict.fromkeys(toxic):
-        hit = np.isin(_mers(b), good)
-        if hit.any():
-            cover = np.zeros(len(b) + 1, np.int8)
-            for i in range(MER):
+    """Greedy cover of what sets toxic texts apart, the most frequent segments last. Equal texts count once."""
+    toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    n_t, n_o = max(1, len(toxic)), max(1, len(ordinary))
+    covers = [np.zeros(len(b) + 1, np.int8) for b in toxic]
+    for length in MERS:
+        (ut, ct), (uo, co) = _in_texts(toxic, length), _in_texts(ordinary, length)
+        at = np.searchsorted(uo, ut)
+        at[at == len(uo)] = 0
+        other = np.where(uo[at] == ut, co[at], 0) if len(uo) else np.zeros(len(ut))
+        good = ut[(ct >= max(3, LEAST_SHARE * n_t)) & (ct / n_t > LEAST_RATIO * (other + 1) / n_o)]
+        for b, cover in zip(toxic, covers, strict=True):
+            hit = np.isin(_mers(b, length), good)
+            for i in range(length if hit.any() else 0):
                 cover[i : i + len(hit)] |= hit
-            ends = np.flatnonzero(np.diff(np.r_[0, cover]))
-            found.update(b[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True))
-    held, picked, size = set(), [], 0
+    found: Counter = Counter()
+    for b, cover in zip(toxic, covers, strict=True):
+        ends = np.flatnonzero(np.diff(np.r_[0, cover]))
+        found.update(b[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True))
+    held, picked, size, step = set(), [], 0, MERS[0]
     for segment, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        new = {segment[i : i + MER] for i in range(len(segment) - MER + 1)} - held
+        new = {segment[i : i + step] for i in range(len(segment) - step + 1)} - held
         if new and size + len(segment) <= TOXIC_BYTES:
             held |= new
             picked.append(segment)
@@ -101,7 +104,7 @@ class CompressionDistance:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        return made(self.ordinary), made(self.toxic + self.ordinary)
+        return made(self.ordinary), made(self.ordinary + self.toxic)
 
     def features(self, text: str | None) -> list[float]:
         """Of the bytes saved in each window: largest, mean of the three largest, mean, shares from 2, 3 and 5 on, the
