@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from tessera.plans import panel_queries  # noqa: F401
+from tessera.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "p13"
