@@ -40,7 +40,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 3) != 1)
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     scored = toxicity.score_texts(docs, model, keep=("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
 

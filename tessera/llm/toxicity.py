@@ -148,12 +148,13 @@ def dictionaries(rows: list[dict]) -> CompressionDistance:
     return CompressionDistance(ordinary, toxic_segments(toxic, plain))
 
 
-def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> CompressionDistance:
-    """``labelled``: texts with a 0/1 label. At most about SAMPLE_TOXIC + SAMPLE_ORDINARY texts of up to SAMPLE_CHARS
-    characters reach the driver. The curve is fitted on savings under dictionaries of the other FOLDS - 1 parts of the
-    sample, weighted to the labels' frequencies; the dictionaries in use are those of the whole sample. Without texts of
-    both labels the score is the share of toxic ones."""
-    known = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("y in (0, 1) and t is not null")
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> CompressionDistance:
+    """``labels``: ids and 0/1 labels. The labels are sampled before they meet the texts: about SAMPLE_TOXIC +
+    SAMPLE_ORDINARY rows by a hash of the id, a bound that lets them be broadcast, so the texts are not shuffled. Texts
+    of up to SAMPLE_CHARS characters reach the driver. The curve is fitted on savings under dictionaries of the other
+    FOLDS - 1 parts of the sample, weighted to the labels' frequencies; the dictionaries in use are those of the whole
+    sample. Without labels of both kinds the score is the share of toxic ones."""
+    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("y in (0, 1) and id is not null")
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
         made = CompressionDistance(b"", b"")
@@ -161,7 +162,9 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic
         return made
     spread = 1 << 30
     limit = F.when(F.col("y") == 1, int(min(1.0, SAMPLE_TOXIC / sizes[1]) * spread)).otherwise(int(min(1.0, SAMPLE_ORDINARY / sizes[0]) * spread))
-    rows = known.filter((F.length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("id"), F.lit(spread)) < limit)).select("t", "y", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).alias("fold")).toArrow().to_pylist()
+    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(spread)) < limit).limit(2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
+    rows = texts.join(F.broadcast(sample), "id").select("t", "y", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).alias("fold")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["y"], r["t"]))
     x, y = [], []
     for fold in range(FOLDS):
@@ -170,7 +173,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic
         x += [others.features(r["t"]) for r in own]
         y += [r["y"] for r in own]
     made, y = dictionaries(rows), np.array(y)
-    if len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:  # no texts for one of the labels
         made.weights = np.array([sizes[1] / (sizes[0] + sizes[1])])
         return made
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
