@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW, TAU, ALPHA, STEPS = 60, 0.30, 0.50, 3
+WINDOW, TAU = 60, 0.30
 
 
 def pairs(rets: DataFrame) -> DataFrame:
@@ -42,18 +42,8 @@ def laplacian_edges(corr: DataFrame, tau: float = TAU, normalized: bool = True)
     e = both_ways(corr, "rho").filter(F.col("rho") > tau)
     if not normalized:
         return e.select("grp", "ts", "a", "b", (-F.col("rho")).alias("l"))
-    d = degrees(corr, tau).filter("deg > 0")
-    return e.join(d.withColumnRenamed("deg", "da"), ["grp", "ts", "a"]).join(d.select("grp", "ts", F.col("a").alias("b"), F.col("deg").alias("db")), ["grp", "ts", "b"]).select("grp", "ts", "a", "b", (-F.col("rho") / F.sqrt(F.col("da") * F.col("db"))).alias("l"))
-
-
-def diffusion_residuals(corr: DataFrame, rets: DataFrame, tau: float = TAU, alpha: float = ALPHA, steps: int = STEPS) -> DataFrame:
-    """grp, asset, ts, e: x - (I - alpha L)^steps x for the day's returns x against the window before the day."""
-    lap = laplacian_edges(corr, tau)
-    x = rets.join(corr.select("grp", "ts").distinct(), ["grp", "ts"], "left_semi").select("grp", "ts", F.col("asset").alias("a"), F.col("r").alias("x"), F.col("r").alias("h"))
-    for _ in range(steps):
-        push = lap.join(x.select("grp", "ts", F.col("a").alias("b"), F.col("h").alias("hb")), ["grp", "ts", "b"]).groupBy("grp", "ts", "a").agg(F.sum(F.col("l") * F.col("hb")).alias("s"))
-        x = x.join(push, ["grp", "ts", "a"], "left").select("grp", "ts", "a", "x", (F.col("h") - alpha * (F.col("h") + F.coalesce("s", F.lit(0.0)))).alias("h"))
-    return x.select("grp", F.col("a").alias("asset"), "ts", (F.col("x") - F.col("h")).alias("e"))
+    at = lambda node: F.sum("rho").over(Window.partitionBy("grp", "ts", node))
+    return e.withColumn("da", at("a")).withColumn("db", at("b")).select("grp", "ts", "a", "b", (-F.col("rho") / F.sqrt(F.col("da") * F.col("db"))).alias("l"))
 
 
 def network_features(corr: DataFrame) -> DataFrame:

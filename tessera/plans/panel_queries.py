@@ -25,13 +25,24 @@ def clean(s, d):
     return P.clean(P.ship_brand(s, d))
 
 
+_SHARED: dict = {}
+
+
+def shared(name, s, d, build):
+    """What several queries of a session start from is kept, spilling to disk, instead of being computed by each."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _SHARED:
+        _SHARED[key] = build().persist()
+    return _SHARED[key]
+
+
 def ret(s, d, log=True):
-    return P.returns(clean(s, d), log)
+    return shared(f"ret{log}", s, d, lambda: P.returns(clean(s, d), log))
 
 
 def ew(s, d):
     """Equal-weight return of each group."""
-    return ret(s, d).groupBy("grp", "ts", "t_idx").agg(F.avg("r").alias("r"))
+    return shared("ew", s, d, lambda: ret(s, d).groupBy("grp", "ts", "t_idx").agg(F.avg("r").alias("r")))
 
 
 def q(name, sql):
@@ -125,9 +136,7 @@ def p09(s, d):
 
 @q("p10", COR + " SELECT grp, ts, a, b, round(rho, 6) AS rho FROM corr WHERE (t_idx - 60) % 20 = 0")
 def p10(s, d):
-    from tessera.operators import network as N
-
-    return N.rolling_corr(ret(s, d)).filter((F.col("t_idx") - 60) % 20 == 0).select("grp", "ts", "a", "b", r6("rho"))
+    return corr(s, d).filter((F.col("t_idx") - 60) % 20 == 0).select("grp", "ts", "a", "b", r6("rho"))
 
 
 @q("p11", "WITH e AS (SELECT * FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 959), f AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 75) SELECT day, n FROM f")
@@ -165,7 +174,7 @@ def p16(s, d):
 def corr(s, d, **k):
     from tessera.operators import network as N
 
-    return N.rolling_corr(ret(s, d), **k)
+    return shared(f"corr{k}", s, d, lambda: N.rolling_corr(ret(s, d), **k))
 
 
 @q("p17", RET + " SELECT grp, asset, round(avg(r), 6) AS m, CASE WHEN avg(r) > 0.0005 THEN 'Success' WHEN avg(r) > 0 THEN 'Marginal' ELSE 'Failed' END AS label FROM ret GROUP BY 1, 2")
