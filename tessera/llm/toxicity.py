@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of either label that training looks at, chosen by a hash of the id; longer texts are left out of training.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 2400, 3600, 20_000
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 2400, 20_000
 #: Parts of the sample that the curve is fitted over in turn.
 FOLDS = 3
 #: Bytes of a window, compression level, dictionary content, lengths of the byte strings.
