@@ -639,3 +639,17 @@ def x17(s, d):
     p = regime(fiedler(s, d), "fiedler", 0.25, above=False).withColumnRenamed("flag", "predicted")
     y = ew(s, d).select("grp", "ts", (F.lead("r").over(R.in_order()) > 0).cast("int").alias("y"))
     return p.join(y.filter("y is not null"), ["grp", "ts"]).filter(~train()).groupBy("grp").agg(r6("accuracy", F.avg((F.col("predicted") == F.col("y")).cast("double"))), F.count("*").alias("n"))
+
+
+TYPES = base("type", upto="corr") + FEATURES + EW
+
+
+@q("regime_features", TYPES + " SELECT f.grp, f.ts, round(mean_corr, 6) AS mean_corr, round(std_corr, 6) AS std_corr, round(r, 6) AS r, mean_corr > 0.05 AS tight FROM feat f JOIN ew e ON f.grp = e.grp AND f.ts = e.ts")
+def regime_features(s, d):
+    """The slice from rows to regime flag over the panel that is full at every scale."""
+    from tessera.operators.network import network_features, rolling_corr
+
+    x = P.returns(P.clean(P.ship_type(s, d)))
+    e = x.groupBy("grp", "ts").agg(F.avg("r").alias("r"))
+    f = network_features(rolling_corr(x)).join(e, ["grp", "ts"])
+    return f.select("grp", "ts", r6("mean_corr"), r6("std_corr"), r6("r"), (F.col("mean_corr") > 0.05).alias("tight"))
