@@ -120,7 +120,11 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
     sizes = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, -(-sizes[0] // shard_rows)), max(1, -(-sizes[1] // BLOCK_QUERIES))
     data = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), "dim", "row", "id", "v")
-    queries = rows.filter(is_query).select(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), "dim", "row", "id", "v", F.lit(None).cast("long").alias("least"))
+    again = lambda: vectors.sparkSession.read.schema(rows.schema).parquet(rows._tessera_path)  # noqa: E731  with columns of its own
+
+    def queries() -> DataFrame:
+        return again().filter(is_query).select(F.pmod(F.xxhash64("row", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), "dim", "row", "id", "v", F.lit(None).cast("long").alias("least"))
+
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -138,12 +142,12 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, scale: int = 6
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     if shards == 1:
-        found = meet(queries.withColumn("shard", home), data.select("*", every_block))
+        found = meet(queries().withColumn("shard", home), data.select("*", every_block))
     else:
         own_blocks = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.pmod(b, F.lit(shards)) == F.col("shard"))
-        first = cut(meet(queries.withColumn("shard", home), data.select("*", F.explode(own_blocks).alias("block"))), "first-round")
+        first = cut(meet(queries().withColumn("shard", home), data.select("*", F.explode(own_blocks).alias("block"))), "first-round")
         least = first.groupBy("row").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= k).select("row", "least")
-        others = queries.drop("least").join(least, "row", "left").withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)))
+        others = queries().drop("least").join(least, "row", "left").withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)))
         found = first.unionByName(meet(others, data.select("*", every_block)))
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
