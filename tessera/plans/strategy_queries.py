@@ -456,10 +456,10 @@ def weights(e, legs=2):
     return x.select("grp", "asset", "ts", F.when(F.col("lo") <= legs, 1.0 / legs).when(F.col("hi") <= legs, -1.0 / legs).otherwise(0.0).alias("w"))
 
 
-def long_short(s, d, w, flag=None, bps=5.0):
-    """Daily return of weights set the day before, flat where ``flag`` is 1, less turnover cost."""
+def long_short(s, d, w, flag=None, bps=5.0, lag=1):
+    """Daily return of weights set ``lag`` rows before, flat where ``flag`` is 1, less turnover cost."""
     cal = ret(s, d).select("grp", "asset", "ts", "t_idx", "r")
-    at = w.join(cal.select("grp", "asset", "ts", "t_idx"), ["grp", "asset", "ts"]).select("grp", "asset", (F.col("t_idx") + 1).alias("t_idx"), "w")
+    at = w.join(cal.select("grp", "asset", "ts", "t_idx"), ["grp", "asset", "ts"]).select("grp", "asset", (F.col("t_idx") + lag).alias("t_idx"), "w")
     x = cal.join(at, ["grp", "asset", "t_idx"])
     if flag is not None:
         x = x.join(flag, ["grp", "ts"], "left").withColumn("w", F.when(F.coalesce("flag", F.lit(0)) == 1, 0.0).otherwise(F.col("w")))
@@ -546,7 +546,7 @@ def x06(s, d):
 
 
 def variant(s, d, mode):
-    """Signals of the row before the last; the lag of two rows is the verified behaviour."""
+    """Weights from the returns and the network of a row; they trade two rows later, as the verified behaviour is."""
     x = ret(s, d).withColumn("mom", F.sum("r").over(R.past(20, keys=("grp", "asset"))))
     rev = weights(x.select("grp", "asset", "ts", F.col("r").alias("e")))
     if mode == "rev":
@@ -562,27 +562,27 @@ def variant(s, d, mode):
     return both.select("grp", "asset", "ts", F.when(F.col("use") == "rev", F.col("w")).when(F.col("use") == "mom", F.col("wm")).otherwise(0.0).alias("w"))
 
 
-V1 = ", res AS (SELECT grp, asset, ts, r AS e FROM ret)" + LSQ.format(w="w", join="")
+V1 = ", res AS (SELECT grp, asset, ts, r AS e FROM ret)" + LSQ.format(w="w", join="").replace("t_idx + 1 AS t_idx", "t_idx + 2 AS t_idx")
 
 
 @q("x07", RET + V1 + " SELECT grp, ts, round(r, 6) AS r FROM pnl")
 def x07(s, d):
-    return long_short(s, d, variant(s, d, "rev")).select("grp", "ts", r6("r"))
+    return long_short(s, d, variant(s, d, "rev"), lag=2).select("grp", "ts", r6("r"))
 
 
 @q("x08")
 def x08(s, d):
-    return long_short(s, d, variant(s, d, "hybrid")).select("grp", "ts", r6("r"))
+    return long_short(s, d, variant(s, d, "hybrid"), lag=2).select("grp", "ts", r6("r"))
 
 
 @q("x09")
 def x09(s, d):
-    return long_short(s, d, variant(s, d, "adaptive")).select("grp", "ts", r6("r"))
+    return long_short(s, d, variant(s, d, "adaptive"), lag=2).select("grp", "ts", r6("r"))
 
 
 @q("x10")
 def x10(s, d):
-    parts = [long_short(s, d, variant(s, d, m)) for m in ("rev", "hybrid", "adaptive")]
+    parts = [long_short(s, d, variant(s, d, m), lag=2) for m in ("rev", "hybrid", "adaptive")]
     x = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return x.groupBy("grp", "ts").agg(F.avg("r").alias("r"), F.count("*").alias("n")).filter("n = 3").select("grp", "ts", r6("r"))
 
