@@ -117,7 +117,7 @@ def held(s, d):
     return p.withColumn("step", F.abs(F.col("pos") - F.lag("pos").over(w))).withColumn("pnl", F.lag("pos").over(w) * F.col("r"))
 
 
-@q("a14", RET + POS + " SELECT grp, sum(step)::BIGINT AS total_turnover, count_if(step > 0) AS switches, round(sum(step) / (count(*) / 252.0), 6) AS turnover_year, round(avg(pos), 6) AS in_market FROM st GROUP BY 1")
+@q("a14", RET + POS + " SELECT grp, sum(step)::BIGINT AS total_turnover, count_if(step > 0)::BIGINT AS switches, round(sum(step) / (count(*) / 252.0), 6) AS turnover_year, round(avg(pos), 6) AS in_market FROM st GROUP BY 1")
 def a14(s, d):
     return M.turnover(held(s, d)).select("grp", F.col("total_turnover").cast("bigint"), "switches", r6("turnover_year"), r6("in_market"))
 
@@ -285,7 +285,7 @@ def h01_p(s, d):
     return h01(s, d).select("grp", "r", F.round(t_p(t, F.col("n") - 2), 6).alias("p"))
 
 
-SPLIT = ", s AS (SELECT grp, count_if({c}) AS n1, count_if(NOT ({c})) AS n2, avg(r) FILTER (WHERE {c}) AS m1, avg(r) FILTER (WHERE NOT ({c})) AS m2, var_samp(r) FILTER (WHERE {c}) AS v1, var_samp(r) FILTER (WHERE NOT ({c})) AS v2 FROM rr GROUP BY 1)"
+SPLIT = ", s AS (SELECT grp, count_if({c})::BIGINT AS n1, count_if(NOT ({c}))::BIGINT AS n2, avg(r) FILTER (WHERE {c}) AS m1, avg(r) FILTER (WHERE NOT ({c})) AS m2, var_samp(r) FILTER (WHERE {c}) AS v1, var_samp(r) FILTER (WHERE NOT ({c})) AS v2 FROM rr GROUP BY 1)"
 
 
 def split(x, cond):
@@ -304,7 +304,7 @@ def h03(s, d):
     return split(rho_ret(s, d), F.col("mean_corr") < 0).select("grp", r6("t", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(v * (1 / F.col("n1") + 1 / F.col("n2"))))))
 
 
-SCAN = ", th AS (SELECT k, -0.10 + 0.02 * k AS c FROM range(11) v(k)), sc AS (SELECT grp, k, avg(r) FILTER (WHERE mean_corr < c) / stddev_samp(r) FILTER (WHERE mean_corr < c) - avg(r) FILTER (WHERE mean_corr >= c) / stddev_samp(r) FILTER (WHERE mean_corr >= c) AS diff, count_if(mean_corr < c) AS n1, count_if(mean_corr >= c) AS n2 FROM rr, th GROUP BY 1, 2)"
+SCAN = ", th AS (SELECT k, -0.10 + 0.02 * k AS c FROM range(11) v(k)), sc AS (SELECT grp, k, avg(r) FILTER (WHERE mean_corr < c) / stddev_samp(r) FILTER (WHERE mean_corr < c) - avg(r) FILTER (WHERE mean_corr >= c) / stddev_samp(r) FILTER (WHERE mean_corr >= c) AS diff, count_if(mean_corr < c)::BIGINT AS n1, count_if(mean_corr >= c)::BIGINT AS n2 FROM rr, th GROUP BY 1, 2)"
 
 
 @q("h04", COR + RR + SCAN + " SELECT grp, k::INT AS k, n1, n2, round(diff, 6) AS diff FROM sc WHERE n1 >= 2 AND n2 >= 2")
