@@ -286,3 +286,40 @@ def test_pipeline_stages_take_odd_rows(spark):
         docs = cut(stage(spark, docs, "/root/testdata/sf0.001"), name)
     kept = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     assert 10 in kept and 2 not in kept
+
+
+def test_pipeline_finds_pairs_at_four_fifths(spark, monkeypatch):
+    import corpus_pipeline as c
+    from tessera.llm import minhash
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    rng = random.Random(8)
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(5, 195), 2 + k % 4):
+            words[at] = f"new{at}"
+        texts.append(" ".join(words))
+    words = [f"g{i}" for i in range(200)]
+    for _ in range(60):  # one group with many different pairs on both sides of the bound
+        made = list(words)
+        for at in rng.sample(range(200), 2):
+            made[at] = f"u{rng.randrange(10**6)}"
+        texts.append(" ".join(made))
+    sets = [shingles(t) for t in texts]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and top[i] != top[j]:
+                x, y = sorted((top[i], top[j]))
+                top = [x if z == y else z for z in top]
+    assert 1 < len(set(top)) < len(texts)
+    docs = frame(spark, list(enumerate(texts)))
+    assert {r.doc_id for r in c.drop_near_duplicates(spark, docs, "").collect()} == set(top)
+    monkeypatch.setattr(minhash, "PART", 20)  # several parts in a bucket
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(top))
+    assert minhash.near_duplicates(empty(spark)).count() == 0
