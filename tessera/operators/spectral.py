@@ -98,9 +98,9 @@ def repaired(vectors: DataFrame, floor: float = 0.01) -> DataFrame:
 
 
 def null_model(rets: DataFrame, reps: int = 100, seed: int = 42) -> DataFrame:
-    """Every asset's returns of one window shuffled for itself, ``reps`` times: mean correlation, loops and their spread.
+    """Every asset's whole return series shuffled for itself, ``reps`` times: mean correlation, loops and their spread.
 
-    A task holds one group's window and one repetition; the generator is seeded by both."""
+    A row holds one group's series and one repetition; the generator is seeded by both."""
     wide = rets.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("asset", "t_idx", "r"))).alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

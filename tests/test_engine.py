@@ -109,3 +109,30 @@ def test_stream_bars_match_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.asset, r.ts): r.n for r in spark.table("bars").collect()} == batch
+
+
+def test_null_model_takes_the_whole_series(spark, monkeypatch):
+    from tessera.plans import network_queries as nq
+    from tessera.plans import strategy_queries as sq
+
+    rng = np.random.default_rng(7)
+    n, assets = 150, "abcdef"
+    series = rng.normal(size=(n, len(assets)))
+    series[60:] += rng.normal(size=(n - 60, 1)) * 2  # correlated only after the first 60
+    rows = [("g", a, i, i, float(series[i, k])) for i in range(n) for k, a in enumerate(assets)]
+    monkeypatch.setattr(nq, "ret", lambda s, d: spark.createDataFrame(rows, "grp string, asset string, ts int, t_idx int, r double"))
+    want = []
+    for rep in range(100):
+        gen = np.random.default_rng([42, rep, *b"g"])
+        x = np.column_stack([gen.permutation(c) for c in series.T]) if rep else series
+        c = np.corrcoef(x.T)
+        lives = [e - b for k, b, e in K.persistence(K.distances(c)) if k == 1 and e is not None and e > b]
+        want.append((c[np.triu_indices(len(c), 1)].mean(), len(lives)))
+    made = {r.rep: r for r in nq.t13(spark, "").collect()}
+    assert len(made) == 100
+    assert all(made[i].mean_corr == pytest.approx(m, abs=1e-6) and made[i].h1_count == k for i, (m, k) in enumerate(want))
+    null = np.array([k for _, k in want[1:]], float)
+    (h,) = sq.h10(spark, "").collect()
+    z = (want[0][1] - null.mean()) / max(null.std(), 0.1)
+    assert h.h1_count == want[0][1] and h.z == pytest.approx(z, abs=1e-6)
+    assert h.label == ("significant" if abs(z) > 1.96 else "not significant")
