@@ -336,8 +336,7 @@ def vols(s, d):
 
 @q("k03", RET + VOL + " SELECT grp, asset, round(vol, 6) AS vol, row_number() OVER (ORDER BY round(vol, 9), asset)::INT AS place FROM v ORDER BY place LIMIT 1000")
 def k03(s, d):
-    top = vols(s, d).orderBy(F.round("vol", 9), "asset").limit(1000)
-    return top.select("grp", "asset", r6("vol"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("vol", 9), "asset")).cast("int").alias("place"))
+    return vols(s, d).select("grp", "asset", r6("vol"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("vol", 9), "asset")).cast("int").alias("place")).orderBy("place")
 
 
 @q("k04", RET + VOL + " SELECT grp, arg_max(asset, (round(sharpe, 9), asset)) AS best, round(max(sharpe), 6) AS sharpe FROM v GROUP BY grp")

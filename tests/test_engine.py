@@ -136,3 +136,13 @@ def test_null_model_takes_the_whole_series(spark, monkeypatch):
     z = (want[0][1] - null.mean()) / max(null.std(), 0.1)
     assert h.h1_count == want[0][1] and h.z == pytest.approx(z, abs=1e-6)
     assert h.label == ("significant" if abs(z) > 1.96 else "not significant")
+
+
+def test_every_asset_has_its_place(spark, monkeypatch):
+    from tessera.plans import panel_queries as pq
+
+    rows = [("g", f"a{k:04}", i, i, float((k + 1) * (-1) ** i)) for k in range(1200) for i in range(3)]
+    frame = spark.createDataFrame(rows, "grp string, asset string, ts int, t_idx int, r double")
+    monkeypatch.setattr(pq, "ret", lambda s, d: frame)
+    made = pq.k03(spark, "").collect()
+    assert [(r.asset, r.place) for r in made] == [(f"a{k:04}", k + 1) for k in range(1200)]
