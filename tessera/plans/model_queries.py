@@ -204,8 +204,8 @@ def m03(s, d):
 
 def learners():
     return {
-        "forest": RandomForestClassifier(labelCol="target", numTrees=50, maxDepth=8, minInstancesPerNode=20, seed=42),
-        "boosting": GBTClassifier(labelCol="target", maxIter=20, maxDepth=3, stepSize=0.05, seed=42),
+        "forest": RandomForestClassifier(labelCol="target", numTrees=200, maxDepth=8, minInstancesPerNode=20, seed=42),
+        "boosting": GBTClassifier(labelCol="target", maxIter=200, maxDepth=3, stepSize=0.05, seed=42),
         "network": MultilayerPerceptronClassifier(labelCol="target", layers=[len(INPUTS), 16, 8, 2], maxIter=50, seed=42),
     }
 

@@ -369,7 +369,7 @@ def h06(s, d):
         x, y = f["mean_corr"].to_numpy(), f["r"].to_numpy()
         rng = np.random.default_rng([42, *f["grp"].iloc[0].encode()])
         best = []
-        for _ in range(200):
+        for _ in range(1000):
             i = rng.integers(0, len(x), len(x))
             rss = []
             for k in range(16):

@@ -146,3 +146,27 @@ def test_every_asset_has_its_place(spark, monkeypatch):
     monkeypatch.setattr(pq, "ret", lambda s, d: frame)
     made = pq.k03(spark, "").collect()
     assert [(r.asset, r.place) for r in made] == [(f"a{k:04}", k + 1) for k in range(1200)]
+
+
+def test_resamples_trees_and_rounds_are_the_references(spark, monkeypatch):
+    import pandas as pd
+
+    from tessera.plans import model_queries as mq
+    from tessera.plans import strategy_queries as sq
+
+    made = mq.learners()
+    assert made["forest"].getNumTrees() == 200 and made["boosting"].getMaxIter() == 200 and made["boosting"].getStepSize() == 0.05
+    rng = np.random.default_rng(9)
+    f = pd.DataFrame({"grp": "g", "ts": range(40), "mean_corr": rng.uniform(-0.2, 0.2, 40), "r": rng.normal(size=40)})
+    monkeypatch.setattr(sq, "rho_ret", lambda s, d: spark.createDataFrame(f).coalesce(1))
+    x, y, gen, best = f["mean_corr"].to_numpy(), f["r"].to_numpy(), np.random.default_rng([42, *b"g"]), []
+    for _ in range(1000):
+        i = gen.integers(0, 40, 40)
+        rss = []
+        for k in range(16):
+            a = np.column_stack([np.ones(40), x[i], np.maximum(0, x[i] + 0.15 - 0.02 * k)])
+            b = np.linalg.solve(a.T @ a + 1e-12 * np.eye(3), a.T @ y[i])
+            rss.append(float(((y[i] - a @ b) ** 2).sum()))
+        best.append(-0.15 + 0.02 * int(np.argmin(rss)))
+    (h,) = sq.h06(spark, "").collect()
+    assert h.mean == pytest.approx(np.mean(best), abs=1e-6) and h.std == pytest.approx(np.std(best), abs=1e-6)
