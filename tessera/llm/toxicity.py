@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained. The ordinary one is zstandard's own training on windows of ordinary text. The
-toxic one holds the same content and, nearest to the text, segments of toxic text: a greedy cover, as zstandard's trainer makes it, of the
-short byte strings that far more toxic than ordinary texts hold. A text is cut into windows at spaces, all of it, and
-each window is compressed with both. What the toxic dictionary saves is about zero on ordinary windows, as both know
-those, and several bytes where a toxic segment stands. A logistic curve, fitted on labelled texts that the dictionaries
-have not seen, turns the savings of all windows into a score.
+Two zstandard dictionaries are trained, each by zstandard's own trainer: the ordinary one on windows of ordinary text,
+the toxic one on segments of toxic text, the stretches made of byte strings that far more toxic than ordinary texts
+hold. A text is cut into windows at spaces, all of it, and each window is compressed twice: with the ordinary content
+alone, and with the toxic content beside it, nearest to the text. What the second saves is about zero on ordinary
+windows, as both know those, and several bytes where toxic wording stands. A logistic curve, fitted on labelled texts
+that the dictionaries have not seen, turns the savings of all windows into a score.
+
+The toxic dictionary alone against the ordinary one alone is the plainer comparison; ordinary windows then differ by
+several bytes either way, which hides what a toxic word saves (README has the figures).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -20,14 +22,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of either label that training looks at, chosen by a hash of the id; longer texts are left out of training.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 2400, 20_000
+from tessera.llm.common import cut, forget
+
+#: Labelled rows that training looks at, chosen by a hash of the id: at most about this many of either label.
+SAMPLE_TOXIC, SAMPLE_ORDINARY = 1500, 2400
+#: The dictionaries see this many passages of so many characters of a sampled text at most, from all over the text.
+PASSAGES, PASSAGE_CHARS = 10, 2000
 #: Parts of the sample that the curve is fitted over in turn.
 FOLDS = 3
-#: Bytes of a window, compression level, dictionary content, lengths of the byte strings.
-WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES, MERS = 56, 3, 24_000, 3_000, (5, 7, 9)
-#: A byte string enters where this share of toxic texts holds it, and this many times the share of ordinary texts.
-LEAST_SHARE, LEAST_RATIO = 0.02, 15.0
+#: Bytes of a window, compression level, sizes of the dictionaries, and the trainer's segment and string lengths.
+WINDOW, LEVEL, ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, MER = 40, 3, 24_000, 2_048, 16, 6
+#: Lengths of the byte strings that are counted. One counts as toxic where this many toxic texts hold it, and this many
+#: times the share of ordinary texts. LEAST_TEXTS: at least, and as a share of the sampled toxic texts, which with
+#: SAMPLE_TOXIC is about 30 texts however large the corpus is; fewer would let in what a group of near copies shares.
+MERS, LEAST_TEXTS, LEAST_RATIO = (5, 7, 9), (6, 0.02), 15.0
+#: Savings in bytes from which windows are counted.
+FROM = (2, 4, 6, 8)
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -59,8 +69,9 @@ def _in_texts(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.array([], np.uint64), np.array([], np.int64))
 
 
-def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Greedy cover of what sets toxic texts apart, the most frequent segments last. Equal texts count once."""
+def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Every stretch of the toxic texts that is covered by strings which set them apart, with a byte on either side.
+    Equal texts count once."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     n_t, n_o = max(1, len(toxic)), max(1, len(ordinary))
     covers = [np.zeros(len(b) + 1, np.int8) for b in toxic]
@@ -69,23 +80,24 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
         at = np.searchsorted(uo, ut)
         at[at == len(uo)] = 0
         other = np.where(uo[at] == ut, co[at], 0) if len(uo) else np.zeros(len(ut))
-        good = ut[(ct >= max(3, LEAST_SHARE * n_t)) & (ct / n_t > LEAST_RATIO * (other + 1) / n_o)]
+        good = ut[(ct >= max(LEAST_TEXTS[0], LEAST_TEXTS[1] * n_t)) & (ct / n_t > LEAST_RATIO * (other + 1) / n_o)]
         for b, cover in zip(toxic, covers, strict=True):
             hit = np.isin(_mers(b, length), good)
             for i in range(length if hit.any() else 0):
                 cover[i : i + len(hit)] |= hit
-    found: Counter = Counter()
+    found: list[bytes] = []
     for b, cover in zip(toxic, covers, strict=True):
         ends = np.flatnonzero(np.diff(np.r_[0, cover]))
-        found.update(b[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True))
-    held, picked, size, step = set(), [], 0, MERS[0]
-    for segment, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        new = {segment[i : i + step] for i in range(len(segment) - step + 1)} - held
-        if new and size + len(segment) <= TOXIC_BYTES:
-            held |= new
-            picked.append(segment)
-            size += len(segment)
-    return b"".join(reversed(picked))
+        found += [b[max(0, i - 1) : j + 1] for i, j in zip(ends[::2], ends[1::2], strict=True)]
+    return found
+
+
+def trained(samples: list[bytes], size: int, **how) -> bytes:
+    """The last ``size`` bytes of what zstandard's trainer picks from the samples; empty where it finds too few."""
+    try:
+        return zstandard.train_dictionary(size + 8192, samples, **how).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b""
 
 
 class CompressionDistance:
@@ -95,6 +107,13 @@ class CompressionDistance:
         self.ordinary, self.toxic = ordinary, toxic
         self.weights, self.shift, self.scale = np.zeros(1), 0.0, 1.0
 
+    @classmethod
+    def constant(cls, score: float) -> CompressionDistance:
+        """What gives every text the same score."""
+        made = cls(b"", b"")
+        made.weights = np.array([score])
+        return made
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_compress"}
 
@@ -107,14 +126,14 @@ class CompressionDistance:
         return made(self.ordinary), made(self.ordinary + self.toxic)
 
     def features(self, text: str | None) -> list[float]:
-        """Of the bytes saved in each window: largest, mean of the three largest, mean, shares from 2, 3 and 5 on, the
-        logarithm of their numbers, and of the number of windows."""
+        """Of the bytes saved in each window: largest, mean of the three largest, mean, mean gain, share and logarithm of
+        the number of windows from each of FROM on, and logarithm of the number of windows."""
         plain, marked = self._compress
         saved = np.array([len(plain(w)) - len(marked(w)) for w in windows(text)] or [0])
-        top = -np.sort(-saved)[:3]
-        from_2, from_3, from_5 = (saved >= 2).sum(), (saved >= 3).sum(), (saved >= 5).sum()
-        n = len(saved)
-        return [min(float(top[0]), 12.0), min(float(top.mean()), 12.0), float(saved.mean()), from_2 / n, from_3 / n, from_5 / n, float(np.log1p(from_3)), float(np.log1p(from_5)), float(np.log(n))]
+        top, n = -np.sort(-saved)[:3], len(saved)
+        over = [int((saved >= least).sum()) for least in FROM]
+        whole = [min(float(top[0]), 16.0), min(float(top.mean()), 16.0), float(saved.mean()), float(np.maximum(saved, 0).mean())]
+        return [*whole, *(k / n for k in over), *(float(np.log1p(k)) for k in over), float(np.log(n))]
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> None:
         """Logistic curve by Newton steps."""
@@ -138,46 +157,60 @@ class CompressionDistance:
 
 
 def dictionaries(rows: list[dict]) -> CompressionDistance:
-    """From rows with t (text) and y (label)."""
-    toxic, plain = ([r["t"].encode().lower() for r in rows if r["y"] == y] for y in (1, 0))
-    samples = [w for t in plain for w in windows(t.decode(), 256)]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES + 8192, samples).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too few samples to train on
-        ordinary = b"".join(samples)[-ORDINARY_BYTES:]
-    return CompressionDistance(ordinary, toxic_segments(toxic, plain))
+    """From rows with t (list of passages) and y (label)."""
+    toxic, plain = (["".join(r["t"]).encode().lower() for r in rows if r["y"] == y] for y in (1, 0))
+    ordinary = trained([w for t in plain for w in windows(t.decode(errors="ignore"), 256)], ORDINARY_BYTES)
+    return CompressionDistance(ordinary, trained(toxic_segments(toxic, plain), TOXIC_BYTES, k=SEGMENT, d=MER))
+
+
+def _passages(text, seed):
+    """PASSAGES passages of a text, by a hash of their places, in their order."""
+    places = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / PASSAGE_CHARS)), lambda i: F.struct(F.xxhash64(seed, i).alias("h"), i.alias("i")))
+    chosen = F.sort_array(F.transform(F.slice(F.sort_array(places), 1, PASSAGES), lambda p: p["i"]))
+    return F.transform(chosen, lambda i: F.substring(text, (i * PASSAGE_CHARS + 1).cast("int"), F.lit(PASSAGE_CHARS)))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> CompressionDistance:
-    """``labels``: ids and 0/1 labels. The labels are sampled before they meet the texts: about SAMPLE_TOXIC +
-    SAMPLE_ORDINARY rows by a hash of the id, a bound that lets them be broadcast, so the texts are not shuffled. Texts
-    of up to SAMPLE_CHARS characters reach the driver. The curve is fitted on savings under dictionaries of the other
-    FOLDS - 1 parts of the sample, weighted to the labels' frequencies; the dictionaries in use are those of the whole
-    sample. Without labels of both kinds the score is the share of toxic ones."""
+    """``labels``: ids and 0/1 labels; other labels, null ids and null or empty texts are left out.
+
+    The labels are sampled before they meet the texts: about SAMPLE_TOXIC + SAMPLE_ORDINARY rows by a hash of the id, a
+    bound that lets them be broadcast, so the texts are not shuffled. An id that stands in several labels counts as its
+    largest, one that stands in several documents as one of them. Texts of any length take part: passages of them reach
+    the driver for the dictionaries, and the executors measure the whole texts for the curve, each with dictionaries of
+    the other FOLDS - 1 parts of the sample. The curve is weighted to the labels' frequencies; the dictionaries in use
+    are those of the whole sample. Without labels of both kinds the score is the share of toxic ones.
+    """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("y in (0, 1) and id is not null")
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
-        made = CompressionDistance(b"", b"")
-        made.weights = np.array([1.0 if 1 in sizes else 0.0])
-        return made
+        return CompressionDistance.constant(1.0 if 1 in sizes else 0.0)
     spread = 1 << 30
     limit = F.when(F.col("y") == 1, int(min(1.0, SAMPLE_TOXIC / sizes[1]) * spread)).otherwise(int(min(1.0, SAMPLE_ORDINARY / sizes[0]) * spread))
-    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(spread)) < limit).limit(2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
-    rows = texts.join(F.broadcast(sample), "id").select("t", "y", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).alias("fold")).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["y"], r["t"]))
-    x, y = [], []
-    for fold in range(FOLDS):
-        others = dictionaries([r for r in rows if r["fold"] != fold])
-        own = [r for r in rows if r["fold"] == fold]
-        x += [others.features(r["t"]) for r in own]
-        y += [r["y"] for r in own]
-    made, y = dictionaries(rows), np.array(y)
-    if len(set(y.tolist())) < 2:  # no texts for one of the labels
-        made.weights = np.array([sizes[1] / (sizes[0] + sizes[1])])
-        return made
+    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(spread)) < limit).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.length("t") > 0)
+    joined = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = cut(joined.select("t", "y", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
+    seen = rows.select(_passages(F.col("t"), F.xxhash64("t")).alias("t"), "y", "fold").toArrow().to_pylist()
+    seen.sort(key=lambda r: (r["y"], r["t"]))
+    if len({r["y"] for r in seen}) < 2:  # no texts for one of the labels
+        forget(rows)
+        return CompressionDistance.constant(sizes[1] / (sizes[0] + sizes[1]))
+    own = rows.sparkSession.sparkContext.broadcast([dictionaries([r for r in seen if r["fold"] != fold]) for fold in range(FOLDS)])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [own.value[fold].features(t.as_py()) for t, fold in zip(batch.column(0), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], names=["y", "x"])
+
+    cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    measured = rows.repartition(4 * cores).mapInArrow(measure, "y int, x array<double>").toArrow()
+    y, x = np.array(measured.column("y").to_pylist()), np.array(measured.column("x").to_pylist())
+    order = np.lexsort((*x.T, y))
+    y, x = y[order], x[order]
+    forget(rows)
+    made = dictionaries(seen)
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
-    made.fit(np.array(x), y, weight * len(y) / weight.sum())
+    made.fit(x, y, weight * len(y) / weight.sum())
     return made
 
 
