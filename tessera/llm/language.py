@@ -1,9 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training counts character n-grams by language over a bounded sample of labelled texts and keeps those above a least share of their
-language's n-grams, so their number has a bound whatever the corpus is. They are stored in a bit-sliced Bloom filter: one
-machine word for each slot, one bit of it for each language, so the few probes of an n-gram return all languages that
-hold it at once. A text's n-grams give a popcount for each language; the count that chance alone would give is taken
+Training takes the character n-grams that stand in several different texts of a language (in one, where there is but
+one), over a bounded sample of labelled texts. They are stored in a bit-sliced Bloom filter: a row of machine words for each
+slot, one bit of it for each language, so the few probes of an n-gram return all languages that hold it at once. The
+cluster sets the bits, so the driver sees the filter and no n-grams. A text's n-grams give a popcount for each language; the count that chance alone would give is taken
 off, and the largest remainder decides.
 """
 
@@ -17,13 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: n-gram lengths, slots of the filter as a power of two, probes, and the least share of a language's n-grams: at most
-#: 1 / share n-grams of each length and language enter, whatever the size of the corpus.
-LENGTHS, SLOT_BITS, PROBES, LEAST_SHARE = (3,), 20, 3, 2e-5
-#: Texts of a language that training looks at.
+#: n-gram lengths, slots of the filter as a power of two, probes.
+LENGTHS, SLOT_BITS, PROBES = (3,), 20, 3
+#: Texts that must hold an n-gram: so many, or this share of the sampled texts of the language, whichever is more. As the
+#: sample is bounded, so is the number: 80 texts at any size. It keeps out what passages in a foreign language bring in.
+LEAST_TEXTS, LEAST_SHARE = 2, 0.02
+#: Different texts of a language that training looks at.
 SAMPLE_ROWS = 4000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
+#: Bytes that hold each bit.
+_HOLDS = [np.flatnonzero(np.arange(256) >> k & 1) for k in range(8)]
 
 
 def _fold() -> np.ndarray:
@@ -68,66 +72,68 @@ def ngrams(c: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def count_ngrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, h, n (length), c: n-gram counts of the texts, summed over some of them before the shuffle."""
-    df = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"))
+def text_ngrams(docs: DataFrame, text: str, k: str) -> DataFrame:
+    """k (place of the language), h and c: n-grams and the number of texts that hold them, summed over some texts."""
+    df = docs.select(F.col(f"`{k}`").alias("k"), F.col(f"`{text}`").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[np.ndarray]] = {}
-            for at, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
-                for n, h in zip(LENGTHS, ngrams(letters(text.as_py())), strict=True):
-                    sums.setdefault((lang, n), []).append(h)
+            parts: dict[int, list[np.ndarray]] = {}
+            for at, (k, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), 1):
+                parts.setdefault(k, []).append(np.unique(np.concatenate(ngrams(letters(text.as_py())))))
                 if at % 256 and at < len(batch):
                     continue
-                for (lang, n), parts in sums.items():
-                    h, c = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view("<i8")), pa.array(np.full(len(h), n, np.int32)), pa.array(c, pa.int64())], names=["lang", "h", "n", "c"])
-                sums.clear()
+                for k, found in parts.items():
+                    h, c = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view("<i8")), pa.array(c, pa.int64())], names=["k", "h", "c"])
+                parts.clear()
 
-    return df.mapInArrow(run, "lang string, h bigint, n int, c bigint").groupBy("lang", "h", "n").agg(F.sum("c").alias("c"))
+    return df.mapInArrow(run, "k int, h bigint, c bigint")
+
+
+def slots_of(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The slot of each n-gram under every probe."""
+    for _ in range(PROBES):
+        h = (h ^ (h >> np.uint64(31))) * _MIX
+        yield (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class LanguageFilter:
-    """Slots of one unsigned 64-bit word each: at most 64 languages."""
+    """``words``: a row of machine words for each slot; bit k of a row belongs to language k."""
 
     def __init__(self, languages: list[str], bits: int = SLOT_BITS):
-        if len(languages) > 64:
-            raise ValueError("a word has room for 64 languages")
         self.languages, self.bits = languages, bits
-        self.words = np.zeros(1 << bits, np.uint8 if len(languages) <= 8 else np.uint64)
+        self.dtype = np.dtype(np.uint8 if len(languages) <= 8 else np.uint64)
+        self.width = 8 * self.dtype.itemsize
+        self.words = np.zeros((1 << bits, max(1, -(-len(languages) // self.width))), self.dtype)
 
-    def _slots(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        for _ in range(PROBES):
-            h = (h ^ (h >> np.uint64(31))) * _MIX
-            yield (h >> np.uint64(64 - self.bits)).astype(np.int64)
+    def put(self, slots: np.ndarray, word: np.ndarray, mask: np.ndarray) -> None:
+        """Set the bits ``mask`` of the given words; a word is named once."""
+        self.words[slots, word] |= mask.view("<u8").astype(self.dtype)
 
-    def add(self, k: int, h: np.ndarray) -> None:
-        for slots in self._slots(h):
-            self.words[slots] |= self.words.dtype.type(1 << k)
+    def _bit(self, words: np.ndarray, k: int) -> np.ndarray:
+        return words[:, k // self.width] >> self.dtype.type(k % self.width) & self.dtype.type(1)
 
     def seal(self) -> LanguageFilter:
         """Share of unrelated n-grams that a language's bit answers for."""
-        one = self.words.dtype.type(1)
-        self.chance = np.array([((self.words >> self.words.dtype.type(k)) & one).mean() ** PROBES for k in range(len(self.languages))])
+        self.chance = np.array([self._bit(self.words, k).mean() ** PROBES for k in range(len(self.languages))])
         return self
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram, the bit mask of the languages that hold it."""
-        out = np.full(len(h), self.words.dtype.type(-1 % (1 << 8 * self.words.itemsize)), self.words.dtype)
-        for slots in self._slots(h):
-            out &= self.words[slots]
+        out = None
+        for slots in slots_of(h, self.bits):
+            out = self.words[slots] if out is None else out & self.words[slots]
         return out
 
     def shares(self, h: np.ndarray) -> np.ndarray:
         """Share of the n-grams that each language holds, corrected for false positives."""
         masks = self.masks(h)
-        by_mask = np.bincount(masks) if masks.itemsize == 1 else None
-        one = masks.dtype.type(1)
-        if by_mask is not None:
-            hits = np.array([by_mask[(np.arange(len(by_mask)) >> k & 1) == 1].sum() for k in range(len(self.languages))])
+        if self.width == 8:
+            by_mask = np.bincount(masks[:, 0], minlength=256)
+            hits = np.array([by_mask[_HOLDS[k]].sum() for k in range(len(self.languages))])
         else:
-            hits = np.array([(masks >> masks.dtype.type(k) & one).sum() for k in range(len(self.languages))])
+            hits = np.array([self._bit(masks, k).sum() for k in range(len(self.languages))])
         return np.clip((hits / len(h) - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1)
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -141,23 +147,33 @@ class LanguageFilter:
         return self.languages[k], float(s[k] / (s[k] + rest)) if s[k] > 0 else 0.0
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: float = LEAST_SHARE, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
-    """Fit on about ``sample_rows`` texts of each language at most, chosen by a hash of the text; all of them where there
-    are fewer. Languages stand in order of their names, so ties go to the first. At most 1 / least_share n-grams of each
-    length and language reach the driver."""
-    known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t")).filter("lang is not null and t is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().limit(65).collect()}
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE, sample_rows: int = SAMPLE_ROWS) -> LanguageFilter:
+    """Fit on about ``sample_rows`` different texts of each language at most, chosen by a hash of the text; all of them
+    where there are fewer. Copies of a text count once. Languages stand in order of their names, so ties go to the
+    first; a filter has as many words a slot as the languages need. Null and empty texts and null languages are left
+    out; without any, every text is undetermined. The driver sees the names of the languages and the filter."""
+    known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("t")).filter("lang is not null and length(t) > 0")
+    sizes = sorted((r[0], r[1]) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("t"))).collect())
+    made = LanguageFilter([name for name, _ in sizes])
+    if not sizes:
+        return made.seal()
     spread = 1 << 30
-    rate = F.lit(0)
-    for name, n in sizes.items():
-        rate = F.when(F.col("lang") == name, int(min(1.0, sample_rows / n) * spread)).otherwise(rate)
-    counts = count_ngrams(known.filter(F.pmod(F.xxhash64("t"), F.lit(spread)) < rate), "t", "lang")
-    totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("all"))
-    kept = counts.join(totals, ["lang", "n"]).filter(F.col("c") >= F.col("all") * least_share).select("lang", "h").toArrow()
-    names, hashes = np.array(kept.column("lang").to_pylist(), object), kept.column("h").to_numpy().view("<u8")
-    made = LanguageFilter(sorted(sizes))
-    for k, name in enumerate(made.languages):
-        made.add(k, hashes[names == name])
+    rates = [(name, k, int(min(1.0, sample_rows / max(1, n)) * spread), min(n, max(least_texts, int(least_share * min(n, sample_rows))))) for k, (name, n) in enumerate(sizes)]
+    rates = known.sparkSession.createDataFrame(rates, "lang string, k int, rate bigint, least bigint")  # a row for each language
+    drawn = known.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("t"), F.lit(spread)) < F.col("rate"))
+    once = drawn.groupBy("k", F.xxhash64("t").alias("x")).agg(F.first("t").alias("t"))
+    counts = text_ngrams(once, "t", "k").groupBy("k", "h").agg(F.sum("c").alias("c"))
+    kept = counts.join(F.broadcast(rates.select("k", "least")), "k").filter(F.col("c") >= F.col("least")).select("k", "h")
+    bits, width = made.bits, made.width
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view("<u8")
+            for slots in slots_of(h, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((k // width).astype(np.int32)), pa.array((np.uint64(1) << (k % width).astype(np.uint64)).view("<i8"))], names=["slot", "word", "mask"])
+
+    filled = kept.mapInArrow(place, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    made.put(filled.column("slot").to_numpy(), filled.column("word").to_numpy(), filled.column("mask").to_numpy())
     return made.seal()
 
 
