@@ -5,6 +5,11 @@ score and its piece count. Ties follow the unigram tokenizer: among equal scores
 a character that is no piece by itself counts as unknown, last in line, at ten below the least score; it falls back to
 one piece a byte. Scores are added exactly (as doubles), so the result does not depend on where a text begins.
 
+The public vocabularies hold no unigram model, and tokenizers are not trained here. ``load`` makes one by rule from the
+pieces of a sentencepiece model in the order of their merges: by Zipf's law the piece of rank r has the probability
+1 / (r H), H the sum of 1 / r over all pieces, and its logarithm is the score. The unigram models of the tokenizers and
+sentencepiece libraries, given these pieces and scores, count the same tokens.
+
 The text is written with the meta symbol for spaces and one in front. No piece holds that symbol after another
 character, so the best path passes every place where a run of symbols begins, and each word is solved for itself; solved
 words are remembered in a table of bounded size.
@@ -12,6 +17,7 @@ words are remembered in a table of bounded size.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +34,17 @@ META, UNKNOWN_PENALTY = "▁", 10.0
 _WORD = re.compile(f"{META}+[^{META}]*")
 
 
+def zipf_pieces(path: str) -> list[tuple[str, float]]:
+    """Normal and user-defined pieces of a sentencepiece model, best first, with log-probabilities by Zipf's law."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    ids.sort(key=lambda i: (-sp.get_score(i), i))
+    total = math.log(sum(1 / r for r in range(1, len(ids) + 1)))
+    return [(sp.id_to_piece(i), -math.log(r) - total) for r, i in enumerate(ids, 1)]
+
+
 class UnigramCounter:
     """``pieces``: (text, score) of the vocabulary. They may hold the meta symbol only as a leading run."""
 
@@ -45,12 +62,8 @@ class UnigramCounter:
     @staticmethod
     @lru_cache(maxsize=2)
     def load(path: str) -> UnigramCounter:
-        """From a sentencepiece model: its normal and user-defined pieces."""
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        return UnigramCounter([(sp.id_to_piece(i), sp.get_score(i)) for i in ids])
+        """The unigram model made by rule from the pieces of a sentencepiece model."""
+        return UnigramCounter(zipf_pieces(path))
 
     def word(self, s: str) -> tuple[int, float]:
         """Pieces and score of the best path."""
