@@ -63,15 +63,19 @@ def features(text: Column) -> Column:
 def host_verdicts(judged: DataFrame, most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """``judged``: host, base_failed. A row for each host that is not null: host, n, failed, rate, host_kept.
 
-    rate = (failed + a) / (n + a + b), the mean of the posterior under a beta prior whose mean and variance are those
-    of the hosts' own rates, weighted by their documents. Hosts that all agree give the strongest prior allowed.
+    rate = (failed + a) / (n + a + b), the mean of the posterior under a beta prior of the hosts' overall rate m and of
+    the variance between hosts. The spread of the observed rates holds the binomial noise of small hosts as well; its
+    expectation, m (1 - m) (hosts - 1) + variance (N - sum n^2 / N - hosts + 1) for the sum of n (rate - m)^2, is solved
+    for the variance between hosts. Hosts that do not differ beyond that noise give the strongest prior allowed.
     """
     hosts = judged.filter("host is not null").groupBy("host").agg(F.count("*").alias("n"), F.count(F.when(F.col("base_failed"), 1)).alias("failed"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("q")).first()
-    n, f, q = float(total["n"] or 0), float(total["f"] or 0), float(total["q"] or 0)
+    n_, k_ = F.col("n").cast("double"), F.col("failed").cast("double")
+    total = hosts.agg(F.sum(n_).alias("n"), F.sum(n_ * n_).alias("nn"), F.count("*").alias("c"), F.sum(k_).alias("f"), F.sum(k_ * k_ / n_).alias("q")).first()
+    n, nn, c, f, q = (float(total[x] or 0) for x in ("n", "nn", "c", "f", "q"))
     mean = f / n if n else 0.0
-    spread = q / n - mean * mean if n else 0.0
-    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 1e-12 else 1e6
+    weight = n - nn / n - (c - 1) if n else 0.0
+    between = (q - n * mean * mean - (c - 1) * mean * (1 - mean)) / weight if weight > 1e-9 else 0.0
+    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1e6) if between > 1e-12 else 1e6
     rate = (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
     return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= most_rate)
 

@@ -101,7 +101,8 @@ f AS (
   FROM n LEFT JOIN cover USING (r) LEFT JOIN dup USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS k FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 AS v FROM h),
+t AS (SELECT sum(n) AS n, sum(n * n) AS nn, count(*) AS c, sum(k) / sum(n) AS m, sum(k * k / n) AS q FROM h),
+p AS (SELECT m, CASE WHEN n - nn / n - (c - 1) > 1e-9 THEN (q - n * m * m - (c - 1) * m * (1 - m)) / (n - nn / n - (c - 1)) END AS v FROM t),
 s AS (SELECT m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 1), 1e6) ELSE 1e6 END AS z FROM p),
 verdict AS (SELECT source, (k + m * z) / (n + z) <= 0.5 AS host_kept FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, TRUE) AS kept FROM b LEFT JOIN verdict USING (source)
@@ -109,26 +110,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _LINK = r"""regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>')"""
 _META = r"""regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>')"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _node_sql(url: str) -> str:
+    """Host (A-Z lower-cased), path and query of a url; ``/`` where nothing follows the host; null without a host."""
+    after = f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    host, rest = f"regexp_extract({after}, '^[^/?#]*')", f"regexp_extract({after}, '(?s)^[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN {host} <> '' THEN {_LOWER.format(host)} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+#: Aliases are found by a walk over all links, which only suits the small tables that SQL is run on.
 _URLS_SQL = rf"""
-WITH RECURSIVE page AS (SELECT page_id, url, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
-seen AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM page),
+WITH RECURSIVE page AS (SELECT page_id, url, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest,
+  coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, 1, instr(url, '://') - 1) END, '') AS scheme, {_node_sql("url")} AS node FROM pages),
+seen AS (SELECT row_number() OVER () AS r, *, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM page),
 tag AS (
-  SELECT url, host, path, regexp_extract(t, '(?is)\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1) AS href FROM (SELECT url, host, path, unnest({_LINK}) AS t FROM seen)
+  SELECT node, scheme, host, path, regexp_extract(t, '(?is)\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1) AS href FROM (SELECT node, scheme, host, path, unnest({_LINK}) AS t FROM seen)
   UNION ALL
-  SELECT url, host, path, regexp_extract(t, '(?is)\burl\s*=\s*[\"'']?([^\"''\s>]+)', 1) FROM (SELECT url, host, path, unnest({_META}) AS t FROM seen)),
-dst AS (SELECT url AS a, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'x:' || href WHEN starts_with(href, '/') THEN 'x://' || host || href
-  WHEN path = '' THEN 'x://' || host || '/' || href ELSE 'x://' || host || regexp_replace(path, '[^/]*$', '') || href END AS b FROM tag WHERE href <> '' AND host <> ''),
-edge AS (SELECT regexp_replace(regexp_replace(a, '^.*?://', ''), '#.*$', '') AS a, regexp_replace(regexp_replace(b, '^.*?://', ''), '#.*$', '') AS b FROM dst),
-both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+  SELECT node, scheme, host, path, regexp_extract(t, '(?is)\burl\s*=\s*[\"'']?([^\"''\s>]+)', 1) FROM (SELECT node, scheme, host, path, unnest({_META}) AS t FROM seen)),
+dst AS (SELECT node AS a, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href WHEN starts_with(href, '/') THEN scheme || '://' || host || href
+  WHEN path = '' THEN scheme || '://' || host || '/' || href ELSE scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || href END AS url FROM tag WHERE href <> ''),
+edge AS (SELECT a, {_node_sql("url")} AS b FROM dst),
+both_ways AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
-near AS (SELECT a, b AS other FROM reach),
 fits AS (SELECT h || p AS rule, act, h, p FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('allow', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) v(act, h, p)),
-other AS (SELECT DISTINCT other, regexp_extract(other, '^[^/?#]*') AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM near),
-other_act AS (SELECT other, arg_max(act, length(rule)) AS act FROM other JOIN fits ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY other),
-blocked AS (SELECT DISTINCT near.a FROM near JOIN other_act USING (other) WHERE act = 'block'),
-own AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(act, length(rule)) AS act FROM seen JOIN fits ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(act, CASE WHEN b.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM seen LEFT JOIN own USING (page_id) LEFT JOIN blocked b ON b.a = regexp_replace(rest, '#.*$', '')
+other AS (SELECT DISTINCT b, regexp_extract(b, '^[^/?#]*') AS host, regexp_extract(b, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM reach),
+other_act AS (SELECT b, arg_max(act, length(rule)) AS act FROM other JOIN fits ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY b),
+alias AS (SELECT a, min(act) AS act FROM reach JOIN other_act USING (b) GROUP BY a),
+own AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(act, length(rule)) AS act FROM seen JOIN fits ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, own.rule, coalesce(own.act, alias.act, 'allow') AS verdict FROM seen LEFT JOIN own USING (r) LEFT JOIN alias ON alias.a = seen.node
 """
 
 _TOP_K_SQL = """
