@@ -1,10 +1,13 @@
 """SimHash near duplicates by a hierarchical index over fingerprints in Gray order.
 
-Fingerprints that differ in at most r bits agree on one of r + 1 equal slices of their bits. A slice and its value is a
-top node of the index: a mask, the bits under it that all members share. Below it the members stand in the order of
-their Gray rank, so neighbours share long patterns; blocks of them, and blocks of blocks, keep the mask of bits all
-below agree on. Two nodes are compared under their common mask: the differences so far only grow on the way down, and a
-pair of nodes over r is pruned with everything below it.
+The top nodes of the index factor out a masked bit pattern that all their members share: the first few bits of one of
+r + 1 equal slices. Fingerprints that differ in at most r bits agree on a whole slice, so they meet in a top node. The
+number of those bits follows from the number of fingerprints, so that a top node holds about NODE_MEMBERS.
+
+Below a top node the members stand in the order of their Gray rank, so neighbours share long patterns. Leaves of LEAF
+members, and nodes of FANOUT nodes, keep the mask of the bits on which all below agree. All links are found by one
+descent: two nodes are compared under their common mask, where the differences only grow on the way down, and a pair of
+nodes that differs in more than r bits is pruned with every pair of members below it.
 
 A top node with more than ``node_rows`` members is dealt to several tasks as pairs of its parts. A task turns the links
 it finds into a forest, so it returns fewer links than it holds members, and no link between components is lost.
@@ -25,7 +28,8 @@ from tessera.llm.graph import connected_components
 
 #: XXH64's seed for shingles.
 SEED = 42
-LEAF, FANOUT = 32, 8
+#: Members of a leaf, nodes of a node, and members of a top node on average.
+LEAF, FANOUT, NODE_MEMBERS = 8, 4, 4096
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -104,53 +108,46 @@ def _levels(fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _search(fp: np.ndarray, radius: int, links: Forest, first: int, step: int = 1024) -> None:
-    """Add to ``links`` all links among members of one node, whose numbers begin at ``first``."""
+def search(fp: np.ndarray, radius: int, links: Forest, first: int = 0, step: int = 4096) -> int:
+    """Add to ``links`` all links among the members of one top node, whose numbers begin at ``first``. Returns the number
+    of pairs of members that were compared; the others were pruned with their nodes."""
     levels = _levels(fp)
-    n = len(levels[-1][0])
-    i, j = np.triu_indices(n)
-    stack = [(len(levels) - 1, i, j)]
+    i, j = np.triu_indices(len(levels[-1][0]))
+    stack, compared = [(len(levels) - 1, i, j)], 0
     while stack:
         level, i, j = stack.pop()
-        if len(i) > step * FANOUT:
+        if len(i) > step:
             half = len(i) // 2
             stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
             continue
         mask, pattern = levels[level]
         near = _apart(pattern[i], pattern[j], mask[i] & mask[j]) <= radius
         i, j = i[near], j[near]
+        if not len(i):
+            continue
+        width, below = (FANOUT, len(levels[level - 1][0])) if level else (LEAF, len(fp))
+        a = (i[:, None] * width + np.arange(width)).repeat(width, axis=1).ravel()
+        b = np.tile(j[:, None] * width + np.arange(width), width).ravel()
         if level:
-            a = (i[:, None] * FANOUT + np.arange(FANOUT)).repeat(FANOUT, axis=1).ravel()
-            b = np.tile(j[:, None] * FANOUT + np.arange(FANOUT), FANOUT).ravel()
-            ok = (a <= b) & (b < len(levels[level - 1][0]))
+            ok = (a <= b) & (b < below)
             if ok.any():
                 stack.append((level - 1, a[ok], b[ok]))
             continue
-        for at in range(0, len(i), step):
-            a = (i[at : at + step, None] * LEAF + np.arange(LEAF)).repeat(LEAF, axis=1).ravel()
-            b = np.tile(j[at : at + step, None] * LEAF + np.arange(LEAF), LEAF).ravel()
-            ok = (a < b) & (b < len(fp))
-            a, b = a[ok], b[ok]
-            near = _apart(fp[a], fp[b]) <= radius
-            links.add(a[near] + first, b[near] + first)
+        ok = (a < b) & (b < below)
+        a, b = a[ok], b[ok]
+        compared += len(a)
+        near = _apart(fp[a], fp[b]) <= radius
+        links.add(a[near] + first, b[near] + first)
+    return compared
 
 
 def forest_links(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what lies within ``radius`` inside each run of equal ``node``; rows in Gray order."""
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-    sizes = np.diff(np.r_[starts, len(node)])
     links = Forest(len(fp))
-    small = np.repeat(sizes <= LEAF, sizes)
-    rows = np.flatnonzero(small)
-    for d in range(1, LEAF):
-        rows = rows[rows + d < len(node)]
-        rows = rows[node[rows] == node[rows + d]]
-        if not len(rows):
-            break
-        near = rows[_apart(fp[rows], fp[rows + d]) <= radius]
-        links.add(near, near + d)
-    for s, n in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        _search(fp[s : s + n], radius, links, s)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+        if e - s > 1:
+            search(fp[s:e], radius, links, s)
     child = np.flatnonzero(links.root != np.arange(len(fp)))
     return fp[child], fp[links.root[child]]
 
@@ -166,7 +163,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, node_rows: int = 1 << 16)
     """``fps``: distinct ``fp``. Links (a, b) whose components are those of all pairs within ``radius`` bits."""
     slices = radius + 1
     edges = [64 * i // slices for i in range(slices + 1)]
-    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(slices)]
+    shared = max(0, int(np.log2(max(1, fps.count() / NODE_MEMBERS))))  # bits of a top node's pattern
+    masks = [((1 << min(edges[i] + shared, edges[i + 1])) - (1 << edges[i])) for i in range(slices)] if shared else [0]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     members = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("p")) for i, m in enumerate(masks)])).alias("n")).select("fp", "n.s", "n.p")
     large = members.groupBy("s", "p").count().filter(F.col("count") > node_rows).select("s", "p", F.ceil(F.col("count") / node_rows).cast("int").alias("parts"))
