@@ -7,21 +7,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where a session without spark.checkpoint.dir (a test on one machine) keeps its tables.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/tessera"
-
 #: ASCII white space that separates words, as a Java regex class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a session whose executors are
+    threads of this process gets a folder under the warehouse; a cluster without the setting is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = LOCAL_CHECKPOINTS
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return found.rstrip("/")
 
 
@@ -47,6 +45,19 @@ def forget(df: DataFrame | None) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, lengthened until no column of ``df`` is called so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """Every column by its whole name, dots included."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of other than ASCII white space; null text has none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

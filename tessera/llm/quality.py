@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, cut, words_of
+from tessera.llm.common import SPACE_CHARS, columns_of, cut, free_name, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 #: Own rules: least words, and most percent of words in repeated windows.
@@ -80,6 +80,11 @@ def host_verdicts(judged: DataFrame, most_rate: float = MOST_HOST_RATE) -> DataF
     return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= most_rate)
 
 
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    """A document's own rules."""
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > MOST_REPEATED_PERCENT * n_words)
+
+
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", most_rate: float = MOST_HOST_RATE) -> DataFrame:
     """doc_id, host, the five counts, base_failed, host_rate, kept.
 
@@ -88,6 +93,16 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     verdicts are joined by host, one row a host, so a hot host is split like any skewed join.
     """
     made = cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{host}`").cast("string").alias("host"), features(F.col(f"`{text}`")).alias("f")).select("doc_id", "host", "f.*"), "quality")
-    judged = made.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
+    judged = made.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     verdicts = host_verdicts(judged, most_rate).select("host", F.col("rate").alias("host_rate"), "host_kept")
     return judged.join(verdicts, "host", "left").select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", most_rate: float = MOST_HOST_RATE) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` would keep, with all their columns. Rows are written down once with their
+    counts, so none is looked up again."""
+    name, key, verdict = free_name(docs, "counts"), free_name(docs, "host_key"), free_name(docs, "host_verdict")
+    made = cut(docs.select(*columns_of(docs), features(F.col(f"`{text}`")).alias(name), F.col(f"`{host}`").cast("string").alias(key)), "quality")
+    failed = base_failed(F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words"))
+    verdicts = host_verdicts(made.select(F.col(key).alias("host"), failed.alias("base_failed")), most_rate).select(F.col("host").alias(key), F.col("host_kept").alias(verdict))
+    return made.join(verdicts, key, "left").filter(~failed & F.coalesce(F.col(verdict), F.lit(True))).select(*columns_of(docs))

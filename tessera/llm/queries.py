@@ -81,8 +81,8 @@ runs AS (
   SELECT b.r, max(a.k) AS s, b.k AS e FROM l a JOIN l b ON a.r = b.r AND a.k BETWEEN b.k - 49 AND b.k AND b.c - a.c + a.w >= 50 GROUP BY b.r, b.k
 ),
 body AS (SELECT u.r, u.s, u.e, string_agg(l.line, chr(10) ORDER BY l.k) AS lines FROM runs u JOIN l ON l.r = u.r AND l.k BETWEEN u.s AND u.e GROUP BY u.r, u.s, u.e),
-seen AS (SELECT *, first_value(r) OVER f AS r0, first_value(s) OVER f AS s0 FROM body WINDOW f AS (PARTITION BY lines ORDER BY r, s)),
-gone AS (SELECT DISTINCT l.r, l.no FROM seen x JOIN l ON l.r = x.r AND l.k BETWEEN x.s AND x.e WHERE x.r <> x.r0 OR x.s <> x.s0),
+seen AS (SELECT *, first_value(r) OVER f AS r0, first_value(e) OVER f AS e0 FROM body WINDOW f AS (PARTITION BY lines ORDER BY r, s)),
+gone AS (SELECT DISTINCT l.r, l.no FROM seen x JOIN l ON l.r = x.r AND l.k BETWEEN x.s AND x.e WHERE x.r <> x.r0 OR x.s > x.e0),
 kept AS (SELECT s.r, count(g.no) AS lines_removed, coalesce(string_agg(s.line, chr(10) ORDER BY s.no) FILTER (WHERE g.no IS NULL), '') AS rest FROM split s LEFT JOIN gone g USING (r, no) GROUP BY s.r)
 SELECT doc_id, coalesce(lines_removed, 0)::BIGINT AS lines_removed, length(rest)::BIGINT AS chars_kept, md5(rest) AS text_md5 FROM doc LEFT JOIN kept USING (r)
 """

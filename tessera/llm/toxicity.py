@@ -214,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return made
 
 
-def score_texts(docs: DataFrame, model: CompressionDistance, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of each whole text; null counts as empty. Rows are independent."""
+def score_texts(docs: DataFrame, model: CompressionDistance, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` columns and ``name``, the score (0 to 1) of each whole text; null counts as empty. Rows are independent."""
     named = [f"k{i}" for i in range(len(keep))]
     df = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, named, strict=True)], F.col(f"`{text}`").alias("t"))
     kinds = dict(df.dtypes)
@@ -228,4 +228,4 @@ def score_texts(docs: DataFrame, model: CompressionDistance, text: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.float64())], names=[*named, "o_s"])
 
     made = df.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in named), "o_s double"]))
-    return made.select(*[F.col(k).alias(c) for c, k in zip(keep, named, strict=True)], F.col("o_s").alias("score"))
+    return made.select(*[F.col(k).alias(c) for c, k in zip(keep, named, strict=True)], F.col("o_s").alias(name))
