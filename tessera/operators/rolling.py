@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def past(n: int, keys=("grp",), order: str = "t_idx", skip: int = 0):
@@ -34,9 +39,34 @@ def rolling_std(x: Column, n: int, **k) -> Column:
     return full(F.stddev_samp(x).over(w), x, w, n)
 
 
-def expanding_quantile(x: Column, q: float, least: int = 60, **k) -> Column:
-    w = so_far(**k)
-    return F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(q)).over(w))
+def expanding_quantile(df: DataFrame, x: str, q: float, out: str, least: int = 60, keys=("grp",), order: str = "t_idx") -> DataFrame:
+    """``df`` with ``out``, the linearly interpolated quantile of all values of ``x`` so far, null before ``least`` values.
+
+    One ordered pass over each group with the values so far kept in order; a growing frame would sort them at every row.
+    Null and NaN values do not count.
+    """
+    fields = [*df.schema.fields, T.StructField(out, T.DoubleType())]
+    at = [df.columns.index(k) for k in keys]
+    value = df.columns.index(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            made = []
+            for key, v in zip(zip(*(batch.column(i).to_pylist() for i in at), strict=True), batch.column(value).to_pylist(), strict=True):
+                if key != now:
+                    now, held = key, []
+                if v is not None and v == v:
+                    bisect.insort(held, v)
+                if len(held) < least or not held:
+                    made.append(None)
+                    continue
+                place = q * (len(held) - 1)
+                low = int(place)
+                made.append(held[low] + (held[min(low + 1, len(held) - 1)] - held[low]) * (place - low))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, out])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, T.StructType(fields))
 
 
 def equity(r: Column, **k) -> Column:

@@ -28,10 +28,18 @@ def clean(s, d):
 _SHARED: dict = {}
 
 
+def release(but: tuple | None = None) -> None:
+    """Drop what ``shared`` keeps, but for the session and folder ``but``."""
+    for key in [k for k in _SHARED if k[:2] != but]:
+        _SHARED.pop(key).unpersist()
+
+
 def shared(name, s, d, build):
-    """What several queries of a session start from is kept, spilling to disk, instead of being computed by each."""
+    """What several queries of a session start from is kept, spilling to disk, instead of being computed by each; what
+    belongs to another folder or session is dropped first."""
     key = (s.sparkContext.applicationId, d, name)
     if key not in _SHARED:
+        release(key[:2])
         _SHARED[key] = build().persist()
     return _SHARED[key]
 
@@ -76,8 +84,8 @@ def s05(s, d):
 
 
 def factors(s, d):
-    a = P.table(s, d, "lineitem").groupBy(F.date_trunc("week", "l_shipdate").alias("ts")).agg(F.avg("l_discount").alias("mkt"), F.avg("l_tax").alias("smb"))
-    b = P.table(s, d, "orders").groupBy(F.date_trunc("week", "o_orderdate").alias("ts")).agg((F.avg("o_totalprice") / 1e6).alias("umd"))
+    a = P.table(s, d, "lineitem").groupBy(F.date_trunc("week", "l_shipdate").alias("ts")).agg(F.avg("l_discount").alias("mkt"), F.avg("l_tax").alias("smb"), (F.avg("l_quantity") / 1e3).alias("hml"), (F.avg("l_extendedprice") / 1e7).alias("rmw"), (F.min("l_extendedprice") / 1e8).alias("rf"))
+    b = P.table(s, d, "orders").groupBy(F.date_trunc("week", "o_orderdate").alias("ts")).agg((F.avg("o_totalprice") / 1e6).alias("umd"), (F.stddev_samp("o_totalprice") / 1e7).alias("cma"))
     return a, b
 
 
@@ -136,7 +144,9 @@ def p09(s, d):
 
 @q("p10", COR + " SELECT grp, ts, a, b, round(rho, 6) AS rho FROM corr WHERE (t_idx - 60) % 20 = 0")
 def p10(s, d):
-    return corr(s, d).filter((F.col("t_idx") - 60) % 20 == 0).select("grp", "ts", "a", "b", r6("rho"))
+    from tessera.operators import network as N
+
+    return N.strided_corr(ret(s, d)).select("grp", "ts", "a", "b", r6("rho"))
 
 
 @q("p11", "WITH e AS (SELECT * FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 959), f AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 75) SELECT day, n FROM f")
@@ -218,7 +228,7 @@ def w03(s, d):
 
 @q("w04", RET + EW + " SELECT grp, ts, CASE WHEN count(r) OVER w >= 60 THEN round(quantile_cont(r, 0.75) OVER w, 6) END AS p75 FROM ew WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING)")
 def w04(s, d):
-    return ew(s, d).select("grp", "ts", r6("p75", R.expanding_quantile(F.col("r"), 0.75)))
+    return R.expanding_quantile(ew(s, d), "r", 0.75, "p75").select("grp", "ts", r6("p75"))
 
 
 CUM = EW + ", cum AS (SELECT grp, ts, t_idx, r, product(1 + r) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS cum FROM ew), dd AS (SELECT *, cum / max(cum) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM cum)"
@@ -334,7 +344,7 @@ def vols(s, d):
     return ret(s, d).groupBy("grp", "asset").agg(F.stddev_samp("r").alias("vol"), (F.try_divide(F.avg("r"), F.stddev_samp("r")) * F.sqrt(F.lit(252.0))).alias("sharpe"))
 
 
-@q("k03", RET + VOL + " SELECT grp, asset, round(vol, 6) AS vol, row_number() OVER (ORDER BY round(vol, 9), asset)::INT AS place FROM v ORDER BY place LIMIT 1000")
+@q("k03", RET + VOL + " SELECT grp, asset, round(vol, 6) AS vol, row_number() OVER (ORDER BY round(vol, 9), asset)::INT AS place FROM v ORDER BY place")
 def k03(s, d):
     return vols(s, d).select("grp", "asset", r6("vol"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("vol", 9), "asset")).cast("int").alias("place")).orderBy("place")
 

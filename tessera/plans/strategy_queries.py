@@ -514,7 +514,7 @@ def x02(s, d):
 def x01(s, d):
     """Invested while the spread of loop lifetimes is under its expanding 75 % quantile; held five rows, one row late."""
     f = S.topology(diagrams(s, d)).select("grp", "ts", "h1_cv").join(ew(s, d), ["grp", "ts"])
-    f = f.withColumn("n", F.row_number().over(R.in_order()) - 1).withColumn("cut", R.expanding_quantile(F.col("h1_cv"), 0.75))
+    f = R.expanding_quantile(f.withColumn("n", F.row_number().over(R.in_order()) - 1), "h1_cv", 0.75, "cut")
     f = f.withColumn("raw", F.coalesce((F.col("h1_cv") < F.col("cut")).cast("double"), F.lit(0.0))).withColumn("pos", R.hold(F.col("raw"), F.col("n"), 5))
     return f.select("grp", "ts", r6("r", F.coalesce(F.lag("pos").over(R.in_order()), F.lit(0.0)) * F.col("r")))
 
