@@ -18,11 +18,11 @@ from tessera.operators import rolling as R
 from tessera.operators import spectral as S
 from tessera.operators.metrics import performance
 from tessera.operators.network import network_features
-from tessera.plans.network_queries import TAU, vectors
-from tessera.plans.oracle import EW, base
-from tessera.plans.panel_queries import CUM, corr, ew, r6, realized_vol, ret, shared
+from tessera.plans.network_queries import TAU, cv_and_rho, vectors
+from tessera.plans.oracle import EW, FEATURES, base
+from tessera.plans.panel_queries import CUM, RV, corr, ew, r6, realized_vol, ret, shared
 from tessera.plans.registry import query as q
-from tessera.plans.strategy_queries import fiedler, regime, train
+from tessera.plans.strategy_queries import POS, fiedler, held, regime, sharpe, t_p, train
 from tessera.sources import panel as P
 
 RET = base()
@@ -30,8 +30,14 @@ INPUTS = ["mean_corr", "std_corr", "lap_lambda1", "lap_lambda2", "lap_gap", "fie
 
 
 def scratch(s, name):
-    """A path of its own in the folder that driver and executors share."""
-    found = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessera"
+    """A path of its own in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a session
+    on one machine uses a folder of the warehouse; a cluster is refused."""
+    found = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = s.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,7 +59,17 @@ def s04(s, d):
 
 @q("s06", _BAR_SQL)
 def s06(s, d):
-    return s04(s, d)
+    """A wide file, a date index and a column for each asset, read by declared types and made long again."""
+    p = P.clean(P.ship_brand(s, d)).select(F.concat_ws("|", "grp", "asset").alias("name"), "ts", "px")
+    names = sorted(r[0] for r in p.select("name").distinct().collect())  # the assets: the columns of the file
+    if not names:
+        return s04(s, d)
+    wide = p.groupBy("ts").pivot("name", names).agg(F.first("px")).orderBy("ts")
+    path = scratch(s, "wide")
+    wide.write.option("header", True).csv(path)
+    back = s.read.schema(wide.schema).option("header", True).csv(path)
+    long = back.select("ts", F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"`{n}`") for n in names]))).alias("name", "px")).filter("px is not null")
+    return long.select(F.split_part("name", F.lit("|"), F.lit(1)).alias("grp"), F.split_part("name", F.lit("|"), F.lit(2)).alias("asset"), "ts", r6("px", n=4))
 
 
 @q("s07", RET + " SELECT grp, asset, t_idx, round(r, 6) AS r FROM ret")
@@ -76,9 +92,37 @@ def s09(s, d):
     return p.select(place.alias("line"), F.concat(F.col("grp"), F.lit(" & "), F.format_number("sharpe", 3), F.lit(" & "), F.format_number("max_dd", 3), F.lit(" \\\\")).alias("tex"))
 
 
-@q("s10", RET + CUM + " SELECT rpad(grp, 8, ' ') || lpad(count(r)::VARCHAR, 8, ' ') AS line FROM dd GROUP BY grp")
+COSTS = (0, 5, 15, 25)
+_TABLE31 = RET + POS + ", n AS (SELECT grp, bps, (avg(pnl) * 252 - sum(step) * bps / 1e4 / (count(pnl) / 252.0)) / (stddev_samp(pnl) * sqrt(252)) AS s FROM st, (SELECT unnest([0, 5, 15, 25]) AS bps) GROUP BY 1, 2), t AS (SELECT grp, sum(step) / (count(*) / 252.0) * 100 AS turn FROM st GROUP BY 1)"
+
+
+@q("s10", _TABLE31 + " SELECT t.grp, printf('%-15s %10.0f %+8.2f %+8.2f %+8.2f %+8.2f', t.grp, turn, max(s) FILTER (WHERE bps = 0), max(s) FILTER (WHERE bps = 5), max(s) FILTER (WHERE bps = 15), max(s) FILTER (WHERE bps = 25)) AS line FROM t JOIN n USING (grp) GROUP BY t.grp, turn")
 def s10(s, d):
-    return performance(ew(s, d)).select(F.concat(F.rpad("grp", 8, " "), F.lpad(F.col("n").cast("string"), 8, " ")).alias("line"))
+    """Lines of the cost table: yearly turnover in percent, Sharpe ratios before costs and at 5, 15 and 25 basis points."""
+    x = held(s, d).groupBy("grp").agg((F.sum("step") / (F.count("*") / 252) * 100).alias("turn"), *[F.try_divide(F.avg("pnl") * 252 - F.sum("step") * c / 1e4 / (F.count("pnl") / 252), F.stddev_samp("pnl") * F.sqrt(F.lit(252.0))).alias(f"s{c}") for c in COSTS])
+    return x.select("grp", F.format_string("%-15s %10.0f %+8.2f %+8.2f %+8.2f %+8.2f", "grp", "turn", *[f"s{c}" for c in COSTS]).alias("line"))
+
+
+@q("s10_performance")
+def s10_performance(s, d):
+    """Lines of the performance table: mean correlation, spread of loop lifetimes, Sharpe ratio, CAGR, drawdown, p, status."""
+    f = cv_and_rho(s, d).groupBy("grp").agg(F.avg("mean_corr").alias("rho"), F.avg("h1_cv").alias("cv"))
+    p = performance(ew(s, d)).withColumn("p", t_p(F.col("sharpe") * F.sqrt(F.col("n") / 252), F.col("n") - 1))
+    status = F.when((F.col("sharpe") > 0.15) & (F.col("p") < 0.05), "Success").when(F.col("sharpe") > 0, "Marginal").otherwise("Failed")
+    x = p.join(f, "grp", "left").withColumn("status", status)
+    line = F.format_string("%-15s %8.2f %8.2f %+7.2f %+7.1f%% %7.1f%% %10.4f %-10s", "grp", "rho", "cv", "sharpe", F.col("cagr") * 100, F.col("max_dd") * 100, "p", "status")
+    return x.select("grp", "status", line.alias("line"))
+
+
+_TABLE30 = RET + EW + ", h AS (SELECT grp, ts <= TIMESTAMP '1998-12-31' AS early, avg(r) / stddev_samp(r) * sqrt(252) AS s FROM ew GROUP BY 1, 2)"
+
+
+@q("s10_periods", _TABLE30 + " SELECT grp, printf('%-15s', grp) || coalesce(printf('%+8.2f', max(s) FILTER (WHERE early)), '     ---') || coalesce(printf('%+8.2f', max(s) FILTER (WHERE NOT early)), '     ---') AS line FROM h GROUP BY grp")
+def s10_periods(s, d):
+    """Lines of the table of two periods; a period without the group shows dashes."""
+    x = ew(s, d).groupBy("grp", train().alias("early")).agg(sharpe().alias("s"))
+    one = lambda early: F.coalesce(F.when(F.max(F.when(F.col("early") == early, F.col("s"))).isNotNull(), F.format_string("%+8.2f", F.max(F.when(F.col("early") == early, F.col("s"))))), F.lit("     ---"))
+    return x.groupBy("grp").agg(one(True).alias("a"), one(False).alias("b")).select("grp", F.concat(F.format_string("%-15s", "grp"), "a", "b").alias("line"))
 
 
 @q("s11", RET + CUM + " SELECT grp, ts, round(cum, 6) AS cum, round(dd, 6) AS dd FROM dd")
@@ -148,23 +192,33 @@ def g03(s, d):
     return _simulated(s, make, 4, "rep bigint, a bigint, b bigint, rho double")
 
 
+def normal(row, seed):
+    """A standard normal number that depends on ``row`` and ``seed`` alone, so on no partitioning."""
+    unit = lambda k: (F.pmod(F.xxhash64(row, F.lit(seed), F.lit(k)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.ln(unit(0))) * F.cos(2 * np.pi * unit(1))
+
+
 @q("g04")
 def g04(s, d):
     """Market factor plus noise of its own for every asset, without Python."""
-    days = s.range(500).select(F.col("id").alias("t_idx"), (0.01 * F.randn(42)).alias("m"))
-    return days.withColumn("asset", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("t_idx", "asset", (F.col("m") + 0.01 * F.randn(43)).alias("r"))
+    days = s.range(500).select(F.col("id").alias("t_idx"), (0.01 * normal(F.col("id"), 42)).alias("m"))
+    return days.withColumn("asset", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("t_idx", "asset", (F.col("m") + 0.01 * normal(F.col("t_idx") * 10 + F.col("asset"), 43)).alias("r"))
 
 
-@q("g05", RET + EW + " SELECT grp, ts, round(greatest(0, (r - avg(r) OVER (PARTITION BY grp)) / stddev_samp(r) OVER (PARTITION BY grp) * 0.15 + 0.45), 6) AS v FROM ew")
+@q("g05", RET + EW + ", b AS (SELECT grp, ts, r + CASE WHEN ts BETWEEN TIMESTAMP '1996-02-01' AND TIMESTAMP '1996-04-01' THEN 0.5 WHEN ts BETWEEN TIMESTAMP '1999-03-01' AND TIMESTAMP '1999-03-31' THEN 0.35 ELSE 0 END AS x FROM ew) SELECT grp, ts, round(greatest(0, (x - avg(x) OVER (PARTITION BY grp)) / stddev_samp(x) OVER (PARTITION BY grp) * 0.15 + 0.45), 6) AS v FROM b")
 def g05(s, d):
+    """A series with bumps in two crisis windows, scaled to mean 0.45 and deviation 0.15, then cut at 0."""
     w = Window.partitionBy("grp")
-    v = F.try_divide(F.col("r") - F.avg("r").over(w), F.stddev_samp("r").over(w)) * 0.15 + 0.45
-    return ew(s, d).select("grp", "ts", r6("v", F.greatest(F.lit(0.0), v)))
+    within = lambda a, b: F.col("ts").between(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"))
+    bump = F.when(within("1996-02-01", "1996-04-01"), 0.5).when(within("1999-03-01", "1999-03-31"), 0.35).otherwise(0.0)
+    x = ew(s, d).withColumn("x", F.col("r") + bump)
+    v = F.try_divide(F.col("x") - F.avg("x").over(w), F.stddev_samp("x").over(w)) * 0.15 + 0.45
+    return x.select("grp", "ts", r6("v", F.greatest(F.lit(0.0), v)))
 
 
 @q("g06")
 def g06(s, d):
-    r = F.lit(0.79) * 0.01 / F.sqrt(F.lit(252.0)) + 0.01 * F.randn(42)
+    r = F.lit(0.79) * 0.01 / F.sqrt(F.lit(252.0)) + 0.01 * normal(F.col("id"), 44)
     return s.range(500).select(F.lit("x").alias("grp"), F.col("id").alias("t_idx"), r.alias("r")).withColumn("cum", R.equity(F.col("r")))
 
 
@@ -186,12 +240,16 @@ def split(s, d):
     return scaler.transform(fit), scaler.transform(x.filter(~train()))
 
 
+#: Rows of the data set; the spectra exist wherever the correlations do.
+_DATASET_SQL = base(upto="corr") + FEATURES + EW + RV + ", nx AS (SELECT grp, ts, lead(r) OVER (PARTITION BY grp ORDER BY t_idx) AS next_ret FROM ew), ds AS (SELECT f.grp, f.ts FROM feat f JOIN rv ON f.grp = rv.grp AND f.ts = rv.ts JOIN nx ON f.grp = nx.grp AND f.ts = nx.ts WHERE next_ret IS NOT NULL AND mean_corr IS NOT NULL AND std_corr IS NOT NULL AND rv IS NOT NULL)"
+
+
 @q("m01")
 def m01(s, d):
     return dataset(s, d).select("grp", "ts", *[r6(c) for c in INPUTS], "target")
 
 
-@q("m02")
+@q("m02", _DATASET_SQL + " SELECT ts <= TIMESTAMP '1998-12-31' AS train, count(*) AS n, min(ts) AS first, max(ts) AS last FROM ds GROUP BY 1")
 def m02(s, d):
     return dataset(s, d).groupBy(train().alias("train")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
@@ -233,8 +291,12 @@ def m06(s, d):
 
 def measures(x, keys=()):
     """Confusion counts and rank-sum AUC by aggregation; undefined ratios are 0. Sharpe of the positions +1 and -1."""
-    part = list(keys) or [F.lit(0)]
-    rk = F.rank().over(Window.partitionBy(*part).orderBy("score")) + (F.count("*").over(Window.partitionBy(*part, "score")) - 1) / 2
+    # ranks from the counts of 4096 buckets in score order and the ranks inside each, so no task sees all rows
+    x = x.withColumn("b", F.floor((F.atan("score") / np.pi + 0.5) * 4096).cast("int"))
+    sizes = x.groupBy(*keys, "b").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.join(F.broadcast(sizes.select(*keys, "b", F.coalesce(before, F.lit(0)).alias("before"))), [*keys, "b"])  # at most 4096 rows a key
+    rk = F.col("before") + F.rank().over(Window.partitionBy(*keys, "b").orderBy("score")) + (F.count("*").over(Window.partitionBy(*keys, "b", "score")) - 1) / 2
     x = x.withColumn("rk", rk).withColumn("pnl", F.when(F.col("predicted") == 1, F.col("next_ret")).otherwise(-F.col("next_ret")))
     both = lambda p, t: F.count(F.when((F.col("predicted") == p) & (F.col("target") == t), 1))
     g = x.groupBy(*keys).agg(both(1, 1).alias("tp"), both(1, 0).alias("fp"), both(0, 1).alias("fn"), both(0, 0).alias("tn"), F.sum(F.when(F.col("target") == 1, F.col("rk"))).alias("rs"), F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")).alias("sh"))

@@ -52,13 +52,21 @@ def c05(s, d):
     return whole_corr(ret(s, d)).groupBy("grp").agg(r6("mean", F.avg("rho")), r6("low", F.min("rho")), r6("high", F.max("rho")), F.count("*").alias("n"))
 
 
-@q("c06", RET + ", f AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY grp ORDER BY asset) AS o FROM ret) WHERE o <= 5), x AS (SELECT a.grp AS g1, b.grp AS g2, a.asset AS x, b.asset AS y, corr(a.r, b.r) AS rho FROM f a JOIN f b ON a.ts = b.ts AND a.grp < b.grp GROUP BY 1, 2, 3, 4) SELECT g1, g2, round(avg(rho), 6) AS cross_rho FROM x GROUP BY 1, 2")
+@q("c06", RET + ALL + ", f AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY grp ORDER BY asset) AS o FROM ret) WHERE o <= 5), x AS (SELECT a.grp AS g1, b.grp AS g2, a.asset AS x, b.asset AS y, corr(a.r, b.r) AS rho FROM f a JOIN f b ON a.ts = b.ts AND a.grp < b.grp GROUP BY 1, 2, 3, 4)"
+   ", w AS (SELECT avg(m) AS within_rho FROM (SELECT avg(rho) AS m FROM pr GROUP BY grp)), c AS (SELECT avg(rho) AS mean_cross FROM x)"
+   " SELECT g1, g2, round(avg(rho), 6) AS cross_rho, round(within_rho, 6) AS within_rho, round(mean_cross, 6) AS mean_cross, round(within_rho / mean_cross, 4) AS ratio, CASE WHEN within_rho > 1.5 * mean_cross THEN 'good' ELSE 'limited' END AS label FROM x, w, c GROUP BY g1, g2, within_rho, mean_cross")
 def c06(s, d):
+    """Correlation across groups (their first five assets) and how much stronger it is within them."""
     first = ret(s, d).withColumn("o", F.dense_rank().over(Window.partitionBy("grp").orderBy("asset"))).filter("o <= 5")
     a = first.select("ts", F.col("grp").alias("g1"), F.col("asset").alias("x"), F.col("r").alias("ra"))
     b = first.select("ts", F.col("grp").alias("g2"), F.col("asset").alias("y"), F.col("r").alias("rb"))
     rho = a.join(b, "ts").filter("g1 < g2").groupBy("g1", "g2", "x", "y").agg(F.try_divide(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")).alias("rho"))
-    return rho.groupBy("g1", "g2").agg(r6("cross_rho", F.avg("rho")))
+    pair = rho.groupBy("g1", "g2").agg(F.avg("rho").alias("cross_rho"))
+    cross = rho.agg(F.avg("rho").alias("mean_cross"))
+    within = whole_corr(ret(s, d)).groupBy("grp").agg(F.avg("rho").alias("m")).agg(F.avg("m").alias("within_rho"))
+    label = F.when(F.col("within_rho") > 1.5 * F.col("mean_cross"), "good").otherwise("limited")
+    every = pair.join(F.broadcast(within)).join(F.broadcast(cross))  # one row each
+    return every.select("g1", "g2", r6("cross_rho"), r6("within_rho"), r6("mean_cross"), r6("ratio", F.try_divide(F.col("within_rho"), F.col("mean_cross")), 4), label.alias("label"))
 
 
 @q("c07", COR + DIST + " SELECT grp, ts, a, b, round(d, 6) AS d FROM dist")

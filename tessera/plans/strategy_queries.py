@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions import kernels as K
 from tessera.operators import metrics as M
+from tessera.operators import regression as G
 from tessera.operators import rolling as R
 from tessera.operators import spectral as S
 from tessera.plans.network_queries import LAP, TAU, _diffuse, cv_and_rho, diagrams, h1, residuals, vectors
@@ -129,10 +129,15 @@ def a15(s, d):
     return x.groupBy("grp", "bps").agg(r6("net_sharpe", F.try_divide(net, F.stddev_samp("pnl") * F.sqrt(F.lit(252.0)))))
 
 
-@F.udf(T.DoubleType())
-def t_p(t, df):
-    """Two-sided p of a handful of group rows; p-values are never asked for row by row."""
-    return None if t is None or df is None else float(K.t_two_sided(t, df))
+@F.pandas_udf("double")
+def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of t with ``df`` degrees of freedom, null where either is."""
+    return pd.Series([None if a != a or b != b or b <= 0 else float(K.t_two_sided(a, b)) for a, b in zip(t.astype(float), df.astype(float), strict=True)], dtype="float64")
+
+
+@F.pandas_udf("double")
+def z_p(z: pd.Series) -> pd.Series:
+    return pd.Series([None if a != a else float(K.normal_two_sided(a)) for a in z.astype(float)], dtype="float64")
 
 
 @q("a16", RET + EW + " SELECT grp, count(r) AS n, round(avg(r) / (stddev_samp(r) / sqrt(count(r))), 6) AS t FROM ew GROUP BY 1 HAVING count(r) > 30")
@@ -307,13 +312,14 @@ def h03(s, d):
 SCAN = ", th AS (SELECT k, -0.10 + 0.02 * k AS c FROM range(11) v(k)), sc AS (SELECT grp, k, avg(r) FILTER (WHERE mean_corr < c) / stddev_samp(r) FILTER (WHERE mean_corr < c) - avg(r) FILTER (WHERE mean_corr >= c) / stddev_samp(r) FILTER (WHERE mean_corr >= c) AS diff, count_if(mean_corr < c)::BIGINT AS n1, count_if(mean_corr >= c)::BIGINT AS n2 FROM rr, th GROUP BY 1, 2)"
 
 
-@q("h04", COR + RR + SCAN + " SELECT grp, k::INT AS k, n1, n2, round(diff, 6) AS diff FROM sc WHERE n1 >= 2 AND n2 >= 2")
+@q("h04", COR + RR + SCAN + " SELECT grp, k::INT AS k, n1, n2, round(diff, 6) AS diff, coalesce(row_number() OVER (PARTITION BY grp ORDER BY round(diff, 9) DESC NULLS LAST, k) = 1, FALSE) AS best FROM sc WHERE n1 >= 2 AND n2 >= 2")
 def h04(s, d):
     x = rho_ret(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10))))
     low = F.col("mean_corr") < F.lit(-0.10) + 0.02 * F.col("k")
     a, b = F.when(low, F.col("r")), F.when(~low, F.col("r"))
     g = x.groupBy("grp", "k").agg(F.count(a).alias("n1"), F.count(b).alias("n2"), (F.try_divide(F.avg(a), F.stddev_samp(a)) - F.try_divide(F.avg(b), F.stddev_samp(b))).alias("diff"))
-    return g.filter("n1 >= 2 and n2 >= 2").select("grp", "k", "n1", "n2", r6("diff"))
+    first = F.row_number().over(Window.partitionBy("grp").orderBy(F.round("diff", 9).desc_nulls_last(), "k"))
+    return g.filter("n1 >= 2 and n2 >= 2").select("grp", "k", "n1", "n2", r6("diff"), (first == 1).alias("best"))
 
 
 CHOW = ", s AS (SELECT *, (mean_corr > 0)::INT AS side FROM rr), a AS (SELECT grp, count(*) AS n, regr_syy(r, mean_corr) * (1 - regr_r2(r, mean_corr)) AS rss FROM s GROUP BY 1), b AS (SELECT grp, sum(rss) AS rss FROM (SELECT grp, side, regr_syy(r, mean_corr) * (1 - regr_r2(r, mean_corr)) AS rss FROM s GROUP BY 1, 2) GROUP BY 1)"
@@ -328,106 +334,120 @@ def h07(s, d):
     return a.join(b, "grp").select("grp", r6("f", F.try_divide((F.col("whole") - F.col("parts")) / 2, F.col("parts") / (F.col("n") - 4))))
 
 
-@q("h08", COR + RR + " SELECT grp, round(regr_slope(r, mean_corr), 6) AS slope, round(regr_intercept(r, mean_corr), 6) AS intercept, round(regr_r2(r, mean_corr), 6) AS r2 FROM rr GROUP BY 1")
-def h08(s, d):
-    return rho_ret(s, d).groupBy("grp").agg(r6("slope", F.regr_slope("r", "mean_corr")), r6("intercept", F.regr_intercept("r", "mean_corr")), r6("r2", F.regr_r2("r", "mean_corr")))
+#: y on a constant, x and z by group, from centred sums; z is left out where it is collinear with x.
+TWO = """ SELECT {keys}, count(*) AS n, CASE WHEN sxx * szz - sxz * sxz > 1e-10 * sxx * szz THEN (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) ELSE sxy / sxx END AS bx,
+ CASE WHEN sxx * szz - sxz * sxz > 1e-10 * sxx * szz THEN (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) ELSE 0 END AS bz, sxy, szy, syy, mx, mz, my
+ FROM (SELECT {keys}, var_pop(x) * count(*) AS sxx, var_pop(z) * count(*) AS szz, covar_pop(x, z) * count(*) AS sxz, covar_pop(x, y) * count(*) AS sxy,
+ covar_pop(z, y) * count(*) AS szy, var_pop(y) * count(*) AS syy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM {src} GROUP BY {keys}) GROUP BY ALL"""
+QUAD = ", qd AS (SELECT grp, mean_corr AS x, mean_corr * mean_corr AS z, r AS y FROM rr), fit AS (" + TWO.format(keys="grp", src="qd") + ")"
 
 
-def _fit(name, make, schema):
-    """Small regressions of one group's series each, on the grouped rows."""
+@q("h08", COR + RR + QUAD + ", simple AS (SELECT grp, round(regr_slope(r, mean_corr), 6) AS slope, round(regr_intercept(r, mean_corr), 6) AS intercept, round(regr_r2(r, mean_corr), 6) AS r2 FROM rr GROUP BY 1)"
+   " SELECT simple.*, round(my - bx * mx - bz * mz, 6) AS q0, round(bx, 6) AS q1, round(bz, 6) AS q2, round((bx * sxy + bz * szy) / syy, 6) AS q_r2 FROM simple JOIN fit USING (grp)")
+def h08(s, d):
+    """The line and the parabola of the returns on the mean correlation."""
+    fit = G.two_regressors("mean_corr", "z", "r")
+    x = rho_ret(s, d).withColumn("z", F.col("mean_corr") * F.col("mean_corr"))
+    line = [r6("slope", F.regr_slope("r", "mean_corr")), r6("intercept", F.regr_intercept("r", "mean_corr")), r6("r2", F.regr_r2("r", "mean_corr"))]
+    return x.groupBy("grp").agg(*line, r6("q0", fit["b0"]), r6("q1", fit["bx"]), r6("q2", fit["bz"]), r6("q_r2", fit["r2"]))
 
-    def run(pdf):
-        return make(pdf.sort_values("ts"))
 
-    return lambda df: df.groupBy("grp").applyInPandas(run, schema)
+BREAKS = [round(-0.15 + 0.02 * k, 2) for k in range(16)]
+BROKEN = ", br AS (SELECT grp, k, mean_corr AS x, greatest(0, mean_corr - round(-0.15 + 0.02 * k, 2)) AS z, r AS y FROM rr, range(16) v(k)), fit AS (" + TWO.format(keys="grp, k", src="br") + "), sc AS (SELECT grp, k, syy - bx * sxy - bz * szy AS rss, syy FROM fit)"
 
 
-@q("h05")
+@q("h05", COR + RR + BROKEN + " SELECT grp, round(-0.15 + 0.02 * k, 2)::DOUBLE AS breakpoint, round(rss, 6) AS rss, round(1 - rss / syy, 6) AS r2 FROM sc QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(rss, 9), k) = 1")
 def h05(s, d):
-    import numpy as np
-    import pandas as pd
-
-    def scan(f):
-        x, y = f["mean_corr"].to_numpy(), f["r"].to_numpy()
-        out = []
-        for k in range(16):
-            c = -0.15 + 0.02 * k
-            a = np.column_stack([np.ones(len(x)), x, np.maximum(0, x - c)])
-            rss = float(((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2).sum())
-            out.append((f["grp"].iloc[0], round(c, 2), rss, 1 - rss / float(((y - y.mean()) ** 2).sum())))
-        return pd.DataFrame(out, columns=["grp", "breakpoint", "rss", "r2"]).nsmallest(1, "rss")
-
-    return _fit("h05", scan, "grp string, breakpoint double, rss double, r2 double")(rho_ret(s, d)).select("grp", "breakpoint", r6("rss"), r6("r2"))
+    x = rho_ret(s, d).withColumn("c", F.explode(F.array(*map(F.lit, BREAKS)))).withColumn("z", F.greatest(F.lit(0.0), F.col("mean_corr") - F.col("c")))
+    fit = G.two_regressors("mean_corr", "z", "r")
+    scan = x.groupBy("grp", "c").agg(fit["rss"].alias("rss"), fit["r2"].alias("r2"))
+    best = Window.partitionBy("grp").orderBy(F.round("rss", 9), "c")
+    return scan.withColumn("place", F.row_number().over(best)).filter("place = 1").select("grp", F.col("c").alias("breakpoint"), r6("rss"), r6("r2"))
 
 
 @q("h06")
 def h06(s, d):
-    import numpy as np
-    import pandas as pd
-
-    def boot(f):
-        x, y = f["mean_corr"].to_numpy(), f["r"].to_numpy()
-        rng = np.random.default_rng([42, *f["grp"].iloc[0].encode()])
-        best = []
-        for _ in range(1000):
-            i = rng.integers(0, len(x), len(x))
-            rss = []
-            for k in range(16):
-                a = np.column_stack([np.ones(len(i)), x[i], np.maximum(0, x[i] + 0.15 - 0.02 * k)])
-                b = np.linalg.solve(a.T @ a + 1e-12 * np.eye(3), a.T @ y[i])
-                rss.append(float(((y[i] - a @ b) ** 2).sum()))
-            best.append(-0.15 + 0.02 * int(np.argmin(rss)))
-        lo, hi = np.percentile(best, [2.5, 97.5])
-        return pd.DataFrame([(f["grp"].iloc[0], float(np.mean(best)), float(np.std(best)), float(lo), float(hi))], columns=["grp", "mean", "std", "low", "high"])
-
-    return _fit("h06", boot, "grp string, mean double, std double, low double, high double")(rho_ret(s, d)).select("grp", *[r6(c) for c in ("mean", "std", "low", "high")])
+    b = F.col("breakpoint")
+    made = G.bootstrap_breakpoints(rho_ret(s, d), "mean_corr", "r", BREAKS, reps=1000)
+    return made.groupBy("grp").agg(r6("mean", F.avg(b)), r6("std", F.stddev_pop(b)), r6("low", F.percentile(b, F.lit(0.025))), r6("high", F.percentile(b, F.lit(0.975))))
+
+
+FACTORS = ["mkt", "smb", "hml", "rmw", "cma", "umd"]
 
 
 @q("h09")
 def h09(s, d):
-    import numpy as np
-    import pandas as pd
-
-    def hac(f, lags=5):
-        x = np.column_stack([np.ones(len(f)), f["mkt"], f["umd"]])
-        y = f["r"].to_numpy()
-        inv = np.linalg.inv(x.T @ x)
-        b = inv @ x.T @ y
-        u = (y - x @ b)[:, None] * x
-        m = u.T @ u
-        for lag in range(1, lags + 1):
-            g = u[lag:].T @ u[:-lag]
-            m += (1 - lag / (lags + 1)) * (g + g.T)
-        se = np.sqrt(np.diag(inv @ m @ inv))
-        r2 = 1 - ((y - x @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum()
-        return pd.DataFrame([(f["grp"].iloc[0], float(b[0] * 252), float(b[0] / se[0]), float(b[1]), float(r2))], columns=["grp", "alpha", "t_alpha", "beta_mkt", "r2"])
-
+    """Excess return on the five factors and momentum."""
     a, b = factors(s, d)
-    return _fit("h09", hac, "grp string, alpha double, t_alpha double, beta_mkt double, r2 double")(ew(s, d).join(a.join(b, "ts"), "ts")).select("grp", *[r6(c) for c in ("alpha", "t_alpha", "beta_mkt", "r2")])
+    x = ew(s, d).join(a.join(b, "ts"), "ts").withColumn("excess", F.col("r") - F.col("rf"))
+    m = G.newey_west(x, "excess", FACTORS)
+    beta = [r6(f"beta_{f}", F.col("beta")[i]) for i, f in enumerate(FACTORS, 1)]
+    return m.select("grp", "n", r6("alpha", F.col("beta")[0] * 252), r6("t_alpha", F.col("t")[0]), *beta, r6("r2"))
 
 
 @q("h10")
 def h10(s, d):
+    """The real topology against its permutations: z, p and effect size of the lifetimes' spread and z of the loops."""
     from tessera.plans.network_queries import t13
 
     n = t13(s, d)
-    null = n.filter("rep > 0").groupBy("grp").agg(F.avg("h1_count").alias("m"), F.greatest(F.stddev_pop("h1_count"), F.lit(0.1)).alias("sd"))
-    z = F.try_divide(F.col("h1_count") - F.col("m"), F.col("sd"))
-    x = n.filter("rep = 0").join(null, "grp").withColumn("z", z)
-    return x.select("grp", "h1_count", r6("null_mean", F.col("m")), r6("z"), F.when(F.abs("z") > 1.96, "significant").otherwise("not significant").alias("label"))
+    null = n.filter("rep > 0").groupBy("grp").agg(F.avg("h1_cv").alias("cv_mean"), F.stddev_pop("h1_cv").alias("cv_std"), F.avg("h1_count").alias("loops_mean"), F.greatest(F.stddev_pop("h1_count"), F.lit(0.1)).alias("loops_std"))
+    x = n.filter("rep = 0").join(null, "grp").withColumn("z", F.try_divide(F.col("h1_cv") - F.col("cv_mean"), F.col("cv_std"))).withColumn("p", z_p("z"))
+    sure = F.col("p") < 0.05
+    label = F.when(sure & (F.col("h1_cv") < F.col("cv_mean")), "Signal confirmed").when(sure & (F.col("h1_cv") > F.col("cv_mean")), "Heterogeneity issue").otherwise("No signal")
+    return x.select(
+        "grp", r6("mean_corr"), r6("cv", F.col("h1_cv")), r6("cv_mean"), r6("cv_std"), r6("z"), r6("p"), r6("cohens_d", F.col("z")), "h1_count",
+        r6("loops_mean"), r6("z_loops", F.try_divide(F.col("h1_count") - F.col("loops_mean"), F.col("loops_std"))), label.alias("label"),
+    )
+
+
+#: Mean correlation that splits the regimes; the reference's 0.5 lies beyond these nearly independent panels.
+RHO_SPLIT = 0.0
+
+
+def pooled_t(m1, m2, v1, v2, n1, n2):
+    """t of two means under one variance, with n1 + n2 - 2 degrees of freedom."""
+    v = F.try_divide((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    return F.try_divide(m1 - m2, F.sqrt(v * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))))
+
+
+def regimes(x, v, keys):
+    """Means of ``v`` under and from RHO_SPLIT on, what parts them, and p of the pooled t test."""
+    low = F.col("mean_corr") < RHO_SPLIT
+    a, b = F.when(low, F.col(v)), F.when(~low, F.col(v))
+    g = x.groupBy(*keys).agg(F.avg(a).alias("below"), F.avg(b).alias("above"), F.var_samp(a).alias("v1"), F.var_samp(b).alias("v2"), F.count(a).alias("n1"), F.count(b).alias("n2"))
+    t = pooled_t(F.col("below"), F.col("above"), F.col("v1"), F.col("v2"), F.col("n1"), F.col("n2"))
+    return g.select(*keys, "below", "above", F.abs(F.col("below") - F.col("above")).alias("separation"), t_p(t, F.col("n1") + F.col("n2") - 2).alias("p_regimes"))
+
+
+def pearson(x, y):
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
+def r_p():
+    """p of the correlation ``r`` over ``n`` rows."""
+    return t_p(F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))), F.col("n") - 2)
 
 
 @q("h11")
 def h11(s, d):
     x = S.topology(diagrams(s, d)).join(S.diagram_distances(diagrams(s, d)), ["grp", "ts"]).join(rho_ret(s, d).select("grp", "ts", "mean_corr"), ["grp", "ts"])
-    long = x.select("grp", "mean_corr", F.explode(F.create_map(*[y for c in ("h1_cv", "wasserstein", "bottleneck", "h1_entropy") for y in (F.lit(c), F.col(c))])).alias("metric", "v")).filter("v is not null and v <> 0")
-    return long.groupBy("grp", "metric").agg(r6("r", F.try_divide(F.covar_samp("v", "mean_corr"), F.stddev_samp("v") * F.stddev_samp("mean_corr"))), F.count("*").alias("n"))
+    names = ("h1_cv", "wasserstein", "bottleneck", "h1_entropy")
+    long = x.select("grp", "mean_corr", F.explode(F.create_map(*[y for c in names for y in (F.lit(c), F.col(c))])).alias("metric", "v")).filter("v is not null and not isnan(v)")
+    r = long.filter("v <> 0").groupBy("grp", "metric").agg(pearson("v", "mean_corr").alias("r"), F.count("*").alias("n")).filter("n > 10")
+    out = r.join(regimes(long, "v", ("grp", "metric")), ["grp", "metric"])
+    return out.select("grp", "metric", r6("r"), r6("p", r_p()), "n", r6("below"), r6("above"), r6("separation"), r6("p_regimes"))
 
 
 @q("h12")
 def h12(s, d):
     x = cv_and_rho(s, d)
-    return x.groupBy("grp").agg(r6("rho", F.avg("mean_corr")), r6("cv", F.avg("h1_cv")), r6("r", F.try_divide(F.covar_samp("h1_cv", "mean_corr"), F.stddev_samp("h1_cv") * F.stddev_samp("mean_corr"))), F.count("*").alias("n")).withColumn("pattern", F.coalesce(F.col("r") < -0.5, F.lit(False)))
+    r = x.groupBy("grp").agg(F.avg("mean_corr").alias("rho"), F.avg("h1_cv").alias("cv"), pearson("h1_cv", "mean_corr").alias("r"), F.count("*").alias("n")).filter("n > 5")
+    low = F.col("mean_corr") < 0.1  # cv_and_rho holds positive correlations only
+    halves = x.groupBy("grp").agg(F.avg(F.when(low, F.col("h1_cv"))).alias("cv_below"), F.avg(F.when(~low, F.col("h1_cv"))).alias("cv_above"))
+    out = r.join(halves, "grp").withColumn("p", r_p())
+    held = F.when(F.col("cv_below").isNotNull() & F.col("cv_above").isNotNull(), F.col("cv_below") > F.col("cv_above"))
+    return out.select("grp", r6("rho"), r6("cv"), r6("r"), r6("p"), "n", r6("cv_below"), r6("cv_above"), held.alias("threshold_holds"), F.coalesce((F.col("r") < -0.5) & (F.col("p") < 0.05), F.lit(False)).alias("pattern"))
 
 
 @q("h13")
@@ -540,7 +560,13 @@ def h1_signal(s, d):
     return regime(h1(s, d), "h1_count", 0.75).select("grp", "ts", F.when(F.col("flag") == 1, 1).otherwise(-1).alias("sig"))
 
 
-@q("x06")
+#: The count of loops by its relational identity, and its signal: +1 above the 75 % quantile of the training dates, else -1.
+SIG = H1 + f", hc AS (SELECT grp, quantile_cont(h1_count, 0.75) AS c FROM h1 WHERE ts <= {TRAIN} GROUP BY 1), sg AS (SELECT h1.grp, h1.ts, CASE WHEN h1_count > c THEN 1 ELSE -1 END AS sig FROM h1 JOIN hc ON h1.grp = hc.grp)"
+BSP = BETA.format(where=f" WHERE r.ts <= {TRAIN}") + ", bw AS (SELECT grp, asset, CASE WHEN hi <= 2 THEN 0.5 WHEN lo <= 2 THEN -0.5 ELSE 0.0 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(beta, 9), asset) AS lo, row_number() OVER (PARTITION BY grp ORDER BY round(beta, 9) DESC, asset DESC) AS hi FROM beta)), sp AS (SELECT r.grp, ts, t_idx, sum(w * r) AS spread FROM ret r JOIN bw ON r.grp = bw.grp AND r.asset = bw.asset GROUP BY 1, 2, 3)"
+X06 = SIG + BSP + ", z AS (SELECT sp.*, sig, row_number() OVER (PARTITION BY sp.grp ORDER BY t_idx) - 1 AS n FROM sp JOIN sg ON sp.grp = sg.grp AND sp.ts = sg.ts), hz AS (SELECT *, last_value(CASE WHEN n % 5 = 0 THEN sig END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM z)"
+
+
+@q("x06", COR + X06 + " SELECT grp, ts, round(pos * spread - CASE WHEN n % 5 = 0 THEN 4 * 5.0 / 1e4 ELSE 0 END, 6) AS r FROM hz")
 def x06(s, d):
     return beta_spread(s, d, h1_signal(s, d), cost_on_change=False, lag=0).select("grp", "ts", r6("r"))
 
@@ -587,7 +613,11 @@ def x10(s, d):
     return x.groupBy("grp", "ts").agg(F.avg("r").alias("r"), F.count("*").alias("n")).filter("n = 3").select("grp", "ts", r6("r"))
 
 
-@q("x11")
+MOM = ", mm AS (SELECT * FROM (SELECT grp, asset, ts, t_idx, r, sum(r) OVER (PARTITION BY grp, asset ORDER BY t_idx ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS mom FROM ret) WHERE t_idx >= {n}), mk2 AS (SELECT *, row_number() OVER (PARTITION BY grp, ts ORDER BY round(mom, 9), asset) AS lo, row_number() OVER (PARTITION BY grp, ts ORDER BY round(mom, 9) DESC, asset DESC) AS hi FROM mm)"
+X11 = SIG + MOM.format(n=20) + ", mp AS (SELECT grp, ts, t_idx, sum(CASE WHEN hi <= 2 THEN 0.25 WHEN lo <= 2 THEN -0.25 ELSE 0 END * r) AS mom FROM mk2 GROUP BY 1, 2, 3), z AS (SELECT mp.*, sig, row_number() OVER (PARTITION BY mp.grp ORDER BY t_idx) - 1 AS n FROM mp JOIN sg ON mp.grp = sg.grp AND mp.ts = sg.ts)"
+
+
+@q("x11", COR + X11 + " SELECT grp, ts, round(-sig * mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS hybrid, round(mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS momentum FROM z")
 def x11(s, d):
     mom = ret(s, d).withColumn("mom", F.sum("r").over(R.past(20, keys=("grp", "asset"), skip=1))).filter("t_idx >= 20")
     w = ranked(mom, "mom").select("grp", "asset", "ts", "t_idx", "r", F.when(F.col("hi") <= 2, 0.25).when(F.col("lo") <= 2, -0.25).otherwise(0.0).alias("w"))
@@ -596,7 +626,10 @@ def x11(s, d):
     return x.select("grp", "ts", r6("hybrid", -F.col("sig") * F.col("mom") - F.when(n % 5 == 0, 0.005).otherwise(0.0)), r6("momentum", F.col("mom") - F.when(n % 5 == 0, 0.005).otherwise(0.0)))
 
 
-@q("x12")
+X12 = SIG + MOM.format(n=5) + ", mp AS (SELECT grp, ts, sum(CASE WHEN lo <= 2 THEN 0.25 WHEN hi <= 2 THEN -0.25 ELSE 0 END * r) AS r FROM mk2 GROUP BY 1, 2)"
+
+
+@q("x12", COR + X12 + " SELECT mp.grp, mp.ts, round(CASE WHEN sig = 1 THEN r ELSE 0 END, 6) AS r FROM mp JOIN sg ON mp.grp = sg.grp AND mp.ts = sg.ts")
 def x12(s, d):
     m = ret(s, d).withColumn("mom", F.sum("r").over(R.past(5, keys=("grp", "asset"), skip=1))).filter("t_idx >= 5")
     w = ranked(m, "mom").select("grp", "asset", "ts", "t_idx", "r", F.when(F.col("lo") <= 2, 0.25).when(F.col("hi") <= 2, -0.25).otherwise(0.0).alias("w"))
@@ -604,7 +637,11 @@ def x12(s, d):
     return x.select("grp", "ts", r6("r", F.when(F.col("sig") == 1, F.col("r")).otherwise(0.0)))
 
 
-@q("x13")
+F60H = "OVER (PARTITION BY grp ORDER BY ts ROWS 59 PRECEDING)"
+X13 = H1 + f", hz AS (SELECT grp, ts, CASE WHEN count(h1_count) {F60H} >= 60 THEN (h1_count - avg(h1_count) {F60H}) / nullif(stddev_samp(h1_count) {F60H}, 0) END AS z FROM h1), res AS (SELECT grp, asset, ts, r AS e FROM ret)" + LSQ.format(w="w", join="").replace("0.5 WHEN hi <= 2 THEN -0.5", "0.25 WHEN hi <= 2 THEN -0.25")
+
+
+@q("x13", COR + X13 + " SELECT p.grp, p.ts, round(CASE WHEN abs(z) > 1 THEN least(abs(z) / 2, 1) * r ELSE 0 END, 6) AS r FROM pnl p JOIN hz ON p.grp = hz.grp AND p.ts = hz.ts WHERE z IS NOT NULL")
 def x13(s, d):
     z = h1(s, d).withColumn("z", R.z_score(F.col("h1_count"), 60, order="ts")).filter("z is not null").select("grp", "ts", "z")
     w = ranked(ret(s, d)).select("grp", "asset", "ts", "t_idx", F.when(F.col("lo") <= 2, 0.25).when(F.col("hi") <= 2, -0.25).otherwise(0.0).alias("w"))
@@ -612,26 +649,54 @@ def x13(s, d):
     return x.select("grp", "ts", r6("r", F.when(F.abs("z") > 1, F.least(F.abs("z") / 2, F.lit(1.0)) * F.col("r")).otherwise(0.0)))
 
 
-@q("x14", RET + EW + PORT + ", x AS (SELECT ts, r, row_number() OVER (ORDER BY ts) AS t_idx FROM port) SELECT count(r) AS n, round(avg(r) * 252, 6) AS ann_ret, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe FROM x")
+PICK = ", m AS (SELECT grp, round(avg(r) / stddev_samp(r), 9) AS s FROM ew GROUP BY grp), n AS (SELECT *, max((s > 0)::INT) OVER () AS any_up, row_number() OVER (ORDER BY (s > 0)::INT DESC, s DESC, grp) AS by_s, row_number() OVER (ORDER BY grp) AS by_g FROM m), pick AS (SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END)"
+CHOSEN = ", c AS (SELECT ts, avg(r) AS r FROM ew JOIN pick USING (grp) GROUP BY ts HAVING count(*) = (SELECT count(*) FROM pick)), x AS (SELECT ts, r, row_number() OVER (ORDER BY ts) AS t_idx, product(1 + r) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum FROM c), y AS (SELECT *, cum / max(cum) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)"
+
+
+@q("x14", RET + EW + PICK + CHOSEN + " SELECT count(r) AS n, round(arg_max(cum, t_idx) - 1, 6) AS total_ret, round(avg(r) * 252, 6) AS ann_ret, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(min(dd), 6) AS max_dd, round(avg((r > 0)::INT), 6) AS hit FROM y")
 def x14(s, d):
-    return portfolio(s, d).agg(F.count("r").alias("n"), r6("ann_ret", F.avg("r") * 252), r6("sharpe", sharpe()))
+    """Up to three groups with a positive ratio (else the first three), dates common to them, equal weights."""
+    from tessera.plans.panel_queries import k05
+
+    chosen = ew(s, d).join(k05(s, d), "grp", "left_semi")
+    n = chosen.agg(F.count_distinct("grp").alias("n"))
+    port = chosen.groupBy("ts").agg(F.avg("r").alias("r"), F.count("*").alias("c")).join(F.broadcast(n), F.col("c") == F.col("n"))  # one row
+    x = port.select(F.lit("portfolio").alias("grp"), "ts", F.col("ts").alias("t_idx"), "r")
+    return M.performance(x).select("n", r6("total_ret"), r6("ann_ret"), r6("sharpe"), r6("max_dd"), r6("hit", F.col("hit_daily")))
 
 
-@q("x15", COR + RES + LSQ.format(w="w", join="") + EW + f", b AS (SELECT p.grp, p.ts, p.r AS a, e.r AS b FROM pnl p JOIN ew e ON p.grp = e.grp AND p.ts = e.ts) SELECT grp, round(avg(a) / stddev_samp(a) * {SQ}, 6) AS strategy, round(avg(b) / stddev_samp(b) * {SQ}, 6) AS hold, round(corr(a, b), 6) AS rho, round(avg((a + b) / 2) / stddev_samp((a + b) / 2) * {SQ}, 6) AS ensemble FROM b GROUP BY 1")
+@q("x15")
 def x15(s, d):
-    x = laplacian_plain(s, d).select("grp", "ts", F.col("r").alias("a")).join(ew(s, d).select("grp", "ts", F.col("r").alias("b")), ["grp", "ts"]).withColumn("m", (F.col("a") + F.col("b")) / 2)
-    return x.groupBy("grp").agg(r6("strategy", sharpe("a")), r6("hold", sharpe("b")), r6("rho", F.corr("a", "b")), r6("ensemble", sharpe("m")))
+    """Every strategy of a group on the dates common to all: performance, improvement over holding, correlation with it."""
+    parts = {"hold": ew(s, d).select("grp", "ts", "t_idx", "r"), "laplacian": laplacian_plain(s, d), "fiedler": x02(s, d), "volatility": x03(s, d), "beta_spread": x05(s, d), "reversion": x07(s, d), "hybrid": x08(s, d), "adaptive": x09(s, d)}
+    wide = None
+    for name, x in parts.items():
+        one = x.select("grp", "ts", *(["t_idx"] if name == "hold" else []), F.col("r").alias(name))
+        wide = one if wide is None else wide.join(one, ["grp", "ts"])
+    active = [n for n in parts if n != "hold"]
+    wide = wide.withColumn("ensemble", sum((F.col(n) for n in active), F.lit(0.0)) / len(active))
+    names = [*parts, "ensemble"]
+    long = wide.select(F.col("grp").alias("g"), "t_idx", F.col("hold").alias("base"), F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("r")) for n in names])).alias("x")).select("g", "t_idx", "base", "x.*")
+    long = long.withColumn("grp", F.concat_ws("|", "g", "strategy"))
+    rho = long.groupBy("grp").agg(F.first("g").alias("g"), F.first("strategy").alias("strategy"), pearson("r", "base").alias("rho_hold"))
+    m = M.performance(long.select("grp", "t_idx", "r")).join(rho, "grp").withColumn("base", F.max(F.when(F.col("strategy") == "hold", F.col("sharpe"))).over(Window.partitionBy("g")))
+    better = F.try_divide(F.col("sharpe") - F.col("base"), F.abs("base")) * 100
+    return m.select(F.col("g").alias("grp"), "strategy", "n", r6("total_ret"), r6("ann_ret"), r6("sharpe"), r6("max_dd"), r6("hit", F.col("hit_daily")), r6("improvement_pct", better, 4), r6("rho_hold"))
 
 
 MKT = ", mk AS (SELECT h.grp, avg(mean_corr) AS rho, stddev_samp(h1_count) / avg(h1_count) AS cv FROM h1 h JOIN feat f ON h.grp = f.grp AND h.ts = f.ts GROUP BY 1)"
 
 
-@q("x16", COR + FEATURES + H1 + MKT + " SELECT grp, round(rho, 6) AS rho, round(cv, 6) AS cv, CASE WHEN rho > 0.5 AND cv < 0.5 THEN 'good' WHEN rho > 0.3 THEN 'marginal' ELSE 'poor' END AS label FROM mk")
+@q("x16", COR + FEATURES + H1 + MKT + ", g AS (SELECT corr(rho, cv) AS global_rho FROM mk) SELECT grp, round(rho, 6) AS rho, round(cv, 6) AS cv, CASE WHEN rho > 0.5 AND cv < 0.6 THEN 'good' WHEN rho > 0.4 OR cv < 0.7 THEN 'marginal' ELSE 'poor' END AS label, CASE WHEN cv < 0.5 THEN 'stable' WHEN cv < 0.7 THEN 'moderate' ELSE 'unstable' END AS stability, round(global_rho, 6) AS global_rho, coalesce(global_rho < -0.5, FALSE) AS generalizes FROM mk, g")
 def x16(s, d):
+    """Markets side by side: viability, stability of the topology, and whether correlation and spread go together globally."""
     from tessera.operators.network import network_features
 
     m = h1(s, d).join(network_features(corr(s, d)), ["grp", "ts"]).groupBy("grp").agg(F.avg("mean_corr").alias("rho"), F.try_divide(F.stddev_samp("h1_count"), F.avg("h1_count")).alias("cv"))
-    return m.select("grp", r6("rho"), r6("cv"), F.when((F.col("rho") > 0.5) & (F.col("cv") < 0.5), "good").when(F.col("rho") > 0.3, "marginal").otherwise("poor").alias("label"))
+    g = F.broadcast(m.agg(pearson("rho", "cv").alias("global_rho")))  # one row
+    label = F.when((F.col("rho") > 0.5) & (F.col("cv") < 0.6), "good").when((F.col("rho") > 0.4) | (F.col("cv") < 0.7), "marginal").otherwise("poor")
+    stability = F.when(F.col("cv") < 0.5, "stable").when(F.col("cv") < 0.7, "moderate").otherwise("unstable")
+    return m.join(g).select("grp", r6("rho"), r6("cv"), label.alias("label"), stability.alias("stability"), r6("global_rho"), F.coalesce(F.col("global_rho") < -0.5, F.lit(False)).alias("generalizes"))
 
 
 @q("x17")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterable
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fetch(read: Callable[[object], DataFrame], assets: Iterable, tries: int = 3, wait: float = 0.0) -> tuple[DataFrame | None, list]:
+    """The assets' tables as one, and the assets of which none came: ``read`` raised or gave no row ``tries`` times, with
+    ``wait`` seconds between. No asset at all: None."""
+    got, failed = None, []
+    for asset in assets:
+        for attempt in range(tries):
+            try:
+                one = read(asset)
+                if not one.isEmpty():
+                    got = one if got is None else got.unionByName(one)
+                    break
+            except (OSError, PySparkException):
+                pass
+            if wait and attempt + 1 < tries:
+                time.sleep(wait)
+        else:
+            failed.append(asset)
+    return got, failed
+
+
 def bars(events: DataFrame, unit: str, grp, asset, ts, value) -> DataFrame:
     """Mean of ``value`` per group, asset and calendar unit."""
     return events.groupBy(grp.alias("grp"), asset.alias("asset"), F.date_trunc(unit, ts).alias("ts")).agg(F.avg(value).alias("px"))
