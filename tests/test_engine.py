@@ -70,7 +70,7 @@ def test_loop_counts_agree_with_neighbour_graph(spark):
     assert corr.filter(F.abs("rho") > 1 + 1e-12).count() == 0
 
 
-def test_positions_do_not_look_ahead(spark):
+def test_correlations_do_not_look_ahead(spark):
     from pyspark.sql import functions as F
 
     from tessera.operators import network as N
@@ -116,9 +116,9 @@ def test_null_model_takes_the_whole_series(spark, monkeypatch):
     from tessera.plans import strategy_queries as sq
 
     rng = np.random.default_rng(7)
-    n, assets = 150, "abcdef"
+    n, assets = 150, "abcdefghij"
     series = rng.normal(size=(n, len(assets)))
-    series[60:] += rng.normal(size=(n - 60, 1)) * 2  # correlated only after the first 60
+    series[60:] += rng.normal(size=(n - 60, 1)) * 0.5  # correlated only after the first 60
     rows = [("g", a, i, i, float(series[i, k])) for i in range(n) for k, a in enumerate(assets)]
     monkeypatch.setattr(nq, "ret", lambda s, d: spark.createDataFrame(rows, "grp string, asset string, ts int, t_idx int, r double"))
     want = []
@@ -133,9 +133,13 @@ def test_null_model_takes_the_whole_series(spark, monkeypatch):
     assert all(made[i].mean_corr == pytest.approx(m, abs=1e-6) and made[i].h1_count == k for i, (m, k) in enumerate(want))
     null = np.array([k for _, k in want[1:]], float)
     (h,) = sq.h10(spark, "").collect()
-    z = (want[0][1] - null.mean()) / max(null.std(), 0.1)
-    assert h.h1_count == want[0][1] and h.z == pytest.approx(z, abs=1e-6)
-    assert h.label == ("significant" if abs(z) > 1.96 else "not significant")
+    assert h.h1_count == want[0][1] and h.z_loops == pytest.approx((want[0][1] - null.mean()) / max(null.std(), 0.1), abs=1e-5)
+    real, cv = made[0].h1_cv, [made[i].h1_cv for i in range(1, 100) if made[i].h1_cv is not None]
+    assert real is not None and h.cv == real and h.cv_mean == pytest.approx(np.mean(cv), abs=1e-5)
+    z = (real - np.mean(cv)) / np.std(cv)
+    p = K.normal_two_sided(z)
+    assert h.z == pytest.approx(z, abs=1e-4) == h.cohens_d and h.p == pytest.approx(p, abs=1e-5)
+    assert h.label == ("No signal" if p >= 0.05 else "Signal confirmed" if z < 0 else "Heterogeneity issue")
 
 
 def test_every_asset_has_its_place(spark, monkeypatch):
@@ -159,9 +163,9 @@ def test_resamples_trees_and_rounds_are_the_references(spark, monkeypatch):
     rng = np.random.default_rng(9)
     f = pd.DataFrame({"grp": "g", "ts": range(40), "mean_corr": rng.uniform(-0.2, 0.2, 40), "r": rng.normal(size=40)})
     monkeypatch.setattr(sq, "rho_ret", lambda s, d: spark.createDataFrame(f).coalesce(1))
-    x, y, gen, best = f["mean_corr"].to_numpy(), f["r"].to_numpy(), np.random.default_rng([42, *b"g"]), []
-    for _ in range(1000):
-        i = gen.integers(0, 40, 40)
+    x, y, best = f["mean_corr"].to_numpy(), f["r"].to_numpy(), []
+    for rep in range(1000):
+        i = np.random.default_rng([42, rep, *b"g"]).integers(0, 40, 40)
         rss = []
         for k in range(16):
             a = np.column_stack([np.ones(40), x[i], np.maximum(0, x[i] + 0.15 - 0.02 * k)])
@@ -170,3 +174,187 @@ def test_resamples_trees_and_rounds_are_the_references(spark, monkeypatch):
         best.append(-0.15 + 0.02 * int(np.argmin(rss)))
     (h,) = sq.h06(spark, "").collect()
     assert h.mean == pytest.approx(np.mean(best), abs=1e-6) and h.std == pytest.approx(np.std(best), abs=1e-6)
+    assert (h.low, h.high) == pytest.approx(tuple(np.percentile(best, [2.5, 97.5])), abs=1e-6)
+
+
+def test_newey_west_is_numpy(spark):
+    import pandas as pd
+
+    from tessera.operators import regression as G
+
+    rng = np.random.default_rng(3)
+    parts = []
+    for g in "ab":
+        x = rng.normal(size=(120, 3)) * [1.0, 1e-3, 10.0] + [0.0, 0.02, 5.0]
+        e = np.convolve(rng.normal(size=124), [1, 0.6, 0.3, 0.2, 0.1], "valid")
+        parts.append(pd.DataFrame({"grp": g, "ts": range(120), "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "y": x @ [0.5, 30.0, -0.1] + e}))
+    f = pd.concat(parts)
+    made = {r.grp: r for r in G.newey_west(spark.createDataFrame(f).repartition(3), "y", ["x0", "x1", "x2"]).collect()}
+    for g, own in f.groupby("grp"):
+        x = np.column_stack([np.ones(len(own)), own[["x0", "x1", "x2"]]])
+        y, inv = own["y"].to_numpy(), np.linalg.inv(x.T @ x)
+        b = inv @ x.T @ y
+        u = (y - x @ b)[:, None] * x
+        m = u.T @ u
+        for lag in range(1, 6):
+            c = u[lag:].T @ u[:-lag]
+            m += (1 - lag / 6) * (c + c.T)
+        assert np.allclose(made[g].beta, b) and np.allclose(made[g].t, b / np.sqrt(np.diag(inv @ m @ inv)), rtol=1e-6)
+        assert made[g].r2 == pytest.approx(1 - ((y - x @ b) ** 2).sum() / ((y - y.mean()) ** 2).sum()) and made[g].n == 120
+
+
+def test_two_regressors_are_least_squares(spark):
+    from tessera.operators import regression as G
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=80)
+    y = 1 + 2 * x - x**2 + rng.normal(size=80)
+    d = spark.createDataFrame([(float(a), float(a * a), 3.0 * float(a) + 1, float(b)) for a, b in zip(x, y, strict=True)], "x double, z double, line double, y double")
+    r = d.agg(*[c.alias(k) for k, c in G.two_regressors("x", "z", "y").items()]).first()
+    a = np.column_stack([np.ones(80), x, x * x])
+    b, *_ = np.linalg.lstsq(a, y, rcond=None)
+    assert np.allclose([r.b0, r.bx, r.bz], b) and r.rss == pytest.approx(((y - a @ b) ** 2).sum())
+    r = d.agg(*[c.alias(k) for k, c in G.two_regressors("x", "line", "y").items()]).first()  # collinear
+    assert r.bz == 0 and r.bx == pytest.approx(np.polyfit(x, y, 1)[0])
+
+
+def test_expanding_quantile_is_numpy(spark):
+    from tessera.operators import rolling as R
+
+    rng = np.random.default_rng(8)
+    x = [None if i % 11 == 5 else float(v) for i, v in enumerate(rng.normal(size=200))]
+    rows = [(g, i, v) for g in "ab" for i, v in enumerate(x)]
+    made = R.expanding_quantile(spark.createDataFrame(rows, "grp string, t_idx int, x double").repartition(5), "x", 0.75, "q", least=20).collect()
+    assert len(made) == 400
+    for r in made:
+        seen = [v for v in x[: r.t_idx + 1] if v is not None]
+        assert r.q is None if len(seen) < 20 else r.q == pytest.approx(np.percentile(seen, 75))
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_rolling_and_strided_correlations_are_numpy(spark, inclusive):
+    from tessera.operators import network as N
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 3)) + 5
+    x[20:60, 1] = 7.0  # constant for longer than the window
+    rets = spark.createDataFrame([("g", "abc"[k], i, i, float(x[i, k])) for i in range(90) for k in range(3)], "grp string, asset string, ts int, t_idx int, r double")
+    made = {(r.t_idx, r.a, r.b): r.rho for r in N.rolling_corr(rets, 15, inclusive).collect()}
+    assert len(made) == 3 * (90 - 15 + inclusive)
+    for (t, a, b), rho in made.items():
+        w = x[t - 15 + inclusive : t + inclusive][:, ["abc".index(a), "abc".index(b)]]
+        assert rho is None if w.std(axis=0).min() < 1e-12 else rho == pytest.approx(np.corrcoef(w.T)[0, 1], abs=1e-9)
+    if not inclusive:
+        kept = {(r.t_idx, r.a, r.b): r.rho for r in N.strided_corr(rets, 15, 10).collect()}
+        assert set(kept) == {k for k in made if (k[0] - 15) % 10 == 0}
+        assert all(made[k] is None and v is None or v == pytest.approx(made[k], abs=1e-9) for k, v in kept.items())
+
+
+def test_fetch_tries_again_and_tells_what_failed(spark):
+    from tessera.sources.panel import fetch
+
+    asked = []
+
+    def read(asset):
+        asked.append(asset)
+        if asset == "bad" or asset == "late" and asked.count("late") < 3:
+            raise OSError(asset)
+        return spark.range(0 if asset == "none" else 2)
+
+    got, failed = fetch(read, ["a", "bad", "late", "none"])
+    assert got.count() == 4 and failed == ["bad", "none"] and asked.count("bad") == 3 == asked.count("late")
+
+
+def test_ranks_by_buckets_give_the_area(spark):
+    from tessera.plans import model_queries as mq
+
+    rng = np.random.default_rng(6)
+    score = np.r_[np.round(rng.random(150), 2), rng.normal(size=50) * 1e3]
+    y = (rng.random(200) < 0.5).astype(int)
+    rows = [(float(a), int(a > 0.5), int(b), float(rng.normal())) for a, b in zip(score, y, strict=True)]
+    got = mq.measures(spark.createDataFrame(rows, "score double, predicted int, target int, next_ret double")).first()
+    pos, neg = score[y == 1], score[y == 0]
+    assert got.auc == pytest.approx(np.mean([(p > neg).mean() + (p == neg).mean() / 2 for p in pos]), abs=1e-6)
+
+
+@pytest.fixture()
+def own_panel(monkeypatch):
+    """A panel of the test's own in place of the tables: folder "" is the panel, "later" has other prices at the end."""
+    import pandas as pd
+
+    from tessera.plans import panel_queries as pq
+    from tessera.sources import panel as P
+
+    rng = np.random.default_rng(11)
+    dates = pd.date_range("1997-01-06", periods=150, freq="W-MON")
+    r = rng.normal(0, 0.1, (150, 7)) + rng.normal(0, 0.05, (150, 1))
+    other = r.copy()
+    other[130:] = rng.normal(0, 0.3, (20, 7))
+
+    def made(s, d, unit="week"):
+        px = 100 * np.exp(np.cumsum(other if d == "later" else r, axis=0))
+        rows = [("g", "abcdefg"[k], dates[i].to_pydatetime(), float(px[i, k])) for i in range(150) for k in range(7)]
+        return s.createDataFrame(rows, "grp string, asset string, ts timestamp_ntz, px double")
+
+    monkeypatch.setattr(P, "ship_brand", made)
+    pq.release()
+    yield dates[130].to_pydatetime()
+    pq.release()
+
+
+def test_strategies_do_not_look_ahead(spark, own_panel):
+    from tessera.plans import strategy_queries as sq
+
+    names = ("x01", "x02", "x05", "x09", "x11", "x13")
+    runs = []
+    for d in ("", "later"):
+        runs.append({n: {tuple(r)[:2]: tuple(r)[2:] for r in getattr(sq, n)(spark, d).collect()} for n in names})
+    for n in names:
+        before = [{k: v for k, v in run[n].items() if k[1] < own_panel} for run in runs]
+        assert before[0] and before[0] == before[1], n
+    assert sum(runs[0][n] != runs[1][n] for n in names) >= 3  # the rows after the change do differ
+
+
+def test_topology_queries_agree_with_their_bars(spark, own_panel):
+    from tessera.plans import network_queries as nq
+
+    by = lambda q: {r.ts: r for r in q.collect()}
+    bars = {}
+    for r in nq.t14(spark, "").collect():
+        bars.setdefault(r.ts, []).append(r)
+    t02, t05, t06, t07, t10, t18 = (by(q(spark, "")) for q in (nq.t02, nq.t05_lifetimes, nq.t06, nq.t07, nq.t10, nq.t18))
+    c13, c14, spectrum = (by(q(spark, "")) for q in (nq.c13, nq.c14, nq.c15_spectrum))
+    corr = {}
+    for r in nq.c01(spark, "").collect():
+        corr.setdefault(r.ts, np.eye(7))[["abcdefg".index(r.a), "abcdefg".index(r.b)], ["abcdefg".index(r.b), "abcdefg".index(r.a)]] = r.rho
+    assert len(bars) == len(corr) == 89
+    for ts, own in bars.items():
+        life = np.array([r.life for r in own if r.dim == 1 and r.death is not None])
+        assert t05[ts].h1_count == len(life) and t05[ts].h1_total == pytest.approx(life.sum(), abs=1e-5)
+        if len(life) and life.mean() > 1e-4:
+            assert t06[ts].h1_cv == pytest.approx(life.std() / life.mean(), abs=0.02)
+        if len(life) > 1 and life.min() > 1e-4:
+            share = life / life.sum()
+            assert t07[ts].h1_entropy == pytest.approx(-(share * np.log(share)).sum() / np.log(len(life)), abs=1e-2)
+        assert t10[ts].h1_count == (life > 0.1).sum()
+        short = [r for r in own if r.dim == 1 and r.birth <= 1.35]
+        assert t02[ts].h1_count + t02[ts].h1_essential == len(short)
+        assert t18[ts].h0_total == pytest.approx(sum(r.death for r in own if r.dim == 0 and r.death is not None), abs=1e-4)
+        e = np.sort(np.linalg.eigvalsh(corr[ts]))[::-1]
+        assert spectrum[ts].corr_lambda1 == pytest.approx(e[0], abs=1e-4)
+        lap = np.sort(np.linalg.eigvalsh(K.laplacian(corr[ts], nq.TAU)))
+        assert c14[ts].lap_lambda1 == pytest.approx(K.spectrum(corr[ts], nq.TAU)["lap_lambda1"], abs=1e-4) and lap.min() > -1e-9
+        assert c13[ts].fiedler == pytest.approx(K.spectrum(corr[ts], nq.TAU)["fiedler"], abs=1e-4)
+
+
+def test_embedding_and_repair_keep_what_they_promise():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    bad = np.full((6, 6), -0.5) + 1.5 * np.eye(6)
+    fixed = K.nearest_correlation(bad, 0.01)
+    assert np.allclose(np.diag(fixed), 1) and np.linalg.eigvalsh(fixed).min() > 0 and np.allclose(fixed, fixed.T)
+    c = 1 - d**2 / 2 / d.max() ** 2  # distances that three dimensions hold
+    y = K.mds(c)
+    e = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    assert np.allclose(e, K.distances(c), atol=1e-6)
