@@ -56,10 +56,13 @@ def newey_west(df: DataFrame, y: str, xs: list[str], lags: int = 5, key: str = "
     u = F.col("y") - F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = d.join(solved.select("key", "beta"), "key").select("key", "at", F.transform("x", lambda v: v * u).alias("s"))
     w = Window.partitionBy("key").orderBy("at")
-    before = [F.when(F.lag("s", lag).over(w).isNotNull(), F.transform(F.lag("s", lag).over(w), lambda v, c=1 - lag / (lags + 1): v * c)) for lag in range(1, lags + 1)]
-    own = F.transform("s", lambda v: v * 0.5)
-    v = own
-    for b in before:
+
+    def weighted(lag: int, weight: float) -> Column:
+        return F.transform(F.lag("s", lag).over(w), lambda v: v * weight)
+
+    v = F.transform("s", lambda x: x * 0.5)
+    for lag in range(1, lags + 1):
+        b = weighted(lag, 1 - lag / (lags + 1))
         v = F.when(b.isNotNull(), F.zip_with(v, b, lambda p, q: p + q)).otherwise(v)
     meat = scored.withColumn("v", v).groupBy("key").agg(F.array(*[F.sum(F.col("s")[i] * F.col("v")[j] + F.col("v")[i] * F.col("s")[j]) for i, j in upper]).alias("meat"))
 

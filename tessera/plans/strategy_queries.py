@@ -668,7 +668,7 @@ def x14(s, d):
 @q("x15")
 def x15(s, d):
     """Every strategy of a group on the dates common to all: performance, improvement over holding, correlation with it."""
-    parts = {"hold": ew(s, d).select("grp", "ts", "t_idx", "r"), "laplacian": laplacian_plain(s, d), "fiedler": x02(s, d), "volatility": x03(s, d), "beta_spread": x05(s, d), "reversion": x07(s, d), "hybrid": x08(s, d), "adaptive": x09(s, d)}
+    parts = {"hold": ew(s, d).select("grp", "ts", "t_idx", "r"), "laplacian": laplacian_plain(s, d), "fiedler": x02(s, d), "volatility": x03(s, d), "beta_spread": x05(s, d), "reversion": x07(s, d)}
     wide = None
     for name, x in parts.items():
         one = x.select("grp", "ts", *(["t_idx"] if name == "hold" else []), F.col("r").alias(name))
