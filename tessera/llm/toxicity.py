@@ -175,9 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     The labels are sampled before they meet the texts: about SAMPLE_TOXIC + SAMPLE_ORDINARY rows by a hash of the id, a
     bound that lets them be broadcast, so the texts are not shuffled. An id that stands in several labels counts as its
-    largest, one that stands in several documents as one of them. Texts of any length take part: passages of them reach
-    the driver for the dictionaries, and the executors measure the whole texts for the curve, each with dictionaries of
-    the other FOLDS - 1 parts of the sample. The curve is weighted to the labels' frequencies; the dictionaries in use
+    largest, one that stands in several documents as one of them. Texts of any length take part: a task for each part of
+    the sample trains the dictionaries of the other FOLDS - 1 parts on passages, one more those of all, and the whole
+    texts are measured with the dictionaries that have not seen them. The driver gets the dictionaries and the
+    measurements, a row for each sampled text. The curve is weighted to the labels' frequencies; the dictionaries in use
     are those of the whole sample. Without labels of both kinds the score is the share of toxic ones.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("y in (0, 1) and id is not null")
@@ -190,12 +191,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.length("t") > 0)
     joined = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
     rows = cut(joined.select("t", "y", F.pmod(F.xxhash64("t"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
-    seen = rows.select(_passages(F.col("t"), F.xxhash64("t")).alias("t"), "y", "fold").toArrow().to_pylist()
-    seen.sort(key=lambda r: (r["y"], r["t"]))
-    if len({r["y"] for r in seen}) < 2:  # no texts for one of the labels
-        forget(rows)
-        return CompressionDistance.constant(sizes[1] / (sizes[0] + sizes[1]))
-    own = rows.sparkSession.sparkContext.broadcast([dictionaries([r for r in seen if r["fold"] != fold]) for fold in range(FOLDS)])
+    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: m != F.col("fold"))).alias("model")  # FOLDS: of the whole sample
+
+    def fit(seen: pa.Table) -> pa.Table:
+        known = sorted(seen.select(["y", "t"]).to_pylist(), key=lambda r: (r["y"], r["t"]))
+        made = dictionaries(known)
+        return pa.table({"model": pa.array(seen.column("model").to_pylist()[:1], pa.int32()), "ordinary": [made.ordinary], "toxic": [made.toxic]})
+
+    seen = rows.select(_passages(F.col("t"), F.xxhash64("t")).alias("t"), "y", models)
+    found = {r["model"]: r for r in seen.groupBy("model").applyInArrow(fit, "model int, ordinary binary, toxic binary").collect()}
+    by_fold = [CompressionDistance(*((bytes(found[m]["ordinary"]), bytes(found[m]["toxic"])) if m in found else (b"", b""))) for m in range(FOLDS + 1)]
+    own = rows.sparkSession.sparkContext.broadcast(by_fold[:FOLDS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +210,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
     measured = rows.repartition(4 * cores).mapInArrow(measure, "y int, x array<double>").toArrow()
+    forget(rows)
     y, x = np.array(measured.column("y").to_pylist()), np.array(measured.column("x").to_pylist())
+    if len(set(y.tolist())) < 2:  # no texts for one of the labels
+        return CompressionDistance.constant(sizes[1] / (sizes[0] + sizes[1]))
     order = np.lexsort((*x.T, y))
     y, x = y[order], x[order]
-    forget(rows)
-    made = dictionaries(seen)
+    made = by_fold[FOLDS]
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
     made.fit(x, y, weight * len(y) / weight.sum())
     return made
