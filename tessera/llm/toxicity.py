@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         made = dictionaries(known)
         return pa.table({"model": pa.array(seen.column("model").to_pylist()[:1], pa.int32()), "ordinary": [made.ordinary], "toxic": [made.toxic]})
 
-    seen = rows.select(_passages(F.col("t"), F.xxhash64("t")).alias("t"), "y", models)
+    seen = rows.select(_passages(F.col("t"), F.xxhash64("t")).alias("t"), "y", "fold").select("t", "y", models)
     found = {r["model"]: r for r in seen.groupBy("model").applyInArrow(fit, "model int, ordinary binary, toxic binary").collect()}
     by_fold = [CompressionDistance(*((bytes(found[m]["ordinary"]), bytes(found[m]["toxic"])) if m in found else (b"", b""))) for m in range(FOLDS + 1)]
     own = rows.sparkSession.sparkContext.broadcast(by_fold[:FOLDS])
