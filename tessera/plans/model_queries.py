@@ -93,10 +93,16 @@ def s09(s, d):
 
 
 COSTS = (0, 5, 15, 25)
-_TABLE31 = RET + POS + ", n AS (SELECT grp, bps, (avg(pnl) * 252 - sum(step) * bps / 1e4 / (count(pnl) / 252.0)) / (stddev_samp(pnl) * sqrt(252)) AS s FROM st, (SELECT unnest([0, 5, 15, 25]) AS bps) GROUP BY 1, 2), t AS (SELECT grp, sum(step) / (count(*) / 252.0) * 100 AS turn FROM st GROUP BY 1)"
+_TABLE31 = (
+    RET + POS + ", n AS (SELECT grp, bps, (avg(pnl) * 252 - sum(step) * bps / 1e4 / (count(pnl) / 252.0)) / (stddev_samp(pnl) * sqrt(252)) AS s"
+    " FROM st, (SELECT unnest([0, 5, 15, 25]) AS bps) GROUP BY 1, 2), t AS (SELECT grp, sum(step) / (count(*) / 252.0) * 100 AS turn"
+    " FROM st GROUP BY 1)"
+)
 
 
-@q("s10", _TABLE31 + " SELECT t.grp, printf('%-15s %10.0f %+8.2f %+8.2f %+8.2f %+8.2f', t.grp, turn, max(s) FILTER (WHERE bps = 0), max(s) FILTER (WHERE bps = 5), max(s) FILTER (WHERE bps = 15), max(s) FILTER (WHERE bps = 25)) AS line FROM t JOIN n USING (grp) GROUP BY t.grp, turn")
+@q("s10", _TABLE31 + " SELECT t.grp, printf('%-15s %10.0f %+8.2f %+8.2f %+8.2f %+8.2f', t.grp, turn, max(s) FILTER (WHERE bps = 0),"
+    " max(s) FILTER (WHERE bps = 5), max(s) FILTER (WHERE bps = 15), max(s) FILTER (WHERE bps = 25)) AS line FROM t JOIN n USING (grp)"
+    " GROUP BY t.grp, turn")
 def s10(s, d):
     """Lines of the cost table: yearly turnover in percent, Sharpe ratios before costs and at 5, 15 and 25 basis points."""
     x = held(s, d).groupBy("grp").agg((F.sum("step") / (F.count("*") / 252) * 100).alias("turn"), *[F.try_divide(F.avg("pnl") * 252 - F.sum("step") * c / 1e4 / (F.count("pnl") / 252), F.stddev_samp("pnl") * F.sqrt(F.lit(252.0))).alias(f"s{c}") for c in COSTS])
@@ -117,7 +123,8 @@ def s10_performance(s, d):
 _TABLE30 = RET + EW + ", h AS (SELECT grp, ts <= TIMESTAMP '1998-12-31' AS early, avg(r) / stddev_samp(r) * sqrt(252) AS s FROM ew GROUP BY 1, 2)"
 
 
-@q("s10_periods", _TABLE30 + " SELECT grp, printf('%-15s', grp) || coalesce(printf('%+8.2f', max(s) FILTER (WHERE early)), '     ---') || coalesce(printf('%+8.2f', max(s) FILTER (WHERE NOT early)), '     ---') AS line FROM h GROUP BY grp")
+@q("s10_periods", _TABLE30 + " SELECT grp, printf('%-15s', grp) || coalesce(printf('%+8.2f', max(s) FILTER (WHERE early)), '     ---') ||"
+    " coalesce(printf('%+8.2f', max(s) FILTER (WHERE NOT early)), '     ---') AS line FROM h GROUP BY grp")
 def s10_periods(s, d):
     """Lines of the table of two periods; a period without the group shows dashes."""
     x = ew(s, d).groupBy("grp", train().alias("early")).agg(sharpe().alias("s"))
@@ -205,7 +212,10 @@ def g04(s, d):
     return days.withColumn("asset", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("t_idx", "asset", (F.col("m") + 0.01 * normal(F.col("t_idx") * 10 + F.col("asset"), 43)).alias("r"))
 
 
-@q("g05", RET + EW + ", b AS (SELECT grp, ts, r + CASE WHEN ts BETWEEN TIMESTAMP '1996-02-01' AND TIMESTAMP '1996-04-01' THEN 0.5 WHEN ts BETWEEN TIMESTAMP '1999-03-01' AND TIMESTAMP '1999-03-31' THEN 0.35 ELSE 0 END AS x FROM ew) SELECT grp, ts, round(greatest(0, (x - avg(x) OVER (PARTITION BY grp)) / stddev_samp(x) OVER (PARTITION BY grp) * 0.15 + 0.45), 6) AS v FROM b")
+@q("g05", RET + EW + ", b AS (SELECT grp, ts, r + CASE WHEN ts BETWEEN TIMESTAMP '1996-02-01'"
+    " AND TIMESTAMP '1996-04-01' THEN 0.5 WHEN ts BETWEEN TIMESTAMP '1999-03-01' AND TIMESTAMP '1999-03-31' THEN 0.35 ELSE 0 END AS x"
+    " FROM ew) SELECT grp, ts, round(greatest(0, (x - avg(x) OVER (PARTITION BY grp)) / stddev_samp(x)"
+    " OVER (PARTITION BY grp) * 0.15 + 0.45), 6) AS v FROM b")
 def g05(s, d):
     """A series with bumps in two crisis windows, scaled to mean 0.45 and deviation 0.15, then cut at 0."""
     w = Window.partitionBy("grp")
@@ -241,7 +251,11 @@ def split(s, d):
 
 
 #: Rows of the data set; the spectra exist wherever the correlations do.
-_DATASET_SQL = base(upto="corr") + FEATURES + EW + RV + ", nx AS (SELECT grp, ts, lead(r) OVER (PARTITION BY grp ORDER BY t_idx) AS next_ret FROM ew), ds AS (SELECT f.grp, f.ts FROM feat f JOIN rv ON f.grp = rv.grp AND f.ts = rv.ts JOIN nx ON f.grp = nx.grp AND f.ts = nx.ts WHERE next_ret IS NOT NULL AND mean_corr IS NOT NULL AND std_corr IS NOT NULL AND rv IS NOT NULL)"
+_DATASET_SQL = (
+    base(upto="corr") + FEATURES + EW + RV + ", nx AS (SELECT grp, ts, lead(r) OVER (PARTITION BY grp ORDER BY t_idx) AS next_ret FROM ew), ds AS (SELECT f.grp, f.ts"
+    " FROM feat f JOIN rv ON f.grp = rv.grp AND f.ts = rv.ts JOIN nx ON f.grp = nx.grp AND f.ts = nx.ts WHERE next_ret IS NOT NULL"
+    " AND mean_corr IS NOT NULL AND std_corr IS NOT NULL AND rv IS NOT NULL)"
+)
 
 
 @q("m01")
@@ -336,7 +350,8 @@ def m09(s, d):
     return out.unionByName(measures(rule).withColumn("model", F.lit("threshold")))
 
 
-@q("u01", RET + EW + " SELECT grp, ts, CASE WHEN count(r) OVER w >= 20 THEN round(max(r) OVER w - min(r) OVER w, 6) END AS spread FROM ew WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS 19 PRECEDING)")
+@q("u01", RET + EW + " SELECT grp, ts, CASE WHEN count(r) OVER w >= 20 THEN round(max(r) OVER w - min(r) OVER w, 6) END AS spread"
+    " FROM ew WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS 19 PRECEDING)")
 def u01(s, d):
     """A function of the caller's own over each rolling window, as an aggregate over the collected frame."""
     w = R.past(20)

@@ -76,7 +76,10 @@ def c07(s, d):
 
 ADJ = f", e AS (SELECT grp, ts, a, b, rho FROM corr WHERE rho > {TAU} UNION ALL SELECT grp, ts, b, a, rho FROM corr WHERE rho > {TAU})"
 DEG = ADJ + ", deg AS (SELECT grp, ts, a, sum(rho) AS deg FROM e GROUP BY 1, 2, 3)"
-LAP = DEG + ", lap AS (SELECT e.grp, e.ts, e.a, e.b, -rho / sqrt(x.deg * y.deg) AS l FROM e JOIN deg x ON e.grp = x.grp AND e.ts = x.ts AND e.a = x.a JOIN deg y ON e.grp = y.grp AND e.ts = y.ts AND e.b = y.a)"
+LAP = (
+    DEG + ", lap AS (SELECT e.grp, e.ts, e.a, e.b, -rho / sqrt(x.deg * y.deg) AS l FROM e JOIN deg x ON e.grp = x.grp AND e.ts = x.ts"
+    " AND e.a = x.a JOIN deg y ON e.grp = y.grp AND e.ts = y.ts AND e.b = y.a)"
+)
 
 
 @q("c08", COR + ADJ + " SELECT grp, ts, a, b, round(rho, 6) AS w FROM e")
@@ -84,7 +87,9 @@ def c08(s, d):
     return N.both_ways(corr(s, d), "rho").filter(F.col("rho") > TAU).select("grp", "ts", "a", "b", r6("w", F.col("rho")))
 
 
-@q("c09", COR + DEG + ", node AS (SELECT grp, ts, a FROM corr UNION SELECT grp, ts, b FROM corr) SELECT n.grp, n.ts, n.a, round(coalesce(deg, 0), 6) AS deg, CASE WHEN deg IS NULL THEN 1.0 ELSE round(deg, 6) END AS safe FROM node n LEFT JOIN deg d ON n.grp = d.grp AND n.ts = d.ts AND n.a = d.a")
+@q("c09", COR + DEG + ", node AS (SELECT grp, ts, a FROM corr UNION SELECT grp, ts, b FROM corr) SELECT n.grp, n.ts, n.a, round(coalesce(deg, 0)"
+    ", 6) AS deg, CASE WHEN deg IS NULL THEN 1.0 ELSE round(deg, 6) END AS safe FROM node n LEFT JOIN deg d ON n.grp = d.grp"
+    " AND n.ts = d.ts AND n.a = d.a")
 def c09(s, d):
     return N.degrees(corr(s, d), TAU).select("grp", "ts", "a", r6("deg"), F.when(F.col("deg") == 0, 1.0).otherwise(F.round("deg", 6)).alias("safe"))
 
@@ -142,10 +147,14 @@ def c16(s, d):
     return S.mds_coordinates(vectors(s, d)).select("grp", "ts", "asset", *[r6(c) for c in "xyz"])
 
 
-THR = ", th AS (SELECT k, 0.1 + 0.8 * k / 19 AS t FROM range(20) v(k)), last AS (SELECT grp, max(ts) AS ts FROM corr GROUP BY grp), c AS (SELECT corr.* FROM corr JOIN last ON corr.grp = last.grp AND corr.ts = last.ts)"
+THR = (
+    ", th AS (SELECT k, 0.1 + 0.8 * k / 19 AS t FROM range(20) v(k)), last AS (SELECT grp, max(ts) AS ts FROM corr GROUP BY grp)"
+    ", c AS (SELECT corr.* FROM corr JOIN last ON corr.grp = last.grp AND corr.ts = last.ts)"
+)
 
 
-@q("c17", COR + THR + " SELECT grp, k::INT AS k, sum((rho > t)::INT)::BIGINT AS edges, greatest(0, sum((rho > t)::INT) - ((1 + sqrt(1 + 8 * count(*))) / 2)::INT + 1)::BIGINT AS loops FROM c, th GROUP BY 1, 2")
+@q("c17", COR + THR + " SELECT grp, k::INT AS k, sum((rho > t)::INT)::BIGINT AS edges, greatest(0, sum((rho > t)::INT) - ((1 + sqrt(1 + 8 *"
+    " count(*))) / 2)::INT + 1)::BIGINT AS loops FROM c, th GROUP BY 1, 2")
 def c17(s, d):
     c = corr(s, d)
     last = c.join(c.groupBy("grp").agg(F.max("ts").alias("ts")), ["grp", "ts"], "left_semi")
@@ -155,13 +164,16 @@ def c17(s, d):
     return last.withColumn("s", steps).groupBy("grp", F.col("s.k").alias("k")).agg(e.alias("edges"), F.greatest(F.lit(0), e - n + 1).alias("loops"))
 
 
-@q("c18", COR + ", s AS (SELECT grp, ts, a, rho FROM corr UNION ALL SELECT grp, ts, b, rho FROM corr), m AS (SELECT grp, ts, a, (1 + sum(rho)) / (count(*) + 1) AS m FROM s GROUP BY 1, 2, 3) SELECT grp, ts, a, round(m, 6) AS m, CASE WHEN m > 0.3 THEN 'high' WHEN m > 0.2 THEN 'mid' ELSE 'low' END AS bucket FROM m")
+@q("c18", COR + ", s AS (SELECT grp, ts, a, rho FROM corr UNION ALL SELECT grp, ts, b, rho FROM corr), m AS (SELECT grp, ts, a, (1 +"
+    " sum(rho)) / (count(*) + 1) AS m FROM s GROUP BY 1, 2, 3) SELECT grp, ts, a, round(m, 6) AS m,"
+    " CASE WHEN m > 0.3 THEN 'high' WHEN m > 0.2 THEN 'mid' ELSE 'low' END AS bucket FROM m")
 def c18(s, d):
     m = N.both_ways(corr(s, d), "rho").groupBy("grp", "ts", "a").agg(((1 + F.sum("rho")) / (F.count("*") + 1)).alias("m"))
     return m.select("grp", "ts", "a", r6("m"), F.when(F.col("m") > 0.3, "high").when(F.col("m") > 0.2, "mid").otherwise("low").alias("bucket"))
 
 
-@q("c19", RET + ", n AS (SELECT grp, count(DISTINCT asset) AS n FROM ret GROUP BY grp) SELECT grp, round((1 - sqrt(n / 60.0)) ** 2, 6) AS low, round((1 + sqrt(n / 60.0)) ** 2, 6) AS high FROM n")
+@q("c19", RET + ", n AS (SELECT grp, count(DISTINCT asset) AS n FROM ret GROUP BY grp) SELECT grp, round((1 - sqrt(n / 60.0)) ** 2, 6) AS low,"
+    " round((1 + sqrt(n / 60.0)) ** 2, 6) AS high FROM n")
 def c19(s, d):
     root = F.sqrt(F.count_distinct("asset") / 60)
     return ret(s, d).groupBy("grp").agg(r6("low", F.pow(1 - root, F.lit(2))), r6("high", F.pow(1 + root, F.lit(2))))
@@ -172,7 +184,9 @@ def c20(s, d):
     return S.repaired(vectors(s, d)).select("grp", "ts", F.transform("fixed", lambda x: F.round(x, 6)).cast("string").alias("fixed"))
 
 
-@q("c21", RET + ", e AS (SELECT grp, ts, avg(r) AS r FROM ret GROUP BY 1, 2), p AS (SELECT x.grp AS a, y.grp AS b, corr(x.r, y.r) AS rho FROM e x JOIN e y ON x.ts = y.ts AND x.grp < y.grp GROUP BY 1, 2) SELECT a, b, round(rho, 6) AS rho, round(avg(rho) OVER (), 6) AS mean_off, CASE WHEN rho < 0.5 THEN 'low' WHEN rho < 0.7 THEN 'moderate' ELSE 'high' END AS bucket FROM p")
+@q("c21", RET + ", e AS (SELECT grp, ts, avg(r) AS r FROM ret GROUP BY 1, 2), p AS (SELECT x.grp AS a, y.grp AS b, corr(x.r, y.r) AS rho FROM e x"
+    " JOIN e y ON x.ts = y.ts AND x.grp < y.grp GROUP BY 1, 2) SELECT a, b, round(rho, 6) AS rho, round(avg(rho) OVER ()"
+    ", 6) AS mean_off, CASE WHEN rho < 0.5 THEN 'low' WHEN rho < 0.7 THEN 'moderate' ELSE 'high' END AS bucket FROM p")
 def c21(s, d):
     e = ew(s, d).select(F.lit("all").alias("grp"), "ts", "t_idx", F.col("grp").alias("asset"), "r")
     p = whole_corr(e)
@@ -221,7 +235,8 @@ def t05(s, d):
     return h1(s, d).select("grp", "ts", "h1_count", F.greatest("h1_count", F.lit(1)).alias("h1_count_ref"))
 
 
-@q("t05_births", COR + H1 + MST.replace(DIST, "") + ", b AS (SELECT r.grp, r.ts, r.d FROM rng r WHERE NOT EXISTS (SELECT 1 FROM mst m WHERE m.grp = r.grp AND m.ts = r.ts AND m.a = r.a AND m.b = r.b)) SELECT grp, ts, count(*)::INT AS h1_count, round(sum(d), 6) AS births FROM b GROUP BY 1, 2")
+@q("t05_births", COR + H1 + MST.replace(DIST, "") + ", b AS (SELECT r.grp, r.ts, r.d FROM rng r WHERE NOT EXISTS (SELECT 1 FROM mst m WHERE m.grp = r.grp AND m.ts = r.ts AND m.a = r.a"
+    " AND m.b = r.b)) SELECT grp, ts, count(*)::INT AS h1_count, round(sum(d), 6) AS births FROM b GROUP BY 1, 2")
 def t05_births(s, d):
     return long_bars(s, d).filter("dim = 1").groupBy("grp", "ts").agg(F.count("*").cast("int").alias("h1_count"), r6("births", F.sum("birth")))
 
@@ -259,7 +274,8 @@ def t10(s, d):
     return long.groupBy("grp", "ts").agg(h0.alias("h0_count"), F.count(real).alias("h1_count"), r6("h1_mean", F.coalesce(F.avg(real), F.lit(0.0))), r6("h1_max", F.coalesce(F.max(real), F.lit(0.0))), r6("h1_std", F.coalesce(F.stddev_pop(real), F.lit(0.0))), r6("h1_cv", F.try_divide(F.stddev_pop(real), F.avg(real))))
 
 
-@q("t11", COR + H1 + ", c AS (SELECT grp, stddev_samp(h1_count) / avg(h1_count) AS cv FROM h1 GROUP BY 1) SELECT grp, round(cv, 6) AS cv, round(100 * (max(cv) OVER () - cv) / max(cv) OVER (), 6) AS better FROM c")
+@q("t11", COR + H1 + ", c AS (SELECT grp, stddev_samp(h1_count) / avg(h1_count) AS cv FROM h1 GROUP BY 1) SELECT grp, round(cv, 6) AS cv,"
+    " round(100 * (max(cv) OVER () - cv) / max(cv) OVER (), 6) AS better FROM c")
 def t11(s, d):
     c = h1(s, d).groupBy("grp").agg(F.try_divide(F.stddev_samp("h1_count"), F.avg("h1_count")).alias("cv"))
     top = F.max("cv").over(Window.partitionBy(F.lit(0)))

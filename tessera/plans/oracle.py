@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 _BARS = {
-    "brand": "SELECT 'B' || ((regexp_extract(p_brand, '(\\d+)', 1)::INT - 1) // 5) AS grp, p_brand AS asset, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, avg(l_extendedprice) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
-    "type": "SELECT 'ALL' AS grp, p_type AS asset, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, avg(l_extendedprice) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
-    "nation": "SELECT r_name AS grp, n_name AS asset, date_trunc('{unit}', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS px FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3",
+    "brand": "SELECT 'B' || ((regexp_extract(p_brand, '(\\d+)', 1)::INT - 1) // 5) AS grp, p_brand AS asset, date_trunc('{unit}'"
+        ", l_shipdate)::TIMESTAMP AS ts, avg(l_extendedprice) AS px FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
+    "type": "SELECT 'ALL' AS grp, p_type AS asset, date_trunc('{unit}', l_shipdate)::TIMESTAMP AS ts, avg(l_extendedprice) AS px FROM lineitem"
+        " JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
+    "nation": "SELECT r_name AS grp, n_name AS asset, date_trunc('{unit}', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) AS px FROM orders"
+        " JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+        " GROUP BY 1, 2, 3",
 }
 
 _CLEAN = """
@@ -41,7 +45,10 @@ def base(panel: str = "brand", unit: str = "week", upto: str = "ret", inclusive:
 
 FEATURES = ",\nfeat AS (SELECT grp, ts, t_idx, avg(rho) AS mean_corr, stddev_pop(rho) AS std_corr FROM corr GROUP BY grp, ts, t_idx)"
 EW = ",\new AS (SELECT grp, ts, t_idx, avg(r) AS r FROM ret GROUP BY grp, ts, t_idx)"
-DIST = ",\ndist AS (SELECT grp, ts, a, b, sqrt(greatest(0.0, 2 * (1 - rho))) AS d FROM corr), sym AS (SELECT grp, ts, a, b, d FROM dist UNION ALL SELECT grp, ts, b, a, d FROM dist)"
+DIST = (
+    ",\ndist AS (SELECT grp, ts, a, b, sqrt(greatest(0.0, 2 * (1 - rho))) AS d FROM corr), sym AS (SELECT grp, ts, a, b, d FROM dist"
+    " UNION ALL SELECT grp, ts, b, a, d FROM dist)"
+)
 H1 = (
     DIST
     + """,

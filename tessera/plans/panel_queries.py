@@ -62,7 +62,10 @@ def s01(s, d):
     return raw(s, d).select("grp", "asset", "ts", r6("px", n=4))
 
 
-@q("s02", "WITH a AS (SELECT o_custkey % 5 AS asset, o_orderdate AS ts, o_totalprice AS px FROM orders), b AS (SELECT asset, date_trunc('month', ts)::TIMESTAMP AS ts, round(avg(px), 4) AS px, count(*) AS n, FALSE AS failed FROM a WHERE px IS NOT NULL GROUP BY 1, 2) SELECT * FROM b UNION ALL SELECT asset, NULL, NULL, 0, TRUE FROM (SELECT unnest(range(7)) AS asset) WHERE asset NOT IN (SELECT asset FROM b)")
+@q("s02", "WITH a AS (SELECT o_custkey % 5 AS asset, o_orderdate AS ts, o_totalprice AS px FROM orders), b AS (SELECT asset"
+    ", date_trunc('month', ts)::TIMESTAMP AS ts, round(avg(px), 4) AS px, count(*) AS n, FALSE AS failed FROM a WHERE px IS NOT NULL"
+    " GROUP BY 1, 2) SELECT * FROM b UNION ALL SELECT asset, NULL, NULL, 0, TRUE FROM (SELECT unnest(range(7)) AS asset)"
+    " WHERE asset NOT IN (SELECT asset FROM b)")
 def s02(s, d):
     """Seven assets are asked for one by one, three tries each; two are not there and are returned as failed."""
     o = P.table(s, d, "orders")
@@ -77,12 +80,16 @@ def s02(s, d):
     return out.unionByName(missing)
 
 
-@q("s03", "SELECT event_type AS asset, time_bucket(INTERVAL '5 minutes', ts)::TIMESTAMP AS ts, round(avg(value), 6) AS px, round(arg_max(value, (ts, event_id)), 6) AS last_px, count(*) AS n FROM events GROUP BY 1, 2")
+@q("s03", "SELECT event_type AS asset, time_bucket(INTERVAL '5 minutes', ts)::TIMESTAMP AS ts, round(avg(value), 6) AS px,"
+    " round(arg_max(value, (ts, event_id)), 6) AS last_px, count(*) AS n FROM events GROUP BY 1, 2")
 def s03(s, d):
     return P.event_bars(s, d, 5).select("asset", "ts", r6("px"), r6("last_px"), "n")
 
 
-@q("s05", "WITH f AS (SELECT date_trunc('week', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) AS mkt, avg(l_tax) AS smb FROM lineitem GROUP BY 1), m AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) / 1e6 AS umd FROM orders GROUP BY 1) SELECT f.ts, round(mkt / 100, 8) AS mkt, round(smb / 100, 8) AS smb, round(umd / 100, 8) AS umd FROM f JOIN m ON f.ts = m.ts")
+@q("s05", "WITH f AS (SELECT date_trunc('week', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) AS mkt, avg(l_tax) AS smb FROM lineitem"
+    " GROUP BY 1), m AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) / 1e6 AS umd FROM orders"
+    " GROUP BY 1) SELECT f.ts, round(mkt / 100, 8) AS mkt, round(smb / 100, 8) AS smb, round(umd / 100, 8) AS umd FROM f"
+    " JOIN m ON f.ts = m.ts")
 def s05(s, d):
     a, b = factors(s, d)
     return a.join(b, "ts").select("ts", *[r6(c, F.col(c) / 100, 8) for c in ("mkt", "smb", "umd")])
@@ -94,7 +101,8 @@ def factors(s, d):
     return a, b
 
 
-@q("s12", "SELECT DISTINCT 'B' || ((regexp_extract(p_brand, '(\\d+)', 1)::INT - 1) // 5) AS grp, p_brand AS asset, ((regexp_extract(p_brand, '(\\d+)', 1)::INT - 1) % 5)::INT AS ord FROM part")
+@q("s12", "SELECT DISTINCT 'B' || ((regexp_extract(p_brand, '(\\d+)', 1)::INT - 1) // 5) AS grp, p_brand AS asset, ((regexp_extract(p_brand"
+    ", '(\\d+)', 1)::INT - 1) % 5)::INT AS ord FROM part")
 def s12(s, d):
     n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") - 1
     return P.table(s, d, "part").select(F.concat(F.lit("B"), F.floor(n / 5).cast("string")).alias("grp"), F.col("p_brand").alias("asset"), (n % 5).cast("int").alias("ord")).distinct()
@@ -142,7 +150,8 @@ def p08(s, d):
     return ret(s, d).filter(train | (F.col("ts") >= F.lit("2000-01-01").cast("timestamp_ntz"))).select("grp", "asset", "ts", r6("r"), train.alias("train"))
 
 
-@q("p09", base("nation") + " SELECT grp, count(DISTINCT asset) AS assets, count(DISTINCT ts) AS dates FROM panel GROUP BY grp HAVING count(DISTINCT asset) >= 4 AND count(DISTINCT ts) >= 100")
+@q("p09", base("nation") + " SELECT grp, count(DISTINCT asset) AS assets, count(DISTINCT ts) AS dates FROM panel GROUP BY grp HAVING"
+    " count(DISTINCT asset) >= 4 AND count(DISTINCT ts) >= 100")
 def p09(s, d):
     return P.clean(P.nation(s, d)).groupBy("grp").agg(F.count_distinct("asset").alias("assets"), F.count_distinct("ts").alias("dates")).filter("assets >= 4 and dates >= 100")
 
@@ -154,7 +163,8 @@ def p10(s, d):
     return N.strided_corr(ret(s, d)).select("grp", "ts", "a", "b", r6("rho"))
 
 
-@q("p11", "WITH e AS (SELECT * FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 959), f AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 75) SELECT day, n FROM f")
+@q("p11", "WITH e AS (SELECT * FROM events WHERE hour(ts) * 60 + minute(ts) BETWEEN 570 AND 959), f AS (SELECT date_trunc('day'"
+    ", ts)::TIMESTAMP AS day, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 75) SELECT day, n FROM f")
 def p11(s, d):
     minute = F.hour("ts") * 60 + F.minute("ts")
     return P.table(s, d, "events").filter(minute.between(570, 959)).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n")).filter("n >= 75")
@@ -171,7 +181,8 @@ def p13(s, d):
     return ew(s, d).select("grp", "ts", r6("r"))
 
 
-@q("p14", "SELECT DISTINCT 'resid_' || lower(replace(p_brand, '#', '_')) AS label, string_split(p_type, ' ')[1] AS first_word, upper(p_brand[1:1]) || lower(p_brand[2:]) AS title FROM part")
+@q("p14", "SELECT DISTINCT 'resid_' || lower(replace(p_brand, '#', '_')) AS label, string_split(p_type, ' ')[1] AS first_word,"
+    " upper(p_brand[1:1]) || lower(p_brand[2:]) AS title FROM part")
 def p14(s, d):
     return P.table(s, d, "part").select(F.concat(F.lit("resid_"), F.lower(F.regexp_replace("p_brand", "#", "_"))).alias("label"), F.split("p_type", " ")[0].alias("first_word"), F.initcap("p_brand").alias("title")).distinct()
 
@@ -192,13 +203,15 @@ def corr(s, d, **k):
     return shared(f"corr{k}", s, d, lambda: N.rolling_corr(ret(s, d), **k))
 
 
-@q("p17", RET + " SELECT grp, asset, round(avg(r), 6) AS m, CASE WHEN avg(r) > 0.0005 THEN 'Success' WHEN avg(r) > 0 THEN 'Marginal' ELSE 'Failed' END AS label FROM ret GROUP BY 1, 2")
+@q("p17", RET + " SELECT grp, asset, round(avg(r), 6) AS m, CASE WHEN avg(r) > 0.0005 THEN 'Success' WHEN"
+    " avg(r) > 0 THEN 'Marginal' ELSE 'Failed' END AS label FROM ret GROUP BY 1, 2")
 def p17(s, d):
     m = F.col("m")
     return ret(s, d).groupBy("grp", "asset").agg(F.avg("r").alias("m")).select("grp", "asset", r6("m"), F.when(m > 0.0005, "Success").when(m > 0, "Marginal").otherwise("Failed").alias("label"))
 
 
-@q("p18", RET + ", v AS (SELECT grp, asset, stddev_samp(r) AS v FROM ret GROUP BY 1, 2) SELECT grp, asset, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS up, round(1 - (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS down FROM v")
+@q("p18", RET + ", v AS (SELECT grp, asset, stddev_samp(r) AS v FROM ret GROUP BY 1, 2) SELECT grp, asset, round((v - min(v) OVER ()) / (max(v)"
+    " OVER () - min(v) OVER ()), 6) AS up, round(1 - (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS down FROM v")
 def p18(s, d):
     v = ret(s, d).groupBy("grp", "asset").agg(F.stddev_samp("r").alias("v"))
     ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -231,12 +244,16 @@ def w03(s, d):
     return ew(s, d).select("grp", "ts", *[c for n in (20, 30, 60) for c in (r6(f"m{n}", R.rolling_mean(x, n)), r6(f"s{n}", R.rolling_std(x, n)))])
 
 
-@q("w04", RET + EW + " SELECT grp, ts, CASE WHEN count(r) OVER w >= 60 THEN round(quantile_cont(r, 0.75) OVER w, 6) END AS p75 FROM ew WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING)")
+@q("w04", RET + EW + " SELECT grp, ts, CASE WHEN count(r) OVER w >= 60 THEN round(quantile_cont(r, 0.75) OVER w, 6) END AS p75"
+    " FROM ew WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING)")
 def w04(s, d):
     return R.expanding_quantile(ew(s, d), "r", 0.75, "p75").select("grp", "ts", r6("p75"))
 
 
-CUM = EW + ", cum AS (SELECT grp, ts, t_idx, r, product(1 + r) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS cum FROM ew), dd AS (SELECT *, cum / max(cum) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM cum)"
+CUM = (
+    EW + ", cum AS (SELECT grp, ts, t_idx, r, product(1 + r) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS cum FROM ew)"
+    ", dd AS (SELECT *, cum / max(cum) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM cum)"
+)
 
 
 @q("w05", RET + CUM + " SELECT grp, ts, round(cum, 6) AS cum FROM cum")
@@ -259,7 +276,8 @@ def w07(s, d):
 F60 = "OVER (PARTITION BY grp ORDER BY t_idx ROWS 59 PRECEDING)"
 
 
-@q("w08", RET + EW + f" SELECT * FROM (SELECT grp, ts, CASE WHEN count(r) {F60} >= 60 THEN round((r - avg(r) {F60}) / stddev_samp(r) {F60}, 6) END AS z FROM ew) WHERE z IS NOT NULL")
+@q("w08", RET + EW + f" SELECT * FROM (SELECT grp, ts, CASE WHEN count(r) {F60} >= 60 THEN round((r - avg(r) {F60}) / stddev_samp(r) {F60}, 6) END AS z"
+    f" FROM ew) WHERE z IS NOT NULL")
 def w08(s, d):
     return ew(s, d).select("grp", "ts", r6("z", R.z_score(F.col("r"), 60))).filter("z is not null")
 
@@ -269,7 +287,8 @@ def w09(s, d):
     return ew(s, d).select("grp", "ts", r6("z", R.z_score(F.col("r"), 60, pop=True)))
 
 
-@q("w10", RET + EW + ", p AS (SELECT *, (r > 0)::INT AS raw FROM ew) SELECT grp, ts, last_value(CASE WHEN t_idx % 5 = 0 THEN raw END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM p")
+@q("w10", RET + EW + ", p AS (SELECT *, (r > 0)::INT AS raw FROM ew) SELECT grp, ts, last_value(CASE WHEN t_idx % 5 = 0 THEN raw END IGNORE NULLS)"
+    " OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM p")
 def w10(s, d):
     return ew(s, d).select("grp", "ts", R.hold((F.col("r") > 0).cast("int"), F.col("t_idx"), 5).alias("pos"))
 
@@ -283,13 +302,17 @@ def w11(s, d):
     return ew(s, d).select("grp", "ts", r6("sharpe", R.full(F.try_divide(F.avg(x).over(w), F.stddev_samp(x).over(w)) * F.sqrt(F.lit(252.0)), x, w, 252)))
 
 
-@q("w12", RET + " SELECT grp, asset, ts, CASE WHEN count(r) OVER w >= 20 THEN round(sum(r) OVER w, 6) END AS mom20 FROM ret WINDOW w AS (PARTITION BY grp, asset ORDER BY t_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
+@q("w12", RET + " SELECT grp, asset, ts, CASE WHEN count(r) OVER w >= 20 THEN round(sum(r) OVER w, 6) END AS mom20"
+    " FROM ret WINDOW w AS (PARTITION BY grp, asset ORDER BY t_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)")
 def w12(s, d):
     w = R.past(20, keys=("grp", "asset"), skip=1)
     return ret(s, d).select("grp", "asset", "ts", r6("mom20", R.full(F.sum("r").over(w), F.col("r"), w, 20)))
 
 
-RV = ", rv AS (SELECT grp, ts, t_idx, avg(s) * sqrt(252) AS rv FROM (SELECT grp, asset, ts, t_idx, stddev_samp(r) OVER (PARTITION BY grp, asset ORDER BY t_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS s FROM ret) WHERE t_idx >= 60 GROUP BY 1, 2, 3)"
+RV = (
+    ", rv AS (SELECT grp, ts, t_idx, avg(s) * sqrt(252) AS rv FROM (SELECT grp, asset, ts, t_idx, stddev_samp(r) OVER (PARTITION BY grp"
+    ", asset ORDER BY t_idx ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS s FROM ret) WHERE t_idx >= 60 GROUP BY 1, 2, 3)"
+)
 
 
 def realized_vol(rets, window=60):
@@ -312,7 +335,8 @@ def w15(s, d):
     return ew(s, d).withColumn("cum", R.equity(F.col("r"))).groupBy("grp").agg(r6("final", F.max_by("cum", "t_idx")))
 
 
-@q("w16", RET + EW + ", sm(grp, t_idx, v) AS (SELECT grp, t_idx, r FROM ew WHERE t_idx = 0 UNION ALL SELECT e.grp, e.t_idx, 0.85 * e.r + 0.15 * s.v FROM sm s JOIN ew e ON e.grp = s.grp AND e.t_idx = s.t_idx + 1) SELECT grp, t_idx, round(v, 6) AS v FROM sm")
+@q("w16", RET + EW + ", sm(grp, t_idx, v) AS (SELECT grp, t_idx, r FROM ew WHERE t_idx = 0 UNION ALL SELECT e.grp, e.t_idx, 0.85 * e.r + 0.15 * s.v"
+    " FROM sm s JOIN ew e ON e.grp = s.grp AND e.t_idx = s.t_idx + 1) SELECT grp, t_idx, round(v, 6) AS v FROM sm")
 def w16(s, d):
     """The recurrence in closed form: weights fall by 0.15 a row, so 24 rows hold all a double can tell."""
     w = R.past(24)
@@ -322,7 +346,10 @@ def w16(s, d):
     return ew(s, d).select("grp", "t_idx", F.round(F.when(n > 0, v), 6).alias("v"))
 
 
-LS = ", k AS (SELECT grp, asset, ts, row_number() OVER (PARTITION BY grp, ts ORDER BY round(r, 9), asset) AS lo, row_number() OVER (PARTITION BY grp, ts ORDER BY round(r, 9) DESC, asset DESC) AS hi FROM ret)"
+LS = (
+    ", k AS (SELECT grp, asset, ts, row_number() OVER (PARTITION BY grp, ts ORDER BY round(r, 9), asset) AS lo, row_number()"
+    " OVER (PARTITION BY grp, ts ORDER BY round(r, 9) DESC, asset DESC) AS hi FROM ret)"
+)
 
 
 def ranked(x, col="r"):
@@ -359,7 +386,9 @@ def k04(s, d):
     return vols(s, d).groupBy("grp").agg(F.max_by("asset", F.struct(F.round("sharpe", 9), "asset")).alias("best"), r6("sharpe", F.max("sharpe")))
 
 
-@q("k05", RET + EW + ", m AS (SELECT grp, round(avg(r) / stddev_samp(r), 9) AS s FROM ew GROUP BY grp), n AS (SELECT *, max((s > 0)::INT) OVER () AS any_up, row_number() OVER (ORDER BY (s > 0)::INT DESC, s DESC, grp) AS by_s, row_number() OVER (ORDER BY grp) AS by_g FROM m) SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END")
+@q("k05", RET + EW + ", m AS (SELECT grp, round(avg(r) / stddev_samp(r), 9) AS s FROM ew GROUP BY grp), n AS (SELECT *, max((s > 0)::INT)"
+    " OVER () AS any_up, row_number() OVER (ORDER BY (s > 0)::INT DESC, s DESC, grp) AS by_s, row_number() OVER (ORDER BY grp) AS by_g"
+    " FROM m) SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END")
 def k05(s, d):
     m = ew(s, d).groupBy("grp").agg(F.round(F.try_divide(F.avg("r"), F.stddev_samp("r")), 9).alias("s"))
     every = Window.partitionBy(F.lit(0))

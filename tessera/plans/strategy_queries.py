@@ -30,7 +30,8 @@ def sharpe(c="r"):
     return F.try_divide(F.avg(c), F.stddev_samp(c)) * F.sqrt(F.lit(252.0))
 
 
-@q("a01", RET + " SELECT grp, asset, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS low, round(max(r), 6) AS high, round(quantile_cont(r, 0.5), 6) AS median FROM ret GROUP BY 1, 2")
+@q("a01", RET + " SELECT grp, asset, count(r) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS low,"
+    " round(max(r), 6) AS high, round(quantile_cont(r, 0.5), 6) AS median FROM ret GROUP BY 1, 2")
 def a01(s, d):
     return ret(s, d).groupBy("grp", "asset").agg(F.count("r").alias("n"), r6("mean", F.avg("r")), r6("std", F.stddev_samp("r")), r6("low", F.min("r")), r6("high", F.max("r")), r6("median", F.percentile("r", F.lit(0.5))))
 
@@ -55,14 +56,18 @@ def a05(s, d):
     return ret(s, d).groupBy("grp").agg(F.count_distinct("asset").alias("assets"), F.count_distinct("ts").alias("dates"), r6("low", F.min("r")), r6("high", F.max("r")))
 
 
-@q("a06", RET + EW + " SELECT grp, CASE WHEN r > 0.02 THEN 'up' WHEN r < -0.02 THEN 'down' ELSE 'flat' END AS regime, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY grp), 6) AS share, round(avg(r), 6) AS mean FROM ew GROUP BY 1, 2")
+@q("a06", RET + EW + " SELECT grp, CASE WHEN r > 0.02 THEN 'up' WHEN r < -0.02 THEN 'down' ELSE 'flat' END AS regime, count(*) AS n, round(count(*) /"
+    " sum(count(*)) OVER (PARTITION BY grp), 6) AS share, round(avg(r), 6) AS mean FROM ew GROUP BY 1, 2")
 def a06(s, d):
     x = F.when(F.col("r") > 0.02, "up").when(F.col("r") < -0.02, "down").otherwise("flat")
     g = ew(s, d).groupBy("grp", x.alias("regime")).agg(F.count("*").alias("n"), F.avg("r").alias("m"))
     return g.select("grp", "regime", "n", r6("share", F.col("n") / F.sum("n").over(Window.partitionBy("grp"))), r6("mean", F.col("m")))
 
 
-BETA = ", mk AS (SELECT grp, ts, avg(r) AS m FROM ret GROUP BY 1, 2), beta AS (SELECT r.grp, r.asset, coalesce(covar_samp(r, m) / nullif(var_samp(m), 0), 1.0) AS beta FROM ret r JOIN mk ON r.grp = mk.grp AND r.ts = mk.ts{where} GROUP BY 1, 2)"
+BETA = (
+    ", mk AS (SELECT grp, ts, avg(r) AS m FROM ret GROUP BY 1, 2), beta AS (SELECT r.grp, r.asset, coalesce(covar_samp(r, m) /"
+    " nullif(var_samp(m), 0), 1.0) AS beta FROM ret r JOIN mk ON r.grp = mk.grp AND r.ts = mk.ts{where} GROUP BY 1, 2)"
+)
 
 
 def betas(rets):
@@ -80,7 +85,11 @@ def a08(s, d):
     return ew(s, d).groupBy("grp").agg(r6("sharpe", sharpe()), r6("sharpe_pop", F.try_divide(F.avg("r"), F.stddev_pop("r")) * F.sqrt(F.lit(252.0))))
 
 
-PERF = ", perf AS (SELECT grp, count(r) AS n, avg(r) * 252 AS ann_ret, stddev_samp(r) * sqrt(252) AS ann_vol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, arg_max(cum, t_idx) - 1 AS total_ret, pow(arg_max(cum, t_idx), 252.0 / count(r)) - 1 AS cagr, min(dd) AS max_dd, avg((r > 0)::INT) AS hit_daily FROM dd GROUP BY grp)"
+PERF = (
+    ", perf AS (SELECT grp, count(r) AS n, avg(r) * 252 AS ann_ret, stddev_samp(r) * sqrt(252) AS ann_vol, avg(r) / stddev_samp(r) *"
+    " sqrt(252) AS sharpe, arg_max(cum, t_idx) - 1 AS total_ret, pow(arg_max(cum, t_idx), 252.0 / count(r)) - 1 AS cagr,"
+    " min(dd) AS max_dd, avg((r > 0)::INT) AS hit_daily FROM dd GROUP BY grp)"
+)
 
 
 @q("a09", RET + CUM + PERF + " SELECT grp, round(total_ret, 6) AS total_ret, round(ann_ret, 6) AS ann_ret, round(cagr, 6) AS cagr FROM perf")
@@ -108,7 +117,11 @@ def a13(s, d):
     return M.performance(ew(s, d)).select("grp", r6("calmar"))
 
 
-POS = EW + ", pos AS (SELECT *, last_value(CASE WHEN t_idx % 5 = 0 THEN (r > 0)::INT END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM ew), st AS (SELECT *, abs(pos - lag(pos) OVER (PARTITION BY grp ORDER BY t_idx)) AS step, lag(pos) OVER (PARTITION BY grp ORDER BY t_idx) * r AS pnl FROM pos)"
+POS = (
+    EW + ", pos AS (SELECT *, last_value(CASE WHEN t_idx % 5 = 0 THEN (r > 0)::INT END IGNORE NULLS)"
+    " OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM ew), st AS (SELECT *, abs(pos - lag(pos)"
+    " OVER (PARTITION BY grp ORDER BY t_idx)) AS step, lag(pos) OVER (PARTITION BY grp ORDER BY t_idx) * r AS pnl FROM pos)"
+)
 
 
 def held(s, d):
@@ -117,12 +130,14 @@ def held(s, d):
     return p.withColumn("step", F.abs(F.col("pos") - F.lag("pos").over(w))).withColumn("pnl", F.lag("pos").over(w) * F.col("r"))
 
 
-@q("a14", RET + POS + " SELECT grp, sum(step)::BIGINT AS total_turnover, count_if(step > 0)::BIGINT AS switches, round(sum(step) / (count(*) / 252.0), 6) AS turnover_year, round(avg(pos), 6) AS in_market FROM st GROUP BY 1")
+@q("a14", RET + POS + " SELECT grp, sum(step)::BIGINT AS total_turnover, count_if(step > 0)::BIGINT AS switches, round(sum(step) / (count(*) / 252.0)"
+    ", 6) AS turnover_year, round(avg(pos), 6) AS in_market FROM st GROUP BY 1")
 def a14(s, d):
     return M.turnover(held(s, d)).select("grp", F.col("total_turnover").cast("bigint"), "switches", r6("turnover_year"), r6("in_market"))
 
 
-@q("a15", RET + POS + ", sc AS (SELECT unnest([0, 5, 15, 25]) AS bps) SELECT grp, bps, round((avg(pnl) * 252 - sum(step) * bps / 1e4 / (count(pnl) / 252.0)) / (stddev_samp(pnl) * sqrt(252)), 6) AS net_sharpe FROM st, sc GROUP BY 1, 2")
+@q("a15", RET + POS + ", sc AS (SELECT unnest([0, 5, 15, 25]) AS bps) SELECT grp, bps, round((avg(pnl) * 252 -"
+    " sum(step) * bps / 1e4 / (count(pnl) / 252.0)) / (stddev_samp(pnl) * sqrt(252)), 6) AS net_sharpe FROM st, sc GROUP BY 1, 2")
 def a15(s, d):
     x = held(s, d).withColumn("bps", F.explode(F.array(*map(F.lit, (0, 5, 15, 25)))))
     net = F.avg("pnl") * 252 - F.sum("step") * F.first("bps") / 1e4 / (F.count("pnl") / 252)
@@ -150,17 +165,20 @@ def a16_p(s, d):
     return a16(s, d).select("grp", "t", F.round(t_p("t", F.col("n") - 1), 6).alias("p"))
 
 
-@q("a17", RET + POS + f" SELECT grp, round(avg(pnl) / stddev_samp(pnl) * {SQ}, 6) AS strategy, round(avg(r) / stddev_samp(r) * {SQ}, 6) AS hold FROM st WHERE pnl IS NOT NULL GROUP BY 1")
+@q("a17", RET + POS + f" SELECT grp, round(avg(pnl) / stddev_samp(pnl) * {SQ}, 6) AS strategy, round(avg(r) / stddev_samp(r) * {SQ}, 6) AS hold FROM st"
+    f" WHERE pnl IS NOT NULL GROUP BY 1")
 def a17(s, d):
     return held(s, d).filter("pnl is not null").groupBy("grp").agg(r6("strategy", sharpe("pnl")), r6("hold", sharpe()))
 
 
-@q("a18", RET + EW + ", m AS (SELECT grp, avg(r) AS m, stddev_pop(r) AS s FROM ew GROUP BY 1) SELECT e.grp, round(avg(pow((r - m) / s, 3)), 6) AS skew, round(avg(pow((r - m) / s, 4)) - 3, 6) AS kurt FROM ew e JOIN m ON e.grp = m.grp GROUP BY 1")
+@q("a18", RET + EW + ", m AS (SELECT grp, avg(r) AS m, stddev_pop(r) AS s FROM ew GROUP BY 1) SELECT e.grp, round(avg(pow((r - m) / s, 3)), 6) AS skew,"
+    " round(avg(pow((r - m) / s, 4)) - 3, 6) AS kurt FROM ew e JOIN m ON e.grp = m.grp GROUP BY 1")
 def a18(s, d):
     return ew(s, d).groupBy("grp").agg(r6("skew", F.skewness("r")), r6("kurt", F.kurtosis("r")))
 
 
-@q("a19", RET + EW + ", b AS (SELECT grp, CASE WHEN r < -0.3 THEN 0 WHEN r >= 0.3 THEN 31 ELSE floor((r + 0.3) / 0.02)::INT + 1 END AS bin FROM ew) SELECT grp, bin::BIGINT AS bin, count(*) AS n FROM b GROUP BY 1, 2")
+@q("a19", RET + EW + ", b AS (SELECT grp, CASE WHEN r < -0.3 THEN 0 WHEN r >= 0.3 THEN 31 ELSE floor((r + 0.3) / 0.02)::INT + 1 END AS bin FROM ew)"
+    " SELECT grp, bin::BIGINT AS bin, count(*) AS n FROM b GROUP BY 1, 2")
 def a19(s, d):
     r = F.col("r")
     b = F.when(r < -0.3, 0).when(r >= 0.3, 31).otherwise(F.floor((r + 0.3) / 0.02).cast("int") + 1)
@@ -181,7 +199,9 @@ def portfolio(s, d):
 PORT = ", n AS (SELECT count(DISTINCT grp) AS n FROM ew), port AS (SELECT ts, avg(r) AS r FROM ew, n GROUP BY ts, n HAVING count(*) = n)"
 
 
-@q("a21", RET + EW + PORT + f", one AS (SELECT avg(r) / stddev_samp(r) * {SQ} AS s FROM ew GROUP BY grp) SELECT round((SELECT avg(r) / stddev_samp(r) * {SQ} FROM port), 6) AS portfolio, round(avg(s), 6) AS single, round((SELECT avg(r) / stddev_samp(r) * {SQ} FROM port) - avg(s), 6) AS benefit FROM one")
+@q("a21", RET + EW + PORT + f", one AS (SELECT avg(r) / stddev_samp(r) * {SQ} AS s FROM ew GROUP BY grp) SELECT round((SELECT avg(r) / stddev_samp(r) * {SQ}"
+    f" FROM port), 6) AS portfolio, round(avg(s), 6) AS single, round((SELECT avg(r) / stddev_samp(r) * {SQ} FROM port) - avg(s)"
+    f", 6) AS benefit FROM one")
 def a21(s, d):
     one = ew(s, d).groupBy("grp").agg(sharpe().alias("s")).agg(F.avg("s").alias("single"))
     return portfolio(s, d).agg(sharpe().alias("p")).join(F.broadcast(one)).select(r6("portfolio", F.col("p")), r6("single"), r6("benefit", F.col("p") - F.col("single")))
@@ -199,13 +219,17 @@ def j02(s, d):
     return portfolio(s, d).select("ts")
 
 
-@q("j03", RET + EW + ", l AS (SELECT *, lead(r) OVER (PARTITION BY grp ORDER BY t_idx) AS nxt FROM ew) SELECT grp, ts, round(r, 6) AS r, (nxt > 0)::INT AS target FROM l WHERE nxt IS NOT NULL")
+@q("j03", RET + EW + ", l AS (SELECT *, lead(r) OVER (PARTITION BY grp ORDER BY t_idx) AS nxt FROM ew) SELECT grp, ts, round(r, 6) AS r"
+    ", (nxt > 0)::INT AS target FROM l WHERE nxt IS NOT NULL")
 def j03(s, d):
     nxt = ew(s, d).select("grp", (F.col("t_idx") - 1).alias("t_idx"), F.col("r").alias("nxt"))
     return ew(s, d).join(nxt, ["grp", "t_idx"]).select("grp", "ts", r6("r"), (F.col("nxt") > 0).cast("int").alias("target"))
 
 
-FAC = ", f AS (SELECT date_trunc('week', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) AS mkt FROM lineitem GROUP BY 1), g AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) / 1e6 AS umd FROM orders GROUP BY 1)"
+FAC = (
+    ", f AS (SELECT date_trunc('week', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) AS mkt FROM lineitem GROUP BY 1)"
+    ", g AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS ts, avg(o_totalprice) / 1e6 AS umd FROM orders GROUP BY 1)"
+)
 
 
 @q("j04", RET + FAC + " SELECT f.ts, round(mkt, 6) AS mkt, round(umd, 6) AS umd FROM f JOIN g ON f.ts = g.ts")
@@ -245,14 +269,17 @@ def j09(s, d):
     return pairs(ret(s, d)).select("grp", "ts", "a", "b", r6("product", F.col("ra") * F.col("rb"), 8))
 
 
-@q("j10", "WITH a AS (SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_nationkey < 12), b AS (SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_nationkey > 20) SELECT coalesce(a.k, b.k)::BIGINT AS k, coalesce(a.k::VARCHAR, '---') AS x, coalesce(b.k::VARCHAR, '---') AS y FROM a FULL JOIN b ON a.k = b.k")
+@q("j10", "WITH a AS (SELECT DISTINCT n_regionkey AS k FROM nation WHERE n_nationkey < 12), b AS (SELECT DISTINCT n_regionkey AS k"
+    " FROM nation WHERE n_nationkey > 20) SELECT coalesce(a.k, b.k)::BIGINT AS k, coalesce(a.k::VARCHAR, '---') AS x,"
+    " coalesce(b.k::VARCHAR, '---') AS y FROM a FULL JOIN b ON a.k = b.k")
 def j10(s, d):
     n = P.table(s, d, "nation")
     a, b = n.filter("n_nationkey < 12").select(F.col("n_regionkey").alias("a")).distinct(), n.filter("n_nationkey > 20").select(F.col("n_regionkey").alias("b")).distinct()
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").cast("bigint").alias("k"), F.coalesce(F.col("a").cast("string"), F.lit("---")).alias("x"), F.coalesce(F.col("b").cast("string"), F.lit("---")).alias("y"))
 
 
-@q("j11", RET + EW + " SELECT grp, ts, round(lag(r) OVER (PARTITION BY grp ORDER BY t_idx), 6) AS signal, round(r, 6) AS r FROM ew QUALIFY lag(r) OVER (PARTITION BY grp ORDER BY t_idx) IS NOT NULL")
+@q("j11", RET + EW + " SELECT grp, ts, round(lag(r) OVER (PARTITION BY grp ORDER BY t_idx), 6) AS signal, round(r, 6) AS r FROM ew QUALIFY lag(r)"
+    " OVER (PARTITION BY grp ORDER BY t_idx) IS NOT NULL")
 def j11(s, d):
     before = ew(s, d).select("grp", (F.col("t_idx") + 1).alias("t_idx"), F.col("r").alias("signal"))
     return ew(s, d).join(before, ["grp", "t_idx"]).select("grp", "ts", r6("signal"), r6("r"))
@@ -290,7 +317,11 @@ def h01_p(s, d):
     return h01(s, d).select("grp", "r", F.round(t_p(t, F.col("n") - 2), 6).alias("p"))
 
 
-SPLIT = ", s AS (SELECT grp, count_if({c})::BIGINT AS n1, count_if(NOT ({c}))::BIGINT AS n2, avg(r) FILTER (WHERE {c}) AS m1, avg(r) FILTER (WHERE NOT ({c})) AS m2, var_samp(r) FILTER (WHERE {c}) AS v1, var_samp(r) FILTER (WHERE NOT ({c})) AS v2 FROM rr GROUP BY 1)"
+SPLIT = (
+    ", s AS (SELECT grp, count_if({c})::BIGINT AS n1, count_if(NOT ({c}))::BIGINT AS n2, avg(r) FILTER (WHERE {c}) AS m1,"
+    " avg(r) FILTER (WHERE NOT ({c})) AS m2, var_samp(r) FILTER (WHERE {c}) AS v1, var_samp(r) FILTER (WHERE NOT ({c})) AS v2 FROM rr"
+    " GROUP BY 1)"
+)
 
 
 def split(x, cond):
@@ -309,10 +340,16 @@ def h03(s, d):
     return split(rho_ret(s, d), F.col("mean_corr") < 0).select("grp", r6("t", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(v * (1 / F.col("n1") + 1 / F.col("n2"))))))
 
 
-SCAN = ", th AS (SELECT k, -0.10 + 0.02 * k AS c FROM range(11) v(k)), sc AS (SELECT grp, k, avg(r) FILTER (WHERE mean_corr < c) / stddev_samp(r) FILTER (WHERE mean_corr < c) - avg(r) FILTER (WHERE mean_corr >= c) / stddev_samp(r) FILTER (WHERE mean_corr >= c) AS diff, count_if(mean_corr < c)::BIGINT AS n1, count_if(mean_corr >= c)::BIGINT AS n2 FROM rr, th GROUP BY 1, 2)"
+SCAN = (
+    ", th AS (SELECT k, -0.10 + 0.02 * k AS c FROM range(11) v(k)), sc AS (SELECT grp, k,"
+    " avg(r) FILTER (WHERE mean_corr < c) / stddev_samp(r) FILTER (WHERE mean_corr < c) -"
+    " avg(r) FILTER (WHERE mean_corr >= c) / stddev_samp(r) FILTER (WHERE mean_corr >= c) AS diff"
+    ", count_if(mean_corr < c)::BIGINT AS n1, count_if(mean_corr >= c)::BIGINT AS n2 FROM rr, th GROUP BY 1, 2)"
+)
 
 
-@q("h04", COR + RR + SCAN + " SELECT grp, k::INT AS k, n1, n2, round(diff, 6) AS diff, coalesce(row_number() OVER (PARTITION BY grp ORDER BY round(diff, 9) DESC NULLS LAST, k) = 1, FALSE) AS best FROM sc WHERE n1 >= 2 AND n2 >= 2")
+@q("h04", COR + RR + SCAN + " SELECT grp, k::INT AS k, n1, n2, round(diff, 6) AS diff, coalesce(row_number() OVER (PARTITION BY grp ORDER BY round(diff"
+    ", 9) DESC NULLS LAST, k) = 1, FALSE) AS best FROM sc WHERE n1 >= 2 AND n2 >= 2")
 def h04(s, d):
     x = rho_ret(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10))))
     low = F.col("mean_corr") < F.lit(-0.10) + 0.02 * F.col("k")
@@ -322,7 +359,11 @@ def h04(s, d):
     return g.filter("n1 >= 2 and n2 >= 2").select("grp", "k", "n1", "n2", r6("diff"), (first == 1).alias("best"))
 
 
-CHOW = ", s AS (SELECT *, (mean_corr > 0)::INT AS side FROM rr), a AS (SELECT grp, count(*) AS n, regr_syy(r, mean_corr) * (1 - regr_r2(r, mean_corr)) AS rss FROM s GROUP BY 1), b AS (SELECT grp, sum(rss) AS rss FROM (SELECT grp, side, regr_syy(r, mean_corr) * (1 - regr_r2(r, mean_corr)) AS rss FROM s GROUP BY 1, 2) GROUP BY 1)"
+CHOW = (
+    ", s AS (SELECT *, (mean_corr > 0)::INT AS side FROM rr), a AS (SELECT grp, count(*) AS n, regr_syy(r, mean_corr) * (1 - regr_r2(r"
+    ", mean_corr)) AS rss FROM s GROUP BY 1), b AS (SELECT grp, sum(rss) AS rss FROM (SELECT grp, side, regr_syy(r"
+    ", mean_corr) * (1 - regr_r2(r, mean_corr)) AS rss FROM s GROUP BY 1, 2) GROUP BY 1)"
+)
 
 
 @q("h07", COR + RR + CHOW + " SELECT a.grp, round(((a.rss - b.rss) / 2) / (b.rss / (n - 4)), 6) AS f FROM a JOIN b ON a.grp = b.grp")
@@ -353,10 +394,14 @@ def h08(s, d):
 
 
 BREAKS = [round(-0.15 + 0.02 * k, 2) for k in range(16)]
-BROKEN = ", br AS (SELECT grp, k, mean_corr AS x, greatest(0, mean_corr - round(-0.15 + 0.02 * k, 2)) AS z, r AS y FROM rr, range(16) v(k)), fit AS (" + TWO.format(keys="grp, k", src="br") + "), sc AS (SELECT grp, k, syy - bx * sxy - bz * szy AS rss, syy FROM fit)"
+BROKEN = (
+    ", br AS (SELECT grp, k, mean_corr AS x, greatest(0, mean_corr - round(-0.15 + 0.02 * k, 2)) AS z, r AS y FROM rr, range(16) v(k))"
+    ", fit AS (" + TWO.format(keys="grp, k", src="br") + "), sc AS (SELECT grp, k, syy - bx * sxy - bz * szy AS rss, syy FROM fit)"
+)
 
 
-@q("h05", COR + RR + BROKEN + " SELECT grp, round(-0.15 + 0.02 * k, 2)::DOUBLE AS breakpoint, round(rss, 6) AS rss, round(1 - rss / syy, 6) AS r2 FROM sc QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(rss, 9), k) = 1")
+@q("h05", COR + RR + BROKEN + " SELECT grp, round(-0.15 + 0.02 * k, 2)::DOUBLE AS breakpoint, round(rss, 6) AS rss, round(1 - rss / syy, 6) AS r2 FROM sc"
+    " QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(rss, 9), k) = 1")
 def h05(s, d):
     x = rho_ret(s, d).withColumn("c", F.explode(F.array(*map(F.lit, BREAKS)))).withColumn("z", F.greatest(F.lit(0.0), F.col("mean_corr") - F.col("c")))
     fit = G.two_regressors("mean_corr", "z", "r")
@@ -458,7 +503,10 @@ def h13(s, d):
     return p.select("grp", r6("cv"), r6("predicted"), (F.abs(F.col("predicted") - F.col("cv")) < 0.2).alias("close"))
 
 
-AUCQ = ", u AS (SELECT grp, (r > 0)::INT AS y, rank() OVER (PARTITION BY grp ORDER BY round(mean_corr, 9)) + (count(*) OVER (PARTITION BY grp, round(mean_corr, 9)) - 1) / 2.0 AS rk FROM rr)"
+AUCQ = (
+    ", u AS (SELECT grp, (r > 0)::INT AS y, rank() OVER (PARTITION BY grp ORDER BY round(mean_corr, 9)) + (count(*)"
+    " OVER (PARTITION BY grp, round(mean_corr, 9)) - 1) / 2.0 AS rk FROM rr)"
+)
 
 
 @q("h14", COR + RR + AUCQ + " SELECT grp, round((sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM u GROUP BY 1")
@@ -487,7 +535,15 @@ def long_short(s, d, w, flag=None, bps=5.0, lag=1):
     return x.groupBy("grp", "ts", "t_idx").agg((F.sum(F.col("w") * F.col("r")) - F.sum("dw") * bps / 1e4).alias("r"))
 
 
-LSQ = ", w0 AS (SELECT grp, asset, ts, CASE WHEN lo <= 2 THEN 0.5 WHEN hi <= 2 THEN -0.5 ELSE 0.0 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY grp, ts ORDER BY round(e, 9), asset) AS lo, row_number() OVER (PARTITION BY grp, ts ORDER BY round(e, 9) DESC, asset DESC) AS hi FROM res)), lagged AS (SELECT w0.grp, w0.asset, t_idx + 1 AS t_idx, w FROM w0 JOIN ret r ON w0.grp = r.grp AND w0.asset = r.asset AND w0.ts = r.ts), pw AS (SELECT r.grp, r.asset, r.ts, r.t_idx, r.r, {w} AS w FROM ret r JOIN lagged l ON r.grp = l.grp AND r.asset = l.asset AND r.t_idx = l.t_idx{join}), pc AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY grp, asset ORDER BY t_idx), 0)) AS dw FROM pw), pnl AS (SELECT grp, ts, t_idx, sum(w * r) - sum(dw) * 5 / 1e4 AS r FROM pc GROUP BY 1, 2, 3)"
+LSQ = (
+    ", w0 AS (SELECT grp, asset, ts, CASE WHEN lo <= 2 THEN 0.5 WHEN hi <= 2 THEN -0.5 ELSE 0.0 END AS w FROM (SELECT *, row_number()"
+    " OVER (PARTITION BY grp, ts ORDER BY round(e, 9), asset) AS lo, row_number() OVER (PARTITION BY grp, ts ORDER BY round(e, 9) DESC"
+    ", asset DESC) AS hi FROM res)), lagged AS (SELECT w0.grp, w0.asset, t_idx + 1 AS t_idx, w FROM w0 JOIN ret r ON w0.grp = r.grp"
+    " AND w0.asset = r.asset AND w0.ts = r.ts), pw AS (SELECT r.grp, r.asset, r.ts, r.t_idx, r.r, {w} AS w FROM ret r"
+    " JOIN lagged l ON r.grp = l.grp AND r.asset = l.asset AND r.t_idx = l.t_idx{join}), pc AS (SELECT *, abs(w - coalesce(lag(w)"
+    " OVER (PARTITION BY grp, asset ORDER BY t_idx), 0)) AS dw FROM pw), pnl AS (SELECT grp, ts, t_idx, sum(w * r) -"
+    " sum(dw) * 5 / 1e4 AS r FROM pc GROUP BY 1, 2, 3)"
+)
 RES = LAP + _diffuse()
 
 
@@ -511,7 +567,12 @@ def vol_flag(s, d):
     return regime(v, "v20", 0.75)
 
 
-VF = RV + ", v20 AS (SELECT grp, ts, CASE WHEN count(rv) OVER w >= 20 THEN avg(rv) OVER w END AS v FROM rv WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS 19 PRECEDING)), vc AS (SELECT grp, quantile_cont(v, 0.75) AS c FROM v20 WHERE ts <= TIMESTAMP '1998-12-31' GROUP BY 1), fl AS (SELECT v20.grp, v20.ts, coalesce(v > c, FALSE) AS flag FROM v20 JOIN vc ON v20.grp = vc.grp)"
+VF = (
+    RV + ", v20 AS (SELECT grp, ts, CASE WHEN count(rv) OVER w >= 20 THEN avg(rv) OVER w END AS v"
+    " FROM rv WINDOW w AS (PARTITION BY grp ORDER BY t_idx ROWS 19 PRECEDING)), vc AS (SELECT grp, quantile_cont(v, 0.75) AS c FROM v20"
+    " WHERE ts <= TIMESTAMP '1998-12-31' GROUP BY 1), fl AS (SELECT v20.grp, v20.ts, coalesce(v > c, FALSE) AS flag FROM v20"
+    " JOIN vc ON v20.grp = vc.grp)"
+)
 
 
 @q("x03", COR + RES + VF + LSQ.format(w="CASE WHEN flag THEN 0.0 ELSE w END", join=" LEFT JOIN fl ON r.grp = fl.grp AND r.ts = fl.ts") + " SELECT grp, ts, round(r, 6) AS r FROM pnl")
@@ -561,9 +622,21 @@ def h1_signal(s, d):
 
 
 #: The count of loops by its relational identity, and its signal: +1 above the 75 % quantile of the training dates, else -1.
-SIG = H1 + f", hc AS (SELECT grp, quantile_cont(h1_count, 0.75) AS c FROM h1 WHERE ts <= {TRAIN} GROUP BY 1), sg AS (SELECT h1.grp, h1.ts, CASE WHEN h1_count > c THEN 1 ELSE -1 END AS sig FROM h1 JOIN hc ON h1.grp = hc.grp)"
-BSP = BETA.format(where=f" WHERE r.ts <= {TRAIN}") + ", bw AS (SELECT grp, asset, CASE WHEN hi <= 2 THEN 0.5 WHEN lo <= 2 THEN -0.5 ELSE 0.0 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(beta, 9), asset) AS lo, row_number() OVER (PARTITION BY grp ORDER BY round(beta, 9) DESC, asset DESC) AS hi FROM beta)), sp AS (SELECT r.grp, ts, t_idx, sum(w * r) AS spread FROM ret r JOIN bw ON r.grp = bw.grp AND r.asset = bw.asset GROUP BY 1, 2, 3)"
-X06 = SIG + BSP + ", z AS (SELECT sp.*, sig, row_number() OVER (PARTITION BY sp.grp ORDER BY t_idx) - 1 AS n FROM sp JOIN sg ON sp.grp = sg.grp AND sp.ts = sg.ts), hz AS (SELECT *, last_value(CASE WHEN n % 5 = 0 THEN sig END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM z)"
+SIG = (
+    H1 + f", hc AS (SELECT grp, quantile_cont(h1_count, 0.75) AS c FROM h1 WHERE ts <= {TRAIN} GROUP BY 1), sg AS (SELECT h1.grp, h1.ts,"
+    f" CASE WHEN h1_count > c THEN 1 ELSE -1 END AS sig FROM h1 JOIN hc ON h1.grp = hc.grp)"
+)
+BSP = (
+    BETA.format(where=f" WHERE r.ts <= {TRAIN}") + ", bw AS (SELECT grp, asset, CASE WHEN hi <= 2 THEN 0.5 WHEN lo <= 2 THEN -0.5 ELSE 0.0 END AS w FROM (SELECT *, row_number()"
+    " OVER (PARTITION BY grp ORDER BY round(beta, 9), asset) AS lo, row_number() OVER (PARTITION BY grp ORDER BY round(beta, 9) DESC"
+    ", asset DESC) AS hi FROM beta)), sp AS (SELECT r.grp, ts, t_idx, sum(w * r) AS spread FROM ret r JOIN bw ON r.grp = bw.grp"
+    " AND r.asset = bw.asset GROUP BY 1, 2, 3)"
+)
+X06 = (
+    SIG + BSP + ", z AS (SELECT sp.*, sig, row_number() OVER (PARTITION BY sp.grp ORDER BY t_idx) - 1 AS n FROM sp JOIN sg ON sp.grp = sg.grp"
+    " AND sp.ts = sg.ts), hz AS (SELECT *, last_value(CASE WHEN n % 5 = 0 THEN sig END IGNORE NULLS)"
+    " OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM z)"
+)
 
 
 @q("x06", COR + X06 + " SELECT grp, ts, round(pos * spread - CASE WHEN n % 5 = 0 THEN 4 * 5.0 / 1e4 ELSE 0 END, 6) AS r FROM hz")
@@ -613,11 +686,21 @@ def x10(s, d):
     return x.groupBy("grp", "ts").agg(F.avg("r").alias("r"), F.count("*").alias("n")).filter("n = 3").select("grp", "ts", r6("r"))
 
 
-MOM = ", mm AS (SELECT * FROM (SELECT grp, asset, ts, t_idx, r, sum(r) OVER (PARTITION BY grp, asset ORDER BY t_idx ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS mom FROM ret) WHERE t_idx >= {n}), mk2 AS (SELECT *, row_number() OVER (PARTITION BY grp, ts ORDER BY round(mom, 9), asset) AS lo, row_number() OVER (PARTITION BY grp, ts ORDER BY round(mom, 9) DESC, asset DESC) AS hi FROM mm)"
-X11 = SIG + MOM.format(n=20) + ", mp AS (SELECT grp, ts, t_idx, sum(CASE WHEN hi <= 2 THEN 0.25 WHEN lo <= 2 THEN -0.25 ELSE 0 END * r) AS mom FROM mk2 GROUP BY 1, 2, 3), z AS (SELECT mp.*, sig, row_number() OVER (PARTITION BY mp.grp ORDER BY t_idx) - 1 AS n FROM mp JOIN sg ON mp.grp = sg.grp AND mp.ts = sg.ts)"
+MOM = (
+    ", mm AS (SELECT * FROM (SELECT grp, asset, ts, t_idx, r, sum(r) OVER (PARTITION BY grp"
+    ", asset ORDER BY t_idx ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS mom FROM ret) WHERE t_idx >= {n}), mk2 AS (SELECT *"
+    ", row_number() OVER (PARTITION BY grp, ts ORDER BY round(mom, 9), asset) AS lo, row_number() OVER (PARTITION BY grp, ts ORDER BY"
+    " round(mom, 9) DESC, asset DESC) AS hi FROM mm)"
+)
+X11 = (
+    SIG + MOM.format(n=20) + ", mp AS (SELECT grp, ts, t_idx, sum(CASE WHEN hi <= 2 THEN 0.25 WHEN lo <= 2 THEN -0.25 ELSE 0 END * r) AS mom FROM mk2 GROUP BY 1"
+    ", 2, 3), z AS (SELECT mp.*, sig, row_number() OVER (PARTITION BY mp.grp ORDER BY t_idx) - 1 AS n FROM mp"
+    " JOIN sg ON mp.grp = sg.grp AND mp.ts = sg.ts)"
+)
 
 
-@q("x11", COR + X11 + " SELECT grp, ts, round(-sig * mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS hybrid, round(mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS momentum FROM z")
+@q("x11", COR + X11 + " SELECT grp, ts, round(-sig * mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS hybrid, round(mom -"
+    " CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS momentum FROM z")
 def x11(s, d):
     mom = ret(s, d).withColumn("mom", F.sum("r").over(R.past(20, keys=("grp", "asset"), skip=1))).filter("t_idx >= 20")
     w = ranked(mom, "mom").select("grp", "asset", "ts", "t_idx", "r", F.when(F.col("hi") <= 2, 0.25).when(F.col("lo") <= 2, -0.25).otherwise(0.0).alias("w"))
@@ -638,10 +721,14 @@ def x12(s, d):
 
 
 F60H = "OVER (PARTITION BY grp ORDER BY ts ROWS 59 PRECEDING)"
-X13 = H1 + f", hz AS (SELECT grp, ts, CASE WHEN count(h1_count) {F60H} >= 60 THEN (h1_count - avg(h1_count) {F60H}) / nullif(stddev_samp(h1_count) {F60H}, 0) END AS z FROM h1), res AS (SELECT grp, asset, ts, r AS e FROM ret)" + LSQ.format(w="w", join="").replace("0.5 WHEN hi <= 2 THEN -0.5", "0.25 WHEN hi <= 2 THEN -0.25")
+X13 = (
+    H1 + f", hz AS (SELECT grp, ts, CASE WHEN count(h1_count) {F60H} >= 60 THEN (h1_count - avg(h1_count) {F60H}) /"
+    f" nullif(stddev_samp(h1_count) {F60H}, 0) END AS z FROM h1), res AS (SELECT grp, asset, ts, r AS e FROM ret)" + LSQ.format(w="w", join="").replace("0.5 WHEN hi <= 2 THEN -0.5", "0.25 WHEN hi <= 2 THEN -0.25")
+)
 
 
-@q("x13", COR + X13 + " SELECT p.grp, p.ts, round(CASE WHEN abs(z) > 1 THEN least(abs(z) / 2, 1) * r ELSE 0 END, 6) AS r FROM pnl p JOIN hz ON p.grp = hz.grp AND p.ts = hz.ts WHERE z IS NOT NULL")
+@q("x13", COR + X13 + " SELECT p.grp, p.ts, round(CASE WHEN abs(z) > 1 THEN least(abs(z) / 2, 1) * r ELSE 0 END, 6) AS r FROM pnl p"
+    " JOIN hz ON p.grp = hz.grp AND p.ts = hz.ts WHERE z IS NOT NULL")
 def x13(s, d):
     z = h1(s, d).withColumn("z", R.z_score(F.col("h1_count"), 60, order="ts")).filter("z is not null").select("grp", "ts", "z")
     w = ranked(ret(s, d)).select("grp", "asset", "ts", "t_idx", F.when(F.col("lo") <= 2, 0.25).when(F.col("hi") <= 2, -0.25).otherwise(0.0).alias("w"))
@@ -649,11 +736,20 @@ def x13(s, d):
     return x.select("grp", "ts", r6("r", F.when(F.abs("z") > 1, F.least(F.abs("z") / 2, F.lit(1.0)) * F.col("r")).otherwise(0.0)))
 
 
-PICK = ", m AS (SELECT grp, round(avg(r) / stddev_samp(r), 9) AS s FROM ew GROUP BY grp), n AS (SELECT *, max((s > 0)::INT) OVER () AS any_up, row_number() OVER (ORDER BY (s > 0)::INT DESC, s DESC, grp) AS by_s, row_number() OVER (ORDER BY grp) AS by_g FROM m), pick AS (SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END)"
-CHOSEN = ", c AS (SELECT ts, avg(r) AS r FROM ew JOIN pick USING (grp) GROUP BY ts HAVING count(*) = (SELECT count(*) FROM pick)), x AS (SELECT ts, r, row_number() OVER (ORDER BY ts) AS t_idx, product(1 + r) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum FROM c), y AS (SELECT *, cum / max(cum) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)"
+PICK = (
+    ", m AS (SELECT grp, round(avg(r) / stddev_samp(r), 9) AS s FROM ew GROUP BY grp), n AS (SELECT *, max((s > 0)::INT)"
+    " OVER () AS any_up, row_number() OVER (ORDER BY (s > 0)::INT DESC, s DESC, grp) AS by_s, row_number() OVER (ORDER BY grp) AS by_g"
+    " FROM m), pick AS (SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END)"
+)
+CHOSEN = (
+    ", c AS (SELECT ts, avg(r) AS r FROM ew JOIN pick USING (grp) GROUP BY ts HAVING count(*) = (SELECT count(*) FROM pick))"
+    ", x AS (SELECT ts, r, row_number() OVER (ORDER BY ts) AS t_idx, product(1 + r) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum"
+    " FROM c), y AS (SELECT *, cum / max(cum) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)"
+)
 
 
-@q("x14", RET + EW + PICK + CHOSEN + " SELECT count(r) AS n, round(arg_max(cum, t_idx) - 1, 6) AS total_ret, round(avg(r) * 252, 6) AS ann_ret, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(min(dd), 6) AS max_dd, round(avg((r > 0)::INT), 6) AS hit FROM y")
+@q("x14", RET + EW + PICK + CHOSEN + " SELECT count(r) AS n, round(arg_max(cum, t_idx) - 1, 6) AS total_ret, round(avg(r) * 252, 6) AS ann_ret,"
+    " round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(min(dd), 6) AS max_dd, round(avg((r > 0)::INT), 6) AS hit FROM y")
 def x14(s, d):
     """Up to three groups with a positive ratio (else the first three), dates common to them, equal weights."""
     from tessera.plans.panel_queries import k05
@@ -687,7 +783,10 @@ def x15(s, d):
 MKT = ", mk AS (SELECT h.grp, avg(mean_corr) AS rho, stddev_samp(h1_count) / avg(h1_count) AS cv FROM h1 h JOIN feat f ON h.grp = f.grp AND h.ts = f.ts GROUP BY 1)"
 
 
-@q("x16", COR + FEATURES + H1 + MKT + ", g AS (SELECT corr(rho, cv) AS global_rho FROM mk) SELECT grp, round(rho, 6) AS rho, round(cv, 6) AS cv, CASE WHEN rho > 0.5 AND cv < 0.6 THEN 'good' WHEN rho > 0.4 OR cv < 0.7 THEN 'marginal' ELSE 'poor' END AS label, CASE WHEN cv < 0.5 THEN 'stable' WHEN cv < 0.7 THEN 'moderate' ELSE 'unstable' END AS stability, round(global_rho, 6) AS global_rho, coalesce(global_rho < -0.5, FALSE) AS generalizes FROM mk, g")
+@q("x16", COR + FEATURES + H1 + MKT + ", g AS (SELECT corr(rho, cv) AS global_rho FROM mk) SELECT grp, round(rho, 6) AS rho, round(cv, 6) AS cv, CASE WHEN rho > 0.5"
+    " AND cv < 0.6 THEN 'good' WHEN rho > 0.4 OR cv < 0.7 THEN 'marginal' ELSE 'poor' END AS label,"
+    " CASE WHEN cv < 0.5 THEN 'stable' WHEN cv < 0.7 THEN 'moderate' ELSE 'unstable' END AS stability, round(global_rho"
+    ", 6) AS global_rho, coalesce(global_rho < -0.5, FALSE) AS generalizes FROM mk, g")
 def x16(s, d):
     """Markets side by side: viability, stability of the topology, and whether correlation and spread go together globally."""
     from tessera.operators.network import network_features
@@ -709,7 +808,8 @@ def x17(s, d):
 TYPES = base("type", upto="corr") + FEATURES + EW
 
 
-@q("regime_features", TYPES + " SELECT f.grp, f.ts, round(mean_corr, 6) AS mean_corr, round(std_corr, 6) AS std_corr, round(r, 6) AS r, mean_corr > 0.05 AS tight FROM feat f JOIN ew e ON f.grp = e.grp AND f.ts = e.ts")
+@q("regime_features", TYPES + " SELECT f.grp, f.ts, round(mean_corr, 6) AS mean_corr, round(std_corr, 6) AS std_corr, round(r, 6) AS r, mean_corr > 0.05 AS tight"
+    " FROM feat f JOIN ew e ON f.grp = e.grp AND f.ts = e.ts")
 def regime_features(s, d):
     """The slice from rows to regime flag over the panel that is full at every scale."""
     from tessera.operators.network import network_features, rolling_corr
