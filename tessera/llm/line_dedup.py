@@ -82,10 +82,12 @@ def later_copies(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             ahead = F.max("rank").over(in_row.rangeBetween(span, span))
             pairs = cut(suffixes.withColumn("next", ahead).filter("next is not null").select("row", F.col("k"), F.col("rank").alias("r1"), F.col("next").alias("r2")), "pairs")
             deeper = _ranked(pairs, "r1", "r2")
-            suffixes = cut(pairs.join(deeper, ["r1", "r2"]).select("row", "k", "rank"), "suffixes")
-            forget(pairs)
-            forget(deeper)
+            before, suffixes = suffixes, cut(pairs.join(deeper, ["r1", "r2"]).select("row", "k", "rank"), "suffixes")
+            for done in (pairs, deeper, before):
+                forget(done)
         span *= 2
+    for done in (names, now, suffixes, made if found else None):
+        forget(done)
     out = found[0] if found else made.select("row", "a", "m").limit(0)
     for more in found[1:]:
         out = out.unionByName(more)
@@ -120,7 +122,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     body = F.col(f"`{text}`")
     each = F.filter(F.transform(F.split(body, "\n"), lambda x: F.struct(_words(x).alias("w"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))), lambda x: x["w"] > 0)
     lines = cut(numbered.select(F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.posexplode(each).alias("k", "l")).select("row", "doc_id", "k", "l.*"), "lines")
-    marks = maximal_runs(later_copies(lines, least_words)).select(F.col("row").alias(row), F.col("runs").alias(runs))
+    copies = later_copies(lines, least_words)
+    forget(lines)
+    marks = maximal_runs(copies).select(F.col("row").alias(row), F.col("runs").alias(runs))
     joined = numbered.join(marks, row, "left")
 
     def without(x: Column) -> Column:
