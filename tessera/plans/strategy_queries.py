@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import kernels as K
 from tessera.operators import metrics as M
@@ -144,13 +145,13 @@ def a15(s, d):
     return x.groupBy("grp", "bps").agg(r6("net_sharpe", F.try_divide(net, F.stddev_samp("pnl") * F.sqrt(F.lit(252.0)))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of t with ``df`` degrees of freedom, null where either is."""
     return pd.Series([None if a != a or b != b or b <= 0 else float(K.t_two_sided(a, b)) for a, b in zip(t.astype(float), df.astype(float), strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def z_p(z: pd.Series) -> pd.Series:
     return pd.Series([None if a != a else float(K.normal_two_sided(a)) for a in z.astype(float)], dtype="float64")
 

@@ -358,3 +358,13 @@ def test_embedding_and_repair_keep_what_they_promise():
     y = K.mds(c)
     e = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
     assert np.allclose(e, K.distances(c), atol=1e-6)
+
+
+def test_the_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
