@@ -765,14 +765,16 @@ def x14(s, d):
 @q("x15")
 def x15(s, d):
     """Every strategy of a group on the dates common to all: performance, improvement over holding, correlation with it."""
-    parts = {"hold": ew(s, d).select("grp", "ts", "t_idx", "r"), "laplacian": laplacian_plain(s, d), "fiedler": x02(s, d), "volatility": x03(s, d), "beta_spread": x05(s, d), "reversion": x07(s, d)}
-    wide = None
-    for name, x in parts.items():
-        one = x.select("grp", "ts", *(["t_idx"] if name == "hold" else []), F.col("r").alias(name))
-        wide = one if wide is None else wide.join(one, ["grp", "ts"])
-    active = [n for n in parts if n != "hold"]
-    wide = wide.withColumn("ensemble", sum((F.col(n) for n in active), F.lit(0.0)) / len(active))
-    names = [*parts, "ensemble"]
+    names = ["hold", "laplacian", "fiedler", "volatility", "beta_spread", "reversion", "ensemble"]
+
+    def build():
+        made = [ew(s, d).select("grp", "ts", "t_idx", "r"), *(x.select("grp", "ts", "r") for x in (laplacian_plain(s, d), x02(s, d), x03(s, d), x05(s, d), x07(s, d)))]
+        wide = made[0].withColumnRenamed("r", "hold")
+        for name, x in zip(names[1:], made[1:], strict=False):
+            wide = wide.join(x.withColumnRenamed("r", name), ["grp", "ts"])
+        return wide.withColumn("ensemble", sum((F.col(n) for n in names[1:-1]), F.lit(0.0)) / (len(names) - 2))
+
+    wide = shared("strategies", s, d, build)
     long = wide.select(F.col("grp").alias("g"), "t_idx", F.col("hold").alias("base"), F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("r")) for n in names])).alias("x")).select("g", "t_idx", "base", "x.*")
     long = long.withColumn("grp", F.concat_ws("|", "g", "strategy"))
     rho = long.groupBy("grp").agg(F.first("g").alias("g"), F.first("strategy").alias("strategy"), pearson("r", "base").alias("rho_hold"))
