@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, line_dedup, packing, quality, search, simhash, token_counts, toxicity, urls
+from tessera.llm import alignment, bpe, jaccard, language, line_dedup, packing, quality, search, simhash, token_counts, toxicity, urls, vector_codes
 from tessera.llm.common import crc_mod, table
 
 
@@ -68,6 +68,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    return vector_codes.summed(codes, "label", "error", "label_error").select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _LINE_DEDUP_SQL = rf"""
@@ -150,5 +163,28 @@ ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_simhash, op3_bpe, op4_quality, op5_toxicity, op6_urls, op7_packing, op8_token_counts, op9_top_k, op10_language)}
-ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP_SQL, "op4_quality": _QUALITY_SQL, "op6_urls": _URLS_SQL, "op9_top_k": _TOP_K_SQL}
+
+def _round_sql(k: int) -> str:
+    """Assignment of every part to the entries of round ``k``, and the entries of the round after it."""
+    return f"""
+a{k} AS (SELECT r, p, s, min(d * 64 + e) // 64 AS d, min(d * 64 + e) % 64 AS e FROM (
+  SELECT r, part.p, s, e, list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(s, c)])::HUGEINT AS d FROM part JOIN b{k} ON part.p = b{k}.p) GROUP BY r, p, s),
+m{k} AS (SELECT p, e, list(v ORDER BY i) AS c FROM (SELECT p, e, i, ((sum(s[i]) - (sum(s[i]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM (SELECT p, e, s, unnest(generate_series(1, len(s))) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))"""
+
+
+_CODES_SQL = f"""
+WITH kept AS (SELECT vec_id, label, [floor(x::DOUBLE * 256)::BIGINT for x in embedding] AS v, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+part AS (SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS s FROM kept, range(16) t(p)),
+b0 AS (SELECT p, r - 1 AS e, s AS c FROM part WHERE r <= 64),{_round_sql(0)},{_round_sql(1)},{_round_sql(2).split("m2 AS")[0].rstrip().rstrip(",")},
+coded AS (SELECT r, string_agg(lower(printf('%02x', e::BIGINT)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), book
+"""
+
+QUERIES = {
+    q.__name__: q
+    for q in (op1_line_dedup, op2_simhash, op3_bpe, op4_quality, op5_toxicity, op6_urls, op7_packing, op8_token_counts, op9_top_k, op10_language, op11_vector_codes, op12_jaccard_join, op13_alignment)
+}
+ORACLE_SQL = {"op1_line_dedup": _LINE_DEDUP_SQL, "op4_quality": _QUALITY_SQL, "op6_urls": _URLS_SQL, "op9_top_k": _TOP_K_SQL, "op11_vector_codes": _CODES_SQL}
