@@ -19,16 +19,20 @@ useful bands, one of them agrees with the other set's, and the pair was met ther
 with finer bands, where rare shingles stand alone; what is left even then is compared bucket by bucket, in parts.
 
 Texts with the same set are one node. Since only components are asked for, stars come first: the sets of a bucket are
-tested with one of them, in several rounds with another one each time, and only sets of different components after that.
+tested with the first of them, then with the last and any, and only sets of different components after that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,24 +42,87 @@ from tessera.llm.graph import connected_components
 #: Bands for each shingle of the allowed difference, plus two, for each level.
 LEVELS = (1.25, 8.0)
 #: Buckets of up to SMALL sets are compared whole in one task; larger ones, at the end, in parts of about PART sets.
-SMALL, PART = 48, 512
-#: Rounds of stars in each level.
-STARS = 3
+SMALL, PART = 16, 512
+#: Bytes of text whose shingles are hashed at a time, and band keys that travel together.
+PIECE, CHUNK = 1 << 20, 1 << 20
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: A-Z to a-z, one added so that no byte is nought, and the white space that separates words.
+_LOWER = np.array([(b + 32 if 0x41 <= b <= 0x5A else b) + 1 for b in range(256)], "<u8")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words; of all words where they are fewer. No words: none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.array([], "<u8")
-    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype("<u8")
-    run = min(size, len(w))
-    out = np.full(len(w) - run + 1, run, "<u8")
+def _rolled(words: np.ndarray, run: int) -> np.ndarray:
+    """A hash of every ``run`` words in a row."""
+    out = np.full(max(0, len(words) - run + 1), run, "<u8")
     for k in range(run):
-        out = (out ^ w[k : k + len(out)]) * _MIX[1]
+        out ^= words[k : k + len(out)]
+        out *= _MIX[1]
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse modulo 2^64."""
+    made = []
+    for x in (int(_MIX[2]), pow(int(_MIX[2]), -1, 1 << 64)):
+        p = np.full(size, x, "<u8")
+        p[:1] = 1
+        made.append(np.cumprod(p, dtype="<u8"))
+    return made[0], made[1]
+
+
+def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's runs of ``size`` words (of all its words where they are fewer), one
+    text after another, and where each begins. A null text has no words.
+
+    A word's hash is the sum of its bytes times powers of an odd number by place, taken from running sums."""
+    raw = texts.fill_null("").cast(pa.binary()).cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], "<i8")[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", "u1")[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = ~_SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[bounds] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    begins, ends = np.flatnonzero(begins), np.flatnonzero(ends)
+    power, back = _powers(1 << max(20, int(len(data)).bit_length()))
+    sums = np.cumsum(_LOWER[data] * power[: len(data)], dtype="<u8")
+    words = mixed((sums[ends] - np.where(begins > 0, sums[begins - 1], np.uint64(0))) * back[begins], 0)
+    at = np.searchsorted(begins, bounds)
+    many = np.diff(at)
+    runs = np.maximum(0, np.where(many >= size, many - size + 1, np.minimum(many, 1)))
+    start = np.concatenate([[0], np.cumsum(runs)])
+    out = np.empty(start[-1], "<u8")
+    whole = np.flatnonzero(many >= size)
+    rolled = _rolled(words, size)
+    for k in whole.tolist():
+        own = rolled[at[k] : at[k] + runs[k]]
+        own.sort()
+        out[start[k] : start[k + 1]] = own
+    for run in range(1, size):
+        short = np.flatnonzero(many == run)
+        out[start[short]] = _rolled(words, run)[at[short]] if len(short) else 0
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[start[:-1][runs > 0]] = True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[start]
+
+
+def in_pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """``texts`` in slices of about PIECE bytes, and where each begins."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + PIECE, side="right")))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    return shingle_sets(pa.array([text], pa.string()), size)[0]
 
 
 def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -107,17 +174,22 @@ class Sizes:
         return [g for g in (own - 1, own) if g >= 0 and (g == own or self.largest(self.starts[own] - 1) >= n)]
 
 
-def band_keys(hashes: np.ndarray, group: int, bands: int, seed: int, empty: bool) -> np.ndarray:
-    """A key for each band that holds a shingle, of all bands with ``empty``: 48 bits and a byte for the class."""
-    h = mixed(hashes, seed)
-    band = ((h >> np.uint64(32)) * np.uint64(bands) >> np.uint64(32)).astype("i8")
-    order = np.argsort(band, kind="stable")
-    there, first = np.unique(band[order], return_index=True)
-    word = np.zeros(bands, "u8")
-    word[there] = np.bitwise_xor.reduceat(mixed(hashes, seed + 1)[order], first)
-    at = np.arange(bands) if empty else there
-    named = mixed(word[at] ^ mixed(at.astype("u8") + (np.uint64(group) << np.uint64(40)), 7), seed + 2)
-    return named >> np.uint64(16) << np.uint64(8) | np.uint64(group & 255)
+def band_keys(flat: np.ndarray, bounds: np.ndarray, group: np.ndarray, bands: np.ndarray, seed: int, empty: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The set and the key of each band that holds a shingle, of all bands with ``empty``; of sets between ``bounds`` in
+    ``flat``, of which each has its class and number of bands (0: none). A key is 48 bits and a byte for the class."""
+    size = np.where(bands > 0, np.diff(bounds), 0)
+    taken = np.repeat(bands > 0, np.diff(bounds))
+    h, of = flat[taken], np.repeat(np.arange(len(bands)), size)
+    base = np.concatenate([[0], np.cumsum(bands)])
+    slot = base[of] + ((mixed(h, seed) >> np.uint64(32)) * bands[of].astype("u8") >> np.uint64(32)).astype("i8")
+    word, filled = np.zeros(base[-1], "u8"), np.zeros(base[-1], bool)
+    np.bitwise_xor.at(word, slot, mixed(h, seed + 1))
+    filled[slot] = True
+    at = np.arange(base[-1]) if empty else np.flatnonzero(filled)
+    owner = np.repeat(np.arange(len(bands)), bands)[at]
+    own = group[owner].astype("u8")
+    named = mixed(word[at] ^ mixed((at - base[owner]).astype("u8") + (own << np.uint64(40)), 7), seed + 2)
+    return owner, (named >> np.uint64(16) << np.uint64(8) | own & np.uint64(255)).view("i8")
 
 
 def narrow_sketch(hashes: np.ndarray) -> bytes:
@@ -138,29 +210,30 @@ def marks(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(x.as_py(), size) for x in batch.column(1)]
-            d = np.array([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8") for h in made], "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([len(h) for h in made], pa.int64())], names=["i", "t", "d1", "d2", "n"])
+            for first, texts in in_pieces(batch.column(1)):
+                flat, bounds = shingle_sets(texts, size)
+                d = np.array([np.frombuffer(xxhash.xxh3_128_digest(flat[x:y].tobytes()), "<i8") for x, y in pairwise(bounds.tolist())], "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), texts, pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.diff(bounds))], names=["i", "t", "d1", "d2", "n"])
 
     return rows.select("i", "t").mapInArrow(run, f"i {dict(rows.dtypes)['i']}, t string, d1 bigint, d2 bigint, n bigint")
 
 
-def wide_keys(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed: int, empty: bool = False) -> DataFrame:
-    """node, key: the bands of ``texts`` (node, t, only: the classes wanted, null for all). The last byte of a key is the
-    class modulo 256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, keys = [], [np.array([], "u8")]
-            for who, text, only in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                h = shingles(text.as_py(), size)
-                for g in sizes.groups(len(h)):
-                    if (bands := sizes.bands(g, spread, empty)) and (only is None or g in only):
-                        keys.append(band_keys(h, g, bands, seed, empty))
-                        node += [who] * len(keys[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(keys).view("i8"))], names=["node", "key"])
-
-    return texts.select("node", "t", "only").mapInArrow(run, "node bigint, key bigint")
+def _keyed(batches: Iterator[pa.RecordBatch], size: int, sizes: Sizes, spread: float, seed: int, empty: bool = False):
+    """For batches of node, t, only (the classes wanted, null for all) and each of a set's classes: nodes, their classes,
+    how many bands they fill and how many they may differ in; and the node and key of each band."""
+    for batch in batches:
+        for first, texts in in_pieces(batch.column(1)):
+            flat, bounds = shingle_sets(texts, size)
+            nodes = batch.column(0).slice(first, len(texts)).to_numpy()
+            only = batch.column(2).slice(first, len(texts)).to_pylist()
+            groups = [sizes.groups(n) for n in np.diff(bounds).tolist()]
+            for k in range(2):
+                own = [g[k] if k < len(g) and (o is None or g[k] in o) else -1 for g, o in zip(groups, only, strict=True)]
+                bands = np.array([sizes.bands(g, spread, empty) if g >= 0 else 0 for g in own], "i8")
+                owner, keys = band_keys(flat, bounds, np.array(own, "i8"), bands, seed, empty)
+                there = np.flatnonzero(bands)
+                limits = np.array([sizes.limit(int(bounds[x + 1] - bounds[x]), own[x]) for x in there.tolist()], "i8")
+                yield nodes[there], np.array(own, "i8")[there], np.bincount(owner, minlength=len(bands))[there], limits, nodes[owner], keys
 
 
 def useful_bands(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed: int) -> DataFrame:
@@ -168,25 +241,95 @@ def useful_bands(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed:
     is the node's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], []]
-            for who, text, only in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                h = shingles(text.as_py(), size)
-                for g in sizes.groups(len(h)):
-                    if (bands := sizes.bands(g, spread, False)) and (only is None or g in only):
-                        for x, v in zip(out, (who, g, len(band_keys(h, g, bands, seed, False)), sizes.limit(len(h), g)), strict=True):
-                            x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "grp", "filled", "limit"])
+        for *four, _, _ in _keyed(batches, size, sizes, spread, seed):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in four], names=["node", "grp", "filled", "limit"])
 
     return texts.select("node", "t", "only").mapInArrow(run, "node bigint, grp bigint, filled bigint, limit bigint")
 
 
+def shared_bands(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed: int, parts: int, empty: bool = False) -> DataFrame:
+    """node and key of the bands that more than one set of ``texts`` has; and, with ``thin``, node and class (as the key) of
+    sets that fill too few bands to be sure to share one.
+
+    Keys travel packed, CHUNK at a time, to ``parts`` parts by key. A band that more than SMALL sets of one chunk have is
+    known to be shared: its sets stay in the chunk's own row, and its part gets one entry for it, so a band that very many
+    sets have brings at most SMALL entries a chunk to a part."""
+
+    def packed(node: np.ndarray, key: np.ndarray, chunk: int) -> Iterator[tuple]:
+        order = np.argsort(key, kind="stable")
+        node, key = node[order], key[order]
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many = np.repeat(np.diff(np.r_[begins, len(key)]) > SMALL, np.diff(np.r_[begins, len(key)]))
+        lead = np.zeros(len(key), bool)
+        lead[begins] = True
+        if many.any():
+            yield chunk % parts, 1, node[many].tobytes(), key[many].tobytes(), b""
+        sent = ~many | lead
+        node, key, many = node[sent], key[sent], many[sent]
+        part = ((key.view("u8") >> np.uint64(8)) % np.uint64(parts)).astype("i8")
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        for p, (x, y) in enumerate(pairwise(bounds.tolist())):
+            if x < y:
+                at = order[x:y]
+                yield p, 0, node[at].tobytes(), key[at].tobytes(), many[at].tobytes()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "node", "key", "many"])
+        held, count, chunk = [], 0, TaskContext.get().partitionId()
+        for nodes, own, filled, limit, node, key in _keyed(batches, size, sizes, spread, seed, empty):
+            thin = filled <= limit
+            if thin.any() and not empty:
+                yield as_batch([(chunk % parts, 2, nodes[thin].tobytes(), own[thin].tobytes(), b"")])
+            held.append((node, key))
+            count += len(key)
+            if count >= CHUNK:
+                yield as_batch(list(packed(*map(np.concatenate, zip(*held, strict=True)), chunk)))
+                held, count, chunk = [], 0, chunk + 1
+        if count:
+            yield as_batch(list(packed(*map(np.concatenate, zip(*held, strict=True)), chunk)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(node, key, thin) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(np.full(len(node), thin))], names=["node", "key", "thin"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            node, key, many = (np.concatenate([np.frombuffer(x, t) for x in v]) for v, t in zip(zip(*held, strict=True), ("<i8", "<i8", "?"), strict=True))
+            order = np.argsort(key, kind="stable")
+            node, key, many = node[order], key[order], many[order]
+            same = key[1:] == key[:-1]
+            kept = (np.r_[False, same] | np.r_[same, False]) & ~many
+            yield out(node[kept], key[kept], False)
+
+        held, now = [], None
+        for batch in batches:
+            for part, kind, node, key, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind:
+                    yield out(np.frombuffer(node, "<i8"), np.frombuffer(key, "<i8"), kind == 2)
+                    continue
+                if part != now and held:
+                    yield from close()
+                    held = []
+                now = part
+                held.append((node, key, many))
+        if held:
+            yield from close()
+
+    sent = texts.select("node", "t", "only").mapInArrow(send, "part bigint, kind int, node binary, key binary, many binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "node bigint, key bigint, thin boolean")
+
+
 def narrow_sketches(texts: DataFrame, size: int) -> DataFrame:
+    """node, n, sig of ``texts`` (node, t)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrow_sketch(shingles(x.as_py(), size)) for x in batch.column(1)], pa.binary())], names=["node", "sig"])
+            for first, texts in in_pieces(batch.column(1)):
+                flat, bounds = shingle_sets(texts, size)
+                made = [narrow_sketch(flat[x:y]) for x, y in pairwise(bounds.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(np.diff(bounds)), pa.array(made, pa.binary())], names=["node", "n", "sig"])
 
-    return texts.select("node", "t").mapInArrow(run, "node bigint, sig binary")
+    return texts.select("node", "t").mapInArrow(run, "node bigint, n bigint, sig binary")
 
 
 def near(sizes: Sizes, na, nb, apart):
@@ -269,21 +412,44 @@ def compared(dealt: DataFrame, sizes: Sizes) -> DataFrame:
     return made.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def small_pairs(members: DataFrame, sizes: Sizes) -> DataFrame:
+    """Distinct pairs of ``members`` (key, node, root, n) of a band with different roots, of sizes that can be linked. No
+    band has more than SMALL."""
+
+    def made(key, node, root, n) -> pa.RecordBatch:
+        a, b, rows = [np.array([], "i8")], [np.array([], "i8")], np.arange(len(key))
+        for d in range(1, SMALL):
+            rows = rows[rows + d < len(key)]
+            rows = rows[key[rows] == key[rows + d]]
+            x = rows[(root[rows] != root[rows + d]) & near(sizes, n[rows], n[rows + d], 0)]
+            a.append(np.minimum(node[x], node[x + d]))
+            b.append(np.maximum(node[x], node[x + d]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))
+                yield made(*(x[:whole] for x in rows))
+                held = [x[whole:] for x in rows]
+        if held is not None:
+            yield made(*held)
+
+    return members.select("key", "node", "root", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 class _Join:
-    """The links found so far between the nodes of ``texts``, and the components that they make."""
+    """The links found so far between the nodes of ``texts`` (node, n, t), and the components that they make."""
 
     def __init__(self, texts: DataFrame, size: int, sizes: Sizes):
         self.texts, self.size, self.sizes = texts, size, sizes
-        self.sketches = cut(narrow_sketches(texts, size).join(texts.select("node", "n"), "node"), "narrow_sketches")
+        self.sketches = cut(narrow_sketches(texts, size), "narrow_sketches")
         self.links = self.seen = self.roots = None
         self.tables = [self.sketches]
 
-    @staticmethod
-    def shared(members: DataFrame) -> DataFrame:
-        """``members`` (node, key) of bands that more than one set has. Counts are taken before the shuffle, and the join
-        that follows can be split, so a band that very many sets have is no single task."""
-        return cut(members.join(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key"), "shared_bands")
-
     def test(self, pairs: DataFrame) -> None:
         """Verify candidates that were not tested before, and bring the components up to date."""
         if self.seen is not None:
@@ -293,8 +459,9 @@ class _Join:
         if pairs.isEmpty():
             return
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        found = cut(verified(allowed(pairs, self.sketches, self.sizes), self.texts, self.size, self.sizes), "confirmed")
-        self.tables.append(found)
+        left = cut(allowed(pairs, self.sketches, self.sizes), "allowed")
+        found = cut(verified(left, self.texts, self.size, self.sizes), "confirmed")
+        self.tables += [left, found]
         if found.isEmpty():
             return
         self.links = found if self.links is None else self.links.unionByName(found)
@@ -305,23 +472,29 @@ class _Join:
             return rows.withColumn("root", F.col("node"))
         return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def open(self, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with their roots, and key and c of the buckets that hold more than one component."""
+    def open(self, shared: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+        """Members with their roots; and key and c of the bands of ``least`` members or more, of more than one component."""
         rooted = self.rooted(shared)
-        return rooted, rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key", "c")
-
-    def stars(self, shared: DataFrame, seed: int) -> None:
-        """Test every set of an open bucket with one of them, another one for each ``seed``, if their roots differ."""
+        return rooted, rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).filter((F.col("x") < F.col("y")) & (F.col("c") >= least)).select("key", "c")
+
+    def stars(self, shared: DataFrame, *by, least: int = 2) -> None:
+        """Test the sets of an open band with those that are the least by ``by``, if their roots differ."""
+        rooted, still = self.open(shared, least)
+        hub = lambda k, order: F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias(f"h{k}")
+        hubs = rooted.groupBy("key").agg(*[hub(k, order) for k, order in enumerate(by)]).join(still, "key").select("key", F.explode(F.array(*[f"h{k}" for k in range(len(by))])).alias("h"))
+        met = rooted.join(hubs, "key").filter("root <> h.hub_root")
+        self.test(met.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
+
+    def compare_small(self, shared: DataFrame) -> None:
+        """All pairs of different roots of the bands with up to SMALL members; those with three or fewer had their stars."""
+        rooted, still = self.open(shared, 4)
+        self.test(small_pairs(rooted.join(still.filter(F.col("c") <= SMALL), "key").join(self.sketches.select("node", "n"), "node"), self.sizes))
+
+    def compare(self, shared: DataFrame) -> None:
+        """The same of bands of any size, in parts: a row goes to its own part of the band, and to every other one unless it
+        has the root that most have."""
         rooted, still = self.open(shared)
-        by = F.col("node") if seed == 0 else F.xxhash64("node", F.lit(seed))
-        one = F.struct(by.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-        hubs = rooted.groupBy("key").agg(F.min(one).alias("h")).join(still, "key").select("key", "h.hub", "h.hub_root")
-        met = rooted.join(hubs, "key").filter("root <> hub_root")
-        self.test(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-
-    def compare(self, members: DataFrame) -> None:
-        """Test all pairs of different roots in ``members`` (key, node, root, c): whole buckets, or parts of larger ones.
-        In those a row goes to its own part, and to every other one unless it has the root that most have."""
+        members = rooted.join(still, "key")
         parts = F.ceil(F.col("c") / PART).cast("int")
         own = F.pmod(F.xxhash64("node"), parts).cast("int")
         common = members.filter(F.col("c") > PART).groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
@@ -340,36 +513,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     documents of their own; those with the same id and set share a component. Null ids come last among the least. Other
     columns are not read. Empty table: no rows.
     """
-    sizes = Sizes(*similar)
+    spark, sizes = docs.sparkSession, Sizes(*similar)
     one = F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("d"))
     rows = marks(docs.select(one.alias("i"), F.col(f"`{text}`").alias("t")), shingle)
     marked = cut(rows.select("i", "d1", "d2", "n"), "marks")
     sets = rows if empty_alike else rows.filter("n > 0")
     texts = cut(sets.groupBy("d1", "d2").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("t").alias("t")).withColumn("node", F.monotonically_increasing_id()), "sets")
-    join = _Join(texts, shingle, sizes)
-    play, done = texts.withColumn("only", F.lit(None).cast("array<bigint>")), []
-    for level, spread in enumerate(LEVELS):
-        shared = join.shared(wide_keys(play, shingle, sizes, spread, 10 * level))
-        for seed in range(STARS):
-            join.stars(shared, seed)
-        rooted, still = join.open(shared)
-        join.compare(rooted.join(still.filter(F.col("c") <= SMALL), "key"))
-        rooted, still = join.open(shared)
-        hot = shared.join(still.filter(F.col("c") > SMALL), "key").groupBy("node", F.expr("key & 255").alias("class")).agg(F.count("*").alias("idle"))
-        made = useful_bands(play, shingle, sizes, spread, 10 * level).withColumn("class", F.expr("grp & 255"))
-        few = made.join(hot, ["node", "class"], "left").filter(F.col("filled") - F.coalesce("idle", F.lit(0)) <= F.col("limit"))
-        left = cut(few.groupBy("node").agg(F.collect_set("grp").alias("only")), "left_over")
-        done += [shared, left]
+    total = marked.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // CHUNK + 1)
+    play, done, join = texts.withColumn("only", F.lit(None).cast("array<bigint>")), [marked, texts], None
+    for level, spread in enumerate((*LEVELS, None)):
+        met = cut(shared_bands(play, shingle, sizes, spread or 1.0, 10 * level, parts, spread is None), "shared_bands")
+        shared, thin = met.filter("not thin").select("key", "node"), met.filter("thin").select("node", F.col("key").alias("grp"))
+        done.append(met)
+        if join is None:
+            near_ones = cut(texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "t"), "candidate_texts")
+            join = _Join(near_ones, shingle, sizes)
+            done.append(near_ones)
+        join.stars(shared, F.col("node"))
+        join.stars(shared, -F.col("node"), F.xxhash64("node", "key"), least=3)
+        if spread is None:
+            join.compare(shared)
+            break
+        join.compare_small(shared)
+        _, still = join.open(shared, SMALL + 1)
+        hot = shared.join(still, "key").groupBy("node", F.expr("key & 255").alias("class")).agg(F.count("*").alias("idle"))
+        made = useful_bands(play.join(hot.select("node").distinct(), "node", "left_semi"), shingle, sizes, spread, 10 * level).withColumn("class", F.expr("grp & 255"))
+        few = made.join(hot, ["node", "class"]).filter(F.col("filled") - F.col("idle") <= F.col("limit")).select("node", "grp")
+        left = cut(few.unionByName(thin).groupBy("node").agg(F.collect_set("grp").alias("only")), "left_over")
+        done.append(left)
         if left.isEmpty():
             break
-        play = texts.join(left, "node")
-    else:
-        shared = join.shared(wide_keys(play, shingle, sizes, 1.0, 10 * len(LEVELS), empty=True))
-        join.stars(shared, 0)
-        rooted, still = join.open(shared)
-        join.compare(rooted.join(still, "key"))
-        done.append(shared)
-    for x in [*done, *join.tables]:  # the components stand by themselves
+        play = join.texts.join(left, "node")
+    for x in [*done[2:], *join.tables]:  # the components stand by themselves
         forget(x)
     reach = join.rooted(texts.select("d1", "d2", "i", "node"))
     named = reach.join(reach.groupBy("root").agg(F.min("i").alias("c")), "root").select("d1", "d2", "c")
