@@ -15,25 +15,72 @@ def pairs(rets: DataFrame) -> DataFrame:
     return x.join(y, ["grp", "ts"]).filter("a < b")
 
 
+def complete(x: Column, y: Column) -> Column:
+    """Both sides are numbers."""
+    return x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+
+
+def pair_corr(x, y) -> Column:
+    """Pearson correlation, as an aggregate, over the rows on which both sides are numbers; null if a side is constant."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    ok = complete(x, y)
+    x, y = F.when(ok, x), F.when(ok, y)
+    return F.nanvl(F.try_divide(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x)), F.stddev_samp(y)), F.lit(None).cast("double"))
+
+
+MOMENTS = ("n", "mx", "my", "xx", "yy", "xy")
+
+
+def co_moments(x: Column, y: Column, part, order) -> dict[str, Column]:
+    """State of the rows of a frame that grows from one end: number of complete pairs, both means, both sums of squared
+    deviations and the sum of their products.
+
+    Sums are taken of differences from the frame's first complete pair. That pair is one of those summed, so no sum is more
+    than n + 1 times what remains of it, and nothing is lost whatever the scale of rows outside the frame."""
+    frame = part.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ok = complete(x, y)
+    x0, y0 = F.first(F.when(ok, x), ignorenulls=True).over(frame), F.first(F.when(ok, y), ignorenulls=True).over(frame)
+    u, v = F.when(ok, x - x0), F.when(ok, y - y0)
+    total = lambda c: F.coalesce(F.sum(c).over(frame), F.lit(0.0))
+    n = F.count(u).over(frame).cast("double")
+    su, sv, each = total(u), total(v), F.greatest(n, F.lit(1.0))
+    left = lambda a, b, c: F.when(n > 0, total(a * b) - c).otherwise(0.0)
+    return {"n": n, "mx": F.coalesce(x0, F.lit(0.0)) + su / each, "my": F.coalesce(y0, F.lit(0.0)) + sv / each, "xx": left(u, u, su * su / each), "yy": left(v, v, sv * sv / each), "xy": left(u, v, su * sv / each)}
+
+
+def merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The state of the rows of two states together."""
+    n = a["n"] + b["n"]
+    share = F.when((a["n"] > 0) & (b["n"] > 0), a["n"] * b["n"] / n).otherwise(0.0)
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    return {"n": n, "xx": a["xx"] + b["xx"] + dx * dx * share, "yy": a["yy"] + b["yy"] + dy * dy * share, "xy": a["xy"] + b["xy"] + dx * dy * share}
+
+
 def rolling_corr(rets: DataFrame, window: int = WINDOW, inclusive: bool = False) -> DataFrame:
-    """grp, ts, t_idx, a, b, rho. Exclusive: the ``window`` rows before the date; inclusive: up to the date. A constant
-    series has no correlation (null); dates without a full window are left out.
+    """grp, ts, t_idx, a, b, rho. Exclusive: the ``window`` rows before the date; inclusive: up to the date. Of the rows of a
+    window those count on which both returns are numbers; with fewer than two, or with a constant side, there is no
+    correlation (null). Dates without a full window of rows are left out.
 
-    Running sums of the centred returns and of their products, less those ``window`` rows before: each row costs the same
-    whatever the window. What is left of a constant stretch after the difference is under 1e-12 of the sums.
+    A pair's rows are cut into blocks of ``window`` rows. Any window is the end of one block and the beginning of the next,
+    whose states are running aggregates from both ends of the blocks and merge, so a row costs the same whatever the
+    window, and rows outside a window leave no trace in it.
     """
-    whole, order = Window.partitionBy("grp", "a", "b"), Window.partitionBy("grp", "a", "b").orderBy("t_idx")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    x, y = F.col("x"), F.col("y")
-    p = pairs(rets).withColumn("x", F.col("ra") - F.avg("ra").over(whole)).withColumn("y", F.col("rb") - F.avg("rb").over(whole))
-    sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
-    p = p.select("grp", "ts", "t_idx", "a", "b", F.row_number().over(order).alias("n"), *[F.sum(v).over(so_far).alias(k) for k, v in sums.items()])
-    in_window = lambda k: F.col(k) - F.coalesce(F.lag(k, window).over(order), F.lit(0.0))
-    p = p.select("grp", "ts", "t_idx", "a", "b", "n", F.col("sxx").alias("tx"), F.col("syy").alias("ty"), *[in_window(k).alias(k) for k in sums])
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / window, F.col("syy") - F.col("sy") * F.col("sy") / window
-    fine = (vx > 1e-12 * F.col("tx")) & (vy > 1e-12 * F.col("ty"))
-    rho = F.when(fine, (F.col("sxy") - F.col("sx") * F.col("sy") / window) / F.sqrt(vx * vy))
-    return p.filter(F.col("n") > (window - 1 if inclusive else window)).select("grp", "ts", "t_idx", "a", "b", rho.alias("rho"))
+    keys = ("grp", "a", "b")
+    order, part = Window.partitionBy(*keys).orderBy("t_idx"), Window.partitionBy(*keys, "block")
+    p = pairs(rets).withColumn("n_", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("n_") / window))
+    x, y = F.col("ra"), F.col("rb")
+    ahead, back = (co_moments(x, y, part, F.col("t_idx").asc()), co_moments(x, y, part, F.col("t_idx").desc()))
+    p = p.select("*", *[v.alias(f"p_{k}") for k, v in ahead.items()]).select("*", *[v.alias(f"s_{k}") for k, v in back.items()])
+    split = F.col("n_") % window < window - 1  # else the window is the block
+    start = {k: F.when(split, F.lag(f"s_{k}", window - 1).over(order)).otherwise(0.0).alias(f"q_{k}") for k in MOMENTS}
+    p = p.select("*", *start.values())
+    m = merged({k: F.col(f"q_{k}") for k in MOMENTS}, {k: F.col(f"p_{k}") for k in MOMENTS})
+    fine = (m["n"] >= 2) & (m["xx"] > 0) & (m["yy"] > 0)
+    rho = F.when(fine, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m["xy"] / (F.sqrt(m["xx"]) * F.sqrt(m["yy"])))))
+    made = p.select("grp", "ts", "t_idx", "a", "b", "n_", F.when(~F.isnan(rho), rho).alias("rho"))
+    if not inclusive:
+        made = made.withColumn("rho", F.lag("rho").over(order))
+    return made.filter(F.col("n_") >= (window - 1 if inclusive else window)).select("grp", "ts", "t_idx", "a", "b", "rho")
 
 
 def strided_corr(rets: DataFrame, window: int = WINDOW, stride: int = 20) -> DataFrame:
@@ -43,8 +90,7 @@ def strided_corr(rets: DataFrame, window: int = WINDOW, stride: int = 20) -> Dat
     first = F.greatest(F.lit(0), F.floor((F.col("t_idx") - w) / k) + 1)  # dates w + k j with k j <= t_idx < w + k j
     last = F.floor(F.col("t_idx") / k)
     p = pairs(rets).withColumn("j", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-    rho = F.try_divide(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb"))
-    made = p.groupBy("grp", "a", "b", (F.col("j") * k + w).cast("int").alias("t_idx")).agg(rho.alias("rho"))
+    made = p.groupBy("grp", "a", "b", (F.col("j") * k + w).cast("int").alias("t_idx")).agg(pair_corr("ra", "rb").alias("rho"))
     return made.join(rets.select("grp", "t_idx", "ts").distinct(), ["grp", "t_idx"]).select("grp", "ts", "t_idx", "a", "b", "rho")
 
 

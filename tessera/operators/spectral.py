@@ -100,26 +100,27 @@ def repaired(vectors: DataFrame, floor: float = 0.01) -> DataFrame:
 
 
 def null_model(rets: DataFrame, reps: int = 100, seed: int = 42) -> DataFrame:
-    """Every asset's whole return series shuffled for itself, ``reps`` times: mean correlation, loops and their spread.
+    """Every asset's whole return series shuffled for itself, ``reps`` times (repetitions 1 to ``reps``), and the series as it
+    is (0): mean correlation, loops, their total length and its spread.
 
-    A row holds one group's series and the first of REPETITIONS repetitions, which are made where the row is, so the
-    series is not copied for each; the generator is seeded by group and repetition."""
-    wide = rets.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("asset", "t_idx", "r"))).alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REPETITIONS))))
+    A row holds one group's series and the first of REPETITIONS repetitions, which are made where the row is: one copy of
+    the series for so many repetitions. The generator is seeded by group and repetition."""
+    wide = rets.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("asset", "t_idx", "r"))).alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps), F.lit(REPETITIONS))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for g, begin, x in zip(f["grp"], f["rep"], f["x"], strict=True):
                 whole = pd.DataFrame([tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in x], columns=["asset", "t", "r"]).pivot(index="t", columns="asset", values="r").dropna().to_numpy()
-                for rep in range(begin, min(begin + REPETITIONS, reps)):
+                for rep in range(begin, min(begin + REPETITIONS, reps + 1)):
                     rng = np.random.default_rng([seed, rep, *g.encode()])
                     t = np.column_stack([rng.permutation(c) for c in whole.T]) if rep else whole  # repetition 0 is the data itself
                     c = np.corrcoef(t.T)
                     lives = K.lifetimes(K.persistence(K.distances(c)), 1)
-                    out.append((g, rep, float(c[np.triu_indices(len(c), 1)].mean()), len(lives), K.cv(lives)))
-            yield pd.DataFrame(out, columns=["grp", "rep", "mean_corr", "h1_count", "h1_cv"])
+                    out.append((g, rep, float(c[np.triu_indices(len(c), 1)].mean()), len(lives), float(lives.sum()), K.cv(lives)))
+            yield pd.DataFrame(out, columns=["grp", "rep", "mean_corr", "h1_count", "h1_total", "h1_cv"])
 
-    return wide.repartition("grp", "rep").mapInPandas(run, "grp string, rep int, mean_corr double, h1_count int, h1_cv double")
+    return wide.repartition("grp", "rep").mapInPandas(run, "grp string, rep int, mean_corr double, h1_count int, h1_total double, h1_cv double")
 
 
 def diffusion_residuals(vectors: DataFrame, rets: DataFrame, tau: float = 0.3, alpha: float = 0.5, steps: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.operators import metrics as M
 from tessera.operators import regression as G
 from tessera.operators import rolling as R
 from tessera.operators import spectral as S
+from tessera.operators.network import pair_corr
 from tessera.plans.network_queries import LAP, TAU, _diffuse, cv_and_rho, diagrams, h1, residuals, vectors
 from tessera.plans.oracle import EW, FEATURES, H1, base
 from tessera.plans.panel_queries import CUM, RV, corr, ew, factors, r6, ranked, realized_vol, ret, shared
@@ -436,7 +437,7 @@ def h10(s, d):
     """The real topology against its permutations: z, p and effect size of the lifetimes' spread and z of the loops."""
     from tessera.plans.network_queries import t13
 
-    n = t13(s, d)
+    n = t13(s, d).withColumn("h1_cv", F.coalesce("h1_cv", F.lit(0.0)))  # without loops it counts as 0
     null = n.filter("rep > 0").groupBy("grp").agg(F.avg("h1_cv").alias("cv_mean"), F.stddev_pop("h1_cv").alias("cv_std"), F.avg("h1_count").alias("loops_mean"), F.greatest(F.stddev_pop("h1_count"), F.lit(0.1)).alias("loops_std"))
     x = n.filter("rep = 0").join(null, "grp").withColumn("z", F.try_divide(F.col("h1_cv") - F.col("cv_mean"), F.col("cv_std"))).withColumn("p", z_p("z"))
     sure = F.col("p") < 0.05
@@ -467,7 +468,7 @@ def regimes(x, v, keys):
 
 
 def pearson(x, y):
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    return pair_corr(x, y)
 
 
 def r_p():
@@ -700,14 +701,14 @@ X11 = (
 )
 
 
-@q("x11", COR + X11 + " SELECT grp, ts, round(-sig * mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS hybrid, round(mom -"
-    " CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS momentum FROM z")
+@q("x11", COR + X11 + " SELECT grp, ts, round(-sig * mom - CASE WHEN n % 5 = 0 THEN 0.005 ELSE 0 END, 6) AS hybrid, round(mom, 6) AS momentum FROM z")
 def x11(s, d):
+    """Momentum turned round by the topology's signal, ten trades of 5 bp every fifth row; and momentum alone, without costs."""
     mom = ret(s, d).withColumn("mom", F.sum("r").over(R.past(20, keys=("grp", "asset"), skip=1))).filter("t_idx >= 20")
     w = ranked(mom, "mom").select("grp", "asset", "ts", "t_idx", "r", F.when(F.col("hi") <= 2, 0.25).when(F.col("lo") <= 2, -0.25).otherwise(0.0).alias("w"))
     x = w.groupBy("grp", "ts", "t_idx").agg(F.sum(F.col("w") * F.col("r")).alias("mom")).join(h1_signal(s, d), ["grp", "ts"])
     n = F.row_number().over(R.in_order()) - 1
-    return x.select("grp", "ts", r6("hybrid", -F.col("sig") * F.col("mom") - F.when(n % 5 == 0, 0.005).otherwise(0.0)), r6("momentum", F.col("mom") - F.when(n % 5 == 0, 0.005).otherwise(0.0)))
+    return x.select("grp", "ts", r6("hybrid", -F.col("sig") * F.col("mom") - F.when(n % 5 == 0, 0.005).otherwise(0.0)), r6("momentum", F.col("mom")))
 
 
 X12 = SIG + MOM.format(n=5) + ", mp AS (SELECT grp, ts, sum(CASE WHEN lo <= 2 THEN 0.25 WHEN hi <= 2 THEN -0.25 ELSE 0 END * r) AS r FROM mk2 GROUP BY 1, 2)"
@@ -723,18 +724,29 @@ def x12(s, d):
 
 F60H = "OVER (PARTITION BY grp ORDER BY ts ROWS 59 PRECEDING)"
 X13 = (
-    H1 + f", hz AS (SELECT grp, ts, CASE WHEN count(h1_count) {F60H} >= 60 THEN (h1_count - avg(h1_count) {F60H}) /"
-    f" nullif(stddev_samp(h1_count) {F60H}, 0) END AS z FROM h1), res AS (SELECT grp, asset, ts, r AS e FROM ret)" + LSQ.format(w="w", join="").replace("0.5 WHEN hi <= 2 THEN -0.5", "0.25 WHEN hi <= 2 THEN -0.25")
+    H1
+    + f", hz AS (SELECT grp, ts, h1_count, CASE WHEN count(h1_count) {F60H} >= 60 THEN (h1_count - avg(h1_count) {F60H}) /"
+    f" nullif(stddev_samp(h1_count) {F60H}, 0) END AS z FROM h1)"
+    + MOM.format(n=20)
+    + ", leg AS (SELECT grp, ts, avg(r) FILTER (WHERE lo <= 2) AS losers, avg(r) FILTER (WHERE hi <= 2) AS winners FROM mk2 GROUP BY 1, 2)"
+    ", day AS (SELECT h.grp, h.ts, z, (losers - winners) / 2 AS spread, (row_number() OVER (PARTITION BY h.grp ORDER BY h.ts) - 1) % 5 AS turn"
+    " FROM hz h JOIN leg ON h.grp = leg.grp AND h.ts = leg.ts WHERE z IS NOT NULL)"
 )
 
 
-@q("x13", COR + X13 + " SELECT p.grp, p.ts, round(CASE WHEN abs(z) > 1 THEN least(abs(z) / 2, 1) * r ELSE 0 END, 6) AS r FROM pnl p"
-    " JOIN hz ON p.grp = hz.grp AND p.ts = hz.ts WHERE z IS NOT NULL")
+@q("x13", COR + X13 + " SELECT grp, ts, CASE WHEN z > 1 THEN 'high_stress' WHEN z < -1 THEN 'low_stress' ELSE 'normal' END AS regime,"
+    " round(CASE WHEN abs(z) > 1 THEN least(abs(z) / 2, 1) * spread - CASE WHEN turn = 0 THEN 10 * 0.0005 ELSE 0 END ELSE 0 END, 6) AS r FROM day")
 def x13(s, d):
+    """Losers of 20 rows against winners on days whose loop count stands out from its last 60, by how much it does; ten
+    trades of 5 bp on every fifth row, if in the market."""
     z = h1(s, d).withColumn("z", R.z_score(F.col("h1_count"), 60, order="ts")).filter("z is not null").select("grp", "ts", "z")
-    w = ranked(ret(s, d)).select("grp", "asset", "ts", "t_idx", F.when(F.col("lo") <= 2, 0.25).when(F.col("hi") <= 2, -0.25).otherwise(0.0).alias("w"))
-    x = long_short(s, d, w.drop("t_idx")).join(z, ["grp", "ts"])
-    return x.select("grp", "ts", r6("r", F.when(F.abs("z") > 1, F.least(F.abs("z") / 2, F.lit(1.0)) * F.col("r")).otherwise(0.0)))
+    mom = ret(s, d).withColumn("mom", F.sum("r").over(R.past(20, keys=("grp", "asset"), skip=1))).filter("t_idx >= 20")
+    w = ranked(mom, "mom").select("grp", "ts", "r", F.when(F.col("lo") <= 2, 0.25).when(F.col("hi") <= 2, -0.25).otherwise(0.0).alias("w"))
+    x = w.groupBy("grp", "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r")).join(z, ["grp", "ts"])
+    turn = (F.row_number().over(R.in_order(order="ts")) - 1) % 5 == 0
+    made = F.least(F.abs("z") / 2, F.lit(1.0)) * F.col("r") - F.when(turn, 0.005).otherwise(0.0)
+    name = F.when(F.col("z") > 1, "high_stress").when(F.col("z") < -1, "low_stress").otherwise("normal")
+    return x.select("grp", "ts", name.alias("regime"), r6("r", F.when(F.abs("z") > 1, made).otherwise(0.0)))
 
 
 PICK = (

@@ -111,6 +111,74 @@ def test_stream_bars_match_batch(spark, tmp_path):
     assert {(r.asset, r.ts): r.n for r in spark.table("bars").collect()} == batch
 
 
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_correlations_with_gaps_and_scales_are_pandas(spark, inclusive):
+    """Null and NaN on either side, a quiet stretch after a wild one, a constant stretch, windows with one pair or none."""
+    import pandas as pd
+
+    from tessera.operators import network as N
+    from tessera.plans import network_queries as nq
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(130, 4)) + 0.5 * rng.normal(size=(130, 1))
+    x[:45] *= 1e3
+    x[45:] *= 1e-4
+    x[70:90, 2] = 3e-5
+    gaps = [(3, 0), (20, 1), (60, 1), (61, 1), (110, 0), *((k, 3) for k in range(96, 115))]
+    for k, (t, c) in enumerate(gaps):
+        x[t, c] = np.nan
+    rows = [("g", "abcd"[k], i, i, None if (i, k) in gaps[::2] else float(x[i, k])) for i in range(130) for k in range(4)]
+    rets = spark.createDataFrame(rows, "grp string, asset string, ts int, t_idx int, r double").repartition(3)
+
+    def want(w, a, b):
+        f = pd.DataFrame(w[:, ["abcd".index(a), "abcd".index(b)]]).dropna()
+        if len(f) < 2 or (f.max() == f.min()).any():
+            return None
+        f = f - f.mean()  # pandas alone would lose digits of a small stretch
+        return float((f[0] * f[1]).sum() / np.sqrt((f[0] ** 2).sum() * (f[1] ** 2).sum()))
+
+    made = {(r.t_idx, r.a, r.b): r.rho for r in N.rolling_corr(rets, 16, inclusive).collect()}
+    assert len(made) == 6 * (130 - 16 + inclusive) and sum(v is None for v in made.values()) > 5
+    for (t, a, b), rho in made.items():
+        v = want(x[t - 16 + inclusive : t + inclusive], a, b)
+        assert (rho is None) == (v is None) and (v is None or rho == pytest.approx(v, abs=1e-9)), (t, a, b)
+        if v is not None:
+            whole = pd.DataFrame(x[t - 16 + inclusive : t + inclusive]).corr().iloc["abcd".index(a), "abcd".index(b)]
+            assert rho == pytest.approx(whole, abs=1e-6)
+    if not inclusive:
+        kept = {(r.t_idx, r.a, r.b): r.rho for r in N.strided_corr(rets, 16, 10).collect()}
+        assert all((v is None) == (made[k] is None) and (v is None or v == pytest.approx(made[k], abs=1e-9)) for k, v in kept.items())
+        whole = {(r.a, r.b): r.rho for r in nq.whole_corr(rets).collect()}
+        assert all(v == pytest.approx(want(x, *k), abs=1e-9) for k, v in whole.items())
+
+
+def test_adaptive_strategy_walks_the_loop(spark, monkeypatch):
+    from tessera.plans import strategy_queries as sq
+
+    rng = np.random.default_rng(6)
+    n, assets = 200, "abcdef"
+    r = rng.normal(size=(n, 6)) * 0.01
+    loops = rng.integers(0, 9, n)
+    frame = spark.createDataFrame([("g", a, i, i, float(r[i, k])) for i in range(n) for k, a in enumerate(assets)], "grp string, asset string, ts int, t_idx int, r double")
+    monkeypatch.setattr(sq, "ret", lambda s, d: frame)
+    monkeypatch.setattr(sq, "h1", lambda s, d: spark.createDataFrame([("g", i, 6, int(loops[i])) for i in range(n)], "grp string, ts int, n_assets int, h1_count int"))
+    made = {x.ts: (x.regime, x.r) for x in sq.x13(spark, "").collect()}
+    turn = 0
+    for t in range(59, n):
+        seen = loops[t - 59 : t + 1]
+        z = (loops[t] - seen.mean()) / seen.std(ddof=1)
+        past = r[t - 20 : t].sum(axis=0)
+        order = np.argsort(past)
+        got = 0.0
+        if abs(z) > 1:
+            got = (r[t, order[:2]].mean() - r[t, order[-2:]].mean()) / 2 * min(abs(z) / 2, 1)
+            got -= 10 * 0.0005 if turn % 5 == 0 else 0
+        assert made[t][0] == ("high_stress" if z > 1 else "low_stress" if z < -1 else "normal")
+        assert made[t][1] == pytest.approx(got, abs=2e-6)
+        turn += 1
+    assert len(made) == n - 59 and {v[0] for v in made.values()} == {"high_stress", "low_stress", "normal"}
+
+
 def test_null_model_takes_the_whole_series(spark, monkeypatch):
     from tessera.plans import network_queries as nq
     from tessera.plans import strategy_queries as sq
@@ -122,19 +190,19 @@ def test_null_model_takes_the_whole_series(spark, monkeypatch):
     rows = [("g", a, i, i, float(series[i, k])) for i in range(n) for k, a in enumerate(assets)]
     monkeypatch.setattr(nq, "ret", lambda s, d: spark.createDataFrame(rows, "grp string, asset string, ts int, t_idx int, r double"))
     want = []
-    for rep in range(100):
+    for rep in range(101):  # the data and the reference's 100 permutations
         gen = np.random.default_rng([42, rep, *b"g"])
         x = np.column_stack([gen.permutation(c) for c in series.T]) if rep else series
         c = np.corrcoef(x.T)
         lives = [e - b for k, b, e in K.persistence(K.distances(c)) if k == 1 and e is not None and e > b]
-        want.append((c[np.triu_indices(len(c), 1)].mean(), len(lives)))
+        want.append((c[np.triu_indices(len(c), 1)].mean(), len(lives), sum(lives)))
     made = {r.rep: r for r in nq.t13(spark, "").collect()}
-    assert len(made) == 100
-    assert all(made[i].mean_corr == pytest.approx(m, abs=1e-6) and made[i].h1_count == k for i, (m, k) in enumerate(want))
-    null = np.array([k for _, k in want[1:]], float)
+    assert len(made) == 101
+    assert all(made[i].mean_corr == pytest.approx(m, abs=1e-6) and made[i].h1_count == k and made[i].h1_total == pytest.approx(t, abs=1e-5) for i, (m, k, t) in enumerate(want))
+    null = np.array([k for _, k, _ in want[1:]], float)
     (h,) = sq.h10(spark, "").collect()
     assert h.h1_count == want[0][1] and h.z_loops == pytest.approx((want[0][1] - null.mean()) / max(null.std(), 0.1), abs=1e-5)
-    real, cv = made[0].h1_cv, [made[i].h1_cv for i in range(1, 100) if made[i].h1_cv is not None]
+    real, cv = made[0].h1_cv, [made[i].h1_cv or 0.0 for i in range(1, 101)]
     assert real is not None and h.cv == real and h.cv_mean == pytest.approx(np.mean(cv), abs=1e-5)
     z = (real - np.mean(cv)) / np.std(cv)
     p = K.normal_two_sided(z)
