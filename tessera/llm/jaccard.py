@@ -19,7 +19,7 @@ useful bands, one of them agrees with the other set's, and the pair was met ther
 with finer bands, where rare shingles stand alone; what is left even then is compared bucket by bucket, in parts.
 
 Texts with the same set are one node. Since only components are asked for, stars come first: the sets of a bucket are
-tested with the first of them, then with the last and any, and only sets of different components after that.
+tested with the first and the last of them, and only sets of different components after that.
 """
 
 from __future__ import annotations
@@ -477,9 +477,9 @@ class _Join:
         rooted = self.rooted(shared)
         return rooted, rooted.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).filter((F.col("x") < F.col("y")) & (F.col("c") >= least)).select("key", "c")
 
-    def stars(self, shared: DataFrame, *by, least: int = 2) -> None:
+    def stars(self, shared: DataFrame, *by) -> None:
         """Test the sets of an open band with those that are the least by ``by``, if their roots differ."""
-        rooted, still = self.open(shared, least)
+        rooted, still = self.open(shared)
         hub = lambda k, order: F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias(f"h{k}")
         hubs = rooted.groupBy("key").agg(*[hub(k, order) for k, order in enumerate(by)]).join(still, "key").select("key", F.explode(F.array(*[f"h{k}" for k in range(len(by))])).alias("h"))
         met = rooted.join(hubs, "key").filter("root <> h.hub_root")
@@ -530,8 +530,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             near_ones = cut(texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "t"), "candidate_texts")
             join = _Join(near_ones, shingle, sizes)
             done.append(near_ones)
-        join.stars(shared, F.col("node"))
-        join.stars(shared, -F.col("node"), F.xxhash64("node", "key"), least=3)
+        join.stars(shared, F.col("node"), -F.col("node"))
         if spread is None:
             join.compare(shared)
             break
