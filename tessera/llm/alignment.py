@@ -6,8 +6,8 @@ both tokenize for themselves; what a chunk gives is remembered in a table of bou
 
 In a chunk, bit k of a tokenizer's bitset is set where a token ends after byte k. The bits of both (AND) are the shared
 cuts; between two of them lies a group. Every bit of either (OR) ends a stretch of bytes that lies in one token of each,
-so the stretches are the links: the tokens' places are the popcounts of the two sets below the bit. Bitsets are
-integers of WORD bits, so that a chunk of any length takes time in proportion to it.
+so the stretches are the links: the tokens' places are the popcounts of the two sets below the bit. Bitsets are packed
+in words of 64 bits, and all chunks that a block meets for the first time stand in one, end to end.
 
 How often an id pair is linked is counted in documents. Documents are taken in blocks of about BLOCK characters, and a
 block sends a row for each pair that it holds, with the number of its documents, so that common pairs are summed before
@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import WHITE, ChunkMemo
+from tessera.llm.bpe import WHITE
 from tessera.llm.common import cut
 
-WORD = 1 << 12
-BLOCK = 8 << 20
-MEMO_ENTRIES = 150_000
+BLOCK = 4 << 20
+#: Chunks that are remembered, and bytes of them, before they are forgotten.
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 16 << 20
 _UNEVEN = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f"(?<=[^ ])(?= [^{WHITE}])")
 #: Bits of a pair number that hold the second id.
@@ -47,40 +47,45 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def ends(tokens: list[bytes], size: int) -> list[int]:
-    """The bitset of the last bytes of ``tokens``, which are ``size`` bytes together, in words of WORD bits."""
-    words, at = [0] * (size // WORD + 1), -1
-    for t in tokens:
-        at += len(t)
-        words[at // WORD] |= 1 << at % WORD
-    return words
+def bitset(at: np.ndarray, size: int) -> np.ndarray:
+    """The set of the places ``at`` below ``size``, in words of 64 bits."""
+    marks = np.zeros(-(-size // 64) * 64, bool)
+    marks[at] = True
+    return np.packbits(marks, bitorder="little").view("<u8")
 
 
-def marked(x: int, y: int) -> Iterator[tuple[int, int, bool]]:
-    """For every bit of either word, from the lowest: how many bits each has below it, and whether both have it."""
-    either = x | y
-    while either:
-        bit = either & -either
-        yield (x & bit - 1).bit_count(), (y & bit - 1).bit_count(), bool(x & y & bit)
-        either ^= bit
+def select(words: np.ndarray) -> np.ndarray:
+    """The places of a set, ascending."""
+    return np.flatnonzero(np.unpackbits(words.view("u1"), bitorder="little"))
 
 
-def aligned(a: list[bytes], b: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Links, as places of tokens in ``a`` and ``b``, and the ends of the groups, as numbers of tokens before them. Both
-    lists join to the same bytes."""
-    size, links, groups, da, db = sum(map(len, a)), [], [], 0, 0
-    for x, y in zip(ends(a, size), ends(b, size), strict=True):
-        for i, j, both in marked(x, y):
-            links.append((da + i, db + j))
-            if both:
-                groups.append((da + i + 1, db + j + 1))
-        da, db = da + x.bit_count(), db + y.bit_count()
-    return links, groups
+def rank(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many places of a set lie below each of ``at``."""
+    below = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype="i8")])
+    inside = words[at >> 6] & (np.uint64(1) << (at & 63).astype("u8")) - np.uint64(1)
+    return below[at >> 6] + np.bitwise_count(inside)
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the byte lengths of two rows of tokens over the same bytes: the last byte of each link and the places of its
+    tokens; the last byte of each group and the numbers of tokens up to it."""
+    size = int(a.sum())
+    x, y = (bitset(np.cumsum(v) - 1, size) for v in (a, b))
+    links, cuts = select(x | y), select(x & y)
+    return links, rank(x, links), rank(y, links), cuts, rank(x, cuts) + 1, rank(y, cuts) + 1
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places from each start on, as many as its size."""
+    done = np.cumsum(sizes)
+    return np.arange(done[-1] if len(done) else 0) + np.repeat(starts - (done - sizes), sizes)
 
 
 class Aligner:
     """``a_path``: a file of the tokenizers library, byte-level; ``b_path``: a sentencepiece model that puts a space
-    before the text. Special tokens' strings are ordinary text."""
+    before the text. Special tokens' strings are ordinary text.
+
+    Chunks that were met get a number; what they give stands in arrays by that number, until there are too many."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -89,42 +94,67 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         byte = byte_of_character()
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        names = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(names.values()) + 1)
+        for t, i in names.items():
+            self.a_bytes[i] = bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
-        self.known = ChunkMemo(self.chunk, MEMO_ENTRIES)
+        self.a_size, self.b_size = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        self.forget()
 
     @staticmethod
     @lru_cache(maxsize=2)
     def load(a_path: str, b_path: str) -> Aligner:
         return Aligner(a_path, b_path)
 
-    def chunk(self, after: str) -> tuple[int, int, int, str, bytes] | None:
-        """Of a space and ``after``: tokens of each, groups, the groups written out, and a number for each link. None
-        where the tokens do not join to the bytes."""
-        raw = (" " + after).encode()
-        a, b = self.a.encode(" " + after, add_special_tokens=False).ids, self.b.encode(after)
-        ta, tb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(ta) != raw or b"".join(tb) != raw:
-            return None
-        links, groups = aligned(ta, tb)
-        shown, i, j = [], 0, 0
-        for k, m in groups:
-            shown.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-            i, j = k, m
-        return len(a), len(b), len(groups), ";".join(shown), np.array([a[i] << _LOW | b[j] for i, j in links], "<i8").tobytes()
-
-    def __call__(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """The same of a whole text; without tokens where it is null, empty, or its bytes are not those of the tokens."""
-        none = 0, 0, 0, "", np.array([], "<i8")
-        if not text:
-            return none
-        spaced, known = " " + text, self.known
-        parts = [known[c[1:]] for c in _CUT.split(spaced)] if _UNEVEN.search(spaced) else [known[c] for c in text.split(" ")]
-        if None in parts:
-            return none
-        na, nb, ng, shown, links = zip(*parts, strict=True)
-        return sum(na), sum(nb), sum(ng), ";".join(shown), np.frombuffer(b"".join(links), "<i8")
+    def forget(self) -> None:
+        """No chunks are known; ``sizes`` will hold tokens of each, groups and links by chunk, -1 for one without tokens."""
+        self.known, self.shown, self.held = {}, [], 0
+        self.sizes, self.links = np.empty((0, 4), "i8"), np.array([], "<i8")
+
+    def learn(self, new: list[str]) -> None:
+        raw = [(" " + c).encode() for c in new]
+        a, b = [e.ids for e in self.a.encode_batch([" " + c for c in new], add_special_tokens=False)], self.b.encode(new)
+        good = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
+        a, b, size = ([v if ok else none for v, ok in zip(x, good, strict=True)] for x, none in ((a, []), (b, []), ([len(r) for r in raw], 0)))
+        fa, fb = (np.array([i for v in x for i in v], "i8") for x in (a, b))
+        link, la, lb, cut_, ga, gb = aligned(self.a_size[fa], self.b_size[fb])
+        ends = np.cumsum(size)
+        count = lambda at: np.diff(np.concatenate([[0], np.searchsorted(at, ends)]))
+        sizes = np.stack([np.array([len(x) for x in a]), np.array([len(x) for x in b]), count(cut_), count(link)], axis=1)
+        sizes[~np.array(good), 0] = -1
+        sa, sb, ga, gb = list(map(str, fa.tolist())), list(map(str, fb.tolist())), [0, *ga.tolist()], [0, *gb.tolist()]
+        group = [",".join(sa[i:k]) + "|" + ",".join(sb[j:m]) for i, k, j, m in zip(ga, ga[1:], gb, gb[1:], strict=False)]
+        last = 0
+        for n in sizes[:, 2].tolist():
+            self.shown.append(";".join(group[last : last + n]))
+            last += n
+        for c in new:
+            self.known[c] = len(self.known)
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.links = np.concatenate([self.links, fa[la] << _LOW | fb[lb]])
+        self.held += sum(size)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """For each text the numbers of tokens of both, groups and links, and its groups written out; and a number for every
+        link, one text after another. Texts null, empty, or with bytes that are not those of the tokens have none."""
+        if len(self.known) > MEMO_ENTRIES or self.held > MEMO_BYTES:
+            self.forget()
+        parts = [[] if not t else [c[1:] for c in _CUT.split(" " + t)] if _UNEVEN.search(" " + t) else t.split(" ") for t in texts]
+        known = self.known
+        if new := [c for c in dict.fromkeys(c for p in parts for c in p) if c not in known]:
+            self.learn(new)
+        code = [[known[c] for c in p] for p in parts]
+        flat = np.array([c for p in code for c in p], "i8")
+        text = np.repeat(np.arange(len(texts)), [len(p) for p in code])
+        bad = np.zeros(len(texts), bool)
+        bad[text[self.sizes[flat, 0] < 0]] = True
+        flat, text = flat[~bad[text]], text[~bad[text]]
+        sums = np.stack([np.bincount(text, self.sizes[flat, k], len(texts)) for k in range(4)], axis=1).astype("i8")
+        start = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
+        shown = ["" if x else ";".join([self.shown[c] for c in p]) for x, p in zip(bad.tolist(), code, strict=True)]
+        return sums, shown, self.links[_ranges(start[flat], self.sizes[flat, 3])]
 
 
 def groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -136,7 +166,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.load(a_path, b_path)
         for batch in batches:
-            made = [aligner(x.as_py())[3] for x in batch.column(batch.num_columns - 1)]
+            made = aligner(batch.column(batch.num_columns - 1).to_pylist())[1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())], names=[*named, "g"])
 
     made = df.mapInArrow(run, ", ".join([*(f"{c} {k}" for c, k in df.dtypes if c != "t"), "g string"]))
@@ -154,40 +184,36 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     schema = f"block bigint, i {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, sha string, at array<int>, times array<int>, pairs array<bigint>, held array<bigint>"
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
 
-    def rows(block: int, ids: list[pa.Array], made: list[tuple]) -> Iterator[pa.RecordBatch]:
-        links = [m[4] for m in made]
-        pairs, place = np.unique(np.concatenate(links), return_inverse=True)
-        doc = np.repeat(np.arange(len(made)), [len(x) for x in links])
-        own, times = np.unique(doc * max(1, len(pairs)) + place, return_counts=True)
-        doc, at = own // max(1, len(pairs)), (own % max(1, len(pairs))).astype("i4")
-        bounds = np.searchsorted(doc, np.arange(len(made) + 1)).astype("i4")
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype("i4")))
-        n = len(made)
-        sha = [hashlib.sha256(m[3].encode()).hexdigest() if m[0] else "" for m in made]
-        counts = [pa.array([m[k] for m in made], pa.int64()) for k in range(3)]
-        names = [x.split()[0] for x in schema.split(", ")]
-        doc_id = pa.concat_arrays(ids)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), doc_id, *counts, pa.array([len(x) for x in links], pa.int64()), pa.array(sha), lists(at), lists(times), pa.nulls(n, longs), pa.nulls(n, longs)], names=names)
+    def rows(block: int, ids: list[pa.Array], texts: list[str | None], aligner: Aligner) -> Iterator[pa.RecordBatch]:
+        sums, shown, links = aligner(texts)
+        pairs, place = np.unique(links, return_inverse=True)
+        n, wide = len(texts), max(1, len(pairs))
+        own, times = np.unique(np.repeat(np.arange(n), sums[:, 3]) * wide + place, return_counts=True)
+        at = own % wide
+        bounds = pa.array(np.searchsorted(own // wide, np.arange(n + 1)).astype("i4"))
+        lists = lambda x: pa.ListArray.from_arrays(bounds, pa.array(x.astype("i4")))
+        sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
+        names, doc_id = [x.split()[0] for x in schema.split(", ")], pa.concat_arrays(ids)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), doc_id, *(pa.array(sums[:, k]) for k in range(4)), pa.array(sha), lists(at), lists(times), pa.nulls(n, longs), pa.nulls(n, longs)], names=names)
         held = np.bincount(at, minlength=len(pairs))
         none = [pa.nulls(1, t) for t in (doc_id.type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), ints, ints)]
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *none, pa.array([pairs], longs), pa.array([held], longs)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, block = Aligner.load(a_path, b_path), TaskContext.get().partitionId() << 32
-        ids, made, chars = [], [], 0
+        ids, texts, chars = [], [], 0
         for batch in batches:
             first = 0
             for k, x in enumerate(batch.column(1)):
-                text = x.as_py()
-                made.append(aligner(text))
-                chars += len(text or "")
+                texts.append(x.as_py())
+                chars += len(texts[-1] or "")
                 if chars >= BLOCK:
-                    yield from rows(block, [*ids, batch.column(0)[first : k + 1]], made)
-                    block, ids, made, chars, first = block + 1, [], [], 0, k + 1
+                    yield from rows(block, [*ids, batch.column(0)[first : k + 1]], texts, aligner)
+                    block, ids, texts, chars, first = block + 1, [], [], 0, k + 1
             if first < batch.num_rows:
                 ids.append(batch.column(0)[first:])
-        if made:
-            yield from rows(block, ids, made)
+        if texts:
+            yield from rows(block, ids, texts, aligner)
 
     return docs.select("i", "t").mapInArrow(run, schema)
 

@@ -284,16 +284,23 @@ def test_alignment_is_brute_force(spark, monkeypatch, block):
     assert alignment.align(df.filter("false"), A, B).count() == 0 and alignment.groups(df.filter("false"), A, B).count() == 0
 
 
-def test_bitsets_of_several_words(monkeypatch):
+def test_bitsets_of_several_words():
     rng = random.Random(2)
-    monkeypatch.setattr(alignment, "WORD", 7)
-    raw = bytes(rng.randrange(256) for _ in range(300))
     cuts = [sorted({0, 300, *rng.sample(range(1, 300), 90)}) for _ in range(2)]
-    a, b = ([raw[x:y] for x, y in zip(c, c[1:])] for c in cuts)
-    links, groups = alignment.aligned(a, b)
     spans = [list(zip(c, c[1:])) for c in cuts]
-    assert links == [(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if max(x[0], y[0]) < min(x[1], y[1])]
-    assert [sum(map(len, a[:i])) for i, _ in groups] == sorted(set(cuts[0]) & set(cuts[1]) - {0}) == [sum(map(len, b[:j])) for _, j in groups]
+    link, a, b, cut, ga, gb = (x.tolist() for x in alignment.aligned(*(np.diff(c) for c in cuts)))
+    want = [(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if max(x[0], y[0]) < min(x[1], y[1])]
+    assert list(zip(a, b)) == want and link == sorted({e - 1 for c in cuts for e in c[1:]})
+    assert [c + 1 for c in cut] == sorted(set(cuts[0]) & set(cuts[1]) - {0}) == [cuts[0][i] for i in ga] == [cuts[1][j] for j in gb]
+    assert all(x.tolist() == [] for x in alignment.aligned(np.array([], int), np.array([], int)))
+
+
+def test_known_chunks_are_forgotten(monkeypatch):
+    aligner = alignment.Aligner(A, B)
+    first = aligner(["one two three", None, "four"])
+    monkeypatch.setattr(alignment, "MEMO_ENTRIES", 2)
+    again = aligner(["one two three", None, "four"])
+    assert len(aligner.known) == 4 and all(np.array_equal(x, y) for x, y in zip(first, again))
 
 
 def test_new_queries_are_registered_with_their_columns(spark):
