@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import WHITE
 from tessera.llm.common import cut
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Chunks that are remembered, and bytes of them, before they are forgotten.
-MEMO_ENTRIES, MEMO_BYTES = 500_000, 16 << 20
+MEMO_ENTRIES, MEMO_BYTES = 200_000, 8 << 20
 _UNEVEN = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f"(?<=[^ ])(?= [^{WHITE}])")
 #: Bits of a pair number that hold the second id.

@@ -268,7 +268,7 @@ def plain_alignment(texts):
     return out, [r[4] for r in rows]
 
 
-@pytest.mark.parametrize("block", [1 << 23, 50])
+@pytest.mark.parametrize("block", [1 << 21, 50])
 def test_alignment_is_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK", block)
     rng = random.Random(8)
