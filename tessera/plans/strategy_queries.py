@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tessera.functions import kernels as K
 from tessera.operators import metrics as M
 from tessera.operators import regression as G
+from tessera.operators import roc as C
 from tessera.operators import rolling as R
 from tessera.operators import spectral as S
 from tessera.operators.network import pair_corr
@@ -520,6 +521,50 @@ def h14(s, d):
     return u.groupBy("grp").agg(r6("auc", F.try_divide(F.sum(F.when(F.col("y") == 1, F.col("rk"))) - pos * (pos + 1) / 2, pos * (F.count("*") - pos))))
 
 
+def scored(s, d):
+    """Mean correlation and (less) its spread as scores of a day that ends up."""
+    return rho_ret(s, d).select("grp", "ts", F.round("mean_corr", 9).alias("rho"), F.round(-F.col("std_corr"), 9).alias("spread"), (F.col("r") > 0).cast("int").alias("y"))
+
+
+def roc_sql(score, name):
+    return (
+        f", d{name} AS (SELECT grp, {score} AS s, sum((r > 0)::INT) AS pos, sum((r <= 0)::INT) AS neg FROM rr GROUP BY 1, 2), c{name} AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,"
+        f" sum(pos) OVER (PARTITION BY grp) AS m, sum(neg) OVER (PARTITION BY grp) AS n FROM d{name} WINDOW w AS (PARTITION BY grp ORDER BY s DESC))"
+    )
+
+
+ROC_A, ROC_B = roc_sql("round(mean_corr, 9)", "a"), roc_sql("round(-std_corr, 9)", "b")
+
+
+@q("h14_roc", COR + RR + ROC_A + " SELECT grp, s AS threshold, round(tp / m, 6) AS tpr, round(fp / n, 6) AS fpr FROM ca")
+def h14_roc(s, d):
+    return C.curve(C.counted(scored(s, d), "rho", "y")).select("grp", "threshold", r6("tpr"), r6("fpr"))
+
+
+@q("h14_threshold", COR + RR + ROC_A + ", o AS (SELECT grp, arg_max(s, (tp * n - fp * m, s)) AS s, sum(pos * (n - fp + neg / 2)) / any_value(m * n) AS auc FROM ca GROUP BY grp)"
+    " SELECT grp, s AS threshold, round(tp / m, 6) AS tpr, round(fp / n, 6) AS fpr, round(auc, 6) AS auc FROM o JOIN ca USING (grp, s)")
+def h14_threshold(s, d):
+    return C.best(C.counted(scored(s, d), "rho", "y")).select("grp", "threshold", r6("tpr"), r6("fpr"), r6("auc"))
+
+
+PLACES = (
+    ", v AS (SELECT rr.grp, r > 0 AS up, CASE WHEN r > 0 THEN (x.n - x.fp + x.neg / 2) / x.n ELSE (x.tp - x.pos / 2) / x.m END AS va, CASE WHEN r > 0 THEN (z.n - z.fp + z.neg / 2) / z.n"
+    " ELSE (z.tp - z.pos / 2) / z.m END AS vb FROM rr JOIN ca x ON rr.grp = x.grp AND round(mean_corr, 9) = x.s JOIN cb z ON rr.grp = z.grp AND round(-std_corr, 9) = z.s)"
+    ", g AS (SELECT grp, avg(va) FILTER (WHERE up) AS a, avg(vb) FILTER (WHERE up) AS b, sqrt(var_samp(va - vb) FILTER (WHERE up) / count(*) FILTER (WHERE up) + var_samp(va - vb) FILTER (WHERE NOT up)"
+    " / count(*) FILTER (WHERE NOT up)) AS se FROM v GROUP BY grp)"
+)
+
+
+@q("h14_delong", COR + RR + ROC_A + ROC_B + PLACES + " SELECT grp, round(a, 6) AS auc_a, round(b, 6) AS auc_b, round(a - b, 6) AS difference, round(se, 6) AS se, round((a - b) / se, 6) AS z FROM g")
+def h14_delong(s, d):
+    return C.delong(scored(s, d), "rho", "spread", "y").select("grp", r6("auc_a"), r6("auc_b"), r6("difference"), r6("se"), r6("z"))
+
+
+@q("h14_delong_p")
+def h14_delong_p(s, d):
+    return C.delong(scored(s, d), "rho", "spread", "y").select("grp", r6("p", z_p("z")))
+
+
 def weights(e, legs=2):
     """grp, asset, ts, w from residuals e: least 1/legs long, greatest short."""
     x = ranked(e, "e")

@@ -152,6 +152,43 @@ def test_correlations_with_gaps_and_scales_are_pandas(spark, inclusive):
         assert all(v == pytest.approx(want(x, *k), abs=1e-9) for k, v in whole.items())
 
 
+def test_curve_and_delong_are_brute_force(spark, monkeypatch):
+    from tessera.operators import roc as C
+    from tessera.plans import strategy_queries as sq
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for g, n in (("a", 80), ("b", 41), ("one", 5)):
+        for k in range(n):
+            y = 1 if g == "one" else int(rng.random() < 0.4)
+            rows.append((g, k, round(float(rng.normal() * 0.05 + 0.03 * y), 2), round(float(rng.normal() + y), 1), y))
+    rows += [("a", 900, None, 1.0, 1), ("a", 901, float("nan"), 1.0, 0), ("a", 902, 0.1, None, 0), ("a", 903, 0.1, 0.2, None)]
+    df = spark.createDataFrame(rows, "grp string, ts int, rho double, spread double, y int").repartition(4)
+    curve = {(r.grp, r.threshold): (r.tpr, r.fpr) for r in C.curve(C.counted(df, "rho", "y")).collect()}
+    best = {r.grp: r for r in C.best(C.counted(df, "rho", "y")).collect()}
+    monkeypatch.setattr(sq, "scored", lambda s, d: df)
+    p = {r.grp: r.p for r in sq.h14_delong_p(spark, "").collect()}
+    two = {r.grp: r for r in C.delong(df, "rho", "spread", "y").collect()}
+    for g in ("a", "b"):
+        own = [(r[2], r[4]) for r in rows if r[0] == g and r[2] is not None and r[2] == r[2] and r[4] is not None]
+        pos, neg = [s for s, y in own if y], [s for s, y in own if not y]
+        want = {t: (sum(s >= t for s in pos) / len(pos), sum(s >= t for s in neg) / len(neg)) for t in {s for s, _ in own}}
+        assert {t: v for (k, t), v in curve.items() if k == g} == {t: pytest.approx(v) for t, v in want.items()}
+        top = max(want, key=lambda t: (round(want[t][0] - want[t][1], 12), t))
+        assert best[g].threshold == top and best[g].auc == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg]))
+        both = [(r[2], r[3], r[4]) for r in rows if r[0] == g and None not in r[2:] and r[2] == r[2]]
+        up, down = [r for r in both if r[2]], [r for r in both if not r[2]]
+        psi = [np.array([[(a[k] > b[k]) + (a[k] == b[k]) / 2 for b in down] for a in up]) for k in (0, 1)]
+        v10, v01 = [m.mean(axis=1) for m in psi], [m.mean(axis=0) for m in psi]
+        s10, s01 = np.cov(v10), np.cov(v01)
+        var = (s10[0, 0] + s10[1, 1] - 2 * s10[0, 1]) / len(up) + (s01[0, 0] + s01[1, 1] - 2 * s01[0, 1]) / len(down)
+        r = two[g]
+        assert (r.auc_a, r.auc_b) == pytest.approx((psi[0].mean(), psi[1].mean())) and r.z == pytest.approx((psi[0].mean() - psi[1].mean()) / np.sqrt(var))
+        assert p[g] == pytest.approx(K.normal_two_sided(r.z), abs=1e-6)
+    assert best["one"].auc is None and two["one"].z is None and p["one"] is None
+    assert C.delong(df.filter("false"), "rho", "spread", "y").count() == 0 and C.curve(C.counted(df.filter("false"), "rho", "y")).count() == 0
+
+
 def test_adaptive_strategy_walks_the_loop(spark, monkeypatch):
     from tessera.plans import strategy_queries as sq
 
