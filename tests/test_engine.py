@@ -54,6 +54,38 @@ def test_diagram_distances():
     assert K.wasserstein([], [[0, 1]]) == 0
 
 
+def plain_distances(p, q):
+    """Both distances over all bars and as many places on the diagonal, by assignment."""
+    n, m = len(p), len(q)
+    made = []
+    for power in (2, np.inf):
+        c = np.zeros((n + m, n + m))
+        for i in range(n + m):
+            for j in range(n + m):
+                if i < n and j < m:
+                    c[i, j] = np.linalg.norm(p[i] - q[j], power)
+                elif i < n or j < m:
+                    bar = p[i] if i < n else q[j]
+                    c[i, j] = (bar[1] - bar[0]) / (np.sqrt(2) if power == 2 else 2)
+        made.append(c)
+    levels = np.unique(made[1])
+    return K.assignment(made[0]), next(float(t) for t in levels if K.assignment((made[1] > t).astype(float)) == 0)
+
+
+def test_distances_of_diagrams_are_plain_matchings():
+    rng = np.random.default_rng(12)
+    for n, m in [(1, 1), (1, 4), (3, 2), (6, 6), (9, 4), (12, 15), (20, 20)]:
+        for scale in (0.05, 0.5):
+            p, q = (np.stack([b := rng.random(k), b + scale * rng.random(k)], axis=1) for k in (n, m))
+            q[: min(n, m) // 2] = p[: min(n, m) // 2] + rng.normal(size=(min(n, m) // 2, 1)) * 0.01
+            w, b = plain_distances(p, q)
+            assert K.wasserstein(p, q) == pytest.approx(w, abs=1e-9) and K.bottleneck(p, q) == pytest.approx(b, abs=1e-12)
+            assert K.bottleneck(q, p) == pytest.approx(b, abs=1e-12)
+    tied = np.array([[0.0, 1.0]] * 5)
+    assert K.wasserstein(tied, tied) == 0 and K.bottleneck(tied, tied[:3]) == 0.5
+    assert K.covers(np.zeros((0, 3), bool)) and not K.covers(np.zeros((1, 0), bool)) and not K.covers(np.ones((3, 2), bool))
+
+
 def test_loop_counts_agree_with_neighbour_graph(spark):
     from pyspark.sql import functions as F
 
