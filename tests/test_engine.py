@@ -54,6 +54,57 @@ def test_diagram_distances():
     assert K.wasserstein([], [[0, 1]]) == 0
 
 
+def plain_bars(d, limit=np.inf):
+    """All triangles, and the boundary matrix over two elements reduced column by column."""
+    n = len(d)
+    edges = sorted((d[i, j], (i, j)) for i in range(n) for j in range(i + 1, n) if d[i, j] <= limit)
+    row = {e: k for k, (_, e) in enumerate(edges)}
+    faces = sorted((max(d[i, j], d[i, k], d[j, k]), [row[i, j], row[i, k], row[j, k]]) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n) if {(i, j), (i, k), (j, k)} <= row.keys())
+
+    def reduced(columns):
+        lows = {}
+        for value, column in columns:
+            column = set(column)
+            while column and max(column) in lows:
+                column ^= lows[max(column)][1]
+            if column:
+                lows[max(column)] = value, column
+        return lows
+
+    zero, one = reduced([(v, e) for v, e in edges]), reduced(faces)
+    negative, seen = set(), {}
+    for k, (_, e) in enumerate(edges):
+        column = set(e)
+        while column and max(column) in seen:
+            column ^= seen[max(column)]
+        if column:
+            seen[max(column)] = column
+            negative.add(k)
+    out = [(0, 0.0, float(edges[k][0])) for k in negative if edges[k][0] > 0] + [(0, 0.0, None)] * (n - len(zero))
+    for k in set(range(len(edges))) - negative:
+        death = one[k][0] if k in one else None
+        if death is None or death > edges[k][0]:
+            out.append((1, float(edges[k][0]), None if death is None else float(death)))
+    return sorted(out, key=str)
+
+
+def test_bars_are_those_of_the_boundary_matrix():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 9, 14):
+        for kind in range(4):
+            x = rng.normal(size=(n, 2 if kind else 6))
+            d = np.linalg.norm(x[:, None] - x[None], axis=2)
+            if kind == 2:
+                d = np.round(d, 1)  # ties
+            if kind == 3 and n > 2:
+                a = np.arange(n) * 2 * np.pi / n
+                x = np.stack([np.cos(a), np.sin(a)], axis=1)
+                d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 9)
+            for limit in (np.inf, float(np.median(d)), 0.0):
+                assert sorted(((k, b, e) for k, b, e in K.persistence(d, limit)), key=str) == plain_bars(d, limit), (n, kind, limit)
+    assert K.persistence(np.zeros((4, 4))) == [(0, 0.0, None)]
+
+
 def plain_distances(p, q):
     """Both distances over all bars and as many places on the diagonal, by assignment."""
     n, m = len(p), len(q)
