@@ -493,6 +493,8 @@ COLUMNS = {
     "op4_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op6_urls": ["page_id", "host", "path", "rule", "verdict"], "op7_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], "op8_token_counts": ["doc_id", "n_tokens", "score"],
     "op9_top_k": ["query_id", "rank", "vec_id", "score"], "op10_language": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"], "op12_jaccard_join": ["doc_id", "n_shingles", "component_id"],
+    "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -501,7 +503,7 @@ def test_queries_return_the_agreed_columns_for_every_row(spark, name):
     made = queries.QUERIES[name](spark, SMALL)
     assert made.columns == COLUMNS[name]
     ids = [r[0] for r in made.select(made.columns[0]).collect()]
-    source = {"op6_urls": "pages", "op9_top_k": "embeddings"}.get(name, "documents")
+    source = {"op6_urls": "pages", "op9_top_k": "embeddings", "op11_vector_codes": "embeddings"}.get(name, "documents")
     every = [r[0] for r in spark.read.parquet(f"{SMALL}/{source}.parquet").select({"pages": "page_id", "embeddings": "vec_id"}.get(source, "doc_id")).collect()]
     if name == "op9_top_k":
         assert set(ids) == {i for i in every if i % 20 == 0} and len(ids) == 20 * len(set(ids))

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, jaccard, queries, vector_codes
+from tessera.llm import alignment, jaccard, vector_codes
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 CLASHING = {"node": 1, "i": 2, "n": 3, "t": 4, "d1": 5, "key": 6, "code": 7, "error": 8, "a.b": 9, "at": 10, "block": 11, "groups": 12}
@@ -301,13 +301,3 @@ def test_known_chunks_are_forgotten(monkeypatch):
     monkeypatch.setattr(alignment, "MEMO_ENTRIES", 2)
     again = aligner(["one two three", None, "four"])
     assert len(aligner.known) == 4 and all(np.array_equal(x, y) for x, y in zip(first, again))
-
-
-def test_new_queries_are_registered_with_their_columns(spark):
-    names = {
-        "op11_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
-        "op12_jaccard_join": ["doc_id", "n_shingles", "component_id"],
-        "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-    }
-    for name, columns in names.items():
-        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns == columns
