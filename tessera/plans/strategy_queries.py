@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import kernels as K
+from tessera.operators import bootstrap as Boot
 from tessera.operators import metrics as M
 from tessera.operators import regression as G
 from tessera.operators import roc as C
@@ -565,6 +566,28 @@ def h14_delong_p(s, d):
     return C.delong(scored(s, d), "rho", "spread", "y").select("grp", r6("p", z_p("z")))
 
 
+LO = (
+    ", g AS (SELECT grp, count(*) AS n, avg(r) AS m, stddev_samp(r) AS s FROM ew GROUP BY grp), z AS (SELECT ew.grp, t_idx, n, m / s AS sr, (r - m) / s AS z FROM ew JOIN g ON ew.grp = g.grp)"
+    ", u AS (SELECT *, z - sr / 2 * (z * z - 1) AS u FROM z), l AS (SELECT *, "
+    + " + ".join(f"coalesce(lag(u, {k}) OVER (PARTITION BY grp ORDER BY t_idx), 0) * {6 - k} / 6.0" for k in range(1, 6))
+    + " AS near FROM u), v AS (SELECT grp, any_value(n) AS n, any_value(sr) * sqrt(252) AS s, sqrt((1 + any_value(sr) ** 2 / 2) / any_value(n)) * sqrt(252) AS iid"
+    ", sqrt(greatest(sum(u * u) + 2 * sum(u * near), 0)) / any_value(n) * sqrt(252) AS se FROM l GROUP BY grp)"
+)
+
+
+@q("h14_sharpe", RET + EW + LO + " SELECT grp, n, round(s, 6) AS sharpe, round(iid, 6) AS se_iid, round(se, 6) AS se, round(s - 1.959963984540054 * se, 6) AS low, round(s + 1.959963984540054 * se, 6) AS high FROM v")
+def h14_sharpe(s, d):
+    """Interval of the yearly ratio of holding a group, autocorrelation of five rows counted."""
+    return Boot.sharpe_interval(ew(s, d)).select("grp", "n", r6("sharpe"), r6("se_iid"), r6("se"), r6("low"), r6("high"))
+
+
+@q("h14_sharpe_bootstrap")
+def h14_sharpe_bootstrap(s, d):
+    """The same interval by 1000 resamples of blocks of 20 rows on average, and the share of resamples under zero."""
+    x, v = Boot.sharpe_bootstrap(ew(s, d)), F.col("sharpe")
+    return x.groupBy("grp").agg(r6("mean", F.avg(v)), r6("std", F.stddev_samp(v)), r6("low", F.percentile(v, F.lit(0.025))), r6("high", F.percentile(v, F.lit(0.975))), r6("under", F.avg((v < 0).cast("double"))))
+
+
 def weights(e, legs=2):
     """grp, asset, ts, w from residuals e: least 1/legs long, greatest short."""
     x = ranked(e, "e")
