@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.bootstrap import uniform
+
 
 def two_regressors(x: str, z: str, y: str) -> dict[str, Column]:
     """Aggregates of y on a constant, x and z: n, b0, bx, bz, rss and r2. Where x and z are collinear z is left out."""
@@ -79,26 +82,46 @@ def newey_west(df: DataFrame, y: str, xs: list[str], lags: int = 5, key: str = "
     return solved.join(meat, "key").mapInPandas(errors, f"key {kind}, n bigint, r2 double, beta array<double>, t array<double>").withColumnRenamed("key", key)
 
 
-def bootstrap_breakpoints(df: DataFrame, x: str, y: str, breaks: list[float], reps: int = 1000, seed: int = 42, key: str = "grp", order: str = "ts", chunk: int = 50) -> DataFrame:
-    """key, rep, breakpoint: the break of the best two-part fit of each resample of a group's rows.
+#: Chance that a Poisson variable of mean 1 is at most 0, 1, 2 and so on, as far as a double tells it from 1.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]).tolist()
 
-    A row holds one group's series and ``chunk`` repetitions; every repetition has a generator of its own, seeded by group
-    and number, so a lost task is made anew alike and a group is spread over many tasks.
-    """
-    series = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("s"))
-    rows = series.select("key", F.transform("s", lambda p: p["x"]).alias("x"), F.transform("s", lambda p: p["y"]).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(chunk))).alias("begin"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for name, xs, ys, begin in zip(f["key"], f["x"], f["y"], f["begin"], strict=True):
-                xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-                for rep in range(begin, min(begin + chunk, reps)):
-                    i = np.random.default_rng([seed, rep, *str(name).encode()]).integers(0, len(xs), len(xs))
-                    out.append((name, rep, breaks[int(np.argmin(break_rss(xs[i], ys[i], breaks)))]))
-            yield pd.DataFrame(out, columns=["key", "rep", "breakpoint"])
-
-    return rows.repartition("key", "begin").mapInPandas(run, f"key {dict(rows.dtypes)['key']}, rep int, breakpoint double").withColumnRenamed("key", key)
+def poisson_weight(seed: int, *of: str | Column) -> Column:
+    """How often a row counts in a resample: a Poisson number of mean 1 that follows from the values of ``of`` alone."""
+    u = uniform(seed, *of)
+    return sum(((u >= limit).cast("int") for limit in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+
+
+def bootstrap_breakpoints(df: DataFrame, x: str, y: str, breaks: list[float], reps: int = 1000, seed: int = 42, key: str = "grp", order: str = "ts") -> DataFrame:
+    """key, rep (from 0), breakpoint: the break of the best two-part fit of each resample of a group's rows, ties to the first.
+
+    A row counts as often as its own Poisson number says, so no resample is written out and none needs the whole group.
+    Rows are summed between two breaks (``breaks`` ascend), by group, repetition and stretch, before anything is shuffled;
+    the sums from a break on make its fit. Null and NaN sides take no part; rows with the same order are drawn together; a
+    resample without spread has no breakpoint (null). Empty table: no rows.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    centre = rows.groupBy("key").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))  # sums of products keep their digits
+    stretch = sum(((F.col("x") > c).cast("int") for c in breaks), F.lit(0))
+    rows = rows.withColumn("stretch", stretch).join(centre, "key").withColumn("x", F.col("x") - F.col("mx")).withColumn("y", F.col("y") - F.col("my"))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_weight(seed, "key", "at", "rep")).filter("w > 0")
+    products = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}
+    sums = drawn.groupBy("key", "rep", "mx", "stretch").agg(*[F.sum(F.col("w") * v).alias(f"s_{k}") for k, v in products.items()])
+    each = sums.select("*", F.posexplode(F.array(*[F.lit(float(c)) for c in breaks])).alias("i", "raw"))
+    beyond = F.col("stretch") > F.col("i")
+    fits = each.groupBy("key", "rep", "mx", "i", "raw").agg(*[F.sum(f"s_{k}").alias(k) for k in products], *[F.sum(F.when(beyond, F.col(f"s_{k}")).otherwise(0.0)).alias(f"h_{k}") for k in products])
+    c = F.col("raw") - F.col("mx")
+    n, z = F.col("n"), F.col("h_x") - c * F.col("h_n")
+    sxx, syy, sxy = F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n, F.col("xy") - F.col("x") * F.col("y") / n
+    szz = F.col("h_xx") - 2 * c * F.col("h_x") + c * c * F.col("h_n") - z * z / n
+    sxz, szy = F.col("h_xx") - c * F.col("h_x") - F.col("x") * z / n, F.col("h_xy") - c * F.col("h_y") - z * F.col("y") / n
+    fits = fits.select("key", "rep", "i", "raw", sxx.alias("sxx"), syy.alias("syy"), sxy.alias("sxy"), szz.alias("szz"), sxz.alias("sxz"), szy.alias("szy"))
+    det = F.col("sxx") * F.col("szz") - F.col("sxz") * F.col("sxz")
+    both = (F.col("sxy") * (F.col("sxy") * F.col("szz") - F.col("szy") * F.col("sxz")) + F.col("szy") * (F.col("szy") * F.col("sxx") - F.col("sxy") * F.col("sxz")))
+    taken = F.when(det > 1e-10 * F.col("sxx") * F.col("szz"), F.try_divide(both, det)).otherwise(F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")))
+    share = 1 - F.try_divide(taken, F.col("syy"))
+    best = fits.groupBy("key", "rep").agg(F.min_by("raw", F.when(share.isNotNull(), F.struct(F.round(share, 10), "i"))).alias("breakpoint"))
+    return best.withColumnRenamed("key", key)
 
 
 def break_rss(x: np.ndarray, y: np.ndarray, breaks: list[float]) -> list[float]:

@@ -32,14 +32,15 @@ def bars(panel: str = "brand", unit: str = "week") -> str:
     return f"bars AS ({_BARS[panel].format(unit=unit)})"
 
 
-def base(panel: str = "brand", unit: str = "week", upto: str = "ret", inclusive: bool = False) -> str:
-    """WITH clause: bars, cleaned panel, log returns, and with ``upto`` = corr the rolling pair correlations."""
+def base(panel: str = "brand", unit: str = "week", upto: str = "ret", inclusive: bool = False, window: int = 60) -> str:
+    """WITH clause: bars, cleaned panel, log returns, and with ``upto`` = corr the pair correlations of ``window`` rows."""
     out = f"WITH RECURSIVE {bars(panel, unit)}"
     if upto == "bars":
         return out
     out += "," + _CLEAN
     if upto == "corr":
-        out += "," + _CORR.format(frame="59 PRECEDING AND CURRENT ROW" if inclusive else "60 PRECEDING AND 1 PRECEDING", first=59 if inclusive else 60)
+        frame = f"{window - 1} PRECEDING AND CURRENT ROW" if inclusive else f"{window} PRECEDING AND 1 PRECEDING"
+        out += "," + _CORR.format(frame=frame, first=window - 1 if inclusive else window)
     return out
 
 

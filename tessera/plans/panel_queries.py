@@ -390,7 +390,12 @@ def k04(s, d):
     " OVER () AS any_up, row_number() OVER (ORDER BY (s > 0)::INT DESC, s DESC, grp) AS by_s, row_number() OVER (ORDER BY grp) AS by_g"
     " FROM m) SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END")
 def k05(s, d):
-    m = ew(s, d).groupBy("grp").agg(F.round(F.try_divide(F.avg("r"), F.stddev_samp("r")), 9).alias("s"))
+    return best_groups(ew(s, d))
+
+
+def best_groups(x):
+    """grp of up to three groups with the greatest positive ratio of mean to deviation of ``r``; without any, the first three."""
+    m = x.groupBy("grp").agg(F.round(F.try_divide(F.avg("r"), F.stddev_samp("r")), 9).alias("s"))
     every = Window.partitionBy(F.lit(0))
     m = m.withColumn("any_up", F.max((F.col("s") > 0).cast("int")).over(every)).withColumn("by_s", F.row_number().over(every.orderBy((F.col("s") > 0).cast("int").desc(), F.col("s").desc(), "grp"))).withColumn("by_g", F.row_number().over(every.orderBy("grp")))
     return m.filter(((F.col("any_up") == 1) & (F.col("s") > 0) & (F.col("by_s") <= 3)) | ((F.col("any_up") == 0) & (F.col("by_g") <= 3))).select("grp")

@@ -17,7 +17,7 @@ from tessera.operators import spectral as S
 from tessera.operators.network import pair_corr
 from tessera.plans.network_queries import LAP, TAU, _diffuse, cv_and_rho, diagrams, h1, residuals, vectors
 from tessera.plans.oracle import EW, FEATURES, H1, base
-from tessera.plans.panel_queries import CUM, RV, corr, ew, factors, r6, ranked, realized_vol, ret, shared
+from tessera.plans.panel_queries import CUM, RV, best_groups, corr, ew, factors, r6, ranked, realized_vol, ret, shared
 from tessera.plans.registry import query as q
 from tessera.sources import panel as P
 
@@ -779,15 +779,56 @@ def x11(s, d):
     return x.select("grp", "ts", r6("hybrid", -F.col("sig") * F.col("mom") - F.when(n % 5 == 0, 0.005).otherwise(0.0)), r6("momentum", F.col("mom")))
 
 
-X12 = SIG + MOM.format(n=5) + ", mp AS (SELECT grp, ts, sum(CASE WHEN lo <= 2 THEN 0.25 WHEN hi <= 2 THEN -0.25 ELSE 0 END * r) AS r FROM mk2 GROUP BY 1, 2)"
+def closer(name, out):
+    """SQL: the least greatest step of paths of up to twice as many edges as those of ``name``."""
+    return (
+        f", {out} AS (SELECT grp, ts, a, b, min(d) AS d FROM (SELECT grp, ts, a, b, d FROM {name} UNION ALL SELECT x.grp, x.ts, x.a, y.b, greatest(x.d, y.d) FROM {name} x JOIN {name} y"
+        " ON x.grp = y.grp AND x.ts = y.ts AND x.b = y.a WHERE x.a <> y.b) GROUP BY 1, 2, 3, 4)"
+    )
+
+
+#: The loops born up to a distance are the neighbour edges so short that do not join two parts; paths of up to 8 edges.
+X12 = (
+    base(upto="corr", window=5) + H1 + closer("sym", "m2") + closer("m2", "m4") + closer("m4", "m8") + ", lp AS (SELECT r.grp, r.ts, count(*) FILTER (WHERE r.d <= {limit} AND r.d > m.d) AS h1_count FROM rng r"
+    " JOIN m8 m ON r.grp = m.grp AND r.ts = m.ts AND r.a = m.a AND r.b = m.b GROUP BY 1, 2), "
+    f"hc AS (SELECT grp, quantile_cont(h1_count, 0.75) AS c FROM lp WHERE ts <= {TRAIN} GROUP BY 1)" + MOM.format(n=5)
+    + ", leg AS (SELECT grp, ts, avg(r) FILTER (WHERE lo <= 2) AS losers, avg(r) FILTER (WHERE hi <= 2) AS winners FROM mk2 GROUP BY 1, 2)"
+    ", day AS (SELECT lp.grp, lp.ts, h1_count, h1_count > c AS stressed, losers, winners, (row_number() OVER (PARTITION BY lp.grp ORDER BY lp.ts) - 1) % 5 AS turn FROM lp JOIN hc ON lp.grp = hc.grp"
+    f" JOIN leg ON lp.grp = leg.grp AND lp.ts = leg.ts WHERE lp.ts > {TRAIN}) SELECT grp, ts, h1_count::INT AS h1_count, stressed::INT AS position,"
+    " round(CASE WHEN stressed THEN (losers - winners) / 2 - CASE WHEN turn = 0 THEN 10 * 0.0005 ELSE 0 END ELSE 0 END, 6) AS r FROM day"
+)
 
 
-@q("x12", COR + X12 + " SELECT mp.grp, mp.ts, round(CASE WHEN sig = 1 THEN r ELSE 0 END, 6) AS r FROM mp JOIN sg ON mp.grp = sg.grp AND mp.ts = sg.ts")
+def scale_consistent(s, d, limit, window=5, legs=2, every=5, trades=10, bps=5.0):
+    """Topology and signal on one short scale: on test dates whose count of loops born up to ``limit`` in the ``window`` rows
+    before is over its training 75 % quantile, the losers of these rows against the winners, half each, with the cost of
+    ``trades`` on every ``every``-th row if in the market; else flat. Dates with an undefined correlation are left out."""
+    from tessera.operators.network import corr_vectors, rolling_corr
+
+    def build():
+        v = corr_vectors(rolling_corr(ret(s, d), window)).filter(~F.exists("rho", lambda x: x.isNull()))
+        return S.diagrams(v, limit).select("grp", "ts", F.size(F.filter("diagram", lambda b: b["dim"] == 1)).alias("h1_count"))
+
+    loops = shared(f"loops {window} {limit}", s, d, build)
+    loops = loops.join(regime(loops, "h1_count", 0.75), ["grp", "ts"])
+    past = ret(s, d).withColumn("mom", F.sum("r").over(R.past(window, keys=("grp", "asset"), skip=1))).filter(F.col("t_idx") >= window)
+    leg = lambda side: F.avg(F.when(F.col(side) <= legs, F.col("r")))
+    x = ranked(past, "mom").groupBy("grp", "ts").agg(((leg("lo") - leg("hi")) / 2).alias("spread")).join(loops, ["grp", "ts"]).filter(~train())
+    turn = (F.row_number().over(R.in_order(order="ts")) - 1) % every == 0
+    r = F.when(F.col("flag") == 1, F.col("spread") - F.when(turn, trades * bps / 1e4).otherwise(0.0)).otherwise(0.0)
+    return x.select("grp", "ts", "h1_count", F.col("flag").alias("position"), r6("r", r))
+
+
+@q("x12", X12.format(limit=0.5))
 def x12(s, d):
-    m = ret(s, d).withColumn("mom", F.sum("r").over(R.past(5, keys=("grp", "asset"), skip=1))).filter("t_idx >= 5")
-    w = ranked(m, "mom").select("grp", "asset", "ts", "t_idx", "r", F.when(F.col("lo") <= 2, 0.25).when(F.col("hi") <= 2, -0.25).otherwise(0.0).alias("w"))
-    x = w.groupBy("grp", "ts").agg(F.sum(F.col("w") * F.col("r")).alias("r")).join(h1_signal(s, d), ["grp", "ts"])
-    return x.select("grp", "ts", r6("r", F.when(F.col("sig") == 1, F.col("r")).otherwise(0.0)))
+    """Loops up to distance 0.5, which is a correlation of 0.875."""
+    return scale_consistent(s, d, 0.5)
+
+
+@q("x12_wide", X12.format(limit=1.3))
+def x12_wide(s, d):
+    """Loops up to distance 1.3: on panels as independent as these five rows hardly ever make one up to 0.5."""
+    return scale_consistent(s, d, 1.3)
 
 
 F60H = "OVER (PARTITION BY grp ORDER BY ts ROWS 59 PRECEDING)"
@@ -823,62 +864,142 @@ PICK = (
     " FROM m), pick AS (SELECT grp FROM n WHERE CASE WHEN any_up = 1 THEN s > 0 AND by_s <= 3 ELSE by_g <= 3 END)"
 )
 CHOSEN = (
-    ", c AS (SELECT ts, avg(r) AS r FROM ew JOIN pick USING (grp) GROUP BY ts HAVING count(*) = (SELECT count(*) FROM pick))"
+    ", c AS (SELECT ts, avg(r) AS r FROM st JOIN pick USING (grp) GROUP BY ts HAVING count(*) = (SELECT count(*) FROM pick))"
     ", x AS (SELECT ts, r, row_number() OVER (ORDER BY ts) AS t_idx, product(1 + r) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS cum"
     " FROM c), y AS (SELECT *, cum / max(cum) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)"
 )
+GROUP_STRATEGY = (
+    SIG + BSP + ", st AS (SELECT grp, ts, sig * spread - CASE WHEN n % 5 = 0 THEN 4 * 0.0005 ELSE 0 END AS r FROM (SELECT sp.*, sig, row_number() OVER (PARTITION BY sp.grp ORDER BY sp.ts) - 1 AS n"
+    f" FROM sp JOIN sg ON sp.grp = sg.grp AND sp.ts = sg.ts WHERE sp.ts > {TRAIN}))"
+)
 
 
-@q("x14", RET + EW + PICK + CHOSEN + " SELECT count(r) AS n, round(arg_max(cum, t_idx) - 1, 6) AS total_ret, round(avg(r) * 252, 6) AS ann_ret,"
-    " round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(min(dd), 6) AS max_dd, round(avg((r > 0)::INT), 6) AS hit FROM y")
-def x14(s, d):
-    """Up to three groups with a positive ratio (else the first three), dates common to them, equal weights."""
-    from tessera.plans.panel_queries import k05
+def group_strategy(s, d, pairs=2, every=5, bps=5.0):
+    """A group's own strategy on test dates: highest against lowest training betas by the day's loop signal, the cost of all
+    pairs on every ``every``-th row."""
+    b = betas(ret(s, d).filter(train())).select("grp", "asset", F.col("beta").alias("e"), F.lit(0).alias("ts"))
+    w = ranked(b, "e").select("grp", "asset", F.when(F.col("hi") <= pairs, 1.0 / pairs).when(F.col("lo") <= pairs, -1.0 / pairs).otherwise(0.0).alias("w"))
+    spread = ret(s, d).filter(~train()).join(w, ["grp", "asset"]).groupBy("grp", "ts").agg(F.sum(F.col("w") * F.col("r")).alias("spread")).join(h1_signal(s, d), ["grp", "ts"])
+    turn = (F.row_number().over(R.in_order(order="ts")) - 1) % every == 0
+    return spread.select("grp", "ts", (F.col("sig") * F.col("spread") - F.when(turn, 2 * pairs * bps / 1e4).otherwise(0.0)).alias("r"))
+
 
-    chosen = ew(s, d).join(k05(s, d), "grp", "left_semi")
+def together(st):
+    """Equal weights of the best groups' returns (grp, ts, r) on the dates that all of them have."""
+    chosen = st.join(best_groups(st), "grp", "left_semi")
     n = chosen.agg(F.count_distinct("grp").alias("n"))
     port = chosen.groupBy("ts").agg(F.avg("r").alias("r"), F.count("*").alias("c")).join(F.broadcast(n), F.col("c") == F.col("n"))  # one row
-    x = port.select(F.lit("portfolio").alias("grp"), "ts", F.col("ts").alias("t_idx"), "r")
-    return M.performance(x).select("n", r6("total_ret"), r6("ann_ret"), r6("sharpe"), r6("max_dd"), r6("hit", F.col("hit_daily")))
+    return port.select(F.lit("portfolio").alias("grp"), "ts", F.col("ts").alias("t_idx"), "r")
 
 
-@q("x15")
-def x15(s, d):
-    """Every strategy of a group on the dates common to all: performance, improvement over holding, correlation with it."""
-    names = ["hold", "laplacian", "fiedler", "volatility", "beta_spread", "reversion", "ensemble"]
+@q("x14", COR + GROUP_STRATEGY + PICK.replace("FROM ew", "FROM st") + CHOSEN + " SELECT count(r) AS n, round(arg_max(cum, t_idx) - 1, 6) AS total_ret, round(pow(arg_max(cum, t_idx), 252.0 / count(r)) - 1, 6) AS ann_ret,"
+    " round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(stddev_samp(r) * sqrt(252), 6) AS vol, round(min(dd), 6) AS max_dd, round(avg((r > 0)::INT), 6) AS hit FROM y")
+def x14(s, d):
+    """The strategies of up to three groups where theirs has a positive ratio (else the first three), equal weights."""
+    x = together(shared("group_strategy", s, d, lambda: group_strategy(s, d)))
+    return M.performance(x).select("n", r6("total_ret"), r6("ann_ret", F.col("cagr")), r6("sharpe"), r6("vol", F.col("ann_vol")), r6("max_dd"), r6("hit", F.col("hit_daily")))
+
+
+STRATEGIES = ["laplacian", "fiedler", "volatility", "beta_spread", "reversion"]
+
+
+def strategies(s, d):
+    """grp, ts, t_idx, hold, a column for each strategy and their mean (ensemble), on the dates common to all."""
 
     def build():
-        made = [ew(s, d).select("grp", "ts", "t_idx", "r"), *(x.select("grp", "ts", "r") for x in (laplacian_plain(s, d), x02(s, d), x03(s, d), x05(s, d), x07(s, d)))]
-        wide = made[0].withColumnRenamed("r", "hold")
-        for name, x in zip(names[1:], made[1:], strict=False):
-            wide = wide.join(x.withColumnRenamed("r", name), ["grp", "ts"])
-        return wide.withColumn("ensemble", sum((F.col(n) for n in names[1:-1]), F.lit(0.0)) / (len(names) - 2))
-
-    wide = shared("strategies", s, d, build)
-    long = wide.select(F.col("grp").alias("g"), "t_idx", F.col("hold").alias("base"), F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("r")) for n in names])).alias("x")).select("g", "t_idx", "base", "x.*")
+        wide = ew(s, d).select("grp", "ts", "t_idx", F.col("r").alias("hold"))
+        for name, x in zip(STRATEGIES, (laplacian_plain(s, d), x02(s, d), x03(s, d), x05(s, d), x07(s, d)), strict=True):
+            wide = wide.join(x.select("grp", "ts", F.col("r").alias(name)), ["grp", "ts"])
+        return wide.withColumn("ensemble", sum((F.col(n) for n in STRATEGIES), F.lit(0.0)) / len(STRATEGIES))
+
+    return shared("strategies", s, d, build)
+
+
+def compared(s, d):
+    """g, strategy and performance of holding, every strategy and the ensemble, and the correlation with holding."""
+    names = ["hold", *STRATEGIES, "ensemble"]
+    long = strategies(s, d).select(F.col("grp").alias("g"), "t_idx", F.col("hold").alias("base"), F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(n).alias("r")) for n in names])).alias("x")).select("g", "t_idx", "base", "x.*")
     long = long.withColumn("grp", F.concat_ws("|", "g", "strategy"))
     rho = long.groupBy("grp").agg(F.first("g").alias("g"), F.first("strategy").alias("strategy"), pearson("r", "base").alias("rho_hold"))
-    m = M.performance(long.select("grp", "t_idx", "r")).join(rho, "grp").withColumn("base", F.max(F.when(F.col("strategy") == "hold", F.col("sharpe"))).over(Window.partitionBy("g")))
+    return M.performance(long.select("grp", "t_idx", "r")).join(rho, "grp")
+
+
+@q("x15")
+def x15(s, d):
+    """Every strategy of a group on the dates common to all: performance, improvement over holding, correlation with it."""
+    m = compared(s, d).withColumn("base", F.max(F.when(F.col("strategy") == "hold", F.col("sharpe"))).over(Window.partitionBy("g")))
     better = F.try_divide(F.col("sharpe") - F.col("base"), F.abs("base")) * 100
-    return m.select(F.col("g").alias("grp"), "strategy", "n", r6("total_ret"), r6("ann_ret"), r6("sharpe"), r6("max_dd"), r6("hit", F.col("hit_daily")), r6("improvement_pct", better, 4), r6("rho_hold"))
+    return m.select(F.col("g").alias("grp"), "strategy", "n", r6("total_ret"), r6("ann_ret"), r6("sharpe"), r6("max_dd"), r6("hit", F.col("hit_daily")), r6("calmar"), r6("improvement_pct", better, 4), r6("rho_hold"))
+
+
+@q("x15_matrix")
+def x15_matrix(s, d):
+    """Correlation of every two strategies of a group, their mean, and what an ensemble can gain by it."""
+    two = [(a, b) for i, a in enumerate(STRATEGIES) for b in STRATEGIES[i + 1 :]]
+    wide = strategies(s, d).groupBy("grp").agg(*[pearson(a, b).alias(f"{a}_{b}") for a, b in two])
+    long = wide.select("grp", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("rho")) for a, b in two])).alias("x")).select("grp", "x.*")
+    mean = F.avg("rho").over(Window.partitionBy("grp"))
+    label = F.when(mean < 0.5, "good").when(mean < 0.7, "some").when(mean.isNotNull(), "limited")
+    return long.select("grp", "a", "b", r6("rho"), r6("mean_rho", mean), label.alias("diversification"))
+
+
+@q("x15_winner")
+def x15_winner(s, d):
+    """The strategy with the greatest ratio, what it gains over plain reversion, and whether the ensemble beats it."""
+    m = compared(s, d).filter("strategy <> 'hold'")
+    of = lambda name: F.max(F.when(F.col("strategy") == name, F.col("sharpe")))
+    single = F.col("strategy") != "ensemble"
+    g = m.groupBy(F.col("g").alias("grp")).agg(F.max_by("strategy", F.when(single, F.struct(F.round("sharpe", 9), "strategy"))).alias("best"), F.max(F.when(single, F.col("sharpe"))).alias("sharpe"), of("reversion").alias("baseline"), of("ensemble").alias("ensemble"))
+    gain = lambda x, y: F.try_divide(x - y, F.abs(y)) * 100
+    return g.select("grp", "best", r6("sharpe"), r6("baseline"), r6("improvement_pct", gain(F.col("sharpe"), F.col("baseline")), 4), r6("ensemble"), (F.col("ensemble") > F.col("sharpe")).alias("ensemble_wins"), r6("ensemble_gain_pct", gain(F.col("ensemble"), F.col("sharpe")), 4))
 
 
 MKT = ", mk AS (SELECT h.grp, avg(mean_corr) AS rho, stddev_samp(h1_count) / avg(h1_count) AS cv FROM h1 h JOIN feat f ON h.grp = f.grp AND h.ts = f.ts GROUP BY 1)"
 
 
-@q("x16", COR + FEATURES + H1 + MKT + ", g AS (SELECT corr(rho, cv) AS global_rho FROM mk) SELECT grp, round(rho, 6) AS rho, round(cv, 6) AS cv, CASE WHEN rho > 0.5"
-    " AND cv < 0.6 THEN 'good' WHEN rho > 0.4 OR cv < 0.7 THEN 'marginal' ELSE 'poor' END AS label,"
-    " CASE WHEN cv < 0.5 THEN 'stable' WHEN cv < 0.7 THEN 'moderate' ELSE 'unstable' END AS stability, round(global_rho"
-    ", 6) AS global_rho, coalesce(global_rho < -0.5, FALSE) AS generalizes FROM mk, g")
-def x16(s, d):
-    """Markets side by side: viability, stability of the topology, and whether correlation and spread go together globally."""
+#: Class and region of the groups of the brand panel; "home" is the class that the others are held against.
+MARKETS = {"B0": ("home", "north"), "B1": ("home", "north"), "B2": ("home", "south"), "B3": ("abroad", "south"), "B4": ("abroad", "east")}
+KINDS = ", mt AS (SELECT mk.*, class, region FROM mk JOIN (VALUES " + ", ".join(f"('{g}', '{c}', '{r}')" for g, (c, r) in MARKETS.items()) + ") v(g, class, region) ON mk.grp = v.g)"
+STABLE = " CASE WHEN {cv} < 0.5 THEN 'stable' WHEN {cv} < 0.7 THEN 'moderate' ELSE 'unstable' END AS stability"
+
+
+def markets(s, d):
+    """grp, rho, cv (mean correlation and spread of the loop count), class and region of every market."""
     from tessera.operators.network import network_features
 
     m = h1(s, d).join(network_features(corr(s, d)), ["grp", "ts"]).groupBy("grp").agg(F.avg("mean_corr").alias("rho"), F.try_divide(F.stddev_samp("h1_count"), F.avg("h1_count")).alias("cv"))
-    g = F.broadcast(m.agg(pearson("rho", "cv").alias("global_rho")))  # one row
+    kind = s.createDataFrame([(g, *v) for g, v in MARKETS.items()], "grp string, class string, region string")
+    return m.join(F.broadcast(kind), "grp", "left")  # a row for each market named
+
+
+def stability():
+    return F.when(F.col("cv") < 0.5, "stable").when(F.col("cv") < 0.7, "moderate").otherwise("unstable").alias("stability")
+
+
+@q("x16", COR + FEATURES + H1 + MKT + KINDS + ", g AS (SELECT corr(rho, cv) AS all_rho, CASE WHEN count(*) FILTER (WHERE class = 'home') >= 3 THEN corr(rho, cv) FILTER (WHERE class = 'home') END AS home_rho FROM mt)"
+    " SELECT grp, round(rho, 6) AS rho, round(cv, 6) AS cv, CASE WHEN rho > 0.5 AND cv < 0.6 THEN 'good' WHEN rho > 0.4 OR cv < 0.7 THEN 'marginal' ELSE 'poor' END AS label," + STABLE.format(cv="cv")
+    + ", round(all_rho, 6) AS global_rho, round(home_rho, 6) AS home_rho, round(abs(all_rho - home_rho), 6) AS difference, CASE WHEN home_rho IS NULL THEN NULL WHEN abs(all_rho - home_rho) < 0.2 THEN 'yes'"
+    " WHEN all_rho < -0.5 THEN 'partly' ELSE 'no' END AS generalizes FROM mt, g")
+def x16(s, d):
+    """Markets side by side: viability, stability of the topology, whether correlation and spread go together globally, and
+    whether they do so as at home (three home markets at least)."""
+    m, home = markets(s, d), F.col("class") == "home"
+    at_home = pearson(F.when(home, F.col("rho")), F.when(home, F.col("cv")))
+    g = m.agg(pearson("rho", "cv").alias("global_rho"), F.when(F.count_if(home) >= 3, at_home).alias("home_rho"))
     label = F.when((F.col("rho") > 0.5) & (F.col("cv") < 0.6), "good").when((F.col("rho") > 0.4) | (F.col("cv") < 0.7), "marginal").otherwise("poor")
-    stability = F.when(F.col("cv") < 0.5, "stable").when(F.col("cv") < 0.7, "moderate").otherwise("unstable")
-    return m.join(g).select("grp", r6("rho"), r6("cv"), label.alias("label"), stability.alias("stability"), r6("global_rho"), F.coalesce(F.col("global_rho") < -0.5, F.lit(False)).alias("generalizes"))
+    apart = F.abs(F.col("global_rho") - F.col("home_rho"))
+    verdict = F.when(apart.isNotNull(), F.when(apart < 0.2, "yes").when(F.col("global_rho") < -0.5, "partly").otherwise("no"))
+    return m.join(F.broadcast(g)).select("grp", r6("rho"), r6("cv"), label.alias("label"), stability(), r6("global_rho"), r6("home_rho"), r6("difference", apart), verdict.alias("generalizes"))  # one row
+
+
+@q("x16_breakdown", COR + FEATURES + H1 + MKT + KINDS + ", k AS (SELECT 'class' AS kind, class AS name, rho, cv FROM mt UNION ALL SELECT 'region', region, rho, cv FROM mt) SELECT kind, name, count(*) AS markets, round(avg(rho), 6) AS rho,"
+    " round(min(rho), 6) AS low_rho, round(max(rho), 6) AS high_rho, round(avg(cv), 6) AS mean_cv, round(min(cv), 6) AS low_cv, round(max(cv), 6) AS high_cv," + STABLE.format(cv="avg(cv)") + " FROM k GROUP BY 1, 2")
+def x16_breakdown(s, d):
+    """The same by class and by region: how many markets, means and ranges, stability of the mean."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("class", "region")])
+    x = markets(s, d).select("rho", "cv", F.explode(kinds).alias("k")).filter("k.name is not null")
+    g = x.groupBy("k.kind", "k.name").agg(F.count("*").alias("markets"), F.avg("rho").alias("rho"), F.min("rho").alias("low_rho"), F.max("rho").alias("high_rho"), F.avg("cv").alias("cv"), F.min("cv").alias("low_cv"), F.max("cv").alias("high_cv"))
+    return g.select("kind", "name", "markets", r6("rho"), r6("low_rho"), r6("high_rho"), r6("mean_cv", F.col("cv")), r6("low_cv"), r6("high_cv"), stability())
 
 
 @q("x17")
