@@ -886,9 +886,8 @@ def group_strategy(s, d, pairs=2, every=5, bps=5.0):
 
 def together(st):
     """Equal weights of the best groups' returns (grp, ts, r) on the dates that all of them have."""
-    chosen = st.join(best_groups(st), "grp", "left_semi")
-    n = chosen.agg(F.count_distinct("grp").alias("n"))
-    port = chosen.groupBy("ts").agg(F.avg("r").alias("r"), F.count("*").alias("c")).join(F.broadcast(n), F.col("c") == F.col("n"))  # one row
+    best = best_groups(st).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(0))))  # up to three rows
+    port = st.join(F.broadcast(best), "grp").groupBy("ts").agg(F.avg("r").alias("r"), F.count("*").alias("c"), F.max("n").alias("n")).filter("c = n")
     return port.select(F.lit("portfolio").alias("grp"), "ts", F.col("ts").alias("t_idx"), "r")
 
 
