@@ -351,18 +351,123 @@ def test_resamples_trees_and_rounds_are_the_references(spark, monkeypatch):
     rng = np.random.default_rng(9)
     f = pd.DataFrame({"grp": "g", "ts": range(40), "mean_corr": rng.uniform(-0.2, 0.2, 40), "r": rng.normal(size=40)})
     monkeypatch.setattr(sq, "rho_ret", lambda s, d: spark.createDataFrame(f).coalesce(1))
-    x, y, best = f["mean_corr"].to_numpy(), f["r"].to_numpy(), []
-    for rep in range(1000):
-        i = np.random.default_rng([42, rep, *b"g"]).integers(0, 40, 40)
+    from pyspark.sql import functions as F
+
+    from tessera.operators import regression as G
+
+    x, y, best, plain = f["mean_corr"].to_numpy(), f["r"].to_numpy(), [], []
+
+    def first_break(x, y):
         rss = []
         for k in range(16):
-            a = np.column_stack([np.ones(40), x[i], np.maximum(0, x[i] + 0.15 - 0.02 * k)])
-            b = np.linalg.solve(a.T @ a + 1e-12 * np.eye(3), a.T @ y[i])
-            rss.append(float(((y[i] - a @ b) ** 2).sum()))
-        best.append(-0.15 + 0.02 * int(np.argmin(rss)))
+            a = np.column_stack([np.ones(len(x)), x, np.maximum(0, x + 0.15 - 0.02 * k)])
+            b = np.linalg.lstsq(a, y, rcond=None)[0]
+            rss.append(float(((y - a @ b) ** 2).sum()))
+        return -0.15 + 0.02 * int(np.argmin(np.round(rss, 10)))
+
+    weights = spark.createDataFrame(f[["grp", "ts"]]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(999)))).select("ts", "rep", G.poisson_weight(42, "grp", "ts", "rep").alias("w")).toPandas()
+    counts = weights.pivot(index="rep", columns="ts", values="w").to_numpy()
+    assert abs(counts.mean() - 1) < 0.02 and abs(counts.var() - 1) < 0.05
+    rng = np.random.default_rng(3)
+    for w in counts:
+        best.append(first_break(np.repeat(x, w), np.repeat(y, w)))
+        i = rng.integers(0, 40, 40)
+        plain.append(first_break(x[i], y[i]))
     (h,) = sq.h06(spark, "").collect()
     assert h.mean == pytest.approx(np.mean(best), abs=1e-6) and h.std == pytest.approx(np.std(best), abs=1e-6)
     assert (h.low, h.high) == pytest.approx(tuple(np.percentile(best, [2.5, 97.5])), abs=1e-6)
+    assert h.mean == pytest.approx(np.mean(plain), abs=0.02) and h.std == pytest.approx(np.std(plain), abs=0.02)
+
+
+def test_sharpe_errors_are_numpy(spark):
+    from tessera.operators import bootstrap as Boot
+
+    rng = np.random.default_rng(8)
+    series = {"a": rng.normal(0.01, 0.1, 61), "b": 1e3 + rng.normal(size=5), "flat": np.full(7, 0.5), "one": np.array([0.1])}
+    rows = [(g, 3 * i, float(v)) for g, s in series.items() for i, v in enumerate(s)] + [("a", 1, None), ("a", 2, float("nan")), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "grp string, t_idx int, r double")
+    blocks = Boot.draws(Boot.placed(df, "r", ("grp",), "t_idx"), 30, 4.0).collect()
+    made = {(x.grp, x.rep): x.sharpe for x in Boot.sharpe_bootstrap(df, reps=30, length=4.0).collect()}
+    assert set(made) == {(g, k) for g in series for k in range(1, 31)}
+    for g, s in series.items():
+        for rep in range(1, 31):
+            begins = {x.place: x.start for x in blocks if (x.grp, x.rep) == (g, rep)}
+            taken, at = [], 0
+            for place in range(len(s)):
+                at = begins.get(place, at)
+                taken.append(s[at % len(s)])
+                at += 1
+            spread = np.std(taken, ddof=1) if len(s) > 1 else 0
+            if spread < 1e-9:
+                assert made[g, rep] is None
+            else:
+                assert made[g, rep] == pytest.approx(np.mean(taken) / spread * 252**0.5, rel=1e-6)
+    lengths = len([x for x in blocks if x.grp == "a"]) / 30
+    assert 10 < lengths < 24  # 1 + 60 / 4 blocks are expected
+    got = {x.grp: x for x in Boot.sharpe_interval(df).collect()}
+    for g in "ab":
+        s = series[g]
+        z, sr = (s - s.mean()) / s.std(ddof=1), s.mean() / s.std(ddof=1)
+        u = z - sr / 2 * (z * z - 1)
+        v = (u @ u + 2 * sum((1 - k / 6) * (u[k:] @ u[:-k]) for k in range(1, 6) if k < len(u))) / len(u)
+        se = np.sqrt(max(v, 0) / len(u)) * 252**0.5
+        assert (got[g].n, got[g].sharpe) == (len(s), pytest.approx(sr * 252**0.5))
+        assert got[g].se == pytest.approx(se, rel=1e-6, abs=1e-6) and got[g].high - got[g].low == pytest.approx(2 * 1.959963984540054 * se, rel=1e-6, abs=1e-6)
+        assert got[g].se_iid == pytest.approx(np.sqrt((1 + sr * sr / 2) / len(s)) * 252**0.5)
+    assert got["flat"].sharpe is None and got["one"].sharpe is None and "none" not in got
+    empty = df.filter("false")
+    assert Boot.sharpe_interval(empty).count() == 0 and Boot.sharpe_bootstrap(empty, reps=3).count() == 0
+
+
+def test_scale_consistent_strategy_walks_the_loop(spark, own_panel):
+    from tessera.plans import panel_queries as pq
+    from tessera.plans import strategy_queries as sq
+
+    f = pq.ret(spark, "").toPandas().pivot(index="ts", columns="asset", values="r").sort_index()
+    r, days, train = f.to_numpy(), list(f.index), f.index <= np.datetime64("1998-12-31")
+    count = {t: sum(k == 1 for k, _, _ in K.persistence(K.distances(np.corrcoef(r[t - 5 : t].T)), 1.3)) for t in range(5, len(r))}
+    cut = np.percentile([c for t, c in count.items() if train[t]], 75)
+    made = {x.ts: x for x in sq.x12_wide(spark, "").collect()}
+    test = [t for t in count if not train[t]]
+    assert len(made) == len(test) > 20
+    for turn, t in enumerate(test):
+        order = np.argsort(r[t - 5 : t].sum(axis=0))
+        on = count[t] > cut
+        want = (r[t, order[:2]].mean() - r[t, order[-2:]].mean()) / 2 - (0.005 if turn % 5 == 0 else 0) if on else 0
+        got = made[days[t].to_pydatetime()]
+        assert (got.h1_count, got.position) == (count[t], int(on)) and got.r == pytest.approx(want, abs=2e-6)
+
+
+def test_strategies_side_by_side_are_pandas(spark, monkeypatch):
+    import pandas as pd
+
+    from tessera.plans import strategy_queries as sq
+
+    rng = np.random.default_rng(12)
+    f = pd.DataFrame(rng.normal(0.001, 0.01, (40, 5)) + rng.normal(0, 0.01, (40, 1)), columns=sq.STRATEGIES)
+    f.insert(0, "hold", rng.normal(0, 0.01, 40))
+    f["ensemble"] = f[sq.STRATEGIES].mean(axis=1)
+    wide = f.assign(grp="g", ts=range(40), t_idx=range(40))
+    frame = spark.createDataFrame(wide)
+    monkeypatch.setattr(sq, "strategies", lambda s, d: frame)
+    rho = f[sq.STRATEGIES].corr()
+    made = sq.x15_matrix(spark, "").collect()
+    mean = rho.to_numpy()[np.triu_indices(5, 1)].mean()
+    assert len(made) == 10
+    for x in made:
+        assert (x.rho, x.mean_rho) == pytest.approx((rho.loc[x.a, x.b], mean), abs=1e-6)
+        assert x.diversification == ("good" if mean < 0.5 else "some" if mean < 0.7 else "limited")
+    ratio = f.mean() / f.std() * 252**0.5
+    best = ratio[sq.STRATEGIES].idxmax()
+    (w,) = sq.x15_winner(spark, "").collect()
+    assert (w.best, w.ensemble_wins) == (best, bool(ratio["ensemble"] > ratio[best]))
+    assert w.improvement_pct == pytest.approx((ratio[best] - ratio["reversion"]) / abs(ratio["reversion"]) * 100, abs=1e-3)
+    assert w.ensemble_gain_pct == pytest.approx((ratio["ensemble"] - ratio[best]) / abs(ratio[best]) * 100, abs=1e-3)
+    cum = (1 + f).cumprod()
+    for x in sq.x15(spark, "").collect():
+        c = cum[x.strategy]
+        drop = (c / c.cummax() - 1).min()
+        assert x.calmar == pytest.approx((c.iloc[-1] ** (252 / 40) - 1) / abs(drop), rel=1e-4)
 
 
 def test_newey_west_is_numpy(spark):
