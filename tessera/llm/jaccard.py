@@ -442,12 +442,12 @@ def small_pairs(members: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 class _Join:
-    """The links found so far between the nodes of ``texts`` (node, n, t), and the components that they make."""
+    """The components that the links found so far make of the nodes of ``texts`` (node, n, t)."""
 
     def __init__(self, texts: DataFrame, size: int, sizes: Sizes):
         self.texts, self.size, self.sizes = texts, size, sizes
         self.sketches = cut(narrow_sketches(texts, size), "narrow_sketches")
-        self.links = self.seen = self.roots = None
+        self.seen = self.roots = None
         self.tables = [self.sketches]
 
     def test(self, pairs: DataFrame) -> None:
@@ -464,8 +464,16 @@ class _Join:
         self.tables += [left, found]
         if found.isEmpty():
             return
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.roots = connected_components(self.links).select("node", "root")
+        if self.roots is None:
+            self.roots = connected_components(found).select("node", "root")
+            return
+        known = self.roots
+        of = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        merged = connected_components(ends)  # of the components so far; a node without links stands for itself
+        moved = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        self.roots = cut(moved.unionByName(merged.join(known, "node", "left_anti")), "roots")
+        forget(known)
 
     def rooted(self, rows: DataFrame) -> DataFrame:
         if self.roots is None:
