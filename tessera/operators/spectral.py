@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels as K
+from tessera.operators import scan
+from tessera.operators.network import corr_vectors
+from tessera.operators.permute import shuffled_place
 
-#: Repetitions that one row stands for.
-REPETITIONS = 10
 _BAR = "array<struct<dim:int,birth:double,death:double>>"
 
 
@@ -32,19 +33,21 @@ def spectra(vectors: DataFrame, tau: float = 0.3) -> DataFrame:
     return vectors.mapInPandas(run, ", ".join([_kept(vectors), *(f"{n} double" for n in names)]))
 
 
-def diagrams(vectors: DataFrame, limit: float | None = None) -> DataFrame:
-    """grp, ts, diagram: bars of dimension 0 and 1; death null where the class never dies (or beyond ``limit``)."""
+def diagrams(vectors: DataFrame, limit: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """grp, ts, diagram: bars of dimension 0 and 1; death null where the class never dies (or beyond ``limit``). Columns of
+    ``keep`` stay."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = [[{"dim": k, "birth": b, "death": e} for k, b, e in K.persistence(K.distances(K.square(r, len(a))), np.inf if limit is None else limit)] for r, a in zip(f["rho"], f["assets"], strict=True)]
-            yield pd.DataFrame({"grp": f["grp"], "ts": f["ts"], "diagram": made})
+            yield pd.DataFrame({"grp": f["grp"], "ts": f["ts"], "diagram": made, **{c: f[c] for c in keep}})
 
-    return vectors.mapInPandas(run, f"{_kept(vectors)}, diagram {_BAR}")
+    return vectors.mapInPandas(run, ", ".join([_kept(vectors), f"diagram {_BAR}", *(f"{c} {dict(vectors.dtypes)[c]}" for c in keep)]))
 
 
-def topology(diagram: DataFrame) -> DataFrame:
-    """Counts, totals and longest bars of both dimensions, spread and entropy of loop lifetimes; no Python."""
+def topology(diagram: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, totals and longest bars of both dimensions, spread and entropy of loop lifetimes; no Python. Columns of
+    ``keep`` stay."""
     lives = lambda k: F.transform(F.filter("diagram", lambda b: (b["dim"] == k) & b["death"].isNotNull()), lambda b: b["death"] - b["birth"])
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     d = diagram.withColumn("l0", lives(0)).withColumn("l1", lives(1)).withColumn("t1", total(F.col("l1"))).withColumn("n1", F.size("l1"))
@@ -53,7 +56,7 @@ def topology(diagram: DataFrame) -> DataFrame:
     spread = F.sqrt(F.try_divide(F.aggregate("l1", F.lit(0.0), lambda a, x: a + (x - F.col("m1")) * (x - F.col("m1"))), F.col("n1")))
     bits = F.aggregate("l1", F.lit(0.0), lambda a, x: a - x / F.col("t1") * F.ln(x / F.col("t1")))
     return d.select(
-        "grp", "ts", F.size("l0").alias("h0_count"), total(F.col("l0")).alias("h0_total"), F.array_max("l0").alias("h0_max"),
+        "grp", "ts", *keep, F.size("l0").alias("h0_count"), total(F.col("l0")).alias("h0_total"), F.array_max("l0").alias("h0_max"),
         F.col("n1").alias("h1_count"), F.col("t1").alias("h1_total"), F.coalesce(F.array_max("l1"), F.lit(0.0)).alias("h1_max"),
         F.size(F.filter("diagram", lambda b: (b["dim"] == 1) & b["death"].isNull())).alias("h1_essential"),
         F.when(F.col("m1") > 1e-10, F.try_divide(spread, F.col("m1"))).alias("h1_cv"),
@@ -101,26 +104,27 @@ def repaired(vectors: DataFrame, floor: float = 0.01) -> DataFrame:
 
 def null_model(rets: DataFrame, reps: int = 100, seed: int = 42) -> DataFrame:
     """Every asset's whole return series shuffled for itself, ``reps`` times (repetitions 1 to ``reps``), and the series as it
-    is (0): mean correlation, loops, their total length and its spread.
-
-    A row holds one group's series and the first of REPETITIONS repetitions, which are made where the row is: one copy of
-    the series for so many repetitions. The generator is seeded by group and repetition."""
-    wide = rets.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("asset", "t_idx", "r"))).alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps), F.lit(REPETITIONS))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for g, begin, x in zip(f["grp"], f["rep"], f["x"], strict=True):
-                whole = pd.DataFrame([tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in x], columns=["asset", "t", "r"]).pivot(index="t", columns="asset", values="r").dropna().to_numpy()
-                for rep in range(begin, min(begin + REPETITIONS, reps + 1)):
-                    rng = np.random.default_rng([seed, rep, *g.encode()])
-                    t = np.column_stack([rng.permutation(c) for c in whole.T]) if rep else whole  # repetition 0 is the data itself
-                    c = np.corrcoef(t.T)
-                    lives = K.lifetimes(K.persistence(K.distances(c)), 1)
-                    out.append((g, rep, float(c[np.triu_indices(len(c), 1)].mean()), len(lives), float(lives.sum()), K.cv(lives)))
-            yield pd.DataFrame(out, columns=["grp", "rep", "mean_corr", "h1_count", "h1_total", "h1_cv"])
-
-    return wide.repartition("grp", "rep").mapInPandas(run, "grp string, rep int, mean_corr double, h1_count int, h1_total double, h1_cv double")
+    is (0): grp, rep, mean_corr, loops (h1_count), their total length and its spread.
+
+    Dates count on which every asset of the group has a return. A date's new place follows from group, asset, repetition
+    and place, so shuffling is grouping by the new place; means and deviations do not change, and a correlation is a sum
+    of products of standardised returns. No row holds more than one date or one repetition's correlations. An asset that
+    does not vary is correlated with none (0). Groups of one asset have no row."""
+    good = rets.filter(F.col("r").isNotNull() & ~F.isnan("r")).select("grp", "asset", "t_idx", "r")
+    many = rets.groupBy("grp").agg(F.count_distinct("asset").alias("many"))
+    days = good.groupBy("grp", "t_idx").agg(F.count_distinct("asset").alias("c")).join(many, "grp").filter("c = many").select("grp", "t_idx")
+    days = scan.place(days, "place").join(days.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+    whole = good.join(days, ["grp", "t_idx"])
+    of = whole.groupBy("grp", "asset").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
+    z = F.coalesce(F.try_divide(F.col("r") - F.col("mean"), F.col("sd")), F.lit(0.0))
+    rows = whole.join(of, ["grp", "asset"]).select("grp", "asset", "place", "n", z.alias("z"), F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
+    to = F.when(F.col("rep") == 0, F.col("place")).otherwise(shuffled_place(F.col("place"), F.col("n"), seed, "grp", "asset", "rep"))
+    dates = rows.select("grp", "rep", to.alias("to"), "asset", "z", "n").groupBy("grp", "rep", "to").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("asset", "z"))).alias("x"))
+    ordered = F.flatten(F.transform("x", lambda u, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda v: F.struct(u["asset"].alias("a"), v["asset"].alias("b"), (u["z"] * v["z"]).alias("p")))))
+    corr = dates.select("grp", F.col("rep").alias("ts"), "n", F.explode(ordered).alias("p")).groupBy("grp", "ts", "p.a", "p.b").agg((F.sum("p.p") / F.first("n")).alias("rho"))
+    mean = F.aggregate("rho", F.lit(0.0), lambda s, x: s + x) / F.size("rho")
+    vectors = corr_vectors(corr).withColumn("mean_corr", mean)
+    return topology(diagrams(vectors, keep=("mean_corr",)), keep=("mean_corr",)).select("grp", F.col("ts").alias("rep"), "mean_corr", "h1_count", "h1_total", "h1_cv")
 
 
 def diffusion_residuals(vectors: DataFrame, rets: DataFrame, tau: float = 0.3, alpha: float = 0.5, steps: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import rolling as R
+from tessera.operators import scan
 from tessera.plans.oracle import EW, base
 from tessera.plans.registry import query
 from tessera.sources import panel as P
@@ -258,14 +259,12 @@ CUM = (
 
 @q("w05", RET + CUM + " SELECT grp, ts, round(cum, 6) AS cum FROM cum")
 def w05(s, d):
-    return ew(s, d).select("grp", "ts", r6("cum", R.equity(F.col("r"))))
+    return scan.equity(ew(s, d), "r").select("grp", "ts", r6("cum"))
 
 
 @q("w06", RET + CUM + " SELECT grp, ts, round(dd, 6) AS dd FROM dd")
 def w06(s, d):
-    from tessera.operators.metrics import with_equity
-
-    return with_equity(ew(s, d)).select("grp", "ts", r6("dd"))
+    return scan.drawdown(ew(s, d), "r").select("grp", "ts", r6("dd"))
 
 
 @q("w07", RET + EW + f" SELECT grp, ts, round(abs(r - lag(r) OVER w), 6) AS step FROM ew {WIN}")
@@ -290,7 +289,7 @@ def w09(s, d):
 @q("w10", RET + EW + ", p AS (SELECT *, (r > 0)::INT AS raw FROM ew) SELECT grp, ts, last_value(CASE WHEN t_idx % 5 = 0 THEN raw END IGNORE NULLS)"
     " OVER (PARTITION BY grp ORDER BY t_idx ROWS UNBOUNDED PRECEDING) AS pos FROM p")
 def w10(s, d):
-    return ew(s, d).select("grp", "ts", R.hold((F.col("r") > 0).cast("int"), F.col("t_idx"), 5).alias("pos"))
+    return scan.hold(ew(s, d), F.when(F.col("t_idx") % 5 == 0, (F.col("r") > 0).cast("int")), "pos").select("grp", "ts", "pos")
 
 
 F252 = "OVER (PARTITION BY grp ORDER BY t_idx ROWS 251 PRECEDING)"
@@ -338,12 +337,7 @@ def w15(s, d):
 @q("w16", RET + EW + ", sm(grp, t_idx, v) AS (SELECT grp, t_idx, r FROM ew WHERE t_idx = 0 UNION ALL SELECT e.grp, e.t_idx, 0.85 * e.r + 0.15 * s.v"
     " FROM sm s JOIN ew e ON e.grp = s.grp AND e.t_idx = s.t_idx + 1) SELECT grp, t_idx, round(v, 6) AS v FROM sm")
 def w16(s, d):
-    """The recurrence in closed form: weights fall by 0.15 a row, so 24 rows hold all a double can tell."""
-    w = R.past(24)
-    items = F.collect_list("r").over(w)
-    n = F.size(items)
-    v = F.aggregate(items, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(0.85 * x + 0.15 * a))
-    return ew(s, d).select("grp", "t_idx", F.round(F.when(n > 0, v), 6).alias("v"))
+    return scan.recurrence(ew(s, d), "r", 0.85, 0.15, "v").select("grp", "t_idx", r6("v"))
 
 
 LS = (

@@ -300,6 +300,9 @@ def test_adaptive_strategy_walks_the_loop(spark, monkeypatch):
 
 
 def test_null_model_takes_the_whole_series(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.permute import shuffled_place
     from tessera.plans import network_queries as nq
     from tessera.plans import strategy_queries as sq
 
@@ -309,10 +312,15 @@ def test_null_model_takes_the_whole_series(spark, monkeypatch):
     series[60:] += rng.normal(size=(n - 60, 1)) * 0.5  # correlated only after the first 60
     rows = [("g", a, i, i, float(series[i, k])) for i in range(n) for k, a in enumerate(assets)]
     monkeypatch.setattr(nq, "ret", lambda s, d: spark.createDataFrame(rows, "grp string, asset string, ts int, t_idx int, r double"))
+    rows += [("g", "a", n, n, float("nan")), ("g", "b", n, n, 1.0), ("g", "a", n + 1, n + 1, None)]  # dates that are not complete
+    at = spark.range(n).crossJoin(spark.range(1, 101).withColumnRenamed("id", "k")).select("id", F.col("k").cast("int").alias("rep"), F.lit("g").alias("grp"), F.explode(F.array(*map(F.lit, assets))).alias("asset"))
+    to = at.select("id", "rep", "asset", shuffled_place(F.col("id"), F.lit(n), 42, "grp", "asset", "rep").alias("to")).toPandas()
+    moved = {k: v.sort_values("id")["to"].to_numpy() for k, v in to.groupby(["rep", "asset"])}
     want = []
     for rep in range(101):  # the data and the reference's 100 permutations
-        gen = np.random.default_rng([42, rep, *b"g"])
-        x = np.column_stack([gen.permutation(c) for c in series.T]) if rep else series
+        x = series.copy()
+        for k, a in enumerate(assets if rep else ""):
+            x[moved[rep, a], k] = series[:, k]
         c = np.corrcoef(x.T)
         lives = [e - b for k, b, e in K.persistence(K.distances(c)) if k == 1 and e is not None and e > b]
         want.append((c[np.triu_indices(len(c), 1)].mean(), len(lives), sum(lives)))
