@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from tessera.operators.metrics import performance
 from tessera.operators.network import network_features
 from tessera.plans.network_queries import TAU, cv_and_rho, vectors
 from tessera.plans.oracle import EW, FEATURES, base
-from tessera.plans.panel_queries import CUM, RV, corr, ew, r6, realized_vol, ret, shared
+from tessera.plans.panel_queries import CUM, RV, clean, corr, ew, r6, realized_vol, ret, scratch, shared
 from tessera.plans.registry import query as q
 from tessera.plans.strategy_queries import POS, fiedler, held, regime, sharpe, t_p, train
 from tessera.sources import panel as P
@@ -29,18 +28,6 @@ RET = base()
 INPUTS = ["mean_corr", "std_corr", "lap_lambda1", "lap_lambda2", "lap_gap", "fiedler", "rv"]
 
 
-def scratch(s, name):
-    """A path of its own in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a session
-    on one machine uses a folder of the warehouse; a cluster is refused."""
-    found = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        master = s.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _BAR_SQL = RET + " SELECT grp, asset, ts, round(px, 4) AS px FROM panel"
 
 
@@ -53,14 +40,14 @@ def _through(s, df, name, write, read):
 @q("s04", _BAR_SQL)
 def s04(s, d):
     """Bars as delimited text with a header, read with a declared schema, sorted by nothing: order is not part of data."""
-    p = P.clean(P.ship_brand(s, d))
+    p = clean(s, d)
     return _through(s, p, "bars", lambda w, x: w.option("header", True).csv(x), lambda x: s.read.schema(p.schema).option("header", True).csv(x)).select("grp", "asset", "ts", r6("px", n=4))
 
 
 @q("s06", _BAR_SQL)
 def s06(s, d):
     """A wide file, a date index and a column for each asset, read by declared types and made long again."""
-    p = P.clean(P.ship_brand(s, d)).select(F.concat_ws("|", "grp", "asset").alias("name"), "ts", "px")
+    p = clean(s, d).select(F.concat_ws("|", "grp", "asset").alias("name"), "ts", "px")
     names = sorted(r[0] for r in p.select("name").distinct().collect())  # the assets: the columns of the file
     if not names:
         return s04(s, d)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,27 +25,60 @@ def raw(s, d):
     return P.ship_brand(s, d)
 
 
+def bars(s, d):
+    """Kept, as shaping a panel reads its bars many times over."""
+    return shared("bars", s, d, lambda: P.ship_brand(s, d))
+
+
+def nation(s, d):
+    return shared("nation", s, d, lambda: P.nation(s, d))
+
+
 def clean(s, d):
-    return P.clean(P.ship_brand(s, d))
+    return P.clean(bars(s, d))
+
+
+def scratch(s, name):
+    """A path of its own in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a session
+    on one machine uses a folder of the warehouse; a cluster is refused."""
+    found = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = s.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _SHARED: dict = {}
 
 
 def release(but: tuple | None = None) -> None:
-    """Drop what ``shared`` keeps, but for the session and folder ``but``."""
+    """Forget what ``shared`` keeps, but for the session and folder ``but``. The tables stay, as frames made from them may
+    still be read."""
     for key in [k for k in _SHARED if k[:2] != but]:
-        _SHARED.pop(key).unpersist()
+        del _SHARED[key]
+
+
+def _there(s, path) -> bool:
+    p = s._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def shared(name, s, d, build):
-    """What several queries of a session start from is kept, spilling to disk, instead of being computed by each; what
-    belongs to another folder or session is dropped first."""
+    """What several queries of a session start from is written once and read again instead of being computed by each; what
+    belongs to another folder or session is forgotten first.
+
+    A table has no past. Frames that are only cached carry their whole plan along, each use of each anew, and the plans of
+    frames kept on top of each other outgrew the driver."""
     key = (s.sparkContext.applicationId, d, name)
-    if key not in _SHARED:
-        release(key[:2])
-        _SHARED[key] = build().persist()
-    return _SHARED[key]
+    if key in _SHARED and _there(s, _SHARED[key][0]):
+        return _SHARED[key][1]
+    release(key[:2])
+    df, path = build(), scratch(s, re.sub(r"\W+", "_", name))
+    df.write.option("compression", "zstd").parquet(path)
+    _SHARED[key] = path, s.read.schema(df.schema).parquet(path)
+    return _SHARED[key][1]
 
 
 def ret(s, d, log=True):
@@ -116,23 +152,23 @@ def p01(s, d):
 
 @q("p02", base("nation") + " SELECT grp, asset FROM cover")
 def p02(s, d):
-    return P.coverage(P.nation(s, d))
+    return P.coverage(nation(s, d))
 
 
 @q("p03", base("nation") + " SELECT grp, asset, ts, round(px, 4) AS px FROM filled")
 def p03(s, d):
-    p = P.nation(s, d)
+    p = nation(s, d)
     return P.forward_fill(p.join(P.coverage(p), ["grp", "asset"], "left_semi")).select("grp", "asset", "ts", r6("px", n=4))
 
 
 @q("p04", base("nation") + " SELECT grp, asset, ts, round(px, 4) AS px FROM panel")
 def p04(s, d):
-    return P.clean(P.nation(s, d)).select("grp", "asset", "ts", r6("px", n=4))
+    return P.clean(nation(s, d)).select("grp", "asset", "ts", r6("px", n=4))
 
 
 @q("p05", base("nation", upto="bars") + " SELECT grp, ts, count(px)::BIGINT AS n FROM bars GROUP BY 1, 2 HAVING count(px) > 0")
 def p05(s, d):
-    return P.nation(s, d).groupBy("grp", "ts").agg(F.count("px").alias("n")).filter("n > 0")
+    return nation(s, d).groupBy("grp", "ts").agg(F.count("px").alias("n")).filter("n > 0")
 
 
 @q("p06", RET + " SELECT grp, asset, ts, round(px / lag(px) OVER w - 1, 6) AS r FROM panel WINDOW w AS (PARTITION BY grp, asset ORDER BY ts) QUALIFY lag(px) OVER w IS NOT NULL")
@@ -154,7 +190,7 @@ def p08(s, d):
 @q("p09", base("nation") + " SELECT grp, count(DISTINCT asset) AS assets, count(DISTINCT ts) AS dates FROM panel GROUP BY grp HAVING"
     " count(DISTINCT asset) >= 4 AND count(DISTINCT ts) >= 100")
 def p09(s, d):
-    return P.clean(P.nation(s, d)).groupBy("grp").agg(F.count_distinct("asset").alias("assets"), F.count_distinct("ts").alias("dates")).filter("assets >= 4 and dates >= 100")
+    return P.clean(nation(s, d)).groupBy("grp").agg(F.count_distinct("asset").alias("assets"), F.count_distinct("ts").alias("dates")).filter("assets >= 4 and dates >= 100")
 
 
 @q("p10", COR + " SELECT grp, ts, a, b, round(rho, 6) AS rho FROM corr WHERE (t_idx - 60) % 20 = 0")

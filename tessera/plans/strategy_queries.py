@@ -1017,7 +1017,7 @@ def regime_features(s, d):
     """The slice from rows to regime flag over the panel that is full at every scale."""
     from tessera.operators.network import network_features, rolling_corr
 
-    x = P.returns(P.clean(P.ship_type(s, d)))
+    x = shared("ret types", s, d, lambda: P.returns(P.clean(shared("types", s, d, lambda: P.ship_type(s, d)))))
     e = x.groupBy("grp", "ts").agg(F.avg("r").alias("r"))
     f = network_features(rolling_corr(x)).join(e, ["grp", "ts"])
     return f.select("grp", "ts", r6("mean_corr"), r6("std_corr"), r6("r"), (F.col("mean_corr") > 0.05).alias("tight"))

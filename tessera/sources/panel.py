@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 
 #: Training ends here for panels of 1995 to 2001.
 TRAIN_END = "1998-12-31"
+#: Rows up to which a table of keys may be sent to every task.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keyed: DataFrame) -> DataFrame:
+    """A table that facts are joined to by its key. Beyond BROADCAST_ROWS rows both sides are dealt by the key, however small
+    its file is, as a broadcast would pass it whole through the driver."""
+    return keyed.hint("shuffle_hash") if keyed.count() > BROADCAST_ROWS else keyed
+
+
 def fetch(read: Callable[[object], DataFrame], assets: Iterable, tries: int = 3, wait: float = 0.0) -> tuple[DataFrame | None, list]:
     """The assets' tables as one, and the assets of which none came: ``read`` raised or gave no row ``tries`` times, with
     ``wait`` seconds between. No asset at all: None."""
@@ -45,20 +53,20 @@ def bars(events: DataFrame, unit: str, grp, asset, ts, value) -> DataFrame:
 def ship_brand(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """25 brands in 5 blocks; price is the mean extended price of what was shipped."""
     block = F.concat(F.lit("B"), F.floor((F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") - 1) / 5).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand")), F.col("l_partkey") == F.col("p_partkey"))
     return bars(rows, unit, block, F.col("p_brand"), F.col("l_shipdate"), F.col("l_extendedprice"))
 
 
 def ship_type(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """Six part types in one group."""
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice").join(spread(table(spark, sf_dir, "part").select("p_partkey", "p_type")), F.col("l_partkey") == F.col("p_partkey"))
     return bars(rows, unit, F.lit("ALL"), F.col("p_type"), F.col("l_shipdate"), F.col("l_extendedprice"))
 
 
 def nation(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """Nations by region; price is the mean order total."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return bars(rows, unit, F.col("r_name"), F.col("n_name"), F.col("o_orderdate"), F.col("o_totalprice"))
