@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, minhash, packing, quality, toxicity
+from tessera.llm import line_dedup, minhash, packing, quality, simhash, toxicity
 from tessera.llm.common import columns_of, crc_mod, cut, free_name, table
+from tessera.llm.graph import connected_components
 
 #: Documents that score so high are rejected.
 TOXIC_FROM = 0.5
@@ -40,13 +41,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the least doc_id stays (null last; of equal ids the first read)."""
+    """Of each component the row with the least doc_id stays (null last; of equal ids the first read).
+
+    SimHash, as in op2_simhash, names for every text the first one that its fingerprint's links reach, which counts if both
+    are similar by their shingles; min-hash finds what fingerprints miss."""
     row = free_name(docs, "row_")
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    ids = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("at"), "text")
-    found = minhash.near_duplicates(ids, doc_id="at", shingle=SHINGLE, similar=SIMILAR)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.r").alias(row))
-    return rows.join(first, row, "left_semi").select(*columns_of(docs))
+    at = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("at")
+    ids = rows.select(at, "text")
+    linked = lambda found: cut(found.select(F.col("doc_id.r").alias("a"), F.col("component_id.r").alias("b")).filter("a <> b"), "same")
+    alike = minhash.confirm(linked(simhash.near_duplicates(ids, doc_id="at")), rows.select(F.col(row).alias("node"), "text"), SHINGLE, SIMILAR)
+    links = alike.unionByName(linked(minhash.near_duplicates(ids, doc_id="at", shingle=SHINGLE, similar=SIMILAR)))
+    roots = connected_components(links).select(F.col("node").alias(row), "root")
+    reach = rows.select(row, at).join(roots, row, "left").groupBy(F.coalesce("root", row).alias("root")).agg(F.min("at").alias("at"))
+    return rows.join(reach.select(F.col("at.r").alias(row)), row, "left_semi").select(*columns_of(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
