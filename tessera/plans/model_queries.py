@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -220,21 +222,28 @@ def g06(s, d):
 
 
 def dataset(s, d):
-    """Features of the window before the day, the day's return, and whether the next day's is positive."""
+    """Features of the window before the day, the day's return, and whether the next day's is positive. Rows are in order:
+    what learners draw and add up would otherwise change with the shuffle."""
 
     def build():
         f = network_features(corr(s, d)).join(S.spectra(vectors(s, d), TAU).drop("corr_lambda1", "corr_gap", "eff_rank"), ["grp", "ts"]).join(realized_vol(ret(s, d)).select("grp", "ts", "rv"), ["grp", "ts"])
         e = ew(s, d).withColumn("next_ret", F.lead("r").over(R.in_order())).select("grp", "ts", "next_ret").filter("next_ret is not null")
-        return f.join(e, ["grp", "ts"]).withColumn("target", (F.col("next_ret") > 0).cast("int")).dropna(subset=INPUTS)
+        return f.join(e, ["grp", "ts"]).withColumn("target", (F.col("next_ret") > 0).cast("int")).dropna(subset=INPUTS).orderBy("grp", "ts")
 
     return shared("dataset", s, d, build)
 
 
 def split(s, d):
-    x = VectorAssembler(inputCols=INPUTS, outputCol="raw").transform(dataset(s, d))
-    fit = x.filter(train())
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(fit)
-    return scaler.transform(fit), scaler.transform(x.filter(~train()))
+    """Training and test rows. Their scaled features are a written table: a learner runs hundreds of jobs, and the plan below
+    its rows is sent along with every task."""
+
+    def build():
+        x = VectorAssembler(inputCols=INPUTS, outputCol="raw").transform(dataset(s, d))
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x.filter(train()))
+        return scaler.transform(x).select("grp", "ts", "target", "next_ret", "features")
+
+    x = shared("scaled", s, d, build)
+    return x.filter(train()), x.filter(~train())
 
 
 #: Rows of the data set; the spectra exist wherever the correlations do.
@@ -329,9 +338,14 @@ def m08(s, d):
 
 @q("m09")
 def m09(s, d):
+    """The learners train side by side, as each is a long row of small jobs; what they predict is written once."""
+    split(s, d)  # written before they start
+    jobs = [inheritable_thread_target(s)(lambda name=name: shared(f"predicted {name}", s, d, lambda: predicted(s, d, name))) for name in learners()]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        made = list(pool.map(lambda job: job(), jobs))
     out = None
-    for name in learners():
-        one = measures(predicted(s, d, name)).withColumn("model", F.lit(name))
+    for name, x in zip(learners(), made, strict=True):
+        one = measures(x).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)
     rule = regime(fiedler(s, d), "fiedler", 0.25, above=False).withColumnRenamed("flag", "predicted").join(dataset(s, d).select("grp", "ts", "target", "next_ret"), ["grp", "ts"]).filter(~train()).withColumn("score", F.lit(0.5))
     return out.unionByName(measures(rule).withColumn("model", F.lit("threshold")))

@@ -56,7 +56,7 @@ _SHARED: dict = {}
 def release(but: tuple | None = None) -> None:
     """Forget what ``shared`` keeps, but for the session and folder ``but``. The tables stay, as frames made from them may
     still be read."""
-    for key in [k for k in _SHARED if k[:2] != but]:
+    for key in [k for k in list(_SHARED) if k[:2] != but]:
         del _SHARED[key]
 
 
