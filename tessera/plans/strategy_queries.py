@@ -903,11 +903,13 @@ STRATEGIES = ["laplacian", "fiedler", "volatility", "beta_spread", "reversion"]
 
 
 def strategies(s, d):
-    """grp, ts, t_idx, hold, a column for each strategy and their mean (ensemble), on the dates common to all."""
+    """grp, ts, t_idx, hold, a column for each strategy and their mean (ensemble), on the dates common to all. Each strategy is
+    a written table, so that the driver never holds the plans of all five at once."""
 
     def build():
         wide = ew(s, d).select("grp", "ts", "t_idx", F.col("r").alias("hold"))
-        for name, x in zip(STRATEGIES, (laplacian_plain(s, d), x02(s, d), x03(s, d), x05(s, d), x07(s, d)), strict=True):
+        for name, make in zip(STRATEGIES, (laplacian_plain, x02, x03, x05, x07), strict=True):
+            x = shared(f"strategy {name}", s, d, lambda make=make: make(s, d).select("grp", "ts", "r"))
             wide = wide.join(x.select("grp", "ts", F.col("r").alias(name)), ["grp", "ts"])
         return wide.withColumn("ensemble", sum((F.col(n) for n in STRATEGIES), F.lit(0.0)) / len(STRATEGIES))
 
