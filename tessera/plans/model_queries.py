@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels as K
 from tessera.operators import rolling as R
 from tessera.operators import spectral as S
+from tessera.operators.boosting import BoostedTrees
 from tessera.operators.metrics import performance
 from tessera.operators.network import network_features
 from tessera.plans.network_queries import TAU, cv_and_rho, vectors
@@ -273,7 +274,7 @@ def m03(s, d):
 def learners():
     return {
         "forest": RandomForestClassifier(labelCol="target", numTrees=200, maxDepth=8, minInstancesPerNode=20, seed=42),
-        "boosting": GBTClassifier(labelCol="target", maxIter=200, maxDepth=3, stepSize=0.05, seed=42),
+        "boosting": BoostedTrees(labelCol="target", maxIter=200, maxDepth=3, stepSize=0.05, seed=42),
         "network": MultilayerPerceptronClassifier(labelCol="target", layers=[len(INPUTS), 16, 8, 2], maxIter=50, seed=42),
     }
 
