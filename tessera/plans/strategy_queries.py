@@ -651,8 +651,10 @@ def x03(s, d):
 
 
 def fiedler(s, d):
+    """To nine digits: values that are zero but for rounding, as of a network in parts, would else fall on either side of a
+    percentile by the order in which a sum was made."""
     cal = ew(s, d).select("grp", "ts", "t_idx")
-    return shared("fiedler", s, d, lambda: S.spectra(vectors(s, d), TAU).select("grp", "ts", "fiedler").join(cal, ["grp", "ts"]))
+    return shared("fiedler", s, d, lambda: S.spectra(vectors(s, d), TAU).select("grp", "ts", F.round("fiedler", 9).alias("fiedler")).join(cal, ["grp", "ts"]))
 
 
 @q("x02")
