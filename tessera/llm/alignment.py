@@ -17,12 +17,15 @@ the shuffle; the counts come back to the block by its pair numbers and are added
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +91,7 @@ class Aligner:
     Chunks that were met get a number; what they give stands in arrays by that number, until there are too many."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores; threads of their own only wait for each other
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -101,6 +105,8 @@ class Aligner:
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         self.a_size, self.b_size = (np.array([len(x) for x in v]) for v in (self.a_bytes, self.b_bytes))
+        ends = ((len(self.a_bytes), ",", "|"), (len(self.b_bytes), ",", ";"))  # of a token that its group goes on after, and of its last
+        self.written = pa.array([f"{i}{x}" for n, *two in ends for i in range(n) for x in two])
         self.forget()
 
     @staticmethod
@@ -115,26 +121,55 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         raw = [(" " + c).encode() for c in new]
-        a, b = [e.ids for e in self.a.encode_batch([" " + c for c in new], add_special_tokens=False)], self.b.encode(new)
-        good = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
-        a, b, size = ([v if ok else none for v, ok in zip(x, good, strict=True)] for x, none in ((a, []), (b, []), ([len(r) for r in raw], 0)))
-        fa, fb = (np.array([i for v in x for i in v], "i8") for x in (a, b))
+        a, b = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)], self.b.encode(new)
+        size = np.array([len(r) for r in raw])
+        good = self._same(raw, size, a, self.a_bytes, self.a_size) & self._same(raw, size, b, self.b_bytes, self.b_size)
+        a, b = ([v if ok else [] for v, ok in zip(x, good.tolist(), strict=True)] if not good.all() else x for x in (a, b))
+        many_a, many_b = (np.array([len(v) for v in x]) for x in (a, b))
+        fa, fb = (np.fromiter(chain.from_iterable(x), "i8", int(n.sum())) for x, n in ((a, many_a), (b, many_b)))
+        size = np.where(good, size, 0)
         link, la, lb, cut_, ga, gb = aligned(self.a_size[fa], self.b_size[fb])
         ends = np.cumsum(size)
         count = lambda at: np.diff(np.concatenate([[0], np.searchsorted(at, ends)]))
-        sizes = np.stack([np.array([len(x) for x in a]), np.array([len(x) for x in b]), count(cut_), count(link)], axis=1)
-        sizes[~np.array(good), 0] = -1
-        sa, sb, ga, gb = list(map(str, fa.tolist())), list(map(str, fb.tolist())), [0, *ga.tolist()], [0, *gb.tolist()]
-        group = [",".join(sa[i:k]) + "|" + ",".join(sb[j:m]) for i, k, j, m in zip(ga, ga[1:], gb, gb[1:], strict=False)]
-        last = 0
-        for n in sizes[:, 2].tolist():
-            self.shown.append(";".join(group[last : last + n]))
-            last += n
-        for c in new:
-            self.known[c] = len(self.known)
+        sizes = np.stack([np.where(good, many_a, -1), many_b, count(cut_), count(link)], axis=1)
+        self.shown += self._shown(fa, fb, ga, gb, sizes[:, 2])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.sizes = np.concatenate([self.sizes, sizes])
         self.links = np.concatenate([self.links, fa[la] << _LOW | fb[lb]])
-        self.held += sum(size)
+        self.held += int(size.sum())
+
+    @staticmethod
+    def _same(raw: list[bytes], size: np.ndarray, ids: list[list[int]], names: list[bytes], name_size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each chunk's tokens are the chunk's."""
+        many = np.array([len(v) for v in ids])
+        flat = np.fromiter(chain.from_iterable(ids), "i8", int(many.sum()))
+        before = np.concatenate([[0], np.cumsum(name_size[flat])])
+        end = np.cumsum(many)
+        start, given = before[end - many], before[end] - before[end - many]
+        alike = given == size
+        made, told = b"".join([names[i] for i in flat.tolist()]), b"".join(raw)
+        if alike.all() and made == told:
+            return alike
+        x, y = np.frombuffer(made, "u1"), np.frombuffer(told, "u1")
+        own = np.flatnonzero(alike)
+        at = (np.cumsum(size) - size)[own]
+        other = x[_ranges(start[own], size[own])] != y[_ranges(at, size[own])]
+        alike[np.repeat(own, size[own])[other]] = False
+        return alike
+
+    def _shown(self, fa: np.ndarray, fb: np.ndarray, ga: np.ndarray, gb: np.ndarray, groups_: np.ndarray) -> list[str]:
+        """The groups of each chunk written out: tokens in the order of their groups, each with what follows it."""
+        na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
+        last_a, last_b = np.zeros(len(fa), "i8"), np.zeros(len(fb), "i8")
+        last_a[ga - 1], last_b[gb - 1] = 1, 1
+        of = lambda n: np.repeat(np.arange(len(n)), n)
+        code = np.empty(len(fa) + len(fb), "i8")
+        code[np.arange(len(fa)) + (gb - nb)[of(na)]] = fa * 2 + last_a
+        code[np.arange(len(fb)) + ga[of(nb)]] = 2 * len(self.a_size) + fb * 2 + last_b
+        done = np.cumsum(groups_)
+        tokens = np.concatenate([[0], np.cumsum(na + nb)])[np.concatenate([[0], done])]
+        lists = pa.LargeListArray.from_arrays(pa.array(tokens), self.written.take(pa.array(code)))
+        return [x[:-1] for x in pc.binary_join(lists, "").to_pylist()]
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """For each text the numbers of tokens of both, groups and links, and its groups written out; and a number for every
