@@ -267,12 +267,12 @@ def shared_bands(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed:
         sent = ~many | lead
         node, key, many = node[sent], key[sent], many[sent]
         part = ((key.view("u8") >> np.uint64(8)) % np.uint64(parts)).astype("i8")
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((node, part))  # nodes as steps from one to the next, which are small and pack well
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         for p, (x, y) in enumerate(pairwise(bounds.tolist())):
             if x < y:
                 at = order[x:y]
-                yield p, 0, node[at].tobytes(), key[at].tobytes(), many[at].tobytes()
+                yield p, 0, np.diff(node[at], prepend=0).tobytes(), key[at].tobytes(), many[at].tobytes()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "node", "key", "many"])
@@ -294,7 +294,8 @@ def shared_bands(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed:
             return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key), pa.array(np.full(len(node), thin))], names=["node", "key", "thin"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            node, key, many = (np.concatenate([np.frombuffer(x, t) for x in v]) for v, t in zip(zip(*held, strict=True), ("<i8", "<i8", "?"), strict=True))
+            nodes, *rest = zip(*held, strict=True)
+            node, (key, many) = np.concatenate(nodes), (np.concatenate([np.frombuffer(x, t) for x in v]) for v, t in zip(rest, ("<i8", "?"), strict=True))
             order = np.argsort(key, kind="stable")
             node, key, many = node[order], key[order], many[order]
             same = key[1:] == key[:-1]
@@ -311,7 +312,7 @@ def shared_bands(texts: DataFrame, size: int, sizes: Sizes, spread: float, seed:
                     yield from close()
                     held = []
                 now = part
-                held.append((node, key, many))
+                held.append((np.cumsum(np.frombuffer(node, "<i8")), key, many))
         if held:
             yield from close()
 
@@ -461,11 +462,13 @@ class _Join:
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
         left = cut(allowed(pairs, self.sketches, self.sizes), "allowed")
         found = cut(verified(left, self.texts, self.size, self.sizes), "confirmed")
-        self.tables += [left, found]
+        forget(left)
         if found.isEmpty():
+            forget(found)
             return
         if self.roots is None:
             self.roots = connected_components(found).select("node", "root")
+            forget(found)
             return
         known = self.roots
         of = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
@@ -473,7 +476,8 @@ class _Join:
         merged = connected_components(ends)  # of the components so far; a node without links stands for itself
         moved = known.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         self.roots = cut(moved.unionByName(merged.join(known, "node", "left_anti")), "roots")
-        forget(known)
+        for x in (known, found):
+            forget(x)
 
     def rooted(self, rows: DataFrame) -> DataFrame:
         if self.roots is None:
@@ -529,18 +533,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = cut(sets.groupBy("d1", "d2").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("t").alias("t")).withColumn("node", F.monotonically_increasing_id()), "sets")
     total = marked.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // CHUNK + 1)
-    play, done, join = texts.withColumn("only", F.lit(None).cast("array<bigint>")), [marked, texts], None
+    play, join, before = texts.withColumn("only", F.lit(None).cast("array<bigint>")), None, None
     for level, spread in enumerate((*LEVELS, None)):
         met = cut(shared_bands(play, shingle, sizes, spread or 1.0, 10 * level, parts, spread is None), "shared_bands")
         shared, thin = met.filter("not thin").select("key", "node"), met.filter("thin").select("node", F.col("key").alias("grp"))
-        done.append(met)
         if join is None:
             near_ones = cut(texts.join(met.select("node").distinct(), "node", "left_semi").select("node", "t"), "candidate_texts")
-            join = _Join(near_ones, shingle, sizes)
-            done.append(near_ones)
+            named, whole = cut(texts.select("d1", "d2", "i", "node"), "names"), texts
+            forget(whole)  # what is compared from here on stands in a shared band
+            play, join = near_ones.withColumn("only", F.lit(None).cast("array<bigint>")), _Join(near_ones, shingle, sizes)
         join.stars(shared, F.col("node"), -F.col("node"))
         if spread is None:
             join.compare(shared)
+            forget(met)
             break
         join.compare_small(shared)
         _, still = join.open(shared, SMALL + 1)
@@ -548,13 +553,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         made = useful_bands(play.join(hot.select("node").distinct(), "node", "left_semi"), shingle, sizes, spread, 10 * level).withColumn("class", F.expr("grp & 255"))
         few = made.join(hot, ["node", "class"]).filter(F.col("filled") - F.col("idle") <= F.col("limit")).select("node", "grp")
         left = cut(few.unionByName(thin).groupBy("node").agg(F.collect_set("grp").alias("only")), "left_over")
-        done.append(left)
+        for x in (met, before):
+            forget(x)
+        before = left
         if left.isEmpty():
             break
         play = join.texts.join(left, "node")
-    for x in [*done[2:], *join.tables]:  # the components stand by themselves
+    for x in [before, near_ones, *join.tables]:  # the components stand by themselves
         forget(x)
-    reach = join.rooted(texts.select("d1", "d2", "i", "node"))
+    reach = join.rooted(named)
     named = reach.join(reach.groupBy("root").agg(F.min("i").alias("c")), "root").select("d1", "d2", "c")
     known = (F.col("n") > 0) | F.lit(empty_alike)
     return marked.join(named, ["d1", "d2"], "left").select(F.col("i.d").alias(doc_id), F.col("n").alias("n_shingles"), F.when(known, F.col("c.d")).otherwise(F.col("i.d")).alias("component_id"))
