@@ -224,12 +224,13 @@ def g06(s, d):
 
 def dataset(s, d):
     """Features of the window before the day, the day's return, and whether the next day's is positive. Rows are in order:
-    what learners draw and add up would otherwise change with the shuffle."""
+    what learners draw and add up would otherwise change with the shuffle. Features have nine digits: values that are equal
+    but for rounding, as of a network in parts, would else be parted by the order in which a sum was made."""
 
     def build():
         f = network_features(corr(s, d)).join(S.spectra(vectors(s, d), TAU).drop("corr_lambda1", "corr_gap", "eff_rank"), ["grp", "ts"]).join(realized_vol(ret(s, d)).select("grp", "ts", "rv"), ["grp", "ts"])
         e = ew(s, d).withColumn("next_ret", F.lead("r").over(R.in_order())).select("grp", "ts", "next_ret").filter("next_ret is not null")
-        return f.join(e, ["grp", "ts"]).withColumn("target", (F.col("next_ret") > 0).cast("int")).dropna(subset=INPUTS).orderBy("grp", "ts")
+        return f.join(e, ["grp", "ts"]).withColumn("target", (F.col("next_ret") > 0).cast("int")).dropna(subset=INPUTS).withColumns({c: F.round(c, 9) for c in INPUTS}).orderBy("grp", "ts")
 
     return shared("dataset", s, d, build)
 
