@@ -25,7 +25,8 @@ def pair_corr(x, y) -> Column:
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     ok = complete(x, y)
     x, y = F.when(ok, x), F.when(ok, y)
-    return F.nanvl(F.try_divide(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x)), F.stddev_samp(y)), F.lit(None).cast("double"))
+    vary = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # a deviation may be a rounding of merged means instead of 0
+    return F.when(vary, F.nanvl(F.try_divide(F.try_divide(F.covar_samp(x, y), F.stddev_samp(x)), F.stddev_samp(y)), F.lit(None).cast("double")))
 
 
 MOMENTS = ("n", "mx", "my", "xx", "yy", "xy")
