@@ -186,6 +186,12 @@ class BoostedTrees:
         self.maxIter = value
         return self
 
+    def getMaxIter(self) -> int:
+        return self.maxIter
+
+    def getStepSize(self) -> float:
+        return self.stepSize
+
     def limits(self, x: DataFrame, count: int) -> list[list[float]]:
         most = min(self.maxBins, count) - 1
         some = x if count <= SAMPLE else x.sample(fraction=SAMPLE / count, seed=self.seed)
